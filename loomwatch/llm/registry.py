@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate")
+MODULES = ("quality", "decontaminate", "jaccard")
 
 
 def queries() -> dict:
