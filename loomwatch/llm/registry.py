@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate", "jaccard")
+MODULES = ("quality", "decontaminate", "jaccard", "line_dedup")
 
 
 def queries() -> dict:
