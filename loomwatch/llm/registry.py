@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter")
+MODULES = ("quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter", "ngram_lm")
 
 
 def queries() -> dict:
