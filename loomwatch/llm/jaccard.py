@@ -41,6 +41,9 @@ HIST = 256
 #: Entries of one column that one task may get before the column is salted.
 COLUMN_ROWS = 20_000
 BLOCK = 512
+#: Rows (of 16 bytes) of a table that may be broadcast; larger ones are joined by a shuffle.
+FEW = 1_000_000
+SEEN = 200_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -102,7 +105,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, cou
                     hists.append(None), prefixes.append(None), salts.append(None)
                     continue
                 seen.add(c)
-                hists.append(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=HIST).clip(0, 65535).astype(np.uint16).tobytes())
+                hists.append(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=HIST).clip(0, 255).astype(np.uint8).tobytes())
                 bucket = (grams & low).astype(np.int64)
                 keys = (rank[bucket] << np.uint64(48)) | (grams >> np.uint64(16))
                 size = m - -(-percent * m // 100) + 1
@@ -133,46 +136,54 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _hub_rows(entries: DataFrame, percent: int) -> DataFrame:
-    """Of columns with two or more classes: (col, salt, n, cls, hub, hub_n). A row that is its own hub begins a size range."""
-    schema = "col long, part int, parts int, n long, cls long, hub long, hub_n long"
+    """Of columns with two or more classes: (col, part, parts, n, cls, hub, hub_n). A row that is its own hub begins a size range."""
+    fields = [("col", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int64()), ("cls", pa.int64()), ("hub", pa.int64()), ("hub_n", pa.int64())]
+    schema = pa.schema(fields)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = hub_n = 0
         held: tuple | None = None  # a column's first row waits for a second one
         for batch, new in _groups(batches, ["col", "part"]):
-            col, part, parts, n, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("col", "part", "parts", "n", "cls"))
-            alike = np.zeros(len(col), dtype=bool)
-            alike[1:] = ~new[1:] & (cls[1:] == cls[:-1])
-            single = np.ones(len(col), dtype=bool)  # alone in its column, as far as this batch tells
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("col", "part", "parts", "n", "cls")]
+            single = np.ones(batch.num_rows, dtype=bool)  # alone in its column, as far as this batch tells
             single[1:] &= new[1:]
             single[:-1] &= new[1:]
-            if not new[0]:
-                single[0] = False
+            single[0] &= new[0]
             single[-1] = False  # the next batch may go on
+            at = np.flatnonzero(~single)
             out = []
-            for i in np.flatnonzero(~single):
-                if alike[i]:
-                    continue
-                row = (col[i], part[i], parts[i], n[i], cls[i])
-                if new[i]:
-                    if held and held[2] > 1:
+            for first, *row in zip(new[at].tolist(), *(c[at].tolist() for c in cols), strict=True):
+                _, _, _, n, cls = row
+                if first:
+                    if held and held[2] > 1:  # part of a salted column
                         out.append((*held, hub, hub_n))
-                    hub, hub_n, held = cls[i], n[i], row
+                    hub, hub_n, held, last = cls, n, row, cls
                     continue
-                if cls[i] == hub and held:
+                if cls == last:  # the same class from another task
                     continue
+                last = cls
                 if held:
                     out.append((*held, hub, hub_n))
                     held = None
-                if 100 * hub_n < percent * n[i]:
-                    hub, hub_n = cls[i], n[i]
+                if 100 * hub_n < percent * n:
+                    hub, hub_n = cls, n
                 out.append((*row, hub, hub_n))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                yield batch_of(out)
         if held and held[2] > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held, hub, hub_n), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            yield batch_of([(*held, hub, hub_n)])
+
+    return entries.repartition("col", "part").sortWithinPartitions("col", "part", "n", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, hub long, hub_n long")
+
 
-    return entries.repartition("col", "part").sortWithinPartitions("col", "part", "n", "cls").mapInArrow(run, schema)
+def _most(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bounds of overlaps, from histograms (full counters say nothing) and sizes."""
+    least = np.minimum(na, nb)
+    full = ((a == 255) | (b == 255)).any(axis=1)
+    return np.where(full, least, np.minimum(least, np.minimum(a, b).sum(axis=1, dtype=np.int64)))
 
 
 def _may_link(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
@@ -181,9 +192,9 @@ def _may_link(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, HIST).astype(np.int64) for c in ("ha", "hb"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HIST) for c in ("ha", "hb"))
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                most = np.where((a == 65535) | (b == 65535), np.maximum(na, nb)[:, None], np.minimum(a, b)).sum(axis=1)
+                most = _most(a, b, na, nb)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * most >= percent * (na + nb - most)))
 
     sized = pairs.join(hists.select(F.col("cls").alias("a"), F.col("hist").alias("ha"), F.col("n").alias("na")), "a")
@@ -193,9 +204,10 @@ def _may_link(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of classes those that reach the similarity, by exact products of the rows of a hub (b) with the hub."""
-    # One text stands for a class. Texts are dealt out by id, sets only for classes in a pair.
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text")).join(needed, "rep").select("cls", "_text")
+    # One text stands for a class. Few documents are in a pair; their ids are broadcast if they are few indeed.
+    needed = written(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls"), "needed")
+    ids = F.broadcast(needed) if needed.count() <= FEW else needed
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text")).join(ids, "rep").select("cls", "_text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in vec.chunks(batches, "_text"):
@@ -203,7 +215,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps:
             keep = [_class(s) == c for s, c in zip(sets, part.column("cls").to_pylist(), strict=True)]  # ids may repeat with other texts
             yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "grams"]).filter(pa.array(keep))
 
-    sets = texts.mapInArrow(to_sets, "cls long, grams binary")
+    sets = written(texts.mapInArrow(to_sets, "cls long, grams binary"), "sets")
     # A hub's rows may be many: they are dealt to parts of bounded size, each with a copy of the hub's row.
     members = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(64)).cast("int"))
     rows = members.join(sets.withColumnRenamed("cls", "a"), "a").select("b", "part", "a", "grams")
@@ -226,13 +238,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps:
                     a.append(x), b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.unionByName(heads).dropDuplicates(["b", "part", "a"]).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(product, "a long, b long")
+    return rows.unionByName(heads).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(product, "a long, b long")
 
 
 def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes in one column, not both of a partial component, not tried as a hub and its row, that histograms allow."""
     known = hub_rows.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = known.groupBy("col").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.max("parts").alias("parts_")).where("c0 <> c1 AND size > 2").select("col")
+    mixed = known.groupBy("col").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.max("parts").alias("parts"))
+    # Columns with the same rows have the same pairs: one stands for all.
+    mixed = mixed.where("c0 <> c1 AND size > 2").groupBy("size", "sum", "c0", "c1", F.when(F.col("parts") > 1, F.col("col")).alias("own")).agg(F.min("col").alias("col")).select("col")
     rows = known.join(mixed, "col").join(hists.select("cls", "hist"), "cls")
     # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -240,13 +254,14 @@ def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        seen: set[tuple[int, int]] = set()
 
         def blocks() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             n, cls, hub, comp = (t.column(c).to_numpy() for c in ("n", "cls", "hub", "comp"))
             if len(n) < 2:
                 return
-            h = np.frombuffer(b"".join(t.column("hist").to_pylist()), dtype=np.uint16).reshape(-1, HIST)
+            h = np.frombuffer(b"".join(t.column("hist").to_pylist()), dtype=np.uint8).reshape(-1, HIST)
             for i in range(0, len(n), BLOCK):
                 I = slice(i, i + BLOCK)
                 for j in range(i, len(n), BLOCK):
@@ -260,11 +275,14 @@ def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: i
                     x, y = np.nonzero(ok)
                     for c in range(0, len(x), 1 << 14):
                         xs, ys = x[c : c + (1 << 14)] + i, y[c : c + (1 << 14)] + j
-                        most = np.minimum(h[xs], h[ys]).sum(axis=1, dtype=np.int64)
-                        full = ((h[xs] == 65535) | (h[ys] == 65535)).any(axis=1)
-                        fits = full | (100 * most >= percent * (n[xs] + n[ys] - most))
-                        if fits.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cls[xs], cls[ys])[fits]), pa.array(np.minimum(cls[xs], cls[ys])[fits])], names=["a", "b"])
+                        most = _most(h[xs], h[ys], n[xs], n[ys])
+                        fits = 100 * most >= percent * (n[xs] + n[ys] - most)
+                        pairs = set(zip(np.maximum(cls[xs], cls[ys])[fits].tolist(), np.minimum(cls[xs], cls[ys])[fits].tolist(), strict=True)) - seen
+                        if len(seen) > SEEN:  # only saves work: repeated pairs are dropped later
+                            seen.clear()
+                        seen.update(pairs)
+                        if pairs:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
 
         for batch, new in _groups(batches, ["col", "p", "q"]):
             cuts = np.flatnonzero(new).tolist()
@@ -287,7 +305,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(id_col, text_col)
     rows = written(_rows(docs, id_col, text_col, k, percent, _counts(docs, text_col, k)), "rows")
     reps = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep"))
-    hists = rows.where("hist IS NOT NULL").groupBy("cls").agg(F.first("hist").alias("hist"), F.first("n").alias("n"))
+    hists = written(rows.where("hist IS NOT NULL").groupBy("cls").agg(F.first("hist").alias("hist"), F.first("n").alias("n")), "hists")
     entries = rows.where("prefix IS NOT NULL").select("cls", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("col"), F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("e.salts").cast("long"))).otherwise(0).cast("int").alias("part"), F.col("e.salts").cast("int").alias("parts"), "n", "cls")
     hub_rows = written(_hub_rows(entries, percent), "hubs")
@@ -304,7 +322,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(named)
     found = rows.select("_id", "n", "cls").join(reps, "cls", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "_id").alias("component_id"))
-    for t in (tried, partial, more, hub_rows):
+    for t in (tried, partial, more, hub_rows, hists):
         remove(t)
     return out
 
