@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 from loomwatch.llm.shared import written
 
 MIN_CHARS = 24
+#: Lines of up to so many characters are cut into two blocks.
+TWO_BLOCKS = 1024
+#: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
+FEW = 1_000_000
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -40,14 +44,24 @@ def _doc(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
 
 
+def _bind(value: Column, use) -> Column:
+    """use(value), with the value computed once; the optimizer would copy it into each loop and behind each generator otherwise."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, no, line) of all lines."""
-    return docs.select(_doc(id_col, text_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
+    """(doc, no, line, n) of all lines. The generator makes all that depends on the text, so that its output rows don't carry it."""
+
+    def entries(t: Column) -> Column:
+        return F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(t.alias("t"), i.alias("no"), x.alias("line"), F.length(x).alias("n")))
+
+    exploded = docs.select(F.col(id_col).alias("id"), F.explode(_bind(F.xxhash64(text_col), entries)).alias("e"))
+    return exploded.select(F.struct("id", "e.t").alias("doc"), "e.no", "e.line", "e.n")
 
 
 def _blocks(m: Column) -> Column:
     """Into how many blocks a line of m characters is cut: two, and more for long ones, so that neither blocks nor their number grow large."""
-    return F.greatest(F.lit(2), F.ceil(F.sqrt(m) / 8)).cast("int")
+    return F.when(m <= TWO_BLOCKS, 2).otherwise(F.ceil(F.sqrt(m.cast("double")) / 8)).cast("int")
 
 
 def _block(m: Column, i: Column) -> tuple[Column, Column]:
@@ -72,18 +86,23 @@ def _frames(line: Column, n: Column) -> Column:
 
         return F.transform(F.sequence(F.lit(0), _blocks(m) - 1), key)
 
-    return F.concat(of(n), of(n - 1))
+    def halves(m: Column) -> list[Column]:
+        half = F.shiftright(m, 1)
+        return [F.xxhash64(m, F.lit(0), F.lit(""), F.substring(line, n - m + half + 1, m - half)), F.xxhash64(m, F.lit(1), F.substring(line, F.lit(1), half), F.lit(""))]
+
+    # The usual case, two blocks, without a loop.
+    return F.when(n <= TWO_BLOCKS, F.array(*halves(n), *halves(n - 1))).otherwise(F.concat(of(n), of(n - 1)))
 
 
 def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """(doc, no, first_doc, first_no) of each line to drop and of the earliest line that it repeats. max_edits: 0 or 1."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    lines = _lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
+    lines = _lines(docs, id_col, text_col).where(F.col("n") >= min_chars)
     place = F.struct("doc", "no")
     # Of each distinct line its earliest place. Two hashes name a line.
-    named = lines.select("doc", "no", "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
-    firsts = named.select("h", "h2", place.alias("at"), F.length("line").alias("n"), _frames(F.col("line"), F.length("line")).alias("frames"))
+    named = lines.select("doc", "no", "line", "n", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    firsts = named.select("h", "h2", place.alias("at"), "n", _frames(F.col("line"), F.col("n")).alias("frames"))
     firsts = written(firsts.groupBy("h", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("frames").alias("frames")), "lines")
     twice = firsts.where("rows > 1").select("h", "h2", "at", F.lit(None).cast(firsts.schema["at"].dataType).alias("to"))
     if max_edits == 1:
@@ -102,27 +121,36 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
     shared = frames.groupBy("f").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("f")
     near = frames.join(shared, "f").select("f", "x", "n", "at")
     # The texts come from their documents; only these documents' lines are made again.
-    wanted = near.select("at").distinct().groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos"))
-    texts = docs.select(_doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).distinct().join(wanted, "doc")
-    cut = texts.select("doc", F.split("text", "\n").alias("all"), "nos").select(F.explode(F.transform("nos", lambda i: F.struct(F.struct("doc", i.alias("no")).alias("at"), F.get("all", i).alias("line")))).alias("e"))
-    lines = written(cut.select("e.at", "e.line"), "near")
+    wanted = written(near.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    texts = docs.select(_doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
+    cut = texts.select("doc", F.explode(_bind(F.split("text", "\n"), lambda x: F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(x, i).alias("line"))))).alias("e"))
+    lines = written(cut.select(F.struct("doc", "e.no").alias("at"), "e.line").dropDuplicates(["at"]), "near")
+    # Each row makes many variants, so that few rows are dealt to all tasks.
+    near = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f", "at")
     # x numbers the frames: those of m = n first. The segment is the block that the frame leaves out.
     count = _blocks(F.col("n"))
     near = near.join(lines, "at").withColumn("shorter", F.col("x") < count).withColumn("m", F.col("n") - F.when(F.col("shorter"), 0).otherwise(1))
     a, b = _block(F.col("m"), F.col("x") - F.when(F.col("shorter"), 0).otherwise(count))
-    near = near.select("f", "at", "shorter", F.substring("line", a + 1, b - a + F.col("n") - F.col("m")).alias("seg")).withColumn("size", F.length("seg"))
+    seg = F.substring("line", a + 1, b - a + F.col("n") - F.col("m"))
 
-    def without(p: Column) -> Column:
-        return F.concat(F.substring("seg", F.lit(1), p - 1), F.substring("seg", p + 1, F.col("size")))
+    def variants(s: Column) -> Column:
+        text, size, f = s["text"], s["size"], F.col("f")
 
-    places = F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("size"))).otherwise(F.array().cast("array<int>"))
-    # Of the shorter line the whole segment, and what deleting a place leaves, with the place; of the longer one what deleting a place leaves.
-    kept = F.concat(
-        F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("f", F.lit(0), "seg").alias("v"))),
-        F.transform(places, lambda p: F.struct(F.lit(2).alias("kind"), F.xxhash64("f", p, without(p)).alias("v"))),
-    )
-    gone = F.transform(places, lambda p: F.struct(F.lit(1).alias("kind"), F.xxhash64("f", F.lit(0), without(p)).alias("v")))
-    keyed = near.select("at", F.explode(F.when(F.col("shorter"), kept).otherwise(gone)).alias("k")).select("at", "k.kind", "k.v")
+        def without(p: Column) -> Column:
+            return F.concat(F.substring(text, F.lit(1), p - 1), F.substring(text, p + 1, size))
+
+        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        # Of the shorter line the whole segment, and what deleting a place leaves, with the place; of the longer one what deleting a place leaves.
+        kept = F.concat(
+            F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64(f, F.lit(0), text).alias("v"))),
+            F.transform(places, lambda p: F.struct(F.lit(2).alias("kind"), F.xxhash64(f, p, without(p)).alias("v"))),
+        )
+        gone = F.transform(places, lambda p: F.struct(F.lit(1).alias("kind"), F.xxhash64(f, F.lit(0), without(p)).alias("v")))
+        return F.when(F.col("shorter"), kept).otherwise(gone)
+
+    made = _bind(seg, lambda x: _bind(F.struct(x.alias("text"), F.length(x).alias("size")), variants))
+    keyed = near.select("at", F.explode(made).alias("k")).select("at", "k.kind", "k.v")
     # The earliest line of a key links all later ones: for replacements any of them, else the whole line with those that became it.
     best = (
         keyed.groupBy("v")
@@ -137,29 +165,32 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
 
 
 def _with_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
-    """docs with two more columns: all lines, and those that are kept."""
+    """docs with a column ``_lines``: n_lines, n_kept and the text of those that are kept."""
     gone = find_duplicate_lines(docs, id_col, text_col, min_chars, max_edits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone"))
     joined = docs.join(gone, _doc(id_col, text_col) == F.col("_doc"), "left")
-    every = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone")
-    kept = F.when(F.col("_gone").isNull(), every).otherwise(F.transform(stay, lambda i: F.get(every, i)))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], every.alias("_all"), kept.alias("_kept"))
+
+    def kept(x: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone")
+        left = F.when(F.col("_gone").isNull(), x).otherwise(F.transform(stay, lambda i: F.get(x, i)))
+        return _bind(left, lambda y: F.struct(F.size(x).alias("n_lines"), F.size(y).alias("n_kept"), F.array_join(y, "\n").alias("text")))
+
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], _bind(F.split(F.col(text_col), "\n"), kept).alias("_lines"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """The documents without lines that repeat earlier ones; a document that loses all its words is dropped."""
     found = _with_lines(docs, id_col, text_col, min_chars, max_edits)
-    text = F.array_join("_kept", "\n")
-    stays = (F.size("_all") == F.size("_kept")) | F.col(text_col).isNull() | text.rlike(r"[^\x20\x09-\x0D]")
-    return found.where(stays).select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.col("_lines.text")
+    stays = F.col(text_col).isNull() | (F.col("_lines.n_lines") == F.col("_lines.n_kept")) | text.rlike(r"[^\x20\x09-\x0D]")
+    return found.where(stays).select(*[F.when(F.col(f"`{c}`").isNotNull(), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat an earlier line of the corpus, up to one edit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = _with_lines(docs, "doc_id", "text", MIN_CHARS, 1)
-    size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
-    return found.select("doc_id", size("_all").alias("n_lines"), size("_kept").alias("n_kept"), F.sha2(F.coalesce(F.array_join("_kept", "\n"), F.lit("")), 256).alias("kept_sha256"))
+    found = _with_lines(docs, "doc_id", "text", MIN_CHARS, 1).withColumn("null", F.col("text").isNull())
+    size = lambda c: F.when(F.col("null"), 0).otherwise(F.col(f"_lines.{c}")).cast("long").alias(c)
+    return found.select("doc_id", size("n_lines"), size("n_kept"), F.sha2(F.when(F.col("null"), "").otherwise(F.col("_lines.text")), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
