@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter", "ngram_lm", "chat", "pieces")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter", "ngram_lm", "chat", "pieces")
 
 
 def queries() -> dict:
