@@ -30,9 +30,11 @@ number comes first; an empty table gives empty tables; other columns aren't read
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,8 @@ from loomwatch.llm.shared import shared_dir, written
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BEGIN, END = "<s>", "</s>"
+#: Rows that a task turns into Python objects at once.
+ROWS = 200
 TURN = re.compile(r"<s>((?:[^\\\n]|\\.)*)\n(.*)</s>", re.DOTALL)
 
 
@@ -60,7 +64,10 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+@lru_cache(maxsize=1)
 def _tokenizer(spec: str):
+    """One for each worker; its own threads would only hold memory, since tasks are what runs in parallel."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_str(spec)
@@ -71,13 +78,20 @@ def _tokenizer(spec: str):
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[dict, bool]]:
     """Rows in order, and whether each begins a new key."""
     last: object = object()
-    for batch in batches:
-        for row in batch.to_pylist():
+    for part in _small(batches):
+        for row in part.to_pylist():
             yield row, row[key] != last
             last = row[key]
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4000) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of few rows: as Python objects, tokens take many times their bytes."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 1000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for r in rows:
         held.append(r)
@@ -157,7 +171,7 @@ def format_trees(conversations: DataFrame, path: str, conv_col: str = "conv_id",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(spec.value)
         tail = t.encode(END, add_special_tokens=False).ids
-        for batch in batches:
+        for batch in _small(batches):
             heads, bodies = ([x.ids for x in t.encode_batch(batch.column(c).to_pylist(), add_special_tokens=False)] for c in ("head", "body"))
             loss = [r == "assistant" for r in batch.column("role").to_pylist()]
             ids = [h + b + tail for h, b in zip(heads, bodies, strict=True)]
@@ -246,9 +260,21 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], conversations.schema)
     path = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
     format_trees(conversations.unionByName(extra), path)
-    return read_back(spark, path)
+    return read_back(spark, path).drop("n_tokens")
 
 
 QUERIES = {"op3_chat_formatting": op3_chat_formatting}
-_ESCAPED = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
-SQL: dict[str, str] = {}
+_ESCAPED = r"replace(replace(replace(replace(replace(coalesce({0}, ''), '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
+SQL = {
+    "op3_chat_formatting": f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(8 + length(replace({_ESCAPED.format("role")}, chr(10), chr(92) || chr(10))) + length({_ESCAPED.format("text")})) AS formatted
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted::BIGINT AS formatted_chars FROM s"""
+}
