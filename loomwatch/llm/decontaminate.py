@@ -287,7 +287,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents and cuts benchmark passages from the others."""
-    return remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES = {"op5_benchmark_decontamination": op5_benchmark_decontamination}

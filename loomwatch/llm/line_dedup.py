@@ -195,7 +195,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines, and documents that consist of them."""
-    return drop_lines(docs)
+    return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}
