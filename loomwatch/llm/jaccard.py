@@ -6,14 +6,15 @@ never formed in full:
 1.  Columns (n-grams) are ordered from rare to frequent by counts over all documents, kept in
     a fixed table of ``BUCKETS`` counters. Two sets with Jaccard similarity t must share a
     column among the first n - ceil(t n) + 1 of each, so only those entries are shuffled.
-2.  Column blocks: within a column, rows sorted by size are multiplied with a hub row (the
-    smallest, renewed whenever sizes are too far apart to link). Verified links join hub and
-    rows into partial components: linear in the entries, also for huge groups of copies.
-3.  What may be missing are links between rows of one column that are still in different
-    components. Those columns are multiplied block by block; a bound from sizes and a
-    256-bucket histogram of each row discards pairs before any exact product.
-4.  Exact products: rows are joined to the block of their hub, overlap counts are summed
-    over the hub's columns and compared with t by integers.
+2.  Columns of one row give no pair; of columns with the same rows one stands for all. In each
+    column the first ``HUBS`` rows, in one order for all columns, are hubs. A block of rows is
+    multiplied with its hubs, which completes columns of up to HUBS + 1 rows; links found join
+    rows to partial components. A few more hubs follow for rows that are still apart. That is
+    linear in the entries, also for huge groups of copies.
+3.  What may be missing are links between rows of one larger column that are in different
+    components. Those columns are multiplied block by block.
+4.  A bound from sizes and a 256-bucket histogram of each row discards pairs before any exact
+    product. Exact products sum overlap counts over a hub's columns and compare by integers.
 
 Columns that are frequent in the counters are dealt out by a salt; salted parts are joined
 by their hubs and, in step 3, by all pairs of parts. N-grams and classes are 64-bit hashes.
@@ -41,9 +42,11 @@ HIST = 256
 #: Entries of one column that one task may get before the column is salted.
 COLUMN_ROWS = 20_000
 BLOCK = 512
+#: Rows of a column that all its rows are multiplied with.
+HUBS = 32
 #: Rows (of 16 bytes) of a table that may be broadcast; larger ones are joined by a shuffle.
 FEW = 1_000_000
-SEEN = 200_000
+SEEN = 1_000_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -135,48 +138,61 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield batch, new
 
 
-def _hub_rows(entries: DataFrame, percent: int) -> DataFrame:
-    """Of columns with two or more classes: (col, part, parts, n, cls, hub, hub_n). A row that is its own hub begins a size range."""
-    fields = [("col", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int64()), ("cls", pa.int64()), ("hub", pa.int64()), ("hub_n", pa.int64())]
-    schema = pa.schema(fields)
+def _columns(entries: DataFrame) -> DataFrame:
+    """Of columns (or salted parts of them) with two or more classes: a row (col, part, parts, n, cls) for each class, and one with the column's hubs, size and sum of hashes (cls null)."""
+    schema = pa.schema([("col", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("sum", pa.int64()), ("hubs", pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64())])))])
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = hub_n = 0
         held: tuple | None = None  # a column's first row waits for a second one
+        size = total = 0
+        hubs: list[dict] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            if held is None and size or held is not None and held[2] > 1:  # a part of a salted column may hold one row
+                if held is not None:
+                    out.append((*held, None, None, None))
+                col, part, parts = last
+                out.append((col, part, parts, None, None, size, total, hubs))
+
+        last: tuple = ()
         for batch, new in _groups(batches, ["col", "part"]):
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("col", "part", "parts", "n", "cls")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("col", "part", "parts", "n", "cls", "k")]
             single = np.ones(batch.num_rows, dtype=bool)  # alone in its column, as far as this batch tells
             single[1:] &= new[1:]
             single[:-1] &= new[1:]
             single[0] &= new[0]
             single[-1] = False  # the next batch may go on
+            single &= cols[2] == 1
             at = np.flatnonzero(~single)
-            out = []
-            for first, *row in zip(new[at].tolist(), *(c[at].tolist() for c in cols), strict=True):
-                _, _, _, n, cls = row
+            for first, col, part, parts, n, cls, k in zip(new[at].tolist(), *(c[at].tolist() for c in cols), strict=True):
+                row = (col, part, parts, n, cls)
                 if first:
-                    if held and held[2] > 1:  # part of a salted column
-                        out.append((*held, hub, hub_n))
-                    hub, hub_n, held, last = cls, n, row, cls
+                    close()
+                    held, size, total, hubs, last, before = row, 1, k, [{"cls": cls, "n": n}], (col, part, parts), cls
                     continue
-                if cls == last:  # the same class from another task
+                if cls == before:  # the same class from another task
                     continue
-                last = cls
+                before = cls
                 if held:
-                    out.append((*held, hub, hub_n))
+                    out.append((*held, None, None, None))
                     held = None
-                if 100 * hub_n < percent * n:
-                    hub, hub_n = cls, n
-                out.append((*row, hub, hub_n))
-            if out:
+                out.append((*row, None, None, None))
+                size, total = size + 1, (total + k) & 0x7FFFFFFFFFFFFFFF
+                if size <= HUBS:
+                    hubs.append({"cls": cls, "n": n})
+            if len(out) > 20_000:
                 yield batch_of(out)
-        if held and held[2] > 1:
-            yield batch_of([(*held, hub, hub_n)])
+                out.clear()
+        close()
+        if out:
+            yield batch_of(out)
 
-    return entries.repartition("col", "part").sortWithinPartitions("col", "part", "n", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, hub long, hub_n long")
+    ordered = entries.withColumn("k", F.xxhash64("cls").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+    return ordered.repartition("col", "part").sortWithinPartitions("col", "part", "k", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, size long, sum long, hubs array<struct<cls:bigint,n:bigint>>")
 
 
 def _most(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -241,13 +257,25 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps:
     return rows.unionByName(heads).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(product, "a long, b long")
 
 
-def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in one column, not both of a partial component, not tried as a hub and its row, that histograms allow."""
-    known = hub_rows.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = known.groupBy("col").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("sum"), F.max("parts").alias("parts"))
-    # Columns with the same rows have the same pairs: one stands for all.
-    mixed = mixed.where("c0 <> c1 AND size > 2").groupBy("size", "sum", "c0", "c1", F.when(F.col("parts") > 1, F.col("col")).alias("own")).agg(F.min("col").alias("col")).select("col")
-    rows = known.join(mixed, "col").join(hists.select("cls", "hist"), "cls")
+def _apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of columns whose rows are in different partial components, with ``comp``."""
+    known = rows.join(comps.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = known.groupBy("col").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("col")
+    return known.join(mixed, "col")
+
+
+def _with_hubs(rows: DataFrame, hubs: DataFrame, first: int, count: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows and some of their columns' hubs, whose sizes allow a link; if rows have ``comp``, only hubs outside it."""
+    some = hubs.select("col", "part", F.slice("hubs", first, count).alias("hubs")).where(F.size("hubs") > 0)
+    near = F.transform(F.filter("hubs", lambda h: (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))) & (h["cls"] != F.col("cls"))), lambda h: h["cls"])
+    met = rows.join(some, ["col", "part"]).select("cls", near.alias("hubs")).where(F.size("hubs") > 0)
+    # A row meets the same hubs in many columns: its hubs are gathered, so that each pair is made once.
+    return met.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.col("cls").alias("a"), F.explode("hubs").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _missing(apart: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in one large column, in different partial components, that histograms allow."""
+    rows = apart.where("size > %d OR parts > 1" % (HUBS + 1)).join(hists.select("cls", "hist"), "cls")
     # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", "hub", "comp", "hist")
@@ -258,7 +286,7 @@ def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: i
 
         def blocks() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            n, cls, hub, comp = (t.column(c).to_numpy() for c in ("n", "cls", "hub", "comp"))
+            n, cls, comp = (t.column(c).to_numpy() for c in ("n", "cls", "comp"))
             if len(n) < 2:
                 return
             h = np.frombuffer(b"".join(t.column("hist").to_pylist()), dtype=np.uint8).reshape(-1, HIST)
@@ -268,7 +296,7 @@ def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: i
                     if 100 * n[min(i + BLOCK, len(n)) - 1] < percent * n[j]:
                         break  # sorted by size: nothing further on can link
                     J = slice(j, j + BLOCK)
-                    ok = (comp[I, None] != comp[None, J]) & (cls[I, None] != hub[None, J]) & (hub[I, None] != cls[None, J])
+                    ok = comp[I, None] != comp[None, J]
                     ok &= 100 * np.minimum(n[I, None], n[None, J]) >= percent * np.maximum(n[I, None], n[None, J])
                     if i == j:
                         ok &= np.triu(np.ones(ok.shape, dtype=bool), 1)
@@ -297,7 +325,8 @@ def _missing(hub_rows: DataFrame, comps: DataFrame, hists: DataFrame, percent: i
         if held:
             yield from blocks()
 
-    return rows.repartition("col", "p", "q").sortWithinPartitions("col", "p", "q", "n", "cls").mapInArrow(run, "a long, b long").distinct()
+    # Columns with one first hub, such as those of a group of copies, go to one task, which makes a pair that they share once.
+    return rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "col", "p", "q", "n", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -308,21 +337,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hists = written(rows.where("hist IS NOT NULL").groupBy("cls").agg(F.first("hist").alias("hist"), F.first("n").alias("n")), "hists")
     entries = rows.where("prefix IS NOT NULL").select("cls", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("col"), F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("e.salts").cast("long"))).otherwise(0).cast("int").alias("part"), F.col("e.salts").cast("int").alias("parts"), "n", "cls")
-    hub_rows = written(_hub_rows(entries, percent), "hubs")
-    # Salted parts of a column are joined by their hubs.
-    tops = hub_rows.where("parts > 1").groupBy("col").agg(F.min(F.struct("hub_n", "hub")).alias("top"))
-    across = hub_rows.where("parts > 1 AND cls = hub").join(tops, "col").select(F.col("cls").alias("a"), F.col("top.hub").alias("b"))
-    tried = hub_rows.where("100 * hub_n >= %d * n" % percent).select(F.col("cls").alias("a"), F.col("hub").alias("b")).unionByName(across).where("a <> b")
-    tried = written(_may_link(tried.distinct(), hists, percent), "tried")
-    links = written(_linked(docs, id_col, text_col, tried, reps, k, percent), "links1")
+    columns = written(_columns(entries), "columns")
+    hubs = columns.where("cls IS NULL").select("col", "part", "parts", "size", "sum", "hubs")
+    # Columns with the same rows have the same pairs: one stands for all. Salted ones are kept.
+    chosen = hubs.groupBy("size", "sum", F.when(F.col("parts") > 1, F.col("col")).alias("own"), F.when(F.col("parts") > 1, F.col("part")).alias("own_part"))
+    hubs = written(chosen.agg(F.min_by(F.struct("col", "part", "hubs"), F.struct("col", "part")).alias("c")).select("size", "c.*"), "hubs")
+    rows_of = columns.where("cls IS NOT NULL").select("col", "part", "parts", "n", "cls").join(hubs.select("col", "part", "size", F.get("hubs", 0)["cls"].alias("hub")), ["col", "part"])
+    members = written(rows_of, "members")
+    # Salted parts of a column are joined by their first hubs.
+    split = members.where("parts > 1 AND cls = hub").select("col", "n", "cls")
+    tops = split.groupBy("col").agg(F.min("cls").alias("top"))
+    across = split.join(tops, "col").where("cls <> top").select(F.greatest("cls", "top").alias("a"), F.least("cls", "top").alias("b"))
+    tried = _with_hubs(members, hubs, 1, HUBS // 4, percent).unionByName(across).distinct()
+    links = written(_linked(docs, id_col, text_col, written(_may_link(tried, hists, percent), "tried"), reps, k, percent), "links")
+    partial = written(components(links), "partial")
+    # More hubs, for columns that are still in parts.
+    apart = written(_apart(members, partial), "apart")
+    more = written(_may_link(_with_hubs(apart, hubs, HUBS // 4 + 1, HUBS, percent).join(tried, ["a", "b"], "left_anti"), hists, percent), "more")
+    links = links.unionByName(written(_linked(docs, id_col, text_col, more, reps, k, percent), "links"))
     partial = written(components(links), "partial")
-    more = written(_missing(hub_rows, partial, hists, percent), "missing")
-    links = links.unionByName(_linked(docs, id_col, text_col, more, reps, k, percent))
+    rest = written(_missing(_apart(apart.drop("comp"), partial), hists, percent), "missing")
+    links = links.unionByName(_linked(docs, id_col, text_col, rest, reps, k, percent))
     named = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(named)
     found = rows.select("_id", "n", "cls").join(reps, "cls", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "_id").alias("component_id"))
-    for t in (tried, partial, more, hub_rows, hists):
+    for t in (partial, apart, more, rest, columns, members, hubs, hists):
         remove(t)
     return out
 
