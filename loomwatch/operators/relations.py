@@ -36,7 +36,7 @@ def map_relations(relations: DataFrame) -> DataFrame:
     met = relations.where("polarity IS NULL OR polarity <> 'negated'").join(c, forward | backward).withColumn("fwd", forward)
     # Of one edge that fits both ways the forward one counts.
     met = met.groupBy("relation_id", "edge_type").agg(F.max_by(F.struct("fwd", "start_type", "end_type", "words", "key_a", "key_b", "relationship", "polarity", "strength"), F.col("fwd").cast("int")).alias("m")).select("relation_id", "edge_type", "m.*")
-    named = F.coalesce(F.lower("relationship").rlike(F.col("words")), F.lit(False))
+    named = F.coalesce(F.rlike(F.lower("relationship"), F.col("words")), F.lit(False))
     counts = met.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(named).alias("n_named"))
     kept = met.join(counts, "relation_id").where((F.col("n") == 1) | ((F.col("n_named") == 1) & named))
     labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
