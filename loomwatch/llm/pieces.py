@@ -30,6 +30,8 @@ rows are encoded each for itself; other columns aren't read by ``encode`` but pa
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,7 +46,10 @@ from loomwatch.llm import vec
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts of texts whose ids a worker remembers; their length is bounded too.
-MEMO, MEMO_CHARS = 200_000, 40
+MEMO, MEMO_CHARS = 600_000, 40
+#: Pairs of pieces whose agreement a worker remembers.
+PAIRS = 600_000
+PARTS = re.compile(" *[^ ]+| +")
 
 
 @dataclass
@@ -61,6 +66,11 @@ class Vocabulary:
     longest: int = 0
     parts: bool = True
     names: dict[int, str] = field(default_factory=dict)
+    #: All beginnings of pieces, with the id of those that are pieces and -1 for the others.
+    begins: dict[str, int] = field(default_factory=dict)
+    #: When a piece is made by merging (-1: never, it is one character), and of which two.
+    rank: dict[int, float] = field(default_factory=dict)
+    halves: dict[int, tuple[int, int]] = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str, model: str = "bpe") -> Vocabulary:
@@ -84,13 +94,17 @@ class Vocabulary:
         out = cls(pieces, {i: sp.get_score(i) for i in pieces.values()}, byte_ids, texts, sp.unk_id(), model, prefix=sp.encode("a", out_type=str)[0].startswith(SPACE))
         out.names = {i: x for x, i in pieces.items()}
         out.longest = max(map(len, pieces))
+        out.begins = {x[:n]: -1 for x in pieces for n in range(1, len(x))} | pieces
+        if model == "bpe":
+            out.rank = {i: -1.0 if len(x) == 1 else -out.scores[i] for x, i in pieces.items()}
+            out.halves = {i: tuple(pieces[h] for h in out.merged(x)) for x, i in pieces.items() if len(x) > 1}
         out.parts = not any(SPACE in x.lstrip(SPACE) for x in pieces)
         return out
 
     def merged(self, text: str) -> list[str]:
-        """What merging neighbours by rank, the best first, makes of a short string's characters."""
+        """What merging neighbours by rank, the best first, makes of a short string's characters, until two are left."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > 2:
             best, at = None, -1
             for k in range(len(parts) - 1):
                 i = self.pieces.get(parts[k] + parts[k + 1])
@@ -107,88 +121,92 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.agreed: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        self.agreed: dict[int, bool] = {}
+        self.memo: dict[str, bytes] = {}
 
     def _agree(self, a: int, b: int) -> bool:
-        """Whether merging the joined characters of pieces a and b gives just (a, b)."""
-        key = (a, b)
-        found = self.agreed.get(key)
-        if found is None:
-            if len(self.agreed) > 2 * MEMO:
-                self.agreed.clear()
-            x, y = self.v.names[a], self.v.names[b]
-            found = self.agreed[key] = self.v.merged(x + y) == [x, y]
-        return found
-
-    def encode(self, text: str) -> list[int]:
+        """Whether merging the joined characters of pieces a and b gives just (a, b).
+
+        It does unless a merge across their boundary comes first. Going back in time, the piece at the boundary
+        that was made last is cut into its halves, and a merge of the two pieces that then meet must not come
+        before they were taken up."""
+        if len(self.agreed) >= PAIRS:
+            self.agreed.clear()
+        v, key, until = self.v, a << 32 | b, float("inf")
+        while True:
+            joined = v.pieces.get(v.names[a] + v.names[b])
+            if joined is not None and v.rank[joined] < until:
+                self.agreed[key] = False
+                return False
+            if v.rank[a] > v.rank[b]:
+                until, a = v.rank[a], v.halves[a][1]
+            elif v.rank[b] < 0:
+                self.agreed[key] = True
+                return True
+            else:
+                until, b = v.rank[b] + 0.5, v.halves[b][0]  # of equal ranks the left one merges first
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids, as 32-bit numbers."""
         if not text:
-            return []
-        v = self.v
-        text = ((SPACE if v.prefix else "") + text).replace(" ", SPACE)
+            return np.zeros(0, dtype=np.int32)
+        v, memo = self.v, self.memo
+        text = " " * v.prefix + text.replace(SPACE, " ")
         if not v.parts:
-            return list(self._lattice(text))
-        out: list[int] = []
-        memo = self.memo
-        begin, n = 0, len(text)
-        while begin < n:
-            at = begin
-            while at < n and text[at] == SPACE:
-                at += 1
-            end = text.find(SPACE, at)
-            end = n if end < 0 else end
-            part = text[begin:end]
+            return np.fromiter(self._lattice(text.replace(" ", SPACE)), dtype=np.int32)
+        out: list[bytes] = []
+        for part in PARTS.findall(text):
             ids = memo.get(part)
             if ids is None:
-                if end - begin > MEMO_CHARS:
-                    out.extend(self._lattice(part))
-                    begin = end
-                    continue
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[part] = list(self._lattice(part))
-            out += ids
-            begin = end
-        return out
+                ids = array("i", self._lattice(part.replace(" ", SPACE))).tobytes()
+                if len(part) <= MEMO_CHARS:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[part] = ids
+            out.append(ids)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
     def _lattice(self, text: str) -> Iterator[int]:
         """The streaming lattice: yields ids as soon as they are final."""
         v, best_sum = self.v, self.v.model == "unigram"
-        pieces, scores, longest = v.pieces, v.scores, v.longest
+        begins, scores, longest, agreed = v.begins.get, v.scores, v.longest, self.agreed.get
         floor = min(scores.values()) - 10.0 if best_sum else 0.0  # of a character in no piece
         # By boundary: the piece before it (None: byte pieces of one character), where that begins, the sum.
         back: dict[int, tuple[int | None, int, float]] = {0: (None, -1, 0.0)}
-        done = 0
-        for end in range(1, len(text) + 1):
-            found: tuple[int | None, int, float] | None = None
-            for begin in range(max(done, end - longest), end):
-                if begin not in back:
-                    continue
-                i = pieces.get(text[begin:end])
+        done, size = 0, len(text)
+        for begin in range(size):
+            at = back.get(begin)
+            if at is None:
+                continue
+            before, _, total = at
+            for end in range(begin + 1, size + 1):
+                i = begins(text[begin:end])
                 if i is None:
+                    break
+                if i < 0:
                     continue
-                before, came, total = back[begin]
                 if best_sum:
-                    if found is None or total + scores[i] > found[2]:
-                        found = (i, begin, total + scores[i])
-                elif came < 0 or before is None or self._agree(before, i):
-                    found = (i, begin, 0.0)
-                    break
-            if found is None and end - 1 in back and text[end - 1] not in pieces:
-                found = (None, end - 1, back[end - 1][2] + floor)
-            if found is not None:
-                back[end] = found
-            # All live boundaries: those that a later piece may begin at.
-            if end - done >= 2 * longest:
-                live = [b for b in range(end - longest + 1, end + 1) if b in back]
-                meet = self._meet(back, live, done)
+                    if end not in back or total + scores[i] > back[end][2]:
+                        back[end] = (i, begin, total + scores[i])
+                elif end not in back:  # else its one path is known
+                    if before is None:
+                        back[end] = (i, begin, 0.0)
+                    else:
+                        fits = agreed(before << 32 | i)
+                        if self._agree(before, i) if fits is None else fits:
+                            back[end] = (i, begin, 0.0)
+            if text[begin] not in v.pieces and (begin + 1 not in back or best_sum and total + floor > back[begin + 1][2]):
+                back[begin + 1] = (None, begin, total + floor)
+            if begin - done >= 2 * longest:
+                # Boundaries that a later piece may begin at; all paths to them run through one boundary or more.
+                meet = self._meet(back, [b for b in range(begin + 1, min(begin + longest, size) + 1) if b in back], done)
                 if meet > done:
                     yield from self._path(back, text, done, meet)
                     for b in [b for b in back if b < meet]:
                         del back[b]
                     done = meet
-        if done < len(text):
-            yield from self._path(back, text, done, len(text))
+        if done < size:
+            yield from self._path(back, text, done, size)
 
     @staticmethod
     def _meet(back: dict, live: list[int], done: int) -> int:
@@ -213,8 +231,8 @@ class Encoder:
             end = begin
         return out[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join([self.v.texts[i] for i in ids]).decode("utf-8", errors="replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        out = b"".join(map(self.v.texts.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", errors="replace")
         return out[1:] if self.v.prefix and out.startswith(" ") else out
 
 
@@ -231,14 +249,14 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, mod
             ids, sizes, restored = [], [0], []
             nulls = []
             for text in part.column(text_col).to_pylist():
-                found = encoder.encode(text) if text else []
+                found = encoder.encode(text or "")
                 nulls.append(text is None)
-                ids.append(np.array(found, dtype=np.int32))
+                ids.append(found)
                 sizes.append(sizes[-1] + len(found))
                 if check:
                     restored.append(None if text is None else encoder.decode(found) == text)
-            array = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)), mask=pa.array(nulls))
-            added = [array, pa.array(np.diff(sizes).astype(np.int64))] + [pa.array(restored, pa.bool_())] * check
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)), mask=pa.array(nulls))
+            added = [lists, pa.array(np.diff(sizes).astype(np.int64))] + [pa.array(restored, pa.bool_())] * check
             yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[f.name for f in out])
 
     return old.mapInArrow(run, out)
