@@ -27,7 +27,7 @@ def epss_enrich_existing_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_key_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = inputs.table(spark, sf_dir, "events").select((F.col("user_id") * 3 + 1000).alias("c_custkey"))
+    e = inputs.table(spark, sf_dir, "events").select((F.col("user_id") * 3 - 20).alias("c_custkey"))
     return graph.new_keys(e, inputs.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
 
 
@@ -252,7 +252,7 @@ SQL = {
   UNION ALL SELECT o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END, o_orderpriority, o_orderkey FROM orders)
 SELECT c_custkey, (list(status ORDER BY seq DESC) FILTER (WHERE status IS NOT NULL))[1] AS status, (list(priority ORDER BY seq))[1] AS priority FROM w GROUP BY c_custkey""",
     "epss_enrich_existing_only": "SELECT d.doc_id AS cve_id, quality * 0.5::DOUBLE + toxic * 0.25::DOUBLE AS epss_score FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id % 3 <> 0",
-    "new_key_detection": "SELECT DISTINCT user_id * 3 + 1000 AS c_custkey FROM events WHERE user_id * 3 + 1000 NOT IN (SELECT c_custkey FROM customer)",
+    "new_key_detection": "SELECT DISTINCT user_id * 3 - 20 AS c_custkey FROM events WHERE user_id * 3 - 20 NOT IN (SELECT c_custkey FROM customer)",
     "edge_merge_outcome": """WITH x AS (SELECT l_suppkey AS s, l_partkey AS p, bool_or(l_orderkey % 3 = 0) AS old, bool_or(l_orderkey % 3 <> 0) AS new FROM lineitem GROUP BY ALL)
 SELECT 's' || s::VARCHAR AS start_key, CASE WHEN p % 10 = 0 OR p NOT IN (SELECT p_partkey FROM part) OR s NOT IN (SELECT s_suppkey FROM supplier) THEN 'violation' WHEN old THEN 'matched' ELSE 'created' END AS outcome, count(*) AS n_edges FROM x WHERE new GROUP BY ALL""",
     "mentions_edge_latest": f"WITH {_A} SELECT start_key, end_key, arg_max(contribution, seq) AS contribution, arg_max(cluster_id, seq) AS cluster_id FROM assertions GROUP BY ALL",
