@@ -278,7 +278,7 @@ def _missing(apart: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
     rows = apart.where("size > %d OR parts > 1" % (HUBS + 1)).join(hists.select("cls", "hist"), "cls")
     # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", "hub", "comp", "hist")
+    rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", F.when(F.col("parts") > 1, F.col("col")).otherwise(F.col("hub")).alias("hub"), "comp", "hist")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
