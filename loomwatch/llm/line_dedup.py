@@ -115,14 +115,20 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc", "no", to["doc"].alias("first_doc"), to["no"].alias("first_no"))
 
 
+def _few(df: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
+    """A written table, to be broadcast if it is small: its rows, or the sum of their weights, are counted first."""
+    df = written(df, name)
+    size = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(df) if size <= FEW else df
+
+
 def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> DataFrame:
     """(at, to) of distinct lines: the places of a line and of its earliest neighbour by one edit, if that is earlier."""
     frames = firsts.select(F.posexplode("frames").alias("x", "f"), "h", "at", "n")
-    shared = frames.groupBy("f").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("f")
-    near = frames.join(shared, "f").select("f", "x", "n", "at")
+    shared = _few(frames.select("f", "h").groupBy("f").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("f"), "frames")
+    near = written(frames.join(shared, "f").select("f", "x", "n", "at"), "near")
     # The texts come from their documents; only these documents' lines are made again.
-    wanted = written(near.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    wanted = _few(near.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos")), "wanted", F.size("nos"))
     texts = docs.select(_doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
     cut = texts.select("doc", F.explode(_bind(F.split("text", "\n"), lambda x: F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(x, i).alias("line"))))).alias("e"))
     lines = written(cut.select(F.struct("doc", "e.no").alias("at"), "e.line").dropDuplicates(["at"]), "near")
@@ -158,7 +164,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
         .where("least <> most")
     )
     earlier = F.when(F.col("kind") == 2, F.col("least")).when(F.col("kind") == 0, F.col("cut")).otherwise(F.col("whole"))
-    pairs = keyed.join(best, "v").select("at", earlier.alias("to")).where("to < at").groupBy("at").agg(F.min("to").alias("to"))
+    pairs = keyed.join(_few(best, "keys"), "v").select("at", earlier.alias("to")).where("to < at").groupBy("at").agg(F.min("to").alias("to"))
     left = lines.withColumnRenamed("line", "a")
     right = lines.select(F.col("at").alias("to"), F.col("line").alias("b"))
     return pairs.join(left, "at").join(right, "to").where(F.levenshtein("a", "b", 1) >= 0).select("at", "to")
@@ -167,6 +173,7 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
 def _with_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
     """docs with a column ``_lines``: n_lines, n_kept and the text of those that are kept."""
     gone = find_duplicate_lines(docs, id_col, text_col, min_chars, max_edits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone"))
+    gone = _few(gone, "gone", F.size("_gone"))
     joined = docs.join(gone, _doc(id_col, text_col) == F.col("_doc"), "left")
 
     def kept(x: Column) -> Column:
