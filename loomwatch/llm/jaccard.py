@@ -8,10 +8,10 @@ never formed in full:
     column among the first n - ceil(t n) + 1 of each, so only those entries are shuffled.
 2.  Columns of one row give no pair; of columns with the same rows one stands for all. In each
     column the first ``HUBS`` rows, in one order for all columns, are hubs. A block of rows is
-    multiplied with its hubs, which completes columns of up to HUBS + 1 rows; links found join
-    rows to partial components. A few more hubs follow for rows that are still apart. That is
-    linear in the entries, also for huge groups of copies.
-3.  What may be missing are links between rows of one larger column that are in different
+    multiplied with the hub that it meets in most columns; links found join rows to partial
+    components. Rows of columns that are still in parts meet one more hub of each other part.
+    That is linear in the entries, also for huge groups of copies.
+3.  What may be missing are links between rows of one column that are in different
     components. Those columns are multiplied block by block.
 4.  A bound from sizes and a 256-bucket histogram of each row discards pairs before any exact
     product. Exact products sum overlap counts over a hub's columns and compare by integers.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.llm import vec
@@ -46,6 +46,8 @@ BLOCK = 512
 HUBS = 32
 #: Rows (of 16 bytes) of a table that may be broadcast; larger ones are joined by a shuffle.
 FEW = 1_000_000
+#: Rows that one task multiplies with one hub, and column entries with one first hub that it multiplies.
+HUB_ROWS, HUB_ENTRIES = 256, 4096
 SEEN = 1_000_000
 
 
@@ -138,6 +140,23 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield batch, new
 
 
+def _order(cls: Column | str) -> Column:
+    """The order of hubs."""
+    return F.xxhash64(cls).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b) of two columns; b comes first in the order of hubs."""
+    s, t = (F.struct(_order(c).alias("k"), F.col(c).alias("cls")) for c in (x, y))
+    return df.select(F.greatest(s, t)["cls"].alias("a"), F.least(s, t)["cls"].alias("b")).distinct()
+
+
+def _of_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes in written pairs."""
+    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    return classes.join(F.broadcast(ids) if 2 * pairs.count() <= FEW else ids, "cls", "left_semi")
+
+
 def _columns(entries: DataFrame) -> DataFrame:
     """Of columns (or salted parts of them) with two or more classes: a row (col, part, parts, n, cls) for each class, and one with the column's hubs, size and sum of hashes (cls null)."""
     schema = pa.schema([("col", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("n", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("sum", pa.int64()), ("hubs", pa.list_(pa.struct([("cls", pa.int64()), ("n", pa.int64())])))])
@@ -191,8 +210,7 @@ def _columns(entries: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    ordered = entries.withColumn("k", F.xxhash64("cls").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
-    return ordered.repartition("col", "part").sortWithinPartitions("col", "part", "k", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, size long, sum long, hubs array<struct<cls:bigint,n:bigint>>")
+    return entries.repartition("col", "part").withColumn("k", _order("cls")).sortWithinPartitions("col", "part", "k", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, size long, sum long, hubs array<struct<cls:bigint,n:bigint>>")
 
 
 def _most(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -202,8 +220,8 @@ def _most(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.nd
     return np.where(full, least, np.minimum(least, np.minimum(a, b).sum(axis=1, dtype=np.int64)))
 
 
-def _may_link(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose histograms allow enough overlap; what is left has (a, b)."""
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Written pairs (a, b) whose histograms allow enough overlap; what is left has (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,15 +231,16 @@ def _may_link(pairs: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
                 most = _most(a, b, na, nb)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * most >= percent * (na + nb - most)))
 
+    hists = _of_pairs(classes.select("cls", "hist", "n"), pairs)
     sized = pairs.join(hists.select(F.col("cls").alias("a"), F.col("hist").alias("ha"), F.col("n").alias("na")), "a")
     sized = sized.join(hists.select(F.col("cls").alias("b"), F.col("hist").alias("hb"), F.col("n").alias("nb")), "b")
     return sized.where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent).select("a", "b", "ha", "hb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that reach the similarity, by exact products of the rows of a hub (b) with the hub."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of written pairs (a, b) of classes those that reach the similarity, by exact products of the rows of a hub (b) with the hub."""
     # One text stands for a class. Few documents are in a pair; their ids are broadcast if they are few indeed.
-    needed = written(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(reps, "cls"), "needed")
+    needed = written(_of_pairs(classes.select("cls", "rep"), pairs), "needed")
     ids = F.broadcast(needed) if needed.count() <= FEW else needed
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("_text")).join(ids, "rep").select("cls", "_text")
 
@@ -233,9 +252,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, reps:
 
     sets = written(texts.mapInArrow(to_sets, "cls long, grams binary"), "sets")
     # A hub's rows may be many: they are dealt to parts of bounded size, each with a copy of the hub's row.
-    members = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(64)).cast("int"))
-    rows = members.join(sets.withColumnRenamed("cls", "a"), "a").select("b", "part", "a", "grams")
-    heads = members.select("b", "part").distinct().join(sets.select(F.col("cls").alias("b"), "grams"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "grams")
+    size = pairs.groupBy("b").agg((1 + F.floor(F.count(F.lit(1)) / HUB_ROWS)).alias("parts"))
+    members = written(pairs.join(size, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part")), "members")
+    heads = members.select("b", "part").distinct()
+    if members.count() <= FEW:
+        members, heads = F.broadcast(members), F.broadcast(heads)
+    rows = sets.withColumnRenamed("cls", "a").join(members, "a").select("b", "part", "a", "grams")
+    heads = sets.withColumnRenamed("cls", "b").join(heads, "b").select("b", "part", F.lit(None).cast("long").alias("a"), "grams")
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, grams = None, np.zeros(0, dtype=np.uint64)
@@ -264,21 +287,35 @@ def _apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return known.join(mixed, "col")
 
 
-def _with_hubs(rows: DataFrame, hubs: DataFrame, first: int, count: int, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows and some of their columns' hubs, whose sizes allow a link; if rows have ``comp``, only hubs outside it."""
-    some = hubs.select("col", "part", F.slice("hubs", first, count).alias("hubs")).where(F.size("hubs") > 0)
+def _near_hubs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Rows of columns with the column's other hubs whose sizes allow a link, in order."""
     near = F.transform(F.filter("hubs", lambda h: (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))) & (h["cls"] != F.col("cls"))), lambda h: h["cls"])
-    met = rows.join(some, ["col", "part"]).select("cls", near.alias("hubs")).where(F.size("hubs") > 0)
-    # A row meets the same hubs in many columns: its hubs are gathered, so that each pair is made once.
-    return met.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select(F.col("cls").alias("a"), F.explode("hubs").alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rows.join(hubs.select("col", "part", "hubs"), ["col", "part"]).withColumn("hubs", near).where(F.size("hubs") > 0)
+
+
+def _first_hubs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(cls, hub): for each row the first hub of most of its columns."""
+    met = _near_hubs(rows, hubs, percent).groupBy("cls", F.get("hubs", 0).alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("cls").agg(F.max_by("hub", F.struct("n", (-_order("hub")).alias("k"), "hub")).alias("hub"))
+
+
+def _other_hubs(apart: DataFrame, hubs: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(cls, hub): for each row of columns in parts one hub, the first, of each other partial component in these columns."""
+    # A row meets the same hubs in many columns: they are gathered first.
+    met = _near_hubs(apart, hubs, percent).groupBy("cls", "comp").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("cls", "comp", F.explode("hubs").alias("hub"))
+    met = met.join(comps.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left").withColumn("other", F.coalesce("other", "hub"))
+    return met.where("comp <> other").groupBy("cls", "other").agg(F.min_by("hub", F.struct(_order("hub").alias("k"), "hub")).alias("hub")).select("cls", "hub")
 
 
-def _missing(apart: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in one large column, in different partial components, that histograms allow."""
-    rows = apart.where("size > %d OR parts > 1" % (HUBS + 1)).join(hists.select("cls", "hist"), "cls")
+def _missing(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes in one column, in different partial components, that histograms allow."""
+    rows = apart.join(classes.select("cls", "hist"), "cls")
     # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", F.when(F.col("parts") > 1, F.col("col")).otherwise(F.col("hub")).alias("hub"), "comp", "hist")
+    # Columns with one first hub, such as those of a group of copies, go to few tasks, which make a pair that they share once.
+    spread = apart.where("parts = 1").groupBy("hub").agg((1 + F.floor(F.count(F.lit(1)) / HUB_ENTRIES)).alias("tasks"))
+    rows = rows.join(spread, "hub", "left").withColumn("task", F.pmod(F.xxhash64("col"), F.coalesce("tasks", F.lit(1)))).drop("tasks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -310,7 +347,7 @@ def _missing(apart: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
                             seen.clear()
                         seen.update(pairs)
                         if pairs:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+                            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["x", "y"])
 
         for batch, new in _groups(batches, ["col", "p", "q"]):
             cuts = np.flatnonzero(new).tolist()
@@ -325,16 +362,15 @@ def _missing(apart: DataFrame, hists: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from blocks()
 
-    # Columns with one first hub, such as those of a group of copies, go to one task, which makes a pair that they share once.
-    return rows.repartition("hub", "p", "q").sortWithinPartitions("hub", "col", "p", "q", "n", "cls").mapInArrow(run, "a long, b long").distinct()
+    found = rows.repartition("hub", "task", "p", "q").sortWithinPartitions("hub", "task", "col", "p", "q", "n", "cls").mapInArrow(run, "x long, y long")
+    return _pairs(found, "x", "y")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """A row for each document: its set's size ``n_shingles`` and ``component_id``, the least id it reaches by links."""
     docs = docs.select(id_col, text_col)
     rows = written(_rows(docs, id_col, text_col, k, percent, _counts(docs, text_col, k)), "rows")
-    reps = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("_id").alias("rep"))
-    hists = written(rows.where("hist IS NOT NULL").groupBy("cls").agg(F.first("hist").alias("hist"), F.first("n").alias("n")), "hists")
+    classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("hist", ignorenulls=True).alias("hist"), F.first("n").alias("n"), F.min("_id").alias("rep")), "classes")
     entries = rows.where("prefix IS NOT NULL").select("cls", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("col"), F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("e.salts").cast("long"))).otherwise(0).cast("int").alias("part"), F.col("e.salts").cast("int").alias("parts"), "n", "cls")
     columns = written(_columns(entries), "columns")
@@ -347,22 +383,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Salted parts of a column are joined by their first hubs.
     split = members.where("parts > 1 AND cls = hub").select("col", "n", "cls")
     tops = split.groupBy("col").agg(F.min("cls").alias("top"))
-    across = split.join(tops, "col").where("cls <> top").select(F.greatest("cls", "top").alias("a"), F.least("cls", "top").alias("b"))
-    tried = _with_hubs(members, hubs, 1, HUBS // 4, percent).unionByName(across).distinct()
-    links = written(_linked(docs, id_col, text_col, written(_may_link(tried, hists, percent), "tried"), reps, k, percent), "links")
+    across = split.join(tops, "col").select("cls", F.col("top").alias("hub")).where("cls <> hub")
+    tried = written(_pairs(_first_hubs(members, hubs, percent).unionByName(across), "cls", "hub"), "tried")
+    links = written(_linked(docs, id_col, text_col, written(_may_link(tried, classes, percent), "likely"), classes, k, percent), "links")
     partial = written(components(links), "partial")
     # More hubs, for columns that are still in parts.
     apart = written(_apart(members, partial), "apart")
-    more = written(_may_link(_with_hubs(apart, hubs, HUBS // 4 + 1, HUBS, percent).join(tried, ["a", "b"], "left_anti"), hists, percent), "more")
-    links = links.unionByName(written(_linked(docs, id_col, text_col, more, reps, k, percent), "links"))
+    more = written(_pairs(_other_hubs(apart, hubs, partial, percent), "cls", "hub").join(tried, ["a", "b"], "left_anti"), "more")
+    links = links.unionByName(written(_linked(docs, id_col, text_col, written(_may_link(more, classes, percent), "likely"), classes, k, percent), "links"))
     partial = written(components(links), "partial")
-    rest = written(_missing(_apart(apart.drop("comp"), partial), hists, percent), "missing")
-    links = links.unionByName(_linked(docs, id_col, text_col, rest, reps, k, percent))
+    rest = _missing(_apart(apart.drop("comp"), partial), classes, percent)
+    rest = written(rest.join(tried.unionByName(more), ["a", "b"], "left_anti"), "missing")
+    links = links.unionByName(_linked(docs, id_col, text_col, rest, classes, k, percent))
+    reps = classes.select("cls", "rep")
     named = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(named)
     found = rows.select("_id", "n", "cls").join(reps, "cls", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "_id").alias("component_id"))
-    for t in (partial, apart, more, rest, columns, members, hubs, hists):
+    for t in (partial, apart, tried, more, rest, columns, members, hubs):
         remove(t)
     return out
 
