@@ -9,7 +9,8 @@ never formed in full:
 2.  Columns of one row give no pair; of columns with the same rows one stands for all. In each
     column the first ``HUBS`` rows, in one order for all columns, are hubs. A block of rows is
     multiplied with the hub that it meets in most columns; links found join rows to partial
-    components. Rows of columns that are still in parts meet one more hub of each other part.
+    components. In columns that are still in parts, one row of each part meets each hub of
+    the other parts.
     That is linear in the entries, also for huge groups of copies.
 3.  What may be missing are links between rows of one column that are in different
     components. Those columns are multiplied block by block.
@@ -300,22 +301,24 @@ def _first_hubs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
 
 
 def _other_hubs(apart: DataFrame, hubs: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(cls, hub): for each row of columns in parts one hub, the first, of each other partial component in these columns."""
+    """(cls, hub): for each hub of columns in parts one row of each other partial component in these columns; not the same row for all hubs."""
     # A row meets the same hubs in many columns: they are gathered first.
     met = _near_hubs(apart, hubs, percent).groupBy("cls", "comp").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs")).select("cls", "comp", F.explode("hubs").alias("hub"))
     met = met.join(comps.select(F.col("node").alias("hub"), F.col("component").alias("other")), "hub", "left").withColumn("other", F.coalesce("other", "hub"))
-    return met.where("comp <> other").groupBy("cls", "other").agg(F.min_by("hub", F.struct(_order("hub").alias("k"), "hub")).alias("hub")).select("cls", "hub")
+    return met.where("comp <> other").groupBy("comp", "hub").agg(F.min_by("cls", F.struct(F.xxhash64("cls", "hub").alias("k"), "cls")).alias("cls")).select("cls", "hub")
 
 
 def _missing(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes in one column, in different partial components, that histograms allow."""
-    rows = apart.join(classes.select("cls", "hist"), "cls")
-    # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", F.when(F.col("parts") > 1, F.col("col")).otherwise(F.col("hub")).alias("hub"), "comp", "hist")
+    """Pairs (a, b) of classes in one column, in different partial components, that histograms allow. apart is a written table."""
+    few = apart.count() <= FEW
     # Columns with one first hub, such as those of a group of copies, go to few tasks, which make a pair that they share once.
     spread = apart.where("parts = 1").groupBy("hub").agg((1 + F.floor(F.count(F.lit(1)) / HUB_ENTRIES)).alias("tasks"))
-    rows = rows.join(spread, "hub", "left").withColumn("task", F.pmod(F.xxhash64("col"), F.coalesce("tasks", F.lit(1)))).drop("tasks")
+    dealt = apart.join(F.broadcast(spread) if few else spread, "hub", "left").withColumn("task", F.pmod(F.xxhash64("col"), F.coalesce("tasks", F.lit(1))))
+    ids = apart.select("cls").distinct()
+    rows = dealt.join(classes.select("cls", "hist").join(F.broadcast(ids) if few else ids, "cls", "left_semi"), "cls")
+    # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("col", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "n", "cls", F.when(F.col("parts") > 1, F.col("col")).otherwise(F.col("hub")).alias("hub"), "task", "comp", "hist")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -392,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = written(_pairs(_other_hubs(apart, hubs, partial, percent), "cls", "hub").join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(written(_linked(docs, id_col, text_col, written(_may_link(more, classes, percent), "likely"), classes, k, percent), "links"))
     partial = written(components(links), "partial")
-    rest = _missing(_apart(apart.drop("comp"), partial), classes, percent)
+    rest = _missing(written(_apart(apart.drop("comp"), partial), "apart"), classes, percent)
     rest = written(rest.join(tried.unionByName(more), ["a", "b"], "left_anti"), "missing")
     links = links.unionByName(_linked(docs, id_col, text_col, rest, classes, k, percent))
     reps = classes.select("cls", "rep")
