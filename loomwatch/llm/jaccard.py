@@ -14,8 +14,8 @@ never formed in full:
     That is linear in the entries, also for huge groups of copies.
 3.  What may be missing are links between rows of one column that are in different
     components. Those columns are multiplied block by block.
-4.  A bound from sizes and a 256-bucket histogram of each row discards pairs before any exact
-    product. Exact products sum overlap counts over a hub's columns and compare by integers.
+4.  A bound from sizes and a histogram of each row (256 buckets in blocks of columns, then a
+    bucket for two to four n-grams) discards pairs before any exact product. Exact products sum overlap counts over a hub's columns and compare by integers.
 
 Columns that are frequent in the counters are dealt out by a salt; salted parts are joined
 by their hubs and, in step 3, by all pairs of parts. N-grams and classes are 64-bit hashes.
@@ -39,6 +39,7 @@ from loomwatch.llm.components import components
 from loomwatch.llm.shared import remove, written
 
 BUCKETS = 1 << 16
+#: Buckets of a coarse histogram.
 HIST = 256
 #: Entries of one column that one task may get before the column is salted.
 COLUMN_ROWS = 20_000
@@ -50,6 +51,8 @@ FEW = 1_000_000
 #: Rows that one task multiplies with one hub, and column entries with one first hub that it multiplies.
 HUB_ROWS, HUB_ENTRIES = 256, 4096
 SEEN = 1_000_000
+#: Histogram buckets that are compared at once; a histogram has no more.
+CELLS = 1 << 22
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -64,6 +67,18 @@ def _class(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
+def _hist(grams: np.ndarray, bits: int) -> bytes:
+    """How many n-grams fall into each bucket, by their upper bits; 255 is 255 or more."""
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).clip(0, 255).astype(np.uint8).tobytes()
+
+
+def _folded(hists: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histograms with neighbouring buckets summed to ``size`` of them, and which have a full bucket."""
+    rows = [np.frombuffer(h, dtype=np.uint8) for h in hists]
+    sums = np.stack([r if len(r) == size else r.reshape(size, -1).sum(axis=1, dtype=np.uint16) for r in rows]).astype(np.uint16)
+    return sums, np.array([bool((r == 255).any()) for r in rows])
+
+
 def _counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
     """How many documents' n-grams fall into each of BUCKETS counters (over all documents)."""
 
@@ -84,7 +99,7 @@ def _counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, cls, hist, prefix, salts) of each document. prefix: the columns by which it can meet others, once a task for each class."""
+    """(id, n, cls, hist, fine, prefix, salts) of each document. prefix: the columns by which it can meet others, once a task for each class."""
     spark = docs.sparkSession
     order = np.argsort(counts, kind="stable")
     rank = np.empty(BUCKETS, dtype=np.uint64)
@@ -98,20 +113,21 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, cou
         rank, parts = shared.value
         low, seen = np.uint64(BUCKETS - 1), set()
         for part in vec.chunks(batches, "_text"):
-            n, cls, hists, prefixes, salts = [], [], [], [], []
+            n, cls, hists, fine, prefixes, salts = [], [], [], [], [], []
             for grams in _sets(part.column("_text"), k):
                 m = len(grams)
                 n.append(m)
                 if not m:
-                    cls.append(None), hists.append(None), prefixes.append(None), salts.append(None)
+                    cls.append(None), hists.append(None), fine.append(None), prefixes.append(None), salts.append(None)
                     continue
                 c = _class(grams)
                 cls.append(c)
                 if c in seen:
-                    hists.append(None), prefixes.append(None), salts.append(None)
+                    hists.append(None), fine.append(None), prefixes.append(None), salts.append(None)
                     continue
                 seen.add(c)
-                hists.append(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=HIST).clip(0, 255).astype(np.uint8).tobytes())
+                hists.append(_hist(grams, 8))
+                fine.append(_hist(grams, min((m // 4).bit_length(), 22)) if m // 4 > HIST else None)
                 bucket = (grams & low).astype(np.int64)
                 keys = (rank[bucket] << np.uint64(48)) | (grams >> np.uint64(16))
                 size = m - -(-percent * m // 100) + 1
@@ -119,12 +135,12 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, cou
                 prefixes.append(keys[at].view(np.int64))
                 salts.append(parts[bucket[at]])
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(hists, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int16()))],
-                names=["_id", "n", "cls", "hist", "prefix", "salts"],
+                [part.column("_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(hists, pa.binary()), pa.array(fine, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int16()))],
+                names=["_id", "n", "cls", "hist", "fine", "prefix", "salts"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n long, cls long, hist binary, prefix array<bigint>, salts array<smallint>")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n long, cls long, hist binary, fine binary, prefix array<bigint>, salts array<smallint>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -214,10 +230,9 @@ def _columns(entries: DataFrame) -> DataFrame:
     return entries.repartition("col", "part").withColumn("k", _order("cls")).sortWithinPartitions("col", "part", "k", "cls").mapInArrow(run, "col long, part int, parts int, n long, cls long, size long, sum long, hubs array<struct<cls:bigint,n:bigint>>")
 
 
-def _most(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Upper bounds of overlaps, from histograms (full counters say nothing) and sizes."""
+def _most(a: np.ndarray, b: np.ndarray, full: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Upper bounds of overlaps, from histograms (full buckets say nothing) and sizes."""
     least = np.minimum(na, nb)
-    full = ((a == 255) | (b == 255)).any(axis=1)
     return np.where(full, least, np.minimum(least, np.minimum(a, b).sum(axis=1, dtype=np.int64)))
 
 
@@ -227,12 +242,19 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HIST) for c in ("ha", "hb"))
+                a, b = (batch.column(c).to_pylist() for c in ("ha", "hb"))
                 na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                most = _most(a, b, na, nb)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(100 * most >= percent * (na + nb - most)))
-
-    hists = _of_pairs(classes.select("cls", "hist", "n"), pairs)
+                sizes, keep = np.array([min(len(x), len(y)) for x, y in zip(a, b, strict=True)]), np.zeros(len(a), dtype=bool)
+                for size in np.unique(sizes).tolist():
+                    at = np.flatnonzero(sizes == size)
+                    for c in range(0, len(at), CELLS // size):
+                        i = at[c : c + CELLS // size]
+                        (x, fx), (y, fy) = (_folded([h[j] for j in i], size) for h in (a, b))
+                        most = _most(x, y, fx | fy, na[i], nb[i])
+                        keep[i] = 100 * most >= percent * (na[i] + nb[i] - most)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    hists = _of_pairs(classes.select("cls", F.coalesce("fine", "hist").alias("hist"), "n"), pairs)
     sized = pairs.join(hists.select(F.col("cls").alias("a"), F.col("hist").alias("ha"), F.col("n").alias("na")), "a")
     sized = sized.join(hists.select(F.col("cls").alias("b"), F.col("hist").alias("hb"), F.col("n").alias("nb")), "b")
     return sized.where("100 * least(na, nb) >= %d * greatest(na, nb)" % percent).select("a", "b", "ha", "hb", "na", "nb").mapInArrow(run, "a long, b long")
@@ -330,6 +352,7 @@ def _missing(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if len(n) < 2:
                 return
             h = np.frombuffer(b"".join(t.column("hist").to_pylist()), dtype=np.uint8).reshape(-1, HIST)
+            full = (h == 255).any(axis=1)
             for i in range(0, len(n), BLOCK):
                 I = slice(i, i + BLOCK)
                 for j in range(i, len(n), BLOCK):
@@ -343,7 +366,7 @@ def _missing(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     x, y = np.nonzero(ok)
                     for c in range(0, len(x), 1 << 14):
                         xs, ys = x[c : c + (1 << 14)] + i, y[c : c + (1 << 14)] + j
-                        most = _most(h[xs], h[ys], n[xs], n[ys])
+                        most = _most(h[xs], h[ys], full[xs] | full[ys], n[xs], n[ys])
                         fits = 100 * most >= percent * (n[xs] + n[ys] - most)
                         pairs = set(zip(np.maximum(cls[xs], cls[ys])[fits].tolist(), np.minimum(cls[xs], cls[ys])[fits].tolist(), strict=True)) - seen
                         if len(seen) > SEEN:  # only saves work: repeated pairs are dropped later
@@ -373,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A row for each document: its set's size ``n_shingles`` and ``component_id``, the least id it reaches by links."""
     docs = docs.select(id_col, text_col)
     rows = written(_rows(docs, id_col, text_col, k, percent, _counts(docs, text_col, k)), "rows")
-    classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("hist", ignorenulls=True).alias("hist"), F.first("n").alias("n"), F.min("_id").alias("rep")), "classes")
+    classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("hist", ignorenulls=True).alias("hist"), F.first("fine", ignorenulls=True).alias("fine"), F.first("n").alias("n"), F.min("_id").alias("rep")), "classes")
     entries = rows.where("prefix IS NOT NULL").select("cls", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("col"), F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("e.salts").cast("long"))).otherwise(0).cast("int").alias("part"), F.col("e.salts").cast("int").alias("parts"), "n", "cls")
     columns = written(_columns(entries), "columns")
@@ -397,6 +420,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     partial = written(components(links), "partial")
     rest = _missing(written(_apart(apart.drop("comp"), partial), "apart"), classes, percent)
     rest = written(rest.join(tried.unionByName(more), ["a", "b"], "left_anti"), "missing")
+    rest = written(_may_link(rest, classes, percent), "likely")
     links = links.unionByName(_linked(docs, id_col, text_col, rest, classes, k, percent))
     reps = classes.select("cls", "rep")
     named = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
