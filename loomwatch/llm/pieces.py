@@ -34,9 +34,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +76,15 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str, model: str = "bpe") -> Vocabulary:
-        """Reads a model file with the public library, which only lists its pieces."""
+        with open(path, "rb") as f:
+            return cls.load(f.read(), model)
+
+    @classmethod
+    def load(cls, data: bytes, model: str = "bpe") -> Vocabulary:
+        """Reads a model file's bytes with the public library, which only lists its pieces."""
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=data)
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
@@ -236,15 +243,27 @@ class Encoder:
         return out[1:] if self.v.prefix and out.startswith(" ") else out
 
 
+@lru_cache(maxsize=1)
+def _encoder(data: bytes, model: str) -> Encoder:
+    """One for each worker, which so remembers parts from task to task."""
+    return Encoder(Vocabulary.load(data, model))
+
+
+def _shared(docs: DataFrame, vocabulary: str) -> Broadcast[bytes]:
+    """A vocabulary file, of fixed size; the driver reads no more than its bytes."""
+    with open(vocabulary, "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, model: str = "bpe", check: bool = True) -> DataFrame:
     """docs with the columns ``ids`` (array<int>), ``n_tokens`` and, with ``check``, ``restored`` (decoding gives the text), which replace columns of these names."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary, model))  # a vocabulary file, of fixed size
+    shared = _shared(docs, vocabulary)
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())] + [T.StructField("restored", T.BooleanType())] * check
     old = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c not in {f.name for f in new}])
     out = T.StructType([*old.schema, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value, model)
         for part in vec.chunks(batches, text_col, 1 << 20):
             ids, sizes, restored = [], [0], []
             nulls = []
@@ -264,12 +283,12 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, mod
 
 def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", vocabulary: str = MODEL) -> DataFrame:
     """docs with the decoded text, which replaces a column of that name; null ids give null."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary, "unigram"))
+    shared = _shared(docs, vocabulary)
     old = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     out = T.StructType([*old.schema, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value, "bpe")
         for batch in batches:
             texts = [None if x is None else encoder.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in out])
