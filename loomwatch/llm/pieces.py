@@ -48,9 +48,9 @@ from loomwatch.llm import vec
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts of texts whose ids a worker remembers; their length is bounded too.
-MEMO, MEMO_CHARS = 600_000, 40
+MEMO, MEMO_CHARS = 200_000, 40
 #: Pairs of pieces whose agreement a worker remembers.
-PAIRS = 600_000
+PAIRS = 200_000
 PARTS = re.compile(" *[^ ]+| +")
 
 
