@@ -335,7 +335,9 @@ def _missing(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     few = apart.count() <= FEW
     # Columns with one first hub, such as those of a group of copies, go to few tasks, which make a pair that they share once.
     spread = apart.where("parts = 1").groupBy("hub").agg((1 + F.floor(F.count(F.lit(1)) / HUB_ENTRIES)).alias("tasks"))
-    dealt = apart.join(F.broadcast(spread) if few else spread, "hub", "left").withColumn("task", F.pmod(F.xxhash64("col"), F.coalesce("tasks", F.lit(1))))
+    # The parts of a salted column have hubs of their own, but one task: (p, q) deals them out.
+    task = F.when(F.col("parts") > 1, 0).otherwise(F.pmod(F.xxhash64("col"), F.coalesce("tasks", F.lit(1))))
+    dealt = apart.join(F.broadcast(spread) if few else spread, "hub", "left").withColumn("task", task)
     ids = apart.select("cls").distinct()
     rows = dealt.join(classes.select("cls", "hist").join(F.broadcast(ids) if few else ids, "cls", "left_semi"), "cls")
     # Blocks of a salted column meet each other: a row goes to a pair of parts for each other part.
