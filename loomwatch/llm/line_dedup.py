@@ -66,7 +66,7 @@ def _blocks(m: Column) -> Column:
 
 def _block(m: Column, i: Column) -> tuple[Column, Column]:
     """Begin and end of the i-th block of m characters."""
-    count = _blocks(m).cast("long")
+    i, count = i.cast("long"), _blocks(m).cast("long")
     return (i * m / count).cast("int"), ((i + 1) * m / count).cast("int")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwatch.llm import jaccard
+from loomwatch.llm import jaccard, line_dedup
 
 
 def test_parts_of_a_salted_column_meet(spark, monkeypatch):
@@ -18,3 +18,11 @@ def test_parts_of_a_salted_column_meet(spark, monkeypatch):
     classes = spark.createDataFrame([(c, hist, 256) for c in {r[4] for r in rows}], "cls long, hist binary, n long")
     got = {frozenset((r.a, r.b)) for r in jaccard._missing(apart, classes, 80).collect()}
     assert got == {frozenset((1000 + c, 2000 + c)) for c in range(20)}
+
+
+def test_blocks_of_a_very_long_line(spark):
+    m = 10_000_000
+    count, first, end = spark.range(1).select(line_dedup._blocks(F.lit(m)).alias("n")).first().n, [], []
+    for r in spark.range(count).select(*line_dedup._block(F.lit(m), F.col("id").cast("int"))).collect():
+        first.append(r[0]), end.append(r[1])
+    assert sorted(first) == first and first[0] == 0 and end[-1] == m and end[:-1] == first[1:]
