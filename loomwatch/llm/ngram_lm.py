@@ -290,34 +290,45 @@ def score_texts(docs: DataFrame, train: Column, key_col: str, text_col: str = "t
                 count, cold = np.where(w[i] == signed, c[i], 0), w[i] != signed
             else:
                 count, cold = np.zeros(len(tokens), dtype=np.int64), np.ones(len(tokens), dtype=bool)
-            before = np.concatenate([[0], count[:-1]])
             begins = at[:-1]
+            # The end token stands before each text, as behind it.
             ends = np.flatnonzero(w == END.view(np.int64))
-            before[begins] = c[ends[0]] if len(ends) else 0
-            pairs = np.minimum(levels[grams.levels(_pairs(tokens))], before)
-            seen = np.divide(share * pairs, before, out=np.zeros(len(tokens)), where=before > 0)
+            shifted = lambda x, first: np.concatenate([[first], x[:-1]])
+            before, cold_before = shifted(count, c[ends[0]] if len(ends) else 0), shifted(cold, not len(ends))
+            former = shifted(signed, END.view(np.int64))
+            pairs = levels[grams.levels(_pairs(tokens))]
+            seen = np.divide(share * np.minimum(pairs, before), before, out=np.zeros(len(tokens)), where=before > 0)
             known = np.log10((count + floor) / base)
             score = np.log10(seen + (1 - share) * (count + floor) / base) if share < 1 else known
-            # Rare words' own counts come by the join; here they are left out, with what their pairs give.
+            # Rare words' counts, and those of rare words before a pair that was found, come by joins; here such tokens are left out.
+            cold_before &= (pairs > 0) & (not all_hot)
             cold &= not all_hot
-            add = lambda x: np.add.reduceat(np.where(cold, 0, x), begins)
+            later = cold | cold_before
+            add = lambda x: np.add.reduceat(np.where(later, 0, x), begins)
             out = [part.column("_key"), pa.array(np.diff(at), pa.int64()), pa.array(add(count > 0).astype(np.int64)), pa.array(add(known).astype(float)), pa.array(add(score).astype(float))]
             rare: list[list[dict]] = [[] for _ in begins]
-            if cold.any():
-                where = np.flatnonzero(cold)
+            if later.any():
+                where = np.flatnonzero(later)
                 owner = np.searchsorted(at, where, side="right") - 1
-                for d, t, s in zip(owner.tolist(), signed[where].tolist(), seen[where].tolist(), strict=True):
-                    rare[d].append({"w": t, "s": s})
-            kind = pa.list_(pa.struct([("w", pa.int64()), ("s", pa.float64())]))
+                for d, t, u, k, j in zip(owner.tolist(), signed[where].tolist(), former[where].tolist(), pairs[where].tolist(), where.tolist(), strict=True):
+                    rare[d].append({"w": t, "cw": None if cold[j] else int(count[j]), "u": u, "cu": None if cold_before[j] else int(before[j]), "k": k})
+            kind = pa.list_(pa.struct([("w", pa.int64()), ("cw", pa.int64()), ("u", pa.int64()), ("cu", pa.int64()), ("k", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*out, pa.array(rare, kind)], names=["_key", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = docs.schema[key_col].dataType.simpleString()
-    scored = docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(run, f"_key {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:bigint,s:double>>")
+    scored = docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(run, f"_key {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:bigint,cw:bigint,u:bigint,cu:bigint,k:double>>")
     if not all_hot:
         scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-        rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.w", "r.s").join(words, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-        p = (F.col("c") + floor) / base
-        sums = rare.groupBy("_row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(F.log10(F.col("s") + (1 - share) * p)).alias("x"))
+        rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.*")
+        for word, n in (("w", "cw"), ("u", "cu")):
+            # Counts that are known need no join: such rows are spread by keys that no count answers to.
+            key = F.when(F.col(n).isNull(), F.col(word)).otherwise(F.xxhash64("_row", "w", "u"))
+            found = words.select(F.col("w").alias("_w"), F.col("c").alias("_c"))
+            rare = rare.withColumn("_key", key).join(found, F.col("_key") == F.col("_w"), "left").withColumn(n, F.coalesce(n, "_c", F.lit(0))).drop("_key", "_w", "_c")
+        p = (F.col("cw") + floor) / base
+        seen = F.when(F.col("cu") > 0, share * F.least("k", F.col("cu").cast("double")) / F.col("cu")).otherwise(0.0)
+        score = F.log10(seen + (1 - share) * p) if share < 1 else F.log10(p)
+        sums = rare.groupBy("_row").agg(F.sum((F.col("cw") > 0).cast("long")).alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(score).alias("x"))
         scored = scored.join(sums, "_row", "left").select("_key", "n_tokens", *[(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("n_known", "k"), ("base_score", "b"), ("score", "x"))])
     return scored.select(F.col("_key").alias(key_col), "n_tokens", "n_known", F.lit(int(n_words)).cast("long").alias("train_tokens"), "base_score", "score")
 
