@@ -19,10 +19,11 @@ Good-Turing share of unseen pairs), so a corpus without repetition falls back on
 How counts travel: each task counts its pairs with numpy and sends, for each of ``parts``
 ranges of the pair hash, one sorted run of 8-byte hashes and their counts, compressed;
 no key is hot, since a task sends a pair once for each ``FLUSH`` words. A range is merged in one task, which
-also builds its segment of the filter. The number of ranges follows the number of tokens. The
-filter's size follows the number of stored pairs, up to ``max_bytes``; where that bound is
-reached, the smallest count that is stored rises (from ``min_count``, 2: pairs seen once say
-little and would be most of the filter), and the lowest that fits is used.
+also builds its segment of the filter. The number of ranges follows the number of tokens. Of
+pairs seen ``min_count`` times or more (2, at any size: pairs seen once say little), the filter
+holds all, up to ``max_bytes``. Where they are more, it holds the frequent levels that fit;
+tokens whose pair it doesn't hold go to the pair's range, in packed runs by chunks of texts, and
+are looked up among the range's exact counts. What they add to a text's score is summed by row.
 
 Cases: null texts are empty; a text without words has the end token only; an empty training
 set gives N = 0 and V = 0 (words then have equal probability); repeated rows are scored each
@@ -37,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,6 +164,37 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(gaps).view(np.uint64).ravel(), dtype=np.uint64), np.ascontiguousarray(counts).view(np.uint32).ravel().astype(np.int64) + 1
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """An array compressed byte by byte of its items."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b"")
+
+
+def _whole(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+#: Of each token to look up: pair, row, counts of the token and the one before (-1: not known), and their hashes where one count isn't.
+_PROBE = (np.uint64, np.uint32, np.int64, np.int64, np.int64, np.int64)
+
+
+def _probes(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A packed run of tokens to look up for each range."""
+    cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    cols = [x[order] for x in cols]
+    cuts = np.searchsorted(cols[0], _bounds(parts)).tolist()
+    for p, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(order)], strict=True)):
+        if a < b:
+            keys, row, cw, cu, w, u = (x[a:b] for x in cols)
+            cold = (cw < 0) | (cu < 0)
+            yield p, [_planes(x) for x in (np.diff(keys, prepend=np.uint64(0)), row, cw + 1, cu + 1, w[cold], u[cold])]
+
+
 def level_of(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(base) + 1e-9).astype(np.int64)
 
@@ -217,8 +250,8 @@ class Filter:
         return out
 
 
-def build_filter(train: DataFrame, text_col: str, n_tokens: int, settings: Settings) -> tuple[Filter, float, int]:
-    """The filter, the share of pairs seen twice or more, and the least stored count."""
+def build_filter(train: DataFrame, text_col: str, n_tokens: int, settings: Settings) -> tuple[Filter, float, DataFrame | None]:
+    """The filter, the share of pairs seen twice or more, and where the filter can't hold all, (part, pairs, counts) of each range."""
     parts = max(1, -(-n_tokens // WORDS_A_PART))
     runs = count_pairs(train, text_col, parts)
 
@@ -253,7 +286,7 @@ def build_filter(train: DataFrame, text_col: str, n_tokens: int, settings: Setti
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([made], pa.binary())], names=["part", "bits"])
 
     found = {r.part: bytes(r.bits) for r in merged.select("part", "pairs", "counts").mapInArrow(segments, "part int, bits binary").collect()}  # max_bytes at most
-    return Filter([found.get(p, b"") for p in range(parts)], settings.probes), share, max(settings.min_count, math.ceil(settings.base**least))
+    return Filter([found.get(p, b"") for p in range(parts)], settings.probes), share, merged.select("part", "pairs", "counts") if least else None
 
 
 def score_texts(docs: DataFrame, train: Column, key_col: str, text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -273,7 +306,9 @@ def score_texts(docs: DataFrame, train: Column, key_col: str, text_col: str = "t
     w, c = (hot.column(x).to_numpy() for x in ("w", "c"))
     order = np.argsort(w)
     w, c, all_hot = w[order], c[order], len(w) == distinct
-    grams, share, _ = build_filter(learned, text_col, int(n_words), settings)
+    grams, share, rest = build_filter(learned, text_col, int(n_words), settings)
+    rest = rest if share < 1 else None
+    beyond, parts = rest is not None, len(grams.bounds)
     shared = spark.sparkContext.broadcast((w, c, grams))
     floor = 0.1
     base = max(n_words + floor * (distinct + 1), floor)
@@ -282,6 +317,15 @@ def score_texts(docs: DataFrame, train: Column, key_col: str, text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, c, grams = shared.value
+        row = first = TaskContext.get().partitionId() << 33
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def looked_up() -> Iterator[pa.RecordBatch]:
+            for p, fields in _probes(held, parts):
+                values = {"_row": first, "part": p, "probe": fields}
+                yield pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
         for part in vec.chunks(batches, "_text"):
             tokens, at = _tokens(part.column("_text"))
             signed = _signed(tokens)
@@ -313,22 +357,69 @@ def score_texts(docs: DataFrame, train: Column, key_col: str, text_col: str = "t
                 for d, t, u, k, j in zip(owner.tolist(), signed[where].tolist(), former[where].tolist(), pairs[where].tolist(), where.tolist(), strict=True):
                     rare[d].append({"w": t, "cw": None if cold[j] else int(count[j]), "u": u, "cu": None if cold_before[j] else int(before[j]), "k": k})
             kind = pa.list_(pa.struct([("w", pa.int64()), ("cw", pa.int64()), ("u", pa.int64()), ("cu", pa.int64()), ("k", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*out, pa.array(rare, kind)], names=["_key", "n_tokens", "n_known", "base_score", "score", "rare"])
+            none = [pa.nulls(len(begins), pa.int32()), pa.nulls(len(begins), pa.list_(pa.binary()))]
+            made = pa.RecordBatch.from_arrays([*out, pa.array(rare, kind), pa.array(row + np.arange(len(begins))), *none], names=["_key", "n_tokens", "n_known", "base_score", "score", "rare", "_row", "part", "probe"])
+            schema = made.schema
+            yield made
+            if beyond:
+                missed = np.flatnonzero(pairs == 0)
+                place = (row - first + np.searchsorted(at, missed, side="right") - 1).astype(np.uint32)
+                no_count = shifted(w[i] != signed if len(w) else np.ones(len(tokens), dtype=bool), not len(ends)) & (not all_hot)
+                held.append((_pairs(tokens)[missed], place, np.where(cold, -1, count)[missed], np.where(no_count, -1, before)[missed], signed[missed], former[missed]))
+                size += len(missed)
+            row += len(begins)
+            if size > FLUSH:
+                yield from looked_up()
+                held, size, first = [], 0, row
+        if held:
+            yield from looked_up()
+
+    def look_up(probes: pa.Table, pairs: pa.Table) -> pa.Table:
+        """What found pairs add to rows' scores, and tokens with found pairs of which a count isn't known."""
+        out: list[list[np.ndarray]] = []
+        keys, counts = (np.frombuffer(b"".join(pairs.column(x).to_pylist()), dtype=t) for x, t in (("pairs", np.uint64), ("counts", np.int64)))
+        for first, fields in zip(*(probes.column(x).to_pylist() for x in ("_row", "probe")), strict=True) if len(keys) else ():
+            gaps, row, cw, cu, w, u = map(_whole, fields, _PROBE)
+            probed, cw, cu, row = np.cumsum(gaps, dtype=np.uint64), cw - 1, cu - 1, first + row.astype(np.int64)
+            i = np.minimum(np.searchsorted(keys, probed), len(keys) - 1)
+            hit, cold = keys[i] == probed, (cw < 0) | (cu < 0)
+            k = np.where(hit, levels[level_of(counts[i], settings.base)], 0.0)
+            f = hit & ~cold & (cu > 0)
+            p = (cw[f] + floor) / base
+            more = np.log10(share * np.minimum(k[f], cu[f]) / cu[f] + (1 - share) * p) - np.log10((1 - share) * p)
+            rows, to = np.unique(row[f], return_inverse=True)
+            zero = np.zeros(len(rows), dtype=np.int64)
+            out.append([rows, np.bincount(to, more, minlength=len(rows)), zero, zero, zero, zero, zero.astype(float)])
+            f, g = hit & cold, hit[cold]
+            out.append([row[f], np.full(int(f.sum()), np.nan), w[g], cw[f], u[g], cu[f], k[f]])
+        names, kinds = ("_row", "x", "w", "cw", "u", "cu", "k"), (np.int64, float, *[np.int64] * 4, float)
+        return pa.table({n: np.concatenate([np.zeros(0, dtype=t), *(o[j] for o in out)]) for j, (n, t) in enumerate(zip(names, kinds, strict=True))})
 
     kind = docs.schema[key_col].dataType.simpleString()
-    scored = docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(run, f"_key {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:bigint,cw:bigint,u:bigint,cu:bigint,k:double>>")
-    if not all_hot:
-        scored = written(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
-        rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.*")
+    scored = docs.select(F.col(key_col).alias("_key"), F.col(text_col).alias("_text")).mapInArrow(run, f"_key {kind}, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:bigint,cw:bigint,u:bigint,cu:bigint,k:double>>, _row long, part int, probe array<binary>")
+    if beyond or not all_hot:
+        scored = written(scored, "scored")
+        rare = scored.select("_row", F.explode("rare").alias("r")).select("_row", "r.*", F.lit(False).alias("again"))
+        if beyond:
+            probes = scored.where("part IS NOT NULL").select("part", "_row", "probe").groupBy("part")
+            found = written(probes.cogroup(rest.groupBy("part")).applyInArrow(look_up, "_row long, x double, w long, cw long, u long, cu long, k double"), "found")
+            count = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+            rare = rare.unionByName(found.where("isnan(x)").select("_row", "w", count("cw"), "u", count("cu"), "k", F.lit(True).alias("again")))
+            scored = scored.where("part IS NULL")
         for word, n in (("w", "cw"), ("u", "cu")):
             # Counts that are known need no join: such rows are spread by keys that no count answers to.
             key = F.when(F.col(n).isNull(), F.col(word)).otherwise(F.xxhash64("_row", "w", "u"))
-            found = words.select(F.col("w").alias("_w"), F.col("c").alias("_c"))
-            rare = rare.withColumn("_key", key).join(found, F.col("_key") == F.col("_w"), "left").withColumn(n, F.coalesce(n, "_c", F.lit(0))).drop("_key", "_w", "_c")
+            known = words.select(F.col("w").alias("_w"), F.col("c").alias("_c"))
+            rare = rare.withColumn("_key", key).join(known, F.col("_key") == F.col("_w"), "left").withColumn(n, F.coalesce(n, "_c", F.lit(0))).drop("_key", "_w", "_c")
         p = (F.col("cw") + floor) / base
         seen = F.when(F.col("cu") > 0, share * F.least("k", F.col("cu").cast("double")) / F.col("cu")).otherwise(0.0)
         score = F.log10(seen + (1 - share) * p) if share < 1 else F.log10(p)
-        sums = rare.groupBy("_row").agg(F.sum((F.col("cw") > 0).cast("long")).alias("k"), F.sum(F.log10(p)).alias("b"), F.sum(score).alias("x"))
+        # Tokens found by range have been counted as words before: what their pairs add is left.
+        new = ~F.col("again")
+        parts_of = rare.select("_row", (new & (F.col("cw") > 0)).cast("long").alias("k"), F.when(new, F.log10(p)).otherwise(0.0).alias("b"), (F.when(new, score).otherwise(score - F.log10((1 - share) * p)) if share < 1 else score).alias("x"))
+        if beyond:
+            parts_of = parts_of.unionByName(found.where("NOT isnan(x)").select("_row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), "x"))
+        sums = parts_of.groupBy("_row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("x").alias("x"))
         scored = scored.join(sums, "_row", "left").select("_key", "n_tokens", *[(F.col(a) + F.coalesce(b, F.lit(0))).alias(a) for a, b in (("n_known", "k"), ("base_score", "b"), ("score", "x"))])
     return scored.select(F.col("_key").alias(key_col), "n_tokens", "n_known", F.lit(int(n_words)).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -28,3 +28,15 @@ def test_words_beyond_the_hot_ones_keep_their_pairs(texts, hot):
     assert got.keys() == want.keys()
     for i, row in got.items():
         assert row == pytest.approx(want[i], rel=1e-9), i
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 40, 0])
+def test_pairs_beyond_the_filter_count(texts, hot, monkeypatch):
+    want = scores(texts, bits_per_item=40)
+    monkeypatch.setattr(ngram_lm, "WORDS_A_PART", 1000)
+    monkeypatch.setattr(ngram_lm, "FLUSH", 500)
+    for size in (0, 1500):
+        got = scores(texts, bits_per_item=40, max_bytes=size, hot_words=hot)
+        assert got.keys() == want.keys()
+        for i, row in got.items():
+            assert row == pytest.approx(want[i], rel=1e-9), (size, i)
