@@ -137,14 +137,16 @@ def recompute_for_feed(edges: DataFrame, sources: DataFrame, feed: str, score: f
 
 def capped_ids(events: DataFrame, keys: list[str], ids: str = "article_ids", seq: str = "seq", cap: int = CAP) -> DataFrame:
     """A list of the first ``cap`` ids, and a count of ids that weren't in the list when they came (exact up to the cap)."""
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.array_except(x["ids"], acc["ids"])
-        return F.struct(F.slice(F.concat(acc["ids"], new), 1, cap).alias("ids"), (acc["n"] + F.size(new)).cast("long").alias("n"))
-
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(ids).cast("array<string>").alias("ids"))))
-    return events.groupBy(*keys).agg(F.aggregate(ordered, start, step).alias("_a")).select(*keys, F.col("_a.ids").alias("source_article_ids"), F.col("_a.n").alias("supporting_article_count"))
+    values = F.transform(F.array_distinct("_ids"), lambda x, i: F.struct(x.alias("id"), i.alias("pos")))
+    each = events.select(*keys, F.col(seq).alias("_seq"), F.col(ids).cast("array<string>").alias("_ids")).select(*keys, "_seq", "_ids", F.explode_outer(values).alias("_e"))
+    known = F.col("_e").isNotNull()
+    per = each.groupBy(*keys, known.alias("_known"), F.col("_e.id").alias("_id")).agg(F.min(F.struct("_seq", "_ids", "_e.pos")).alias("_first"), F.count_if(known).alias("_n"))
+    # Ids in the list count once, all others as often as they come. The first ids are taken in each partition, then of all.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_first", "_id"))
+    item = F.struct("_first", "_id")
+    top = per.where("_known").withColumn("_rank", rank).where(F.col("_rank") <= cap).select(*keys, (1 - F.col("_n")).alias("_n"), item.alias("_item"))
+    both = top.unionByName(per.select(*keys, "_n"), allowMissingColumns=True).groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("_items"), F.sum("_n").alias("supporting_article_count"))
+    return both.select(*keys, F.transform("_items", lambda x: x["_id"]).alias("source_article_ids"), "supporting_article_count")
 
 
 def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
@@ -105,8 +105,9 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot(F.col("q"), F.col("e")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("e"), F.col("e")))
     near = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.struct(F.round(cosine, 6).alias("c"), (-F.col("vec_id")).alias("i")).alias("s"))
-    best = near.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("s"))), 1, 5).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("pos", "s")).select("query_id", (F.col("pos") + 1).cast("long").alias("rank"), (-F.col("s.i")).alias("vec_id"), F.col("s.c").alias("cosine"))
+    # The first five of each partition, then of all.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+    return near.withColumn("rank", rank).where("rank <= 5").select("query_id", F.col("rank").cast("long").alias("rank"), (-F.col("s.i")).alias("vec_id"), F.col("s.c").alias("cosine"))
 
 
 QUERIES = {f.__name__: f for f in (article_keys_hash, exact_dup_clusters, ioc_mentions_by_type, refang_cve_ttp, ioc_classify, ioc_extract_full, benign_domain_filter, simhash64, simhash64_arrow, candidate_pairs, pair_scores, story_clusters, cluster_entity_union, page_text, embedding_topk)}
