@@ -37,8 +37,10 @@ SUFFIX = "concat(text, ' CVE-2024-', cast(1000 + doc_id % 97 as string), ' T', c
 
 def refang_cve_ttp(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.table(spark, sf_dir, "documents").select("doc_id", F.expr(SUFFIX).alias("text"))
-    plain = tx.refang(F.substring("text", -90, 90))
-    return d.select("doc_id", F.get(tx.find_all(plain, tx.CVE), 0).alias("cve"), F.get(tx.find_all(plain, tx.TTP), 0).alias("ttp"), F.get(tx.find_all(plain, r"https?://[^\s\"'<>]+"), 0).alias("url"), F.element_at(tx.find_all(plain, tx.PATTERNS["ipv4"]), -1).alias("ipv4"))
+    plain = tx.refang(F.col("text"))
+    # Of each kind the last of the whole text.
+    last = lambda pattern: F.try_element_at(tx.find_all(plain, pattern), F.lit(-1))
+    return d.select("doc_id", last(tx.CVE).alias("cve"), last(tx.TTP).alias("ttp"), last(r"https?://[^\s\"'<>]+").alias("url"), last(tx.PATTERNS["ipv4"]).alias("ipv4"))
 
 
 def ioc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,11 @@ def test_nearest_are_not_gathered_whole(spark, monkeypatch):
     got = texts.embedding_topk(spark, "")
     assert "collect_list" not in plan(got) and "WindowGroupLimit" in plan(got)
     assert got.count() == 50
+
+
+def test_indicators_are_found_in_the_whole_text(spark, monkeypatch):
+    body = "CVE-2021-12345 by T1234 from hxxps://a[.]b/c and 198.51[.]100.7 " + "word " * 100
+    monkeypatch.setattr(inputs, "table", lambda *_: spark.createDataFrame([(1, body), (2, "none")], "doc_id long, text string"))
+    monkeypatch.setattr(texts, "SUFFIX", "text")
+    got = {r.doc_id: tuple(r)[1:] for r in texts.refang_cve_ttp(spark, "").collect()}
+    assert got == {1: ("CVE-2021-12345", "T1234", "https://a.b/c", "198.51.100.7"), 2: (None,) * 4}
