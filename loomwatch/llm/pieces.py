@@ -20,9 +20,16 @@ comes back exactly, but that U+2581 itself comes back as a space, as in the publ
 
 The public model file that is used is a BPE one with byte fallback.
 
-Text parts that begin at a U+2581 behind another character are independent if no piece holds
-such a pair inside (checked when the vocabulary is read): all paths run through that boundary.
-Their ids are kept for repeated parts in a table of bounded size.
+A task walks many lattices side by side. Text parts that begin at a U+2581 behind another
+character are independent if no piece holds such a pair inside (checked when the vocabulary is
+read): all paths run through that boundary, so ids are committed there. The distinct parts of
+about ``SLICE`` characters are the lanes of one numpy walk; each lane keeps a ring of ``RING``
+times the longest piece's backpointers, and every ``longest`` characters the boundary that all
+its surviving paths lead through is sought and the ids before it are committed. A lane that
+finds none within its ring, and the last lanes of a slice when few are left, are walked alone
+by ``_lattice``, whose window grows until its paths meet. A text longer than a slice is cut at
+boundaries of parts. Beside its own ids, a text so needs memory for one slice only (a part
+longer than a slice: also for its characters).
 
 Cases: null stays null (no ids); an empty text has no ids; surrogates can't occur; repeated
 rows are encoded each for itself; other columns aren't read by ``encode`` but pass through.
@@ -30,8 +37,6 @@ rows are encoded each for itself; other columns aren't read by ``encode`` but pa
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -47,11 +52,16 @@ from loomwatch.llm import vec
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts of texts whose ids a worker remembers; their length is bounded too.
-MEMO, MEMO_CHARS = 200_000, 40
+#: Characters that are walked together.
+SLICE = 1 << 19
+#: Backpointers that a lane keeps, in lengths of the longest piece; 4 at least.
+RING = 4
+#: With fewer lanes left, each is walked alone.
+LANES = 16
 #: Pairs of pieces whose agreement a worker remembers.
 PAIRS = 200_000
-PARTS = re.compile(" *[^ ]+| +")
+#: Of a character in no piece, before its byte pieces are known; no boundary known yet.
+BYTES, UNSET = -1, -2
 
 
 @dataclass
@@ -123,13 +133,234 @@ class Vocabulary:
         return parts
 
 
+class Lookup:
+    """Whole numbers by whole number keys, as a few hash tables: a key whose place is taken goes to the next one."""
+
+    def __init__(self, keys: list[int], values: list[int]):
+        left, value = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32)
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        bits = max(8, (4 * len(left)).bit_length())
+        while len(left):
+            key, held = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+            shift = 64 - bits
+            at = self._place(left, shift, len(self.levels))
+            _, first = np.unique(at, return_index=True)
+            key[at[first]], held[at[first]] = left[first], value[first]
+            self.levels.append((shift, key, held))
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, value, bits = left[rest], value[rest], max(8, bits - 1)
+
+    @staticmethod
+    def _place(keys: np.ndarray, shift: int, level: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 0x3C6EF372FE94F82A * level & (1 << 64) - 1 | 1)) >> np.uint64(shift)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where there is none."""
+        out = np.full(len(keys), -1, dtype=np.int32)
+        at = None
+        for level, (shift, key, held) in enumerate(self.levels):
+            place = self._place(keys, shift, level)
+            there = key[place]
+            same = np.flatnonzero(there == keys)
+            out[same if at is None else at[same]] = held[place[same]]
+            other = np.flatnonzero((there != keys) & (there >= 0))
+            if not len(other):
+                break
+            at, keys = other if at is None else at[other], keys[other]
+        return out
+
+
+class Tables:
+    """A vocabulary as arrays: its trie, what joins to what, ranks and halves, the bytes of pieces."""
+
+    def __init__(self, v: Vocabulary):
+        chars = sorted({ord(c) for x in v.pieces for c in x})
+        self.code = np.zeros(0x110000, dtype=np.int32)  # by code point; 0: in no piece
+        self.code[chars] = np.arange(1, len(chars) + 1)
+        self.code[ord(" ")] = self.code[ord(SPACE)]
+        self.width = len(chars) + 1
+        node = {x: i for i, x in enumerate(sorted(v.begins, key=len), 1)}
+        node[""] = 0
+        edges = [(node[x[:-1]] * self.width + int(self.code[ord(x[-1])]), i) for x, i in node.items() if len(x) > 1]
+        self.edges = Lookup([e for e, _ in edges], [i for _, i in edges])
+        self.first = np.full(self.width, -1, dtype=np.int32)  # the node of a first character
+        self.piece = np.full(len(node), -1, dtype=np.int32)
+        self.goes_on = np.zeros(len(node), dtype=bool)
+        for x, i in node.items():
+            if x:
+                self.piece[i] = v.begins[x]
+                self.goes_on[node[x[:-1]]] = True
+            if len(x) == 1:
+                self.first[self.code[ord(x)]] = i
+        n = self.n = len(v.texts)
+        self.alone = np.zeros(self.width, dtype=bool)  # characters that are pieces
+        self.alone[[int(self.code[ord(x)]) for x in v.pieces if len(x) == 1]] = True
+        joins = [(v.pieces[x[:k]] * n + v.pieces[x[k:]], i) for x, i in v.pieces.items() for k in range(1, len(x)) if x[:k] in v.pieces and x[k:] in v.pieces]
+        self.joins = Lookup([k for k, _ in joins], [i for _, i in joins])
+        self.rank, self.left, self.right = np.full(n, -1.0), np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        for i, r in v.rank.items():
+            self.rank[i] = r
+        for i, (a, b) in v.halves.items():
+            self.left[i], self.right[i] = a, b
+        self.sizes = np.array([len(x) for x in v.texts], dtype=np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.bytes = np.frombuffer(b"".join(v.texts), dtype=np.uint8)
+
+    def agree(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Encoder._agree`` of many pairs; a piece ``BYTES`` agrees with all."""
+        out = a < 0
+        at = np.flatnonzero(~out)
+        a, b, until = a[at].astype(np.int64), b[at].astype(np.int64), None
+        while len(at):
+            joined = self.joins.get(a * self.n + b)
+            fits = joined < 0 if until is None else (joined < 0) | (self.rank[joined] >= until)
+            go = np.flatnonzero(fits)
+            at, a, b = at[go], a[go], b[go]
+            ra, rb = self.rank[a], self.rank[b]
+            cut_a = ra > rb
+            ended = ~cut_a & (rb < 0)
+            out[at[ended]] = True
+            go = np.flatnonzero(~ended)
+            at, cut_a = at[go], cut_a[go]
+            until = np.where(cut_a, ra[go], rb[go] + 0.5)  # of equal ranks the left one merges first
+            a, b = np.where(cut_a, self.right[a[go]], a[go]), np.where(cut_a, b[go], self.left[b[go]])
+        return out
+
+    def edges_of(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, characters, piece) of all pieces that begin at each place; room: characters from there to the part's end."""
+        at = np.flatnonzero(self.first[codes] >= 0)
+        node, size, found = self.first[codes[at]], 1, []
+        while len(at):
+            piece = self.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at[hit], np.full(len(hit), size, dtype=np.int32), piece[hit]))
+            keep = np.flatnonzero(self.goes_on[node] & (room[at] > size))
+            at, node = at[keep], node[keep]
+            node = self.edges.get(node.astype(np.int64) * self.width + codes[at + size])
+            keep = np.flatnonzero(node >= 0)
+            at, node, size = at[keep], node[keep], size + 1
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+
+def _by_place(place: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
+    """What sorts by place, and where each place up to ``until`` begins in that order."""
+    small = place.astype(np.uint16) if until < 1 << 16 else place  # small numbers are sorted by their digits
+    order = np.argsort(small, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(until + 1))
+
+
+class Lanes:
+    """The lattices of many parts, walked side by side; each lane is the characters [start, end) of ``codes``."""
+
+    def __init__(self, tables: Tables, longest: int, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.t, self.longest, self.ring = tables, longest, 1 << (RING * longest - 1).bit_length()
+        self.order = np.argsort(start - end, kind="stable")  # the longest lane first, so those under way are the first ones
+        self.start, self.size = start[self.order], (end - start)[self.order]
+        self.codes = codes
+        self.piece = np.full((len(start), self.ring), UNSET, dtype=np.int32)
+        self.chars = np.zeros((len(start), self.ring), dtype=np.int32)
+        self.piece[:, 0] = BYTES
+        self.flat_piece, self.flat_chars = self.piece.reshape(-1), self.chars.reshape(-1)
+        self.done = np.zeros(len(start), dtype=np.int64)
+        self.given_up = np.zeros(len(start), dtype=bool)
+        #: Where each lane's boundaries begin in ``ids``, which holds the piece before each boundary of the final paths.
+        self.base = np.cumsum(self.size) - self.size
+        self.ids = np.full(int(self.size.sum()), UNSET, dtype=np.int32)
+
+    def walk(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(lane, boundary, piece before it) of all ids, by lane and boundary, and the lanes that must be walked alone; lanes are in the order of ``order``."""
+        t, until = self.t, int(self.size[0]) + 1 if len(self.size) else 0
+        lane_at = np.repeat(np.arange(len(self.start)), self.size)  # of each character of the lanes, one behind the other
+        offset = np.arange(len(lane_at)) - np.repeat(self.base, self.size)
+        codes = self.codes[np.repeat(self.start, self.size) + offset]
+        begin, chars, piece = t.edges_of(codes, np.repeat(self.size, self.size) - offset)
+        order, cut = _by_place(offset[begin], until)
+        begin, chars, piece = begin[order], chars[order], piece[order]
+        row = lane_at[begin] * self.ring
+        odd = np.flatnonzero(~t.alone[codes])
+        order, first = _by_place(offset[odd], until)
+        odd_row = lane_at[odd[order]] * self.ring
+        k, under_way = 0, len(self.start)
+        while under_way:
+            a, b = cut[k], cut[k + 1]
+            self._step(k, row[a:b], chars[a:b], piece[a:b])
+            if first[k + 1] > first[k]:
+                self._bytes(k, odd_row[first[k] : first[k + 1]])
+            k += 1
+            ended = int(np.searchsorted(-self.size, -k))  # lanes longer than k come first
+            self._commit(np.arange(ended, under_way), np.full(under_way - ended, k))
+            under_way = ended
+            if under_way < LANES and under_way and k >= 2 * self.longest:
+                self.given_up[:under_way] = True
+                break
+            if under_way and k % self.longest == 0 and k >= 2 * self.longest:
+                rows = np.flatnonzero(~self.given_up[:under_way])
+                self._commit(rows, self._meet(rows, k))
+                self.given_up[:under_way] |= k + 2 * self.longest - self.done[:under_way] >= self.ring
+                self.piece[:under_way, (k + self.longest + np.arange(self.longest)) % self.ring] = UNSET  # room for the boundaries to come
+        self.ids[np.repeat(self.given_up, self.size)] = UNSET
+        at = np.flatnonzero(self.ids != UNSET)
+        return lane_at[at], offset[at] + 1, self.ids[at], np.flatnonzero(self.given_up)
+
+    def _step(self, k: int, row: np.ndarray, chars: np.ndarray, piece: np.ndarray) -> None:
+        """Pieces that begin at k become the backpointers of the boundaries at their ends, if they agree with the one before them."""
+        before, to = self.flat_piece[row + k % self.ring], row + ((k + chars) & (self.ring - 1))
+        go = np.flatnonzero((before != UNSET) & (self.flat_piece[to] == UNSET))
+        piece = piece[go]
+        fits = np.flatnonzero(self.t.agree(before[go], piece))
+        to = to[go[fits]]
+        self.flat_piece[to], self.flat_chars[to] = piece[fits], chars[go[fits]]
+
+    def _bytes(self, k: int, row: np.ndarray) -> None:
+        """Characters in no piece."""
+        to = row + (k + 1) % self.ring
+        to = to[(self.flat_piece[row + k % self.ring] != UNSET) & (self.flat_piece[to] == UNSET)]
+        self.flat_piece[to], self.flat_chars[to] = BYTES, 1
+
+    def _meet(self, rows: np.ndarray, k: int) -> np.ndarray:
+        """The last boundary that all paths to the boundaries a later piece may begin at (k, ..., k + longest - 1) run through."""
+        places = k + np.arange(self.longest)
+        live = np.zeros((len(rows), self.ring), dtype=bool)
+        live[:, places % self.ring] = (self.piece[rows[:, None], places % self.ring] != UNSET) & (places <= self.size[rows][:, None])
+        left = live.sum(axis=1)
+        for place in range(k + self.longest - 1, 0, -1):
+            at = np.flatnonzero(live[:, place % self.ring] & (left > 1) & (place > self.done[rows]))
+            if not len(at):
+                if (left <= 1).all():
+                    break
+                continue
+            to = (place - self.chars[rows[at], place % self.ring]) % self.ring
+            live[at, place % self.ring] = False
+            left[at] -= live[at, to]
+            live[at, to] = True
+        base = self.done[rows]
+        turn = (np.arange(self.ring)[None, :] - base[:, None]) % self.ring  # how far each column is behind ``done``
+        return np.where(left == 1, base + (live * turn).sum(axis=1), base)
+
+    def _commit(self, rows: np.ndarray, to: np.ndarray) -> None:
+        """The ids before the boundary ``to`` of each lane are final."""
+        lane = rows[~self.given_up[rows]]
+        at = end = to[~self.given_up[rows]]
+        every = lane
+        while True:
+            go = np.flatnonzero(at > self.done[lane])
+            lane, at = lane[go], at[go]
+            if not len(lane):
+                break
+            place = lane * self.ring + (at & (self.ring - 1))
+            self.ids[self.base[lane] + at - 1] = self.flat_piece[place]
+            at = at - self.flat_chars[place]
+        self.done[every] = end
+
+
 class Encoder:
     """Encodes texts with one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.tables = Tables(vocabulary)
         self.agreed: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
 
     def _agree(self, a: int, b: int) -> bool:
         """Whether merging the joined characters of pieces a and b gives just (a, b).
@@ -155,23 +386,139 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids, as 32-bit numbers."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
-        v, memo = self.v, self.memo
-        text = " " * v.prefix + text.replace(SPACE, " ")
-        if not v.parts:
-            return np.fromiter(self._lattice(text.replace(" ", SPACE)), dtype=np.int32)
-        out: list[bytes] = []
-        for part in PARTS.findall(text):
-            ids = memo.get(part)
-            if ids is None:
-                ids = array("i", self._lattice(part.replace(" ", SPACE))).tobytes()
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, how many each has, and whether its ids decode to it."""
+        ids, sizes, restored = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts), dtype=np.int64), np.ones(len(texts), dtype=bool)
+        for part in self._slices(texts):
+            found, counts = self._encode_slice([x for _, x in part])
+            ids.append(found)
+            of = np.array([i for i, _ in part], dtype=np.int64)
+            np.add.at(sizes, of, counts)
+            restored[of[~self._same(found, counts, [texts[i][a:b] for i, (a, b) in zip(of.tolist(), self.spans, strict=True)])]] = False
+        return np.concatenate(ids), sizes, restored
+
+    def _slices(self, texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+        """(text, characters to encode) of about ``SLICE`` characters together; ``spans`` says where in their texts they are."""
+        held, spans, size = [], [], 0
+        pre = " " * self.v.prefix
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            text, at = text.replace(SPACE, " "), 0
+            while at < len(text):
+                end = self._cut(text, at)
+                held.append((i, pre * (at == 0) + text[at:end]))
+                spans.append((at, end))
+                size, at = size + end - at, end
+                if size >= SLICE:
+                    self.spans = spans
+                    yield held
+                    held, spans, size = [], [], 0
+        if held:
+            self.spans = spans
+            yield held
+
+    def _cut(self, text: str, at: int) -> int:
+        """Where the slice that begins at ``at`` ends: at the last part's beginning in it, or at the first one behind it."""
+        if len(text) - at <= SLICE or not self.v.parts:
+            return len(text)
+        end = at + SLICE
+        while (end := text.rfind(" ", at + 1, end)) > at:
+            if text[end - 1] != " ":
+                return end
+        end = at + SLICE
+        while (end := text.find(" ", end)) >= 0:
+            if text[end - 1] != " ":
+                return end
+            end += 1
+        return len(text)
+
+    def _encode_slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all these in a row, and how many each has."""
+        if self.v.model == "unigram" or not self.v.parts:
+            found = [np.fromiter(self._lattice(x.replace(" ", SPACE)), dtype=np.int32) for x in texts]
+            return np.concatenate(found), np.array([len(x) for x in found])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        start, end, same = self._distinct(points, first)
+        ids, begin, counts = self._parts(points, start, end)
+        n = counts[same]
+        to = np.cumsum(n)
+        out = ids[np.repeat(begin[same] - (to - n), n) + np.arange(to[-1])]
+        ends = np.concatenate([[0], to])[np.searchsorted(self.at, first)]
+        return out, np.diff(ends)
+
+    def _distinct(self, points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end) of the distinct parts, and which of them each part is; ``at`` keeps where parts begin."""
+        blank = points == 32
+        begins = np.zeros(len(points) + 1, dtype=bool)
+        begins[1:-1] = blank[1:] & ~blank[:-1]
+        begins[first[:-1]] = True
+        self.at = np.flatnonzero(begins[:-1])
+        size = np.diff(np.append(self.at, len(points)))
+        hashes = vec.run_hashes(points, self.at, size)
+        _, keep, same = np.unique(hashes, return_index=True, return_inverse=True)
+        # Equal hashes must be equal parts; else each part counts as one of its own.
+        where = np.repeat(self.at[keep[same]] - self.at, size) + np.arange(len(points))
+        if not ((size[keep[same]] == size).all() and (points[where] == points).all()):
+            keep, same = np.arange(len(size)), np.arange(len(size))
+        return self.at[keep], self.at[keep] + size[keep], same
+
+    def _parts(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all parts, where those of each part begin, and how many they are."""
+        lanes = Lanes(self.tables, self.v.longest, self.tables.code[points], start, end)
+        lane, bound, piece, alone = lanes.walk()
+        if len(alone):
+            found = [np.fromiter(self._lattice(points[a : a + n].tobytes().decode("utf-32-le").replace(" ", SPACE)), dtype=np.int32) for a, n in zip(lanes.start[alone], lanes.size[alone], strict=True)]
+            # Lanes that are walked alone are the longest ones, so few that all others are moved once.
+            lane = np.concatenate([lane, np.repeat(alone, [len(x) for x in found])])
+            piece, bound = np.concatenate([piece, *found]), np.concatenate([bound, np.zeros(len(lane) - len(bound), dtype=np.int64)])
+            order = np.argsort(lane, kind="stable")
+            lane, bound, piece = lane[order], bound[order], piece[order]
+        odd = np.flatnonzero(piece < 0)
+        if len(odd):
+            char, which = np.unique(points[lanes.start[lane[odd]] + bound[odd] - 1], return_inverse=True)
+            as_ids = [self._byte_ids(chr(c)) for c in char.tolist()]
+            n = np.ones(len(piece), dtype=np.int64)
+            n[odd] = np.array([len(x) for x in as_ids])[which]
+            at = np.cumsum(n) - n
+            piece, lane, odd_at = np.repeat(piece, n), np.repeat(lane, n), at[odd]
+            for c, x in enumerate(as_ids):
+                for j, i in enumerate(x):
+                    piece[odd_at[which == c] + j] = i
+        counts = np.bincount(lane, minlength=len(start))
+        place = np.empty(len(start), dtype=np.int64)
+        place[lanes.order] = np.arange(len(start))
+        return piece, (np.cumsum(counts) - counts)[place], counts[place]
+
+    def _byte_ids(self, char: str) -> list[int]:
+        ids = [self.v.byte_ids[b] for b in char.encode()]
+        return ids if min(ids) >= 0 else [self.v.unknown]
+
+    def _decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        n = self.tables.sizes[ids]
+        to = np.cumsum(n)
+        return self.tables.bytes[np.repeat(self.tables.begin[ids] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
+
+    def _same(self, ids: np.ndarray, counts: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Whether the ids of each part of a text decode to it."""
+        got = self._decode_bytes(ids)
+        sums = np.concatenate([[0], np.cumsum(self.tables.sizes[ids])])
+        to = sums[np.cumsum(counts)]
+        begin = to - np.diff(np.concatenate([[0], to]))
+        if self.v.prefix:
+            begin = begin + np.array([a == 0 for a, _ in self.spans])
+        want = [x.encode() for x in texts]
+        size = np.array([len(x) for x in want])
+        same = to - begin == size
+        at = np.concatenate([[0], np.cumsum(size)])
+        raw = np.frombuffer(b"".join(want), dtype=np.uint8)
+        idx = np.flatnonzero(np.repeat(same, size))
+        where = np.repeat(begin - at[:-1], size)[idx] + idx
+        wrong = np.concatenate([[0], np.cumsum(np.bincount(idx[got[where] != raw[idx]], minlength=len(raw)))])
+        return same & (wrong[at[1:]] == wrong[at[:-1]])
 
     def _lattice(self, text: str) -> Iterator[int]:
         """The streaming lattice: yields ids as soon as they are final."""
@@ -230,16 +577,14 @@ class Encoder:
         while end > done:
             i, begin, _ = back[end]
             if i is None:
-                raw = text[begin:end].encode()
-                ids = [self.v.byte_ids[b] for b in raw]
-                out.extend(reversed(ids if min(ids) >= 0 else [self.v.unknown]))
+                out.extend(reversed(self._byte_ids(text[begin:end])))
             else:
                 out.append(i)
             end = begin
         return out[::-1]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        out = b"".join(map(self.v.texts.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", errors="replace")
+        out = self._decode_bytes(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", errors="replace")
         return out[1:] if self.v.prefix and out.startswith(" ") else out
 
 
@@ -264,18 +609,13 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, model)
-        for part in vec.chunks(batches, text_col, 1 << 20):
-            ids, sizes, restored = [], [0], []
-            nulls = []
-            for text in part.column(text_col).to_pylist():
-                found = encoder.encode(text or "")
-                nulls.append(text is None)
-                ids.append(found)
-                sizes.append(sizes[-1] + len(found))
-                if check:
-                    restored.append(None if text is None else encoder.decode(found) == text)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)), mask=pa.array(nulls))
-            added = [lists, pa.array(np.diff(sizes).astype(np.int64))] + [pa.array(restored, pa.bool_())] * check
+        for part in vec.chunks(batches, text_col, 1 << 21):
+            texts = part.column(text_col).to_pylist()
+            ids, sizes, restored = encoder.encode_all(texts)
+            nulls = np.array([t is None for t in texts])
+            cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids), mask=pa.array(nulls))
+            added = [lists, pa.array(sizes)] + [pa.array(restored, pa.bool_(), mask=nulls)] * check
             yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[f.name for f in out])
 
     return old.mapInArrow(run, out)

@@ -86,6 +86,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK) ->
             yield batch.slice(a, b - a)
 
 
+def run_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs [start, start + size) of some numbers; runs may be taken anywhere."""
+    power, inverse = _powers(1 << max(16, len(values).bit_length()))
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=sums[1:])
+    return mix((sums[start + size] - sums[start]) * inverse[start] + size.astype(np.uint64) * np.uint64(_B))
+
+
 class Words:
     """All words of some texts: ``hash`` (64 bits), ``start`` and ``end`` (bytes), ``doc`` (index of the text)."""
 
