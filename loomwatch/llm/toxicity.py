@@ -8,10 +8,13 @@ five bytes, which endings don't change. The machine's score is
 so a pair of terms, such as an insult and the mention of a group, can weigh more, or less,
 than both alone.
 
-Which terms are features is decided by counts over all labelled training rows (the likelihood
-ratio of term and label, ``n_terms`` largest). The weights are fitted by Adam on a bounded
-sample of them: ``max_rows`` rows, the first by a hash of the id. Scoring is one pass over the
-texts with broadcast weights of fixed size.
+Which terms are features is decided by counts over all labelled training rows: those whose
+likelihood ratio with the label is ``least_ratio`` or more, a fixed level of significance, so
+their number follows the rows and not a cap (it is at most the number of hash buckets, which
+also bounds the broadcast weights). The weights are fitted by Adam on a bounded sample of the
+rows: ``max_rows`` rows, the first by a hash of the id. Small samples get more epochs, so that
+there are ``least_steps`` steps at least, and a stronger decay. Scoring is one pass over the
+texts.
 
 Cases: null and empty texts have no terms and get sigmoid(w0); without training rows, or with
 one label only, all scores are the share of toxic rows (0 without rows); rows without a label
@@ -38,14 +41,18 @@ FEW = 1_000_000
 
 @dataclass(frozen=True)
 class Settings:
-    n_terms: int = 1024
+    #: A term's G statistic; 10.83 is exceeded by one unrelated term in a thousand.
+    least_ratio: float = 10.83
     min_docs: int = 4
     max_rows: int = 20_000
     factors: int = 8
     epochs: int = 15
     batch: int = 128
     rate: float = 0.02
+    least_steps: int = 600
     decay: float = 2e-3
+    #: Added to ``decay``, divided by the number of rows.
+    row_decay: float = 8.0
     seed: int = 7
 
 
@@ -85,7 +92,7 @@ def _counts(train: DataFrame) -> DataFrame:
 
 
 def _choose(counts: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -> np.ndarray:
-    """The terms whose likelihood ratio with the label is largest, sorted."""
+    """The terms whose likelihood ratio with the label is large enough, sorted."""
     a, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     n = float(n_toxic + n_clean)
 
@@ -94,8 +101,8 @@ def _choose(counts: DataFrame, n_toxic: int, n_clean: int, settings: Settings) -
 
     has, lacks = a + c, F.lit(n) - a - c
     ratio = part(a, has, float(n_toxic)) + part(c, has, float(n_clean)) + part(n_toxic - a, lacks, float(n_toxic)) + part(n_clean - c, lacks, float(n_clean))
-    rows = counts.where(F.col("toxic") + F.col("clean") >= settings.min_docs).select("term", ratio.alias("g")).orderBy(F.desc("g"), "term").limit(settings.n_terms).collect()
-    return np.array(sorted(r.term for r in rows), dtype=np.int64)
+    rows = counts.where((F.col("toxic") + F.col("clean") >= settings.min_docs) & (2 * ratio >= settings.least_ratio)).select("term").toPandas()  # at most 2^24 numbers
+    return np.sort(rows["term"].to_numpy(dtype=np.int64))
 
 
 def _features(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -127,35 +134,44 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def gradient(p: np.ndarray, w0: float, rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the mean logistic loss over some rows, by p (weights, then factors) and w0."""
+    used, place = np.unique(np.concatenate(rows), return_inverse=True)
+    x = np.zeros((len(rows), len(used)))
+    x[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), place] = 1.0
+    w, v = p[used, 0], p[used, 1:]
+    sums = x @ v
+    z = w0 + x @ w + 0.5 * ((sums**2).sum(axis=1) - x @ (v**2).sum(axis=1))
+    e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels) / len(rows)
+    linear = x.T @ e
+    g = np.zeros_like(p)
+    g[used] = np.column_stack([linear, x.T @ (e[:, None] * sums) - linear[:, None] * v])
+    return g, float(e.sum())
+
+
 def fit(terms: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, settings: Settings) -> Machine:
     """Adam on the logistic loss; rows hold places in ``terms``."""
     share = float(labels.mean()) if len(labels) else 0.0
     if not len(terms) or share in (0.0, 1.0):
         return Machine(terms[:0], share, np.zeros(0), np.zeros((0, settings.factors)))
     rng = np.random.default_rng(settings.seed)
-    d, k = len(terms), settings.factors
-    x = np.zeros((len(rows), d), dtype=bool)
-    for i, r in enumerate(rows):
-        x[i, r] = True
+    d, k, n = len(terms), settings.factors, len(rows)
+    at = np.concatenate(rows).astype(np.int64)
+    cut = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     p = np.zeros((d, k + 1))
     p[:, 1:] = rng.normal(0, 0.02, (d, k))
     w0, m0, s0 = np.log(share / (1 - share)), 0.0, 0.0
     m, s, t = np.zeros_like(p), np.zeros_like(p), 0
-    for _ in range(settings.epochs):
-        order = rng.permutation(len(rows))
-        for a in range(0, len(rows), settings.batch):
+    decay = settings.decay + settings.row_decay / n
+    for _ in range(max(settings.epochs, -(-settings.least_steps * settings.batch // n))):
+        order = rng.permutation(n)
+        for a in range(0, n, settings.batch):
             b = order[a : a + settings.batch]
-            xb, v = x[b].astype(float), p[:, 1:]
-            sums = xb @ v
-            z = w0 + xb @ p[:, 0] + 0.5 * ((sums**2).sum(axis=1) - xb @ (v**2).sum(axis=1))
-            e = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels[b]) / len(b)
-            linear = xb.T @ e
-            g = np.column_stack([linear, xb.T @ (e[:, None] * sums) - linear[:, None] * v])
+            g, g0 = gradient(p, w0, [at[cut[i] : cut[i + 1]] for i in b], labels[b])
             t += 1
             m = 0.9 * m + 0.1 * g
             s = 0.999 * s + 0.001 * g * g
-            p -= settings.rate * ((m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8) + settings.decay * p)
-            g0 = e.sum()
+            p -= settings.rate * ((m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8) + decay * p)
             m0, s0 = 0.9 * m0 + 0.1 * g0, 0.999 * s0 + 0.001 * g0 * g0
             w0 -= settings.rate * (m0 / (1 - 0.9**t)) / (np.sqrt(s0 / (1 - 0.999**t)) + 1e-8)
     return Machine(terms, float(w0), p[:, 0].copy(), p[:, 1:].copy())
