@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests) a local one."""
-    sc = spark.sparkContext
+    """The folder in ``spark.checkpoint.dir``. Only a session in one process, as in tests, may do without: it gets a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwatch-"))
-        return sc._jsc.sc().getCheckpointDir().get()
-    return path
+    if path is not None:
+        return path
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwatch-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
