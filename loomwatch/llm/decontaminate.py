@@ -4,194 +4,292 @@ The automaton holds every word run of every benchmark item. A document's words a
 streamed through it; after each word it knows the longest run that ends there and occurs
 in some item. Runs of at least ``window`` words are hits (an item with fewer words is one
 window by itself). Words that occur in no item reset the automaton, so numpy first finds
-the stretches of benchmark words that are long enough, and only those are streamed.
+the stretches of benchmark words that are long enough, and only those are streamed, all
+stretches of a chunk side by side. Words are looked up by a 64-bit hash, and their bytes are
+compared before they count as known.
 
-The benchmark is cut into blocks of at most ``max_words`` words (by a hash of the item id).
-A block's automaton is small and is broadcast; with more than one block, each block is a
-pass of its own and spans are merged by document, so a benchmark of any size works.
+The benchmark is cut into blocks of about ``max_words`` words; long items are cut into pieces
+that overlap by ``window - 1`` words, so each window is in a piece. Tasks build the blocks'
+automata and write them to the shared folder. A block's automaton, of bounded size, is then
+broadcast; with more than one block, each block is a pass of its own over the documents, and
+the spans are merged by text, so a worker holds one block at a time.
 
 Cases: a null text, in documents or items, has no words; documents without words have
-zero counts; repeated item rows and repeated windows count once per item id; repeated
-document ids are told apart by a row key, and each row is judged for itself; an empty
-benchmark hits nothing. Other columns aren't read by ``contamination_report`` and are
-passed through by ``remove_contamination``.
+zero counts; repeated item rows and repeated windows count once per item id; items without
+an id are one item with an empty name; repeated document ids are told apart by their texts,
+and each row is judged for itself; an empty benchmark hits nothing. Other columns aren't read
+by ``contamination_report`` and are passed through by ``remove_contamination``.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwatch.llm import vec
+from loomwatch.llm.shared import map_arrow, remove, written
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast automaton (about 100 bytes each).
-MAX_WORDS = 500_000
+#: Words of benchmark text in one automaton: as arrays about 60 bytes each, and some 500 while it is built.
+MAX_WORDS = 200_000
+#: Words of an item that stay together.
+PIECE = 10_000
+
+
+class _Growing:
+    """A suffix automaton of several word sequences while it is built; words are numbers."""
+
+    def __init__(self):
+        self.step: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def extend(self, last: int, word: int) -> int:
+        """The state of the sequence so far with one more word."""
+        known = self.step[last].get(word)
+        if known is not None:
+            return known if self.length[known] == self.length[last] + 1 else self._split(last, word, known)
+        new = self._state({}, 0, self.length[last] + 1)
+        at = last
+        while at >= 0 and word not in self.step[at]:
+            self.step[at][word] = new
+            at = self.link[at]
+        if at >= 0:
+            to = self.step[at][word]
+            self.link[new] = to if self.length[to] == self.length[at] + 1 else self._split(at, word, to)
+        return new
+
+    def _state(self, step: dict[int, int], link: int, length: int) -> int:
+        self.step.append(step)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.step) - 1
+
+    def _split(self, at: int, word: int, to: int) -> int:
+        """A state for the shorter runs of ``to``, those that ``at`` leads to."""
+        half = self._state(dict(self.step[to]), self.link[to], self.length[at] + 1)
+        self.link[to] = half
+        while at >= 0 and self.step[at].get(word) == to:
+            self.step[at][word] = half
+            at = self.link[at]
+        return half
 
 
 @dataclass
 class Automaton:
-    """Suffix automaton of several word sequences; words are numbers."""
+    """A finished suffix automaton as arrays, and which windows of which items its states are."""
 
-    window: int
+    window: int = WINDOW
+    #: Sorted hashes of all words, and their bytes one behind the other.
     vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
-    step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    #: Of each state, what a match of some length means: (least length, items of that window).
-    windows: list[list[tuple[int, frozenset[str]]]] = field(default_factory=list)
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
+    letters: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint8))
+    #: Sorted (state, word) as one number, and the state that it leads to.
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    to: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))
+    link: np.ndarray = field(default_factory=lambda: np.full(1, -1, dtype=np.int32))
+    length: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int32))
+    #: The nearest state with windows, going up the links, and the shortest window of it and those above.
+    marked: np.ndarray = field(default_factory=lambda: np.full(1, -1, dtype=np.int32))
+    least: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int32))
+    #: By state: (words of the window, its items).
+    windows: dict[int, list[tuple[int, list[str]]]] = field(default_factory=dict)
     shortest: int = 0
 
-    def _extend(self, last: int, word: int) -> int:
-        step, link, length = self.step, self.link, self.length
-        if word in step[last]:
-            to = step[last][word]
-            if length[to] == length[last] + 1:
-                return to
-            return self._clone(last, word, to)
-        new = len(step)
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p >= 0 and word not in step[p]:
-            step[p][word] = new
-            p = link[p]
-        if p >= 0:
-            to = step[p][word]
-            link[new] = to if length[to] == length[p] + 1 else self._clone(p, word, to)
-        return new
-
-    def _clone(self, p: int, word: int, to: int) -> int:
-        step, link, length = self.step, self.link, self.length
-        copy = len(step)
-        step.append(dict(step[to]))
-        link.append(link[to])
-        length.append(length[p] + 1)
-        link[to] = copy
-        while p >= 0 and step[p].get(word) == to:
-            step[p][word] = copy
-            p = link[p]
-        return copy
-
-    def _state_of(self, words: list[int]) -> int:
-        state = 0
-        for w in words:
-            state = self.step[state][w]
-        return state
-
     @classmethod
-    def build(cls, items: list[tuple[str, np.ndarray]], window: int) -> Automaton:
-        """items: (item id, word hashes)."""
+    def build(cls, items: list[tuple[str, list[bytes]]], window: int) -> Automaton:
+        """items: (item id, words in lower case)."""
         out = cls(window)
-        items = [x for x in items if len(x[1])]
+        items = [x for x in items if x[1]]
         if not items:
             return out
-        out.vocabulary = np.unique(np.concatenate([h for _, h in items]))
-        coded = [(i, np.searchsorted(out.vocabulary, h).tolist()) for i, h in items]
+        names = sorted({w for _, words in items for w in words})
+        found = vec.Words(*vec.text_bytes(pa.array(names, pa.binary()).cast(pa.string())), separators=vec.NOT_ALNUM)
+        order = np.argsort(found.hash)
+        names = [names[i] for i in order]
+        out.vocabulary = found.hash[order]
+        out.letters = np.frombuffer(b"".join(names), dtype=np.uint8)
+        out.begin = np.concatenate([[0], np.cumsum([len(x) for x in names])])
+        code = {w: i for i, w in enumerate(names)}
+        grown, marks = _Growing(), {}
+        coded = [(item, [code[w] for w in words]) for item, words in items]
         for _, words in coded:
             last = 0
             for w in words:
-                last = out._extend(last, w)
-        out.shortest = min(min(len(w), window) for _, w in coded)
-        marks: dict[int, dict[int, set[str]]] = {}
+                last = grown.extend(last, w)
         for item, words in coded:
-            if len(words) < window:
-                marks.setdefault(out._state_of(words), {}).setdefault(len(words), set()).add(item)
-            else:  # the state of each prefix, cut back to the last ``window`` words
-                state, n = 0, 0
-                for w in words:
-                    state, n = out._next(state, n, w)
-                    top = state
-                    while top and out.length[out.link[top]] >= window:
-                        top = out.link[top]
-                    if n >= window:
-                        marks.setdefault(top, {}).setdefault(window, set()).add(item)
-        frozen = {s: sorted((n, frozenset(i)) for n, i in by.items()) for s, by in marks.items()}
-        out.windows = [[] for _ in out.step]
-        for s in sorted(range(len(out.step)), key=out.length.__getitem__):
-            above = out.windows[out.link[s]] if s else []
-            out.windows[s] = above + frozen[s] if s in frozen else above
+            size = min(len(words), window)
+            state, n = 0, 0
+            for w in words:  # the state of the last ``size`` words, at each of them
+                state, n = grown.step[state][w], n + 1
+                while n > size and grown.length[grown.link[state]] >= size:
+                    state = grown.link[state]
+                    n = grown.length[state]
+                if n >= size:
+                    marks.setdefault(state, {}).setdefault(size, set()).add(item)
+        out.shortest = min(min(len(w), window) for _, w in coded)
+        n, v = len(grown.step), len(names)
+        keys = np.array([s * v + w for s, step in enumerate(grown.step) for w in step], dtype=np.int64)
+        to = np.array([t for step in grown.step for t in step.values()], dtype=np.int32)
+        at = np.argsort(keys)
+        out.steps, out.to = keys[at], to[at]
+        out.link, out.length = np.array(grown.link, dtype=np.int32), np.array(grown.length, dtype=np.int32)
+        out.windows = {s: sorted((size, sorted(i)) for size, i in by.items()) for s, by in marks.items()}
+        out.marked, out.least = np.full(n, -1, dtype=np.int32), np.full(n, np.iinfo(np.int32).max, dtype=np.int32)
+        for s in np.argsort(out.length, kind="stable").tolist():
+            up = grown.link[s]
+            if up >= 0:
+                out.marked[s], out.least[s] = out.marked[up], out.least[up]
+            if s in out.windows:
+                out.marked[s], out.least[s] = s, min(out.least[s], out.windows[s][0][0])
         return out
 
-    def _next(self, state: int, n: int, word: int) -> tuple[int, int]:
-        while state and word not in self.step[state]:
-            state = self.link[state]
-            n = self.length[state]
-        to = self.step[state].get(word)
-        return (0, 0) if to is None else (to, n + 1)
-
-    def scan(self, words: list[int]) -> Iterator[tuple[int, int, frozenset[str]]]:
-        """(first word, last word + 1, items) of every window occurrence, and of the longest runs."""
-        state = n = 0
-        for i, w in enumerate(words):
-            state, n = self._next(state, n, w)
-            for least, items in self.windows[state] if self.windows else ():
-                if n >= least:
-                    yield i + 1 - least, i + 1, items
-
-
-def _stretches(codes: np.ndarray, known: np.ndarray, breaks: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Runs of at least ``least`` known words that no text boundary cuts."""
-    if not len(codes):
-        return
-    edge = np.ones(len(codes) + 1, dtype=bool)
-    edge[1:-1] = (known[1:] != known[:-1]) | breaks[1:]
-    at = np.flatnonzero(edge)
-    size = np.diff(at)
-    for k in np.flatnonzero((size >= max(1, least)) & known[at[:-1]]):
-        yield int(at[k]), int(at[k + 1])
+    def known(self, words: vec.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(word of the vocabulary, whether it is that word) of each word."""
+        if not len(self.vocabulary) or not len(words.hash):
+            return np.zeros(len(words.hash), dtype=np.int64), np.zeros(len(words.hash), dtype=bool)
+        codes = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
+        return codes, self.vocabulary[codes] == words.hash
+
+    def same_bytes(self, words: vec.Words, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether the words at these places are, byte by byte, those of the vocabulary."""
+        begin, size = self.begin[codes], self.begin[codes + 1] - self.begin[codes]
+        same = words.end[at] - words.start[at] == size
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        mine = np.repeat(words.start[at], size) + step
+        wrong = vec.LOWER[words.raw[np.minimum(mine, len(words.raw) - 1)]] != self.letters[np.repeat(begin, size) + step]
+        return same & (np.bincount(np.repeat(np.arange(len(at)), size), weights=wrong, minlength=len(at)) == 0)
+
+    def walk(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, state, words matched) of all words of the stretches [start, end) at which a window ends; all stretches at once."""
+        order = np.argsort(start - end, kind="stable")
+        start, size = start[order], (end - start)[order]
+        state, n = np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        found = []
+        for k in range(int(size[0]) if len(size) else 0):
+            m = int(np.searchsorted(-size, -k))  # stretches longer than k come first
+            word = codes[start[:m] + k]
+            todo = np.arange(m)
+            while len(todo):
+                key = state[todo] * len(self.vocabulary) + word[todo]
+                at = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+                there = self.steps[at] == key
+                state[todo[there]] = self.to[at[there]]
+                n[todo[there]] += 1
+                todo = todo[~there & (state[todo] > 0)]  # the first state steps by all words of the vocabulary
+                state[todo] = self.link[state[todo]]
+                n[todo] = self.length[state[todo]]
+            hit = np.flatnonzero(n[:m] >= self.least[state[:m]])
+            if len(hit):
+                found.append((start[hit] + k, state[hit], n[hit]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 3
+
+    def windows_at(self, state: int, n: int) -> Iterator[tuple[int, list[str]]]:
+        """(words, items) of all windows that end where a run of n words led to this state."""
+        s = int(self.marked[state])
+        while s >= 0:
+            for size, items in self.windows[s]:
+                if n >= size:
+                    yield size, items
+            s = int(self.marked[self.link[s]]) if self.link[s] >= 0 else -1
 
 
 def find_hits(texts: pa.Array, auto: Automaton) -> tuple[vec.Words, np.ndarray, dict[int, set[str]]]:
     """The words of the texts, which of them are hit, and by text the items found in it."""
     words = vec.Words(*vec.text_bytes(texts), separators=vec.NOT_ALNUM)
     hit, items = np.zeros(len(words.hash), dtype=bool), {}
-    if len(auto.vocabulary) and len(words.hash):
-        codes = np.minimum(np.searchsorted(auto.vocabulary, words.hash), len(auto.vocabulary) - 1)
-        known = auto.vocabulary[codes] == words.hash
-        breaks = np.zeros(len(codes), dtype=bool)
-        breaks[words.at[:-1][words.at[:-1] < len(codes)]] = True
-        for a, b in _stretches(codes, known, breaks, auto.shortest):
-            for s, e, found in auto.scan(codes[a:b].tolist()):
-                hit[a + s : a + e] = True
-                items.setdefault(int(words.doc[a]), set()).update(found)
+    codes, known = auto.known(words)
+    start, end = _stretches(known, words.at, auto.shortest)
+    if len(start):
+        at = np.repeat(start - np.cumsum(end - start) + (end - start), end - start) + np.arange(int((end - start).sum()))
+        known[at] = auto.same_bytes(words, at, codes[at])
+        start, end = _stretches(known, words.at, auto.shortest)
+    place, state, n = auto.walk(codes, start, end)
+    for p, s, k in zip(place.tolist(), state.tolist(), n.tolist(), strict=True):
+        for size, found in auto.windows_at(s, k):
+            hit[p + 1 - size : p + 1] = True
+            items.setdefault(int(words.doc[p]), set()).update(found)
     return words, hit, items
 
 
+def _stretches(known: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of all runs of at least ``least`` known words that no text's beginning (at) cuts."""
+    if not known.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    edge = np.ones(len(known) + 1, dtype=bool)
+    edge[1:-1] = known[1:] != known[:-1]
+    edge[at[:-1]] = True
+    cut = np.flatnonzero(edge)
+    keep = (np.diff(cut) >= max(1, least)) & known[cut[:-1]]
+    return cut[:-1][keep], cut[1:][keep]
+
+
 def _spans(mask: np.ndarray) -> list[list[int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     return edge.reshape(-1, 2).tolist()
 
 
-def automata(spark: SparkSession, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> list:
-    """A broadcast automaton for each block of the benchmark."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * max_words)))  # two characters a word at least
-    out = []
-    for k in range(blocks):
-        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)).collect()  # a bounded block
-        words = vec.Words(*vec.text_bytes(pa.array([r.t for r in rows], pa.string())), separators=vec.NOT_ALNUM)
-        out.append(spark.sparkContext.broadcast(Automaton.build([(r.i, words.hash[a:b]) for r, a, b in zip(rows, words.at, words.at[1:], strict=False)], window)))
-    return out
+def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS) -> DataFrame:
+    """(block, data): a table with the automaton of each block of the benchmark, built in tasks."""
+    spark = benchmark.sparkSession
+    if window > PIECE:
+        raise ValueError(f"a window has at most {PIECE} words")
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("_item"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in vec.chunks(batches, "_text"):
+            words = vec.Words(*vec.text_bytes(part.column("_text")), separators=vec.NOT_ALNUM)
+            raw = vec.LOWER[words.raw].tobytes()
+            rows = [
+                (item, no, [raw[words.start[k] : words.end[k]] for k in range(at, min(at + PIECE, b))])
+                for item, a, b in zip(part.column("_item").to_pylist(), words.at, words.at[1:], strict=False)
+                for no, at in enumerate(range(a, max(a + 1, b - window + 1), PIECE - window + 1))
+                if b > a
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.list_(pa.binary())))], names=["item", "no", "words"])
+
+    pieces = written(items.mapInArrow(cut, "item string, no int, words array<binary>").distinct(), "pieces")
+    size = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, -(-size // max_words))
+
+    def build(key, rows):
+        found = Automaton.build(list(zip(rows["item"], (list(w) for w in rows["words"]), strict=True)), window)
+        import pandas as pd
+
+        return pd.DataFrame({"block": [key[0]], "data": [pickle.dumps(found)]})
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "no"), F.lit(blocks)).cast("int"))
+    out = written(dealt.groupBy("block").applyInPandas(build, "block int, data binary"), "automata")
+    remove(pieces)
+    return out if size else spark.createDataFrame([(0, pickle.dumps(Automaton(window)))], "block int, data binary")
+
+
+def _shared(blocks: DataFrame) -> list[Broadcast[bytes]]:
+    """The automata one by one; the driver holds one of them at a time."""
+    sc = blocks.sparkSession.sparkContext
+    return [sc.broadcast(blocks.where(F.col("block") == r.block).first().data) for r in blocks.select("block").collect()]
+
+
+def _loaded(shared: Broadcast[bytes]) -> Automaton:
+    return pickle.loads(shared.value)  # noqa: S301  (made by ``automata``)
 
 
 SPANS = "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
 
 
-def hit_spans(docs: DataFrame, key_col: str, text_col: str, blocks: list) -> DataFrame:
+def hit_spans(docs: DataFrame, key_col: str, text_col: str, blocks: DataFrame) -> DataFrame:
     """A row for each document: n_words, spans of hit words (first, end), items that occur."""
     kind = docs.schema[key_col].dataType.simpleString()
 
-    def scanner(shared):
+    def scanner(shared: Broadcast[bytes]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = shared.value
+            auto = _loaded(shared)
             for part in vec.chunks(batches, "_text"):
                 words, hit, items = find_hits(part.column("_text"), auto)
                 spans = [[{"first": s, "end": e} for s, e in _spans(hit[a:b])] if i in items else [] for i, (a, b) in enumerate(zip(words.at, words.at[1:], strict=False))]
@@ -208,7 +306,7 @@ def hit_spans(docs: DataFrame, key_col: str, text_col: str, blocks: list) -> Dat
         return run
 
     source = docs.selectExpr(f"`{key_col}` AS _key", f"`{text_col}` AS _text")
-    parts = [source.mapInArrow(scanner(b), f"_key {kind}, {SPANS}") for b in blocks]
+    parts = [source.mapInArrow(scanner(b), f"_key {kind}, {SPANS}") for b in _shared(blocks)]
     if len(parts) == 1:
         return parts[0].withColumnRenamed("_key", key_col)
     out = parts[0]
@@ -230,15 +328,26 @@ def hit_spans(docs: DataFrame, key_col: str, text_col: str, blocks: list) -> Dat
     return out.groupBy("_key").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumnRenamed("_key", key_col)
 
 
+def _digest(text_col: str):
+    """What tells texts apart; null has none."""
+    return F.sha2(F.col(f"`{text_col}`").cast("binary"), 256)
+
+
+def _spans_of_texts(docs: DataFrame, text_col: str, blocks: DataFrame) -> DataFrame:
+    """(_digest, n_words, spans, items) of each distinct text, over all blocks."""
+    texts = docs.select(_digest(text_col).alias("_digest"), F.col(f"`{text_col}`").alias("_t")).where("_t IS NOT NULL").dropDuplicates(["_digest"])
+    return hit_spans(texts, "_digest", "_t", blocks)
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS, coverage: int = 20) -> DataFrame:
     """A row for each document: counts, hit spans, items, and whether at least one word in ``coverage`` is hit."""
-    blocks = automata(docs.sparkSession, benchmark, item_col, window=window, max_words=max_words)
-    if len(blocks) == 1:
+    blocks = automata(benchmark, item_col, window=window, max_words=max_words)
+    if blocks.count() == 1:
         found = hit_spans(docs, id_col, text_col, blocks)
-    else:  # rows are told apart by a key that any attempt of a task makes alike
-        keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("_row"), F.col(text_col).alias("_t")).distinct()
-        copies = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("_row"), F.col(id_col))
-        found = copies.join(hit_spans(keyed, "_row", "_t", blocks), "_row").drop("_row")
+    else:
+        rows = docs.select(F.col(id_col), _digest(text_col).alias("_digest")).join(_spans_of_texts(docs, text_col, blocks), "_digest", "left")
+        empty = {c: F.array().cast(docs.sparkSession.createDataFrame([], SPANS).schema[c].dataType) for c in ("spans", "items")}
+        found = rows.select(id_col, F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["first"])
     return (
         found.withColumn("n_hit", n_hit)
@@ -247,10 +356,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
     )
 
 
-def cut_text(texts: pa.Array, blocks: list[Automaton], coverage: int) -> tuple[list[str | None], list[bool]]:
-    """Each text without the hit spans, and whether it stays (its coverage is below the limit)."""
-    hits = [find_hits(texts, a) for a in blocks]
-    words, hit = hits[0][0], np.logical_or.reduce([h for _, h, _ in hits])
+def cut_text(texts: pa.Array, words: vec.Words, hit: np.ndarray, coverage: int) -> tuple[list[str | None], list[bool]]:
+    """Each text without its hit words, and whether it stays (its coverage is below the limit)."""
     out, stays = texts.to_pylist(), []
     for i, (a, b) in enumerate(zip(words.at, words.at[1:], strict=False)):
         n = int(hit[a:b].sum())
@@ -267,16 +374,35 @@ def cut_text(texts: pa.Array, blocks: list[Automaton], coverage: int) -> tuple[l
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, max_words: int = MAX_WORDS, coverage: int = 20) -> DataFrame:
     """Drops documents over the coverage limit and cuts the hit spans (``window`` words or more) from the others."""
-    shared = automata(docs.sparkSession, benchmark, item_col, window=window, max_words=max_words)
+    blocks = automata(benchmark, item_col, window=window, max_words=max_words)
+    if blocks.count() == 1:
+        shared = _shared(blocks)[0]
+        rows = docs
+    else:  # the spans of all blocks, joined by text
+        shared = None
+        held = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+        rows = docs.select(held, F.col(f"`{text_col}`").alias("_t"), _digest(text_col).alias("_digest")).join(_spans_of_texts(docs, text_col, blocks).select("_digest", "spans"), "_digest", "left")
+        rows = rows.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("spans").alias("_spans"))
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [b.value for b in shared]
+        auto = _loaded(shared) if shared is not None else None
         for part in vec.chunks(batches, text_col):
-            texts, stays = cut_text(part.column(text_col), blocks, coverage)
+            column = part.column(text_col)
+            if auto is not None:
+                words, hit, _ = find_hits(column, auto)
+            else:
+                words = vec.Words(*vec.text_bytes(column), separators=vec.NOT_ALNUM)
+                hit = np.zeros(len(words.hash), dtype=bool)
+                for i, spans in enumerate(part.column(n).to_pylist()):
+                    for s in spans or ():
+                        hit[words.at[i] + s["first"] : words.at[i] + s["end"]] = True
+            texts, stays = cut_text(column, words, hit, coverage)
             k = part.schema.get_field_index(text_col)
-            yield part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type)).filter(pa.array(stays))
+            done = part.set_column(k, part.schema.field(k), pa.array(texts, part.schema.field(k).type)).filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays(done.columns[:n], schema=pa.schema(list(done.schema)[:n]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(rows, run, docs.schema)
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwatch.llm import vec
+from loomwatch.llm.shared import map_arrow
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -618,7 +619,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, mod
             added = [lists, pa.array(sizes)] + [pa.array(restored, pa.bool_(), mask=nulls)] * check
             yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[f.name for f in out])
 
-    return old.mapInArrow(run, out)
+    return map_arrow(old, run, out)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", vocabulary: str = MODEL) -> DataFrame:
@@ -633,7 +634,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "text", vocabu
             texts = [None if x is None else encoder.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[f.name for f in out])
 
-    return old.mapInArrow(run, out)
+    return map_arrow(old, run, out)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwatch.llm import vec
+from loomwatch.llm.shared import map_arrow
 
 SYMBOLS = vec.table(b"#*$%&|<>")
 SCHEMA = (
@@ -130,7 +131,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text", bands: CompressionBand
         for part in vec.chunks(batches, text_col):
             yield part.filter(pa.array(_judge(part.column(text_col), bands)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,25 @@
-"""Where operators keep what all executors must see."""
+"""What operators of this subpackage share: the folder that all executors see, and row-wise Arrow functions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from loomwatch.shared import remove, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (as in tests) a local one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwatch-"))
-        return sc._jsc.sc().getCheckpointDir().get()
-    return path
+__all__ = ["map_arrow", "remove", "shared_dir", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again, which also cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for any column names: that one can't read names with dots."""
+    names = df.columns
+    safe = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema.fields)])
 
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=safe.names)
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(inner, safe).toDF(*schema.names)

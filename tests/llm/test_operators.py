@@ -118,6 +118,26 @@ def test_decontamination_cuts_spans(spark):
     df = spark.createDataFrame([(1, clean + "\nSee Q0 " + item[3:] + "! End.", 0), (2, item, 0), (3, clean, 0)], "doc_id long, text string, extra int")
     out = {r.doc_id: r for r in decontaminate.remove_contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(out) == {1, 3} and out[3].text == clean and out[1].text == clean + "\nSee ! End."
+    more = spark.createDataFrame([(1, item), (2, "zz yy"), (3, " ".join(f"q{i}" for i in range(2, 15)))], "item_id long, text string")
+    twice = df.withColumnRenamed("extra", "a.b").union(spark.createDataFrame([(4, None, 1), (1, clean, 2)], "doc_id long, text string, `a.b` int"))
+    for words in (500_000, 1):
+        out = decontaminate.remove_contamination(twice, more, max_words=words)
+        assert out.columns == twice.columns
+        assert sorted((r.doc_id, r.text or "") for r in out.collect()) == sorted([(1, clean + "\nSee ! End."), (3, clean), (4, ""), (1, clean)])
+
+
+def test_decontamination_of_random_texts(spark, monkeypatch):
+    """Few words, so that runs of all lengths repeat; pieces of items overlap."""
+    monkeypatch.setattr(decontaminate, "PIECE", 6)
+    r = random.Random(12)
+    text = lambda n: " ".join(r.choice(["a", "b", "Cc", "é", "d-d"]) for _ in range(n))
+    items = [(i, text(r.choice([0, 1, 2, 3, 4, 9, 20]) if i > 2 else 8)) for i in range(14)] + [(None, "é é é é cc"), (3, "b b b b b b b b b b b")]
+    texts = [(i, text(r.choice([0, 3, 40]))) for i in range(40)] + [(40, "a " * 30_000)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for words in (10_000, 15):
+        got = {x.doc_id: x for x in decontaminate.contamination_report(df, bench, window=4, max_words=words).collect()}
+        for i, t in texts:
+            assert (got[i].n_words, got[i].n_hit, got[i]["items"], got[i].contaminated) == brute_hits(t, [("" if k is None else k, x) for k, x in items], 4), i
 
 
 def brute_components(rows, k=5):
