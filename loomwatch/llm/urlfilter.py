@@ -1,7 +1,7 @@
 """URL filters: a sorted array of 64-bit digests, probed by vectorised binary search.
 
 A rule is a host and a path. Its key, ``host + path``, is hashed by xxhash; the hashes are
-sorted, and the rules' strings are kept in the same order. Each task maps the array into
+sorted, and the rules' strings are kept in the same order, in Arrow columns. Each task maps the array into
 memory from a file of its own, probes it with the digests of all (domain suffix, path prefix)
 pairs of a batch of urls at once, and compares the stored string of each hit, so a collision
 of digests can't match. Path prefixes are only tried at the lengths that rules have.
@@ -23,10 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwatch.llm.shared import map_arrow
+
 DEFAULT = "allow"
 MAX_BYTES = 64 << 20
 OUT = [("host", "string"), ("path", "string"), ("rule", "string"), ("verdict", "string")]
@@ -55,19 +58,26 @@ def _clean(rules: DataFrame) -> DataFrame:
 class DigestArray:
     """Sorted digests with their strings; ``data`` is what is broadcast."""
 
-    def __init__(self, data: tuple[bytes, list[tuple[str, str, str]], list[int]]):
-        digests, self.rules, self.lengths = data
+    def __init__(self, data: tuple[bytes, bytes, list[int]]):
+        digests, strings, self.lengths = data
+        self.rules = pa.ipc.open_stream(strings).read_all()
         with tempfile.NamedTemporaryFile(delete=False) as f:
             f.write(digests)
         self.digests = np.memmap(f.name, dtype=np.uint64, mode="r") if digests else np.zeros(0, dtype=np.uint64)
         os.unlink(f.name)  # the mapping stays, the name goes
 
     @staticmethod
-    def build(rules: list[tuple[str, str, str]]) -> tuple[bytes, list[tuple[str, str, str]], list[int]]:
+    def build(rules: pa.Table) -> tuple[bytes, bytes, list[int]]:
+        """rules: columns host, path, verdict, all strings."""
         import xxhash
 
-        keyed = sorted((xxhash.xxh64_intdigest(h + p), h, p, v) for h, p, v in rules)
-        return np.array([k[0] for k in keyed], dtype=np.uint64).tobytes(), [k[1:] for k in keyed], sorted({len(p) for _, p, _ in rules})
+        keys = pc.binary_join_element_wise(rules["host"], rules["path"], "")
+        digests = np.fromiter((xxhash.xxh64_intdigest(k.as_py()) for k in keys), dtype=np.uint64, count=len(keys))
+        order = np.argsort(digests, kind="stable")
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rules.schema) as out:
+            out.write_table(rules.take(pa.array(order)))
+        return digests[order].tobytes(), sink.getvalue().to_pybytes(), np.unique(pc.utf8_length(rules["path"]).to_numpy()).tolist()
 
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
         """Of each url its longest rule (rule, verdict), or None."""
@@ -88,7 +98,7 @@ class DigestArray:
             wanted = np.array(digests, dtype=np.uint64)
             a, b = np.searchsorted(self.digests, wanted, "left"), np.searchsorted(self.digests, wanted, "right")
             for k in np.flatnonzero(a < b):
-                for host, path, verdict in self.rules[a[k] : b[k]]:
+                for host, path, verdict in zip(*(c.to_pylist() for c in self.rules.slice(a[k], b[k] - a[k]).columns), strict=True):
                     if (host, path) == parts[k]:
                         found = (len(host) + len(path), len(host), host + path, verdict)
                         if best[owner[k]] is None or found > best[owner[k]]:
@@ -101,32 +111,34 @@ def _by_join(urls: DataFrame, rules: DataFrame, url_col: str, default: str) -> D
     lengths = F.broadcast(rules.select(F.length("path").alias("len")).distinct().agg(F.sort_array(F.collect_set("len")).alias("lens")))  # one row, of different lengths
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    distinct = urls.select(F.col(url_col).alias("_url")).distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")).where("host <> ''")
+    distinct = urls.select(F.col(f"`{url_col}`").alias("_url")).distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")).where("host <> ''")
     tried = distinct.join(lengths).select("_url", F.explode(suffixes).alias("host"), "path", "lens")
     tried = tried.select("_url", "host", F.explode(F.transform(F.filter("lens", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("path"))
     rank = F.struct((F.length("host") + F.length("path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), "verdict")
     best = tried.join(rules, ["host", "path"]).groupBy("_url").agg(F.max(rank).alias("_best"))
-    joined = urls.join(best, F.col(url_col) == F.col("_url"), "left")
-    new = [host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")]
-    return joined.select(*[F.col(c) for c in urls.columns if c not in dict(OUT)], *new)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(urls.columns)]).alias("_row")
+    joined = urls.select(row, F.col(f"`{url_col}`").alias("_u")).join(best, F.col("_u") == F.col("_url"), "left")
+    new = [host_of(F.col("_u")).alias("host"), path_of(F.col("_u")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")]
+    return joined.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(urls.columns)], *new)
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """urls with host, path, rule and verdict (which replace columns of these names). rules: (host, path, verdict)."""
     rules = _clean(rules)
-    urls = urls.select(*[c for c in urls.columns if c == url_col or c not in dict(OUT)])
-    if (rules.agg(F.sum(F.length("host") + F.length("path") + 24)).first()[0] or 0) > max_bytes:
+    urls = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c == url_col or c not in dict(OUT)])
+    if (rules.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 32)).first()[0] or 0) > max_bytes:
         return _by_join(urls, rules, url_col, default)
-    shared = urls.sparkSession.sparkContext.broadcast(DigestArray.build([tuple(r) for r in rules.collect()]))  # of checked size
+    shared = urls.sparkSession.sparkContext.broadcast(DigestArray.build(rules.select("host", "path", "verdict").toArrow().cast(pa.schema([(c, pa.string()) for c in ("host", "path", "verdict")]))))  # of checked size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(shared.value)
         for batch in batches:
-            found = array.judge(batch.column("host").to_pylist(), batch.column("path").to_pylist())
+            found = array.judge(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist())
             yield batch.append_column("rule", pa.array([x and x[0] for x in found], pa.string())).append_column("verdict", pa.array([x[1] if x else default for x in found], pa.string()))
 
-    parts = urls.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    return parts.mapInArrow(run, T.StructType([*parts.schema, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
+    n, url = len(urls.columns), F.col(f"`{url_col}`")
+    parts = urls.withColumns({"host": host_of(url), "path": path_of(url)})
+    return map_arrow(parts, run, T.StructType([*parts.schema, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())]))
 
 
 #: The rules of the query: (host, path, verdict).
