@@ -35,8 +35,8 @@ from loomwatch.llm.shared import written
 MIN_CHARS = 24
 #: Lines of up to so many characters are cut into two blocks.
 TWO_BLOCKS = 1024
-#: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
-FEW = 1_000_000
+#: Bytes of a table that may be broadcast; larger ones are joined by a shuffle.
+FEW = 32 << 20
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -115,20 +115,20 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc", "no", to["doc"].alias("first_doc"), to["no"].alias("first_no"))
 
 
-def _few(df: DataFrame, name: str, weight: Column | None = None) -> DataFrame:
-    """A written table, to be broadcast if it is small: its rows, or the sum of their weights, are counted first."""
+def _few(df: DataFrame, name: str, row: int, items: str | None = None) -> DataFrame:
+    """A written table, to be broadcast if it is small: its bytes are reckoned first, from those of a row and 8 for each of its ``items``."""
     df = written(df, name)
-    size = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    size = df.agg(F.sum(F.lit(row) + (8 * F.size(items) if items else 0))).first()[0] or 0
     return F.broadcast(df) if size <= FEW else df
 
 
 def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> DataFrame:
     """(at, to) of distinct lines: the places of a line and of its earliest neighbour by one edit, if that is earlier."""
     frames = firsts.select(F.posexplode("frames").alias("x", "f"), "h", "at", "n")
-    shared = _few(frames.select("f", "h").groupBy("f").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("f"), "frames")
+    shared = _few(frames.select("f", "h").groupBy("f").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("f"), "frames", 32)
     near = written(frames.join(shared, "f").select("f", "x", "n", "at"), "near")
     # The texts come from their documents; only these documents' lines are made again.
-    wanted = _few(near.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos")), "wanted", F.size("nos"))
+    wanted = _few(near.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("nos")), "wanted", 100, "nos")
     texts = docs.select(_doc(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc")
     cut = texts.select("doc", F.explode(_bind(F.split("text", "\n"), lambda x: F.transform("nos", lambda i: F.struct(i.alias("no"), F.get(x, i).alias("line"))))).alias("e"))
     lines = written(cut.select(F.struct("doc", "e.no").alias("at"), "e.line").dropDuplicates(["at"]), "near")
@@ -164,40 +164,41 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
         .where("least <> most")
     )
     earlier = F.when(F.col("kind") == 2, F.col("least")).when(F.col("kind") == 0, F.col("cut")).otherwise(F.col("whole"))
-    pairs = keyed.join(_few(best, "keys"), "v").select("at", earlier.alias("to")).where("to < at").groupBy("at").agg(F.min("to").alias("to"))
+    pairs = keyed.join(_few(best, "keys", 200), "v").select("at", earlier.alias("to")).where("to < at").groupBy("at").agg(F.min("to").alias("to"))
     left = lines.withColumnRenamed("line", "a")
     right = lines.select(F.col("at").alias("to"), F.col("line").alias("b"))
     return pairs.join(left, "at").join(right, "to").where(F.levenshtein("a", "b", 1) >= 0).select("at", "to")
 
 
 def _with_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
-    """docs with a column ``_lines``: n_lines, n_kept and the text of those that are kept."""
+    """(_row, _text, _lines): docs' columns by number, the text, and n_lines, n_kept and the text of the lines that are kept."""
     gone = find_duplicate_lines(docs, id_col, text_col, min_chars, max_edits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone"))
-    gone = _few(gone, "gone", F.size("_gone"))
-    joined = docs.join(gone, _doc(id_col, text_col) == F.col("_doc"), "left")
+    gone = _few(gone, "gone", 100, "_gone")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    joined = docs.select(row, F.col(text_col).alias("_text"), _doc(id_col, text_col).alias("_key")).join(gone, F.col("_key") == F.col("_doc"), "left")
 
     def kept(x: Column) -> Column:
         stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone")
         left = F.when(F.col("_gone").isNull(), x).otherwise(F.transform(stay, lambda i: F.get(x, i)))
         return _bind(left, lambda y: F.struct(F.size(x).alias("n_lines"), F.size(y).alias("n_kept"), F.array_join(y, "\n").alias("text")))
 
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], _bind(F.split(F.col(text_col), "\n"), kept).alias("_lines"))
+    return joined.select("_row", "_text", _bind(F.split("_text", "\n"), kept).alias("_lines"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = 1) -> DataFrame:
     """The documents without lines that repeat earlier ones; a document that loses all its words is dropped."""
     found = _with_lines(docs, id_col, text_col, min_chars, max_edits)
     text = F.col("_lines.text")
-    stays = F.col(text_col).isNull() | (F.col("_lines.n_lines") == F.col("_lines.n_kept")) | text.rlike(r"[^\x20\x09-\x0D]")
-    return found.where(stays).select(*[F.when(F.col(f"`{c}`").isNotNull(), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    stays = F.col("_text").isNull() | (F.col("_lines.n_lines") == F.col("_lines.n_kept")) | text.rlike(r"[^\x20\x09-\x0D]")
+    return found.where(stays).select(*[(F.when(F.col("_text").isNotNull(), text) if c == text_col else F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents that repeat an earlier line of the corpus, up to one edit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = _with_lines(docs, "doc_id", "text", MIN_CHARS, 1).withColumn("null", F.col("text").isNull())
+    found = _with_lines(docs, "doc_id", "text", MIN_CHARS, 1).withColumn("null", F.col("_text").isNull())
     size = lambda c: F.when(F.col("null"), 0).otherwise(F.col(f"_lines.{c}")).cast("long").alias(c)
-    return found.select("doc_id", size("n_lines"), size("n_kept"), F.sha2(F.when(F.col("null"), "").otherwise(F.col("_lines.text")), 256).alias("kept_sha256"))
+    return found.select(F.col("_row.c0").alias("doc_id"), size("n_lines"), size("n_kept"), F.sha2(F.when(F.col("null"), "").otherwise(F.col("_lines.text")), 256).alias("kept_sha256"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
