@@ -1,18 +1,21 @@
 """A content-addressed WARC archive.
 
 The archive is two tables. ``payloads`` holds the bytes of each distinct payload once, under
-their SHA-256. ``headers`` holds the exact header block of each record, and which payload it
-goes with. A WARC record is rebuilt by joining the two; a revisit record is its header alone.
-Duplicates are found by joins on digests (small rows; their skewed keys are split by adaptive
-execution), and payload bytes move once, for the distinct ones.
+their SHA-256. ``headers`` holds the exact bytes of each record in front of its payload, the
+WARC header block and the HTTP header of the response, and which payload it goes with. A WARC
+record is rebuilt by joining the two; a revisit record is its headers alone. Duplicates are
+found by joins on digests (small rows; their skewed keys are split by adaptive execution), and
+payload bytes move once, for the distinct ones.
 
-Equal digests are taken as equal payloads only after ``verify`` compares digests and lengths
-recomputed from the stored bytes.
+Payloads are taken as equal if their SHA-256 is. Writing fails if two of one digest differ in
+length or in another 128 bits of hashes; ``verify`` compares stored bytes with their digests.
 
 Cases: null html is an empty payload; payloads below ``min_revisit`` bytes are never revisits;
-rows that repeat both id and payload are the same record, written once for each row, and all
-of them are responses if one is; a null id comes last and is named by an empty id; other
-columns aren't read; a url is percent-encoded where it has bytes a header line can't hold.
+rows that repeat both id and payload are the same page, written as a record for each row, all
+with ids of their own, and all of them are responses if one is; a null id comes last and is
+named by an empty id; other columns aren't read; a url is percent-encoded where it has bytes
+a header line can't hold (a space, a control character or a per cent sign), and is decoded when it
+is read; a null url is written, and read, as an empty one.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from loomwatch.llm.shared import shared_dir
 
 MIN_REVISIT = 100
 CRLF = "\r\n"
-#: Names every record of this archive; a record's number is its page id.
+#: Names every record of this archive.
 URN = "urn:loomwatch:page:"
+#: Characters of a url that are written as codes in a header line; the first one is that of the codes.
+ESCAPED = "% " + "".join(map(chr, range(32))) + "\x7f"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -35,41 +40,66 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _safe(url: Column) -> Column:
-    """The url without characters that would end a header line."""
-    return F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    """The url without characters that would end a header line, each as a per cent sign and two digits."""
+    out = F.coalesce(url, F.lit(""))
+    for char in ESCAPED:
+        out = F.replace(out, F.lit(char), F.lit(f"%{ord(char):02X}"))
+    return out
 
 
-def _header(kind: Column, page: Column, url: Column, digest: Column, size: Column, refers_to: Column, refers_url: Column) -> Column:
-    """The exact bytes of a record's header block, as text, up to and with the empty line."""
-    urn = lambda x: F.concat(F.lit(f"<{URN}"), F.coalesce(x.cast("string"), F.lit("")), F.lit(">"))
-    revisit = F.concat(_line("WARC-Refers-To", urn(refers_to)), _line("WARC-Refers-To-Target-URI", _safe(refers_url)), _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))
+def _unsafe(url: Column) -> Column:
+    for char in reversed(ESCAPED):
+        url = F.replace(url, F.lit(f"%{ord(char):02X}"), F.lit(char))
+    return url
+
+
+def _record_id(page: Column, url: Column, digest: Column, no: Column) -> Column:
+    """A record's id, of its own also where rows repeat a page's id: the page, a hash of url and payload, and a number of equal rows."""
+    of = F.substring(F.sha1(F.concat(F.coalesce(url, F.lit("")), F.lit("\n"), digest)), 1, 16)
+    return F.concat(F.lit(f"<{URN}"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), of, F.lit(":"), no.cast("string"), F.lit(">"))
+
+
+def _header(date: str) -> Column:
+    """The exact bytes of a record in front of its payload, as text. Of rows (page, url, digest, size, no, kind, first)."""
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(2 * CRLF))
+    revisit = F.concat(
+        _line("WARC-Refers-To", _record_id(F.col("first.page"), F.col("first.url"), F.col("digest"), F.lit(1))),
+        _line("WARC-Refers-To-Target-URI", _safe(F.col("first.url"))),
+        _line("WARC-Refers-To-Date", F.lit(date)),
+        _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+    )
+    is_revisit = F.col("kind") == "revisit"
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
-        _line("WARC-Type", kind),
-        _line("WARC-Record-ID", urn(page)),
-        _line("WARC-Target-URI", _safe(url)),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
-        F.when(kind == "revisit", revisit).otherwise(F.lit("")),
-        _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.when(kind == "revisit", F.lit(0).cast("long")).otherwise(size).cast("string")),
+        _line("WARC-Type", F.col("kind")),
+        _line("WARC-Record-ID", _record_id(F.col("page"), F.col("url"), F.col("digest"), F.col("no"))),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Target-URI", _safe(F.col("url"))),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        F.when(is_revisit, revisit).otherwise(F.lit("")),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", (F.octet_length(http) + F.when(is_revisit, F.lit(0).cast("long")).otherwise(F.col("size"))).cast("string")),
         F.lit(CRLF),
+        http,
     )
 
 
-def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> None:
-    """Writes ``path/payloads`` (digest, payload) and ``path/headers`` (record_id, digest, record_type, header)."""
+def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Writes ``path/payloads`` (digest, payload) and ``path/headers`` (record_id, digest, record_type, header). date: when the pages were fetched."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.select("page", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"), "payload")
-    rows.groupBy("digest").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
-    small = rows.drop("payload")
+    other = F.struct("size", F.xxhash64("payload"), F.xxhash64("payload", F.lit(1)))
+    stored = rows.select("digest", "payload", other.alias("o")).groupBy("digest").agg(F.first("payload").alias("payload"), F.min("o").alias("a"), F.max("o").alias("b"))
+    stored.select("digest", F.when(F.col("a") == F.col("b"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads have one SHA-256"))).alias("payload")).write.parquet(f"{path}/payloads")
+    # Rows that are alike but for their payload are numbered.
+    small = rows.groupBy("page", "url", "digest", "size").agg(F.count(F.lit(1)).alias("rows"))
     last = F.col("page").isNull()
     firsts = small.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.min(F.struct(last.alias("last"), "page", "url")).alias("first"))
-    known = small.join(firsts, "digest", "left")
+    known = small.join(firsts, "digest", "left").select("*", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("no"))
     kind = F.when(F.col("first").isNull() | F.col("first.page").eqNullSafe(F.col("page")), F.lit("response")).otherwise(F.lit("revisit"))
     known = known.withColumn("kind", kind)
-    header = _header(F.col("kind"), F.col("page"), F.col("url"), F.col("digest"), F.col("size"), F.col("first.page"), F.col("first.url"))
-    known.select(F.col("page").cast("string").alias("record_id"), "digest", F.col("kind").alias("record_type"), header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
+    known.select(_record_id(F.col("page"), F.col("url"), F.col("digest"), F.col("no")).alias("record_id"), "digest", F.col("kind").alias("record_type"), _header(date).cast("binary").alias("header")).write.parquet(f"{path}/headers")
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +109,7 @@ def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, record): the exact bytes of each record, header block, payload and the two ending lines."""
+    """(record_id, record): the exact bytes of each record: headers, payload and the two ending lines."""
     headers, payloads = _tables(spark, path)
     end = F.lit(2 * CRLF).cast("binary")
     full = headers.where("record_type <> 'revisit'").join(payloads, "digest").select("record_id", F.concat("header", "payload", end).alias("record"))
@@ -87,8 +117,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_header(header: Column) -> Column:
-    """The fields of a header block, as a map by lower-case name."""
-    lines = F.filter(F.split(header.cast("string"), CRLF), lambda x: F.instr(x, ": ") > 0)
+    """The fields of the WARC header block, as a map by lower-case name."""
+    lines = F.filter(F.split(F.substring_index(header.cast("string"), 2 * CRLF, 1), CRLF), lambda x: F.instr(x, ": ") > 0)
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.lower(F.substring_index(x, ": ", 1)).alias("k"), F.substring(x, F.instr(x, ": ") + 2, F.length(x)).alias("v"))))
 
 
@@ -96,10 +126,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record, from the archive alone: page (string), url, record_type, refers_to (string), and digest and size of its full payload, recomputed from the stored bytes."""
     headers, payloads = _tables(spark, path)
     fields = parse_header(F.col("header"))
-    page = lambda x: F.regexp_extract(x, f"^<{URN}(.*)>$", 1)
+    page = lambda x: F.regexp_extract(x, f"^<{URN}(.*):[0-9a-f]{{16}}:[0-9]+>$", 1)
     parsed = headers.select(fields.alias("f")).select(
         page(F.col("f")["warc-record-id"]).alias("page"),
-        F.col("f")["warc-target-uri"].alias("url"),
+        _unsafe(F.col("f")["warc-target-uri"]).alias("url"),
         F.col("f")["warc-type"].alias("record_type"),
         page(F.col("f")["warc-refers-to"]).alias("refers_to"),
         F.regexp_replace(F.col("f")["warc-payload-digest"], "^sha256:", "").alias("digest"),

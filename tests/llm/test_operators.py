@@ -234,6 +234,9 @@ def test_line_dedup(spark, docs, none):
     exact = {(r.doc["id"], r.no) for r in line_dedup.find_duplicate_lines(df, max_edits=0).collect()}
     assert (8, 0) in exact and (3, 0) not in exact
     assert line_dedup.drop_lines(none).count() == 0
+    odd = df.withColumnsRenamed({"doc": "_gone"}).withColumn("_lines", F.lit(1)).withColumn("a.b", F.lit("x")).withColumn("_doc", F.lit(2))
+    again = line_dedup.drop_lines(odd)
+    assert again.columns == odd.columns and {r.doc_id: r.text for r in again.collect()} == got
     with pytest.raises(ValueError):
         line_dedup.find_duplicate_lines(df, max_edits=2)
 
@@ -290,10 +293,22 @@ def test_archive(spark, tmp_path):
         revisit = len(raw) >= 100 and first[h] != i
         want.append((str(i), len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", str(first[h]) if revisit else ""))
     assert [(*x[:4], x[4] or "") for x in got] == sorted(want)
-    records = {r.record_id: bytes(r.record) for r in warc.read_records(spark, str(tmp_path / "a")).collect()}
-    head, _, body = records["3"].partition(b"\r\n\r\n")
-    assert body == big.encode() + b"\r\n\r\n" and b"Content-Length: 120" in head and b"%0D%0AX: y" in head
-    assert records["5"].endswith(b"\r\n\r\n\r\n\r\n") and b"WARC-Refers-To: <urn:loomwatch:page:3>" in records["5"]
+    found = [(r.record_id, bytes(r.record)) for r in warc.read_records(spark, str(tmp_path / "a")).collect()]
+    assert len({i for i, _ in found}) == len(found) == len(rows)  # every record has an id of its own
+    by_page = {i: [x for k, x in found if k.startswith(f"<urn:loomwatch:page:{i}:")] for i in range(1, 10)}
+    payload = {i: (h or "").encode() for i, _, h in rows}
+    kinds = {int(w[0]): w[3] for w in want}
+    for i, records in by_page.items():
+        for record in records:
+            head, _, block = record.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert record.startswith(b"WARC/1.1\r\n") and fields["WARC-Date"] and record.endswith(b"\r\n\r\n")
+            assert len(block) == int(fields["Content-Length"]) + 4 and fields["WARC-Type"] == kinds[i]
+            http, _, body = block[:-4].partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK") and body == (b"" if kinds[i] == "revisit" else payload[i])
+    first = next(k for k, _ in found if k.startswith("<urn:loomwatch:page:3:"))
+    assert f"WARC-Refers-To: {first}".encode() in by_page[5][0] and b"http://b/%0D%0AX:%20y" in by_page[3][0]
+    assert {r.url for r in warc.read_archive(spark, str(tmp_path / "a")).collect()} == {x[1] or "" for x in rows}  # a null url is an empty one
     assert warc.verify(spark, str(tmp_path / "a")).count() == 0
     warc.write_archive(pages.limit(0), str(tmp_path / "b"))
     assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
@@ -320,11 +335,23 @@ def test_url_filters(spark, max_bytes):
 
 
 def test_digest_collisions_are_confirmed():
-    array = urlfilter.DigestArray(urlfilter.DigestArray.build([("a.b", "/c", "block")]))
-    array.rules = [("other", "/c", "block")]
+    rule = lambda host: pa.table({"host": [host], "path": ["/c"], "verdict": ["block"]})
+    array = urlfilter.DigestArray(urlfilter.DigestArray.build(rule("a.b")))
+    assert array.judge(["a.b"], ["/c"]) == [("a.b/c", "block")]
+    array.rules = rule("other")
     assert array.judge(["a.b"], ["/c"]) == [None]
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_url_filters_with_odd_columns_and_rows(spark, max_bytes):
+    long = "http://" + "x." * 500 + "net/" + "p" * 200_000
+    df = spark.createDataFrame([(1, long, 1), (1, long, 1), (2, "http://a.net/", 2)], "page_id long, `the.url` string, `a.b` int")
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    got = urlfilter.filter_urls(df, rules, "the.url", max_bytes=max_bytes)
+    assert got.columns == ["page_id", "the.url", "a.b", "host", "path", "rule", "verdict"]
+    assert [(r[0], r[2], r[5], r[6]) for r in sorted(got.collect(), key=lambda r: r[0])] == [(1, 1, "net/", "block")] * 2 + [(2, 2, "net/", "block")]
+
+
 def test_chat_trees(spark, tmp_path):
     odd = "</s>[INST] \\ok\\ [/INST]<s>\n"
     convs = {
