@@ -22,7 +22,7 @@ PATTERNS = {
 REFANG = (("hxxp", "http"), ("[.]", "."), ("(dot)", "."), ("[dot]", "."), ("[at]", "@"), ("(at)", "@"), ("[:]", ":"))
 ZERO_WIDTH = "​‌‍﻿"
 BENIGN = ("microsoft.com", "github.com", "google.com")
-#: Private and reserved IPv4 ranges, by prefix.
+# Private and reserved IPv4 ranges, by prefix.
 RESERVED = r"^(?:10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.)"
 
 
@@ -63,8 +63,8 @@ def is_reserved(ip: Column) -> Column:
 
 
 def collapse(name: Column) -> Column:
-    """Lower case, with single spaces."""
-    return F.lower(F.regexp_replace(F.trim(name), r"\s+", " "))
+    """Lower case, with single spaces for any white space, none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
 
 
 def shingles(text: Column, k: int = 3) -> Column:
@@ -89,8 +89,10 @@ def low_64(text: Column) -> Column:
 def parse_time(value: Column) -> Column:
     """ISO 8601 or RFC 822, naive times being UTC; null if it is neither."""
     mail = F.regexp_replace(value, r"^[A-Za-z]{3},\s+", "")
+    # A time without a zone is UTC, whatever the session's zone is.
+    zoned = F.when(value.rlike(r"[Tt ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?$"), F.concat(value, F.lit("Z"))).when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(value, F.lit("T00:00:00Z"))).otherwise(value)
     return F.coalesce(
-        F.try_to_timestamp(value),
+        F.try_to_timestamp(zoned),
         F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")),
         F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss z")),
     )

@@ -53,6 +53,23 @@ def merge_edges(existing: DataFrame, incoming: DataFrame, nodes: DataFrame, node
     return outcomes, edges.join(both, EDGE, "left_anti")
 
 
+def merge_properties(existing: DataFrame, incoming: DataFrame, nodes: DataFrame, seq: str = "seq") -> DataFrame:
+    """(EDGE, props, created): all edges after writes in order of ``seq``, whose ends must be nodes (others are left out; see ``merge_edges``).
+
+    existing: (EDGE, props map<string,string>); incoming: (EDGE, on_create, on_match, seq). The write that creates an edge sets
+    on_create, each later one on_match. Of each property the last write counts; a null value removes it."""
+    known = nodes.select(F.col("node_key").alias("_k")).distinct()
+    valid = incoming.join(known.withColumnRenamed("_k", "start_key"), "start_key", "left_semi").join(known.withColumnRenamed("_k", "end_key"), "end_key", "left_semi")
+    firsts = valid.groupBy(*EDGE).agg(F.min(seq).alias("_first")).join(existing.select(*EDGE, F.lit(True).alias("_old")), EDGE, "left")
+    creates = F.col("_old").isNull() & (F.col(seq) == F.col("_first"))
+    # A property's writes are aggregated, not an edge's, so no edge is gathered in one task.
+    written = valid.join(firsts, EDGE).select(*EDGE, F.col(seq).cast("long").alias("_seq"), F.explode_outer(F.when(creates, F.col("on_create")).otherwise(F.col("on_match"))).alias("k", "v"))
+    old = existing.select(*EDGE, F.lit(-1).cast("long").alias("_seq"), F.explode_outer("props").alias("k", "v"))
+    last = old.unionByName(written).groupBy(*EDGE, "k").agg(F.max_by("v", "_seq").alias("v"), F.min("_seq").alias("_seq"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull() & F.col("v").isNotNull(), F.struct("k", "v"))))
+    return last.groupBy(*EDGE).agg(F.map_from_entries(pairs).alias("props"), (F.min("_seq") >= 0).alias("created"))
+
+
 def guard_direction(edges: DataFrame) -> DataFrame:
     """Fails on an ASSOCIATED_WITH edge that doesn't end at an indicator."""
     bad = (F.col("rel_type") == "ASSOCIATED_WITH") & (F.col("end_label") != "IOC")
@@ -79,9 +96,38 @@ def sync_sources(config: DataFrame, stored: DataFrame, key: str, fields: list[st
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
 
 
-def retract_stale(mentions: DataFrame, current: DataFrame, labels: list[str]) -> DataFrame:
-    """Mentions without those of re-extracted articles and the given labels that the new extraction doesn't hold."""
-    done = current.select("article_id").distinct().withColumn("_done", F.lit(True))
+def sync_source_nodes(config: DataFrame, nodes: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Source nodes after a sync, with ``change``: configured ones are active and take the configured fields; active ones that aren't configured stay, inactive.
+
+    nodes: (key, *fields, is_active). change: created, updated, deactivated, or same."""
+    a = config.select(key, F.struct(*fields).alias("_a"))
+    b = nodes.select(key, F.struct(*fields).alias("_b"), "is_active")
+    j = a.join(b, key, "full_outer")
+    wanted, known = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    change = F.when(~known, "created").when(~wanted & F.col("is_active"), "deactivated").when(wanted & (~F.col("_a").eqNullSafe(F.col("_b")) | ~F.coalesce("is_active", F.lit(False))), "updated").otherwise("same")
+    return j.select(key, *[F.when(wanted, F.col(f"_a.{c}")).otherwise(F.col(f"_b.{c}")).alias(c) for c in fields], wanted.alias("is_active"), change.alias("change"))
+
+
+def outcome_counts(rows: DataFrame, by: list[str] = (), outcome: str = "outcome") -> DataFrame:
+    """How many rows had each outcome."""
+    return rows.groupBy(*by, outcome).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: The key that must name one node only, by label.
+UNIQUE = {"Source": "url", "CVE": "cve_id", "CWE": "cwe_id", "TTP": "technique_id", "ThreatActor": "merge_key", "MalwareFamily": "merge_key", "Campaign": "merge_key", "Article": "source_guid_key", "IOC": "value_type_key"}
+
+
+def key_violations(nodes: DataFrame, label: str) -> DataFrame:
+    """(label, key, n): keys that more than one node of a label has; null keys don't count."""
+    key = F.col(checked_name(UNIQUE[label])).cast("string")
+    return nodes.where(key.isNotNull()).groupBy(F.lit(label).alias("label"), key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def retract_stale(mentions: DataFrame, current: DataFrame, labels: list[str], processed: DataFrame | None = None) -> DataFrame:
+    """Mentions without those of re-extracted articles and the given labels that the new extraction doesn't hold.
+
+    processed: (article_id), the articles that were extracted again, also those without any mention now; by default those in ``current``."""
+    done = (current if processed is None else processed).select("article_id").distinct().withColumn("_done", F.lit(True))
     held = current.select("article_id", "label", "node_key").distinct().withColumn("_held", F.lit(True))
     j = mentions.join(done, "article_id", "left").join(held, ["article_id", "label", "node_key"], "left")
     stale = F.col("_done").isNotNull() & F.col("_held").isNull() & F.col("label").isin(labels)
@@ -94,6 +140,33 @@ def is_fresher(incoming: Column, stored: Column) -> Column:
     return F.when(stored.isNull(), True).when(incoming.isNull(), False).when(a.isNotNull() & b.isNotNull(), a > b).otherwise(incoming > stored)
 
 
+def apply_deltas(existing: DataFrame, incoming: DataFrame, keys: str, scalars: list[str], items: str, create: bool = False, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, state) of modification payloads, applied in order of ``seq`` to the stored rows.
+
+    existing: (key, *scalars, items, last_modified); incoming: the same with seq. An outcome is 'absent' (no such key, unless
+    ``create``), 'resynced' (newer than all before: items and the stored time are replaced) or 'stale'. Scalars are applied
+    unless absent, null ones keep what is there."""
+    time = lambda c: F.struct(F.try_to_timestamp(c).alias("t"), F.col(c).alias("text"))
+    old = existing.select(F.col(keys).alias("_k"), F.col("last_modified").alias("_stored"), F.lit(True).alias("_has"))
+    j = incoming.join(old, F.col(keys) == F.col("_k"), "left")
+    j = j.where(F.lit(create) | F.col("_has").isNotNull()) if not create else j
+    before = Window.partitionBy(keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.max(F.when(F.col("last_modified").isNotNull(), time("last_modified"))).over(before)
+    stored = F.when(F.col("_stored").isNotNull(), time("_stored"))
+    water = F.greatest(seen, stored)["text"]
+    applied = j.withColumn("_water", water).withColumn("outcome", F.when(is_fresher(F.col("last_modified"), F.col("_water")), "resynced").otherwise("stale"))
+    absent = incoming.join(existing.select(keys), keys, "left_anti").select(keys, seq, F.lit("absent").alias("outcome"))
+    outcomes = applied.select(keys, seq, "outcome")
+    if not create:
+        outcomes = outcomes.unionByName(absent)
+    fresh = F.col("outcome") == "resynced"
+    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_{c}") for c in scalars]
+    new = applied.groupBy(keys).agg(*aggs, F.max_by(items, F.when(fresh, F.col(seq))).alias("_items"), F.max(F.when(fresh & F.col("last_modified").isNotNull(), F.col(seq))).alias("_any"), F.max_by("last_modified", F.when(fresh & F.col("last_modified").isNotNull(), F.col(seq))).alias("_lm"), F.max(fresh).alias("_fresh"))
+    both = existing.join(new, keys, "full_outer" if create else "left")
+    state = both.select(keys, *[F.coalesce(f"_{c}", c).alias(c) for c in scalars], F.when(F.col("_fresh"), F.col("_items")).otherwise(F.col(items)).alias(items), F.coalesce("_lm", "last_modified").alias("last_modified"))
+    return outcomes, state
+
+
 def credibility_of(feeds: DataFrame, sources: DataFrame, default: float = 0.5) -> DataFrame:
     return feeds.join(sources.select("source_id", "credibility_score"), "source_id", "left").withColumn("credibility_score", F.coalesce("credibility_score", F.lit(default)))
 
@@ -113,6 +186,47 @@ def inferred_edges(events: DataFrame) -> DataFrame:
     )
 
 
+def merge_authoritative(state: DataFrame, events: DataFrame) -> DataFrame:
+    """The authoritative side of edges after a batch. state: what this or ``authoritative_edges`` gave before; stored values never fall, and the first observation stays."""
+    new = authoritative_edges(events)
+    both = state.select(*new.columns).unionByName(new)
+    return both.groupBy(*EDGE).agg(
+        F.max("authoritative_confidence").alias("authoritative_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("feed_sources")))).alias("feed_sources"), F.min("first_observed").alias("first_observed"), F.max("last_confirmed").alias("last_confirmed")
+    )
+
+
+INFERRED = "inferred_confidence double, contributing_story_cluster_ids array<string>, source_article_ids array<string>, supporting_article_count long, first_observed long, last_confirmed long"
+
+
+def merge_inferred(state: DataFrame, events: DataFrame, cap: int = CAP) -> DataFrame:
+    """The inferred side of edges after a batch of stories' contributions. state: (EDGE, columns of INFERRED), as this function gave it before, at first empty.
+
+    events: (EDGE, cluster_id, contribution, article_ids, ts, seq). A story counts once for an edge, by its first contribution: if the
+    edge has it already, nothing but ``last_confirmed`` changes, neither the confidence nor ids nor their count."""
+    old = state.select(*EDGE, F.struct(*[c.split()[0] for c in INFERRED.split(", ")]).alias("_old"))
+    touched = events.groupBy(*EDGE).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    known = state.select(*EDGE, F.explode("contributing_story_cluster_ids").alias("cluster_id"))
+    new = events.join(known, [*EDGE, "cluster_id"], "left_anti").groupBy(*EDGE, "cluster_id").agg(F.min_by(F.struct("contribution", "article_ids"), "seq").alias("_e"), F.min("seq").alias("seq"))
+    gain = new.groupBy(*EDGE).agg(F.product(1 - F.col("_e.contribution")).alias("_rest"), F.collect_set("cluster_id").alias("_ids"))
+    # The stored ids come before all new ones.
+    listed = new.select(*EDGE, F.col("seq").cast("long").alias("seq"), F.col("_e.article_ids").alias("article_ids"))
+    before = state.join(new.select(*EDGE).distinct(), EDGE, "left_semi").select(*EDGE, F.lit(-1).cast("long").alias("seq"), F.col("source_article_ids").alias("article_ids"))
+    ids = capped_ids(listed.unionByName(before), EDGE, cap=cap).withColumnsRenamed({"source_article_ids": "_list", "supporting_article_count": "_count"})
+    j = touched.join(old, EDGE, "full_outer").join(gain, EDGE, "left").join(ids, EDGE, "left")
+    none = F.array().cast("array<string>")
+    stored = lambda c, default: F.coalesce(F.col(f"_old.{c}"), default)
+    counted = stored("supporting_article_count", F.lit(0).cast("long")) + F.col("_count") - F.size(stored("source_article_ids", none))
+    return j.select(
+        *EDGE,
+        (1 - (1 - stored("inferred_confidence", F.lit(0.0))) * F.coalesce("_rest", F.lit(1.0))).alias("inferred_confidence"),
+        F.array_sort(F.array_union(stored("contributing_story_cluster_ids", none), F.coalesce("_ids", none))).alias("contributing_story_cluster_ids"),
+        F.coalesce("_list", F.col("_old.source_article_ids")).alias("source_article_ids"),
+        F.coalesce(counted, F.col("_old.supporting_article_count")).cast("long").alias("supporting_article_count"),
+        F.coalesce(F.col("_old.first_observed"), F.col("_t0")).alias("first_observed"),
+        F.greatest("_old.last_confirmed", "_t1").alias("last_confirmed"),
+    )
+
+
 def combine_edges(authoritative: DataFrame, inferred: DataFrame) -> DataFrame:
     """Edges with both components; confidence is the larger one."""
     a, i = authoritative.withColumnsRenamed({"first_observed": "_fa", "last_confirmed": "_la"}), inferred.withColumnsRenamed({"first_observed": "_fi", "last_confirmed": "_li"})
@@ -135,6 +249,13 @@ def recompute_for_feed(edges: DataFrame, sources: DataFrame, feed: str, score: f
     return rest.withColumn("confidence", F.greatest(F.coalesce("authoritative_confidence", F.lit(0.0)), F.coalesce("inferred_confidence", F.lit(0.0))))
 
 
+def touched_by_feed(edges: DataFrame, sources: DataFrame, feed: str, score: float) -> DataFrame:
+    """(rel_type, touched, raised, lowered): how many edges ``recompute_for_feed`` recomputes, and of how many the confidence changes."""
+    new = recompute_for_feed(edges, sources, feed, score).select(*EDGE, F.col("confidence").alias("_new"))
+    j = new.join(edges.select(*EDGE, "confidence"), EDGE)
+    return j.groupBy("rel_type").agg(F.count(F.lit(1)).alias("touched"), F.count_if(F.col("_new") > F.col("confidence")).alias("raised"), F.count_if(F.col("_new") < F.col("confidence")).alias("lowered"))
+
+
 def capped_ids(events: DataFrame, keys: list[str], ids: str = "article_ids", seq: str = "seq", cap: int = CAP) -> DataFrame:
     """A list of the first ``cap`` ids, and a count of ids that weren't in the list when they came (exact up to the cap)."""
     values = F.transform(F.array_distinct("_ids"), lambda x, i: F.struct(x.alias("id"), i.alias("pos")))
@@ -165,6 +286,24 @@ def detect_changes(entries: DataFrame, keys: list[str] = ("source_id", "guid"),
     return entries.withColumn("event_type", F.when(before.isNull(), "discovery").when(before != F.col(fingerprint), "update")).where("event_type IS NOT NULL")
 
 
+def poll_windows(polls: DataFrame, state: DataFrame | None = None, lookback_hours: float = 24.0, source: str = "source_id", seq: str = "seq") -> DataFrame:
+    """(source, seq, window_start, window_end, ok): what each poll asks for. polls: (source, seq, started_at microseconds, ok); state: (source, last_success_at).
+
+    A window ends when the poll begins, before anything is fetched, and the next one begins where the last successful one ended;
+    a failure moves nothing. The first poll of a source looks ``lookback_hours`` back."""
+    before = Window.partitionBy(source).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("ok"), F.col("started_at")), ignorenulls=True).over(before)
+    rows = polls if state is None else polls.join(state.select(source, "last_success_at"), source, "left")
+    stored = F.lit(None).cast("long") if state is None else F.col("last_success_at")
+    first = F.col("started_at") - int(lookback_hours * 3_600_000_000)
+    return rows.select(source, seq, F.coalesce(last, stored, first).alias("window_start"), F.col("started_at").alias("window_end"), "ok")
+
+
+def poll_marks(windows: DataFrame, source: str = "source_id", seq: str = "seq") -> DataFrame:
+    """(source, last_success_at): the state that successful polls leave."""
+    return windows.where("ok").groupBy(source).agg(F.max_by("window_end", seq).alias("last_success_at"))
+
+
 def poll_health(polls: DataFrame, source: str = "source_id", seq: str = "seq", ok: str = "ok", threshold: int = 6) -> DataFrame:
     """Of each source: failures since its last success, when that was, and whether to alert."""
     last = polls.groupBy(source).agg(F.max(F.when(F.col(ok), F.col(seq))).alias("last_success"))

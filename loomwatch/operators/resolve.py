@@ -11,56 +11,86 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwatch.functions import text as tx
 
 ACCEPT, REVIEW = 0.85, 0.6
-#: Largest alias table that is broadcast for fuzzy matching, in rows.
-FEW = 200_000
 
 
 def normal(name):
-    return F.lower(F.trim(name))
+    return tx.collapse(F.col(name) if isinstance(name, str) else name)
 
 
 def alias_index(entities: DataFrame) -> DataFrame:
-    """(alias, merge_key, name_): of each normalised name the last entity that has it. entities: (merge_key, name, aliases, seq)."""
+    """(alias, merge_key, first_seen): of each normalised name the last entity that has it, and the place (seq, position) where it came first. entities: (merge_key, name, aliases, seq)."""
     names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
-    rows = entities.select("merge_key", "seq", F.posexplode(names).alias("pos", "raw")).where("raw IS NOT NULL")
-    return rows.groupBy(normal("raw").alias("alias")).agg(F.max_by("merge_key", F.struct("seq", "pos")).alias("merge_key"), F.min("seq").alias("first_seq")).where("alias <> ''")
+    rows = entities.where("merge_key IS NOT NULL").select("merge_key", "seq", F.posexplode(names).alias("pos", "raw")).where("raw IS NOT NULL")
+    place = F.struct("seq", "pos")
+    return rows.groupBy(normal("raw").alias("alias")).agg(F.max_by("merge_key", place).alias("merge_key"), F.min(place).alias("first_seen")).where("alias <> ''")
 
 
-def _ratios(names: DataFrame, aliases: DataFrame, least: float) -> DataFrame:
-    """(name, alias, merge_key, ratio) of all pairs that reach ``least``, by the standard library's sequence matcher (first: the name; it isn't symmetric).
+def _characters(names: DataFrame) -> DataFrame:
+    """(name, token): the characters of each name, those that repeat told apart by a number."""
+    chars = F.split("name", "")
+    token = F.transform(F.sequence(F.lit(1), F.size("_c")), lambda i: F.concat(F.get("_c", i - 1), F.size(F.filter(F.slice("_c", 1, i), lambda c: c == F.get("_c", i - 1))).cast("string")))
+    return names.where("name <> ''").select("name", F.filter(chars, lambda c: c != "").alias("_c")).select("name", F.explode(token).alias("token"))
 
-    ratio = 2 m / (la + lb) and m is at most the shorter length, so lengths alone discard most pairs; the rest are compared on the bag of characters before they are matched."""
+
+def _rarest(names: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(name, token): so many of each name's rarest characters that a name of ratio ``least`` has one of them."""
+    ranked = _characters(names).join(counts, "token", "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
+    size = F.size("t")
+    # At least that many characters match in any pair that reaches ``least``: the shorter partner has l * r / (2 - r) of them.
+    must = F.ceil(size * (least / (2 - least)) - 1e-9)
+    return ranked.select("name", F.explode(F.slice("t", 1, F.greatest(size - must + 1, F.lit(1)).cast("int"))).alias("t")).select("name", "t.token")
+
+
+def _ratios(names: DataFrame, aliases: DataFrame, least: float, extra: list[str] = ()) -> DataFrame:
+    """(name, alias, merge_key, first_seen, ratio, and ``extra``, columns that must be equal on both sides) of all pairs that reach ``least``, by the standard library's sequence matcher (first: the name; it isn't symmetric).
+
+    ratio = 2 m / (la + lb), with m matching characters. Pairs that can reach ``least`` share one of each side's rarest
+    characters, so they meet in an equi-join; lengths, and the bag of characters, discard most before they are matched."""
     import difflib
 
-    near = (2 * F.least(F.length("name"), F.length("alias")) >= F.lit(least) * (F.length("name") + F.length("alias"))) & (F.length("name") > 0)
-    few = aliases.count() <= FEW
-    pairs = names.select("name").distinct().join(F.broadcast(aliases) if few else aliases, near)
+    names, extra = names.select("name", *extra).distinct(), list(extra)
+    aliases = aliases.select(F.col("alias").alias("_name"), "merge_key", "first_seen", *extra)
+    both = names.select("name").unionByName(aliases.select(F.col("_name").alias("name"))).distinct()
+    counts = _characters(both).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    left = _rarest(names.select("name").distinct(), counts, least)
+    right = _rarest(aliases.select(F.col("_name").alias("name")).distinct(), counts, least).withColumnRenamed("name", "_name")
+    near = 2 * F.least(F.length("name"), F.length("_name")) >= F.lit(least) * (F.length("name") + F.length("_name")) - 1e-9
+    pairs = left.join(right, "token").where(near).select("name", "_name").distinct()
+    kept = T.StructType([T.StructField("name", T.StringType()), T.StructField("_name", T.StringType()), T.StructField("ratio", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ratios = []
-            for a, b in zip(batch.column("name").to_pylist(), batch.column("alias").to_pylist(), strict=True):
+            for a, b in zip(batch.column("name").to_pylist(), batch.column("_name").to_pylist(), strict=True):
                 m = difflib.SequenceMatcher(None, a, b)
                 ratios.append(m.ratio() if m.quick_ratio() >= least else 0.0)
             yield batch.append_column("ratio", pa.array(ratios, pa.float64()))
 
-    return pairs.select("name", "alias", "merge_key").mapInArrow(run, "name string, alias string, merge_key string, ratio double").where(F.col("ratio") >= least)
+    scored = pairs.mapInArrow(run, kept).where(F.col("ratio") >= least)
+    return scored.join(names, "name").join(aliases, ["_name", *extra]).withColumnRenamed("_name", "alias")
 
 
 def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """(name, merge_key, ratio): the best alias of each name; of equal ratios the first alias by order."""
-    best = _ratios(names, aliases, least).groupBy("name").agg(F.min_by("merge_key", F.struct(-F.col("ratio"), "alias")).alias("merge_key"), F.max("ratio").alias("ratio"))
+    """(name, merge_key, ratio): the best alias of each name; of equal ratios the one that came first into the index."""
+    best = _ratios(names, aliases, least).groupBy("name").agg(F.min_by("merge_key", F.struct(-F.col("ratio"), "first_seen", "alias")).alias("merge_key"), F.max("ratio").alias("ratio"))
     return best.select("name", "merge_key", "ratio")
 
 
+def known_keys(aliases: DataFrame) -> DataFrame:
+    """(merge_keys): one row, all keys in order, which is what a chooser may answer."""
+    return aliases.agg(F.sort_array(F.collect_set("merge_key")).alias("merge_keys"))
+
+
 def resolve_names(mentions: DataFrame, aliases: DataFrame, chooser: Callable[[DataFrame, DataFrame], DataFrame] | None = None, cap: float = 0.99) -> DataFrame:
     """mentions (article_id, entity_type, surface_text, extraction_confidence) with node_key, resolution_status, node_confidence.
 
-    chooser: (names, aliases) -> (name, merge_key), the pluggable model tier; answers that are no known key are ignored."""
+    A resolved mention keeps its confidence, a provisional one is capped. chooser: (names, aliases) -> (name, merge_key), the
+    pluggable model tier; answers that are no known key are ignored."""
     rows = mentions.withColumn("name", normal("surface_text")).where("name <> ''")
     names = rows.select("name").distinct()
     exact = names.join(aliases, names["name"] == aliases["alias"]).select("name", "merge_key")
@@ -71,8 +101,21 @@ def resolve_names(mentions: DataFrame, aliases: DataFrame, chooser: Callable[[Da
         known = aliases.select("merge_key").distinct()
         found = found.unionByName(chooser(left.join(fuzzy, "name", "left_anti"), aliases).join(known, "merge_key", "left_semi").select("name", "merge_key"))
     j = rows.join(found, "name", "left")
-    status = F.when(F.col("merge_key").isNotNull(), "resolved").otherwise("provisional")
-    return j.withColumn("resolution_status", status).withColumn("node_key", F.coalesce("merge_key", "name")).withColumn("node_confidence", F.when(status == "resolved", 1.0).otherwise(F.least("extraction_confidence", F.lit(cap)))).drop("merge_key", "name")
+    resolved = F.col("merge_key").isNotNull()
+    j = j.withColumn("resolution_status", F.when(resolved, "resolved").otherwise("provisional")).withColumn("node_key", F.coalesce("merge_key", "name"))
+    return j.withColumn("node_confidence", F.when(resolved, F.col("extraction_confidence")).otherwise(F.least("extraction_confidence", F.lit(cap)))).drop("merge_key", "name")
+
+
+def resolve_all(mentions: DataFrame, aliases: DataFrame, techniques: DataFrame, chooser: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Mentions of all kinds, each by its ladder; kinds that nothing resolves are skipped, rejected mentions stay without a node."""
+    named = resolve_names(mentions.where(F.col("entity_type").isin("threat_actor", "malware_family")), aliases, chooser)
+    known = resolve_known(mentions, techniques).withColumn("node_confidence", F.when(F.col("resolution_status") == "rejected", 0.0).otherwise(F.col("extraction_confidence")))
+    return known.unionByName(named)
+
+
+def mention_edges(resolved: DataFrame) -> DataFrame:
+    """(article_id, entity_type, node_key, node_confidence) of mentions that have a node."""
+    return resolved.where("resolution_status <> 'rejected' AND node_key <> ''").select("article_id", "entity_type", "node_key", "node_confidence").distinct()
 
 
 def resolve_known(mentions: DataFrame, techniques: DataFrame) -> DataFrame:
@@ -87,9 +130,30 @@ def resolve_known(mentions: DataFrame, techniques: DataFrame) -> DataFrame:
 
 
 def reconcile(provisional: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(merge_key, canonical_key, action): 'merge' where a provisional key is a name of a canonical entity, 'review' where it is similar. canonical: an alias index."""
-    keys = provisional.select("merge_key", normal("merge_key").alias("name"))
-    exact = keys.join(canonical.select(F.col("alias").alias("name"), F.col("merge_key").alias("canonical_key")), "name").where("merge_key <> canonical_key")
-    left = keys.join(exact.select("merge_key"), "merge_key", "left_anti")
-    near = _ratios(left, canonical, REVIEW).groupBy("name").agg(F.max_by("merge_key", "ratio").alias("canonical_key"))
-    return exact.select("merge_key", "canonical_key", F.lit("merge").alias("action")).unionByName(left.join(near, "name").where("merge_key <> canonical_key").select("merge_key", "canonical_key", F.lit("review").alias("action")))
+    """(label, merge_key, canonical_key, action): 'merge' where a provisional key is a name of a canonical entity of its label, else 'review', a row for each canonical entity that it is similar to.
+
+    provisional: (label, merge_key); canonical: (label, merge_key, name, aliases), not provisional."""
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    index = canonical.select("label", "merge_key", F.explode(names).alias("raw")).where("raw IS NOT NULL").select("label", "merge_key", normal("raw").alias("alias"), F.lit(0).alias("first_seen")).where("alias <> ''").distinct()
+    keys = provisional.select("label", "merge_key", normal("merge_key").alias("name"))
+    to = index.select("label", F.col("alias").alias("name"), F.col("merge_key").alias("canonical_key"))
+    exact = keys.join(to, ["label", "name"]).select("label", "merge_key", "canonical_key").distinct()
+    near = _ratios(keys, index, REVIEW, ["label"]).select("label", "name", F.col("merge_key").alias("canonical_key")).distinct()
+    review = keys.join(near, ["label", "name"]).select("label", "merge_key", "canonical_key").join(exact, ["label", "merge_key", "canonical_key"], "left_anti")
+    return exact.withColumn("action", F.lit("merge")).unionByName(review.withColumn("action", F.lit("review")))
+
+
+def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with provisional nodes merged: they go, their names become aliases of the canonical node, their edges are re-pointed and parallel ones become one.
+
+    nodes: (label, merge_key, name, aliases); merges: (label, merge_key, canonical_key), of several canonical keys of one node the least counts."""
+    from loomwatch.operators.graph import remap_edges
+
+    into = merges.groupBy("label", "merge_key").agg(F.min("canonical_key").alias("canonical_key"))
+    named = nodes.join(into, ["label", "merge_key"]).select("label", F.col("canonical_key"), F.coalesce("name", "merge_key").alias("n"))
+    more = named.groupBy("label", F.col("canonical_key").alias("merge_key")).agg(F.array_sort(F.collect_set("n")).alias("_more"))
+    left = nodes.join(into, ["label", "merge_key"], "left_anti").join(more, ["label", "merge_key"], "left")
+    none = F.array().cast("array<string>")
+    aliases = F.concat(F.coalesce("aliases", none), F.array_except(F.coalesce("_more", none), F.coalesce("aliases", none)))
+    mapping = into.select(F.col("merge_key").alias("old_key"), F.col("canonical_key").alias("new_key")).dropDuplicates(["old_key"])
+    return left.select("label", "merge_key", "name", aliases.alias("aliases")), remap_edges(edges, mapping)

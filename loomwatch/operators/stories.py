@@ -53,12 +53,20 @@ def simhash_arrow(articles: DataFrame, id_col: str = "article_id", text_col: str
 
 
 def candidate_pairs(entities: DataFrame, articles: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp)."""
+    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp).
+
+    Time is cut into spans of ``hours``: rows meet those of their own span and of the next one only, so a key's rows aren't all
+    compared, and a key that is frequent at all times is dealt out by its spans."""
+    window = int(hours * 3_600_000_000)
     dated = articles.where("published_at IS NOT NULL").select("article_id", F.unix_micros("published_at").alias("t"))
     rows = entities.where(F.col("entity_type").isin(*BLOCKING)).select("article_id", "entity_type", "node_key").distinct().join(dated, "article_id")
-    left, right = rows.withColumnsRenamed({"article_id": "a", "t": "ta"}), rows.withColumnsRenamed({"article_id": "b", "t": "tb"})
-    near = F.abs(F.col("ta") - F.col("tb")) <= int(hours * 3_600_000_000)
-    return left.join(right, ["entity_type", "node_key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    left = rows.withColumnsRenamed({"article_id": "x", "t": "tx"}).withColumn("span", F.floor(F.col("tx") / window))
+    right = rows.withColumnsRenamed({"article_id": "y", "t": "ty"}).withColumn("own", F.floor(F.col("ty") / window)).withColumn("span", F.explode(F.array("own", F.col("own") - 1)))
+    near = F.abs(F.col("tx") - F.col("ty")) <= window
+    # Within a span each pair once; of neighbouring spans the earlier row is on the left.
+    once = (F.col("x") != F.col("y")) & ((F.col("own") != F.col("span")) | (F.col("x") < F.col("y")))
+    met = left.join(right, ["entity_type", "node_key", "span"]).where(once & near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def score(jaccard: Column, hamming: Column, hours_apart: Column, same_hash: Column, hours: float = HOURS) -> Column:
@@ -101,6 +109,32 @@ def merge_incremental(known: DataFrame, links: DataFrame, new: DataFrame) -> Dat
     return every.join(labels, "article_id", "left").select("article_id", F.coalesce("_c", "article_id").alias("cluster"))
 
 
+def assign_clusters(known: DataFrame, links: DataFrame, new: DataFrame, articles: DataFrame) -> DataFrame:
+    """(article_id, cluster_id, is_representative, cluster_size, changed) of all articles after new articles and links came.
+
+    known: (article_id, cluster_id); new: (article_id); articles: (article_id, published_at, credibility_score) of both. Where
+    links bridge clusters, the id of that with the earliest member (dateless last, then the least id) survives; a cluster of new
+    articles only gets an id of its own. ``changed`` marks all articles of clusters whose membership changed: what is emitted again."""
+    first = known.groupBy("cluster_id").agg(F.min("article_id").alias("_anchor"))
+    anchored = known.join(first, "cluster_id").select("article_id", F.col("_anchor").alias("cluster"))
+    grown = merge_incremental(anchored, links, new.join(known.select("article_id"), "article_id", "left_anti"))
+    rows = grown.join(known.withColumnRenamed("cluster_id", "_old"), "article_id", "left").join(articles.select("article_id", "published_at", "credibility_score"), "article_id", "left")
+    date = F.struct(F.col("published_at").isNull().alias("none"), "published_at")
+    oldest = rows.where("_old IS NOT NULL").groupBy("cluster", "_old").agg(F.min(date).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    survivor = oldest.groupBy("cluster").agg(F.min_by("_old", F.struct("_t", "_old")).alias("_id"), F.count(F.lit(1)).alias("_clusters"), F.sum("_n").alias("_members"))
+    order = F.struct(F.col("published_at").isNull().alias("none"), "published_at", F.col("credibility_score").isNull().alias("no"), (-F.col("credibility_score")).alias("c"), "article_id")
+    best = rows.groupBy("cluster").agg(F.min_by("article_id", order).alias("_best"), F.count(F.lit(1)).alias("_size"))
+    j = rows.join(best, "cluster").join(survivor, "cluster", "left")
+    is_best = F.col("article_id") == F.col("_best")
+    changed = (F.coalesce("_clusters", F.lit(0)) != 1) | (F.col("_members") != F.col("_size"))
+    return j.select("article_id", F.coalesce("_id", F.sha2(F.col("_best").cast("string"), 256)).alias("cluster_id"), is_best.alias("is_representative"), F.when(is_best, F.col("_size")).alias("cluster_size"), changed.alias("changed"))
+
+
+def article_entities(mentions: DataFrame) -> DataFrame:
+    """(article_id, entity_type, node_key) of resolved mentions, each key once an article."""
+    return mentions.where("node_key <> ''").select("article_id", "entity_type", "node_key").distinct()
+
+
 def entity_union(clusters: DataFrame, entities: DataFrame) -> DataFrame:
     """(cluster_id, entities): all entities of a cluster's articles by key, of the highest confidence each."""
     w = Window.partitionBy("cluster_id", "node_key").orderBy(F.desc("node_confidence"), "article_id", "entity_type")
@@ -109,6 +143,8 @@ def entity_union(clusters: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def elect(articles: DataFrame, group: str) -> DataFrame:
-    """The representative of each group and its size."""
-    w = Window.partitionBy(group).orderBy(F.col("published_at").asc_nulls_last(), F.col("credibility_score").desc_nulls_last(), "article_id")
-    return articles.withColumn("_r", F.row_number().over(w)).withColumn("cluster_size", F.count(F.lit(1)).over(Window.partitionBy(group))).where("_r = 1").drop("_r")
+    """The representative of each group and its size, by one aggregation."""
+    order = F.struct(F.col("published_at").isNull().alias("none"), "published_at", F.col("credibility_score").isNull().alias("no"), (-F.col("credibility_score")).alias("c"), "article_id")
+    rest = [c for c in articles.columns if c != group]
+    best = articles.groupBy(group).agg(F.min_by(F.struct(*rest), order).alias("_best"), F.count(F.lit(1)).alias("cluster_size"))
+    return best.select(group, *[F.col(f"_best.{c}").alias(c) for c in rest], "cluster_size")

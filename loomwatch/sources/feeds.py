@@ -30,7 +30,7 @@ OTX_TYPES = {
     "IPv4": "ip", "IPv6": "ip", "domain": "domain", "hostname": "domain", "URL": "url", "URI": "url",
     "FileHash-MD5": "md5_hash", "FileHash-SHA1": "sha1_hash", "FileHash-SHA256": "sha256_hash",
 }
-HASH_TYPES = ("md5_hash", "sha1_hash", "sha256_hash", "sha3_384_hash")
+HASH_TYPES = ("md5_hash", "sha1_hash", "sha256_hash")
 
 
 class Normalizer(Protocol):
@@ -49,6 +49,18 @@ def valid_status(payloads: DataFrame) -> DataFrame:
     return payloads.where("query_status = 'ok'")
 
 
+#: Of each feed what a payload must hold.
+SHAPES = {"nvd": "vulnerabilities", "kev": "vulnerabilities", "ghsa": "data.securityAdvisories.nodes", "otx": "results", "urlhaus": "urls", "malwarebazaar": "data", "threatfox": "data"}
+
+
+def check_shape(payloads: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) payloads: a good one holds the feed's list, and says 'ok' where the feed has a status."""
+    good = F.col(SHAPES[feed]).isNotNull()
+    if "query_status" in payloads.columns:
+        good = good & F.coalesce(F.col("query_status") == "ok", F.lit(False))
+    return payloads.where(good), payloads.where(~good)
+
+
 def _first(items: Column, test) -> Column:
     return F.get(F.filter(items, test), 0)
 
@@ -59,8 +71,11 @@ def nvd(payloads: DataFrame) -> DataFrame:
     text = F.coalesce(_first(F.col("descriptions"), lambda d: d["lang"] == "en"), F.get("descriptions", 0))["value"]
     metric = F.coalesce(*[F.get(f"metrics.{m}", 0) for m in ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")])["cvssData"]
     weak = F.flatten(F.transform("weaknesses", lambda w: F.transform(F.coalesce(w["description"], F.array().cast("array<struct<value:string>>")), lambda d: d["value"])))
-    nodes = F.flatten(F.transform("configurations", lambda x: x["nodes"]))
-    products = F.array_distinct(F.flatten(F.transform(nodes, lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"]))))
+    none = F.array().cast("array<string>")
+    # Configurations without nodes, and nodes without products, lose none of the others.
+    of_node = lambda n: F.coalesce(F.transform(n["cpeMatch"], lambda m: m["criteria"]), none)
+    per = F.transform("configurations", lambda x: F.coalesce(F.flatten(F.transform(x["nodes"], of_node)), none))
+    products = F.array_distinct(F.filter(F.flatten(per), lambda x: x.isNotNull() & (x != "")))
     return c.select(
         F.col("id").alias("cve_id"), F.col("lastModified").alias("last_modified"), text.alias("description"), metric["baseScore"].alias("cvss_score"), metric["vectorString"].alias("cvss_vector"),
         F.nullif("published", F.lit("")).alias("published_date"), F.when(F.size(products) > 0, products).alias("affected_products"),
@@ -90,16 +105,16 @@ def ghsa(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, articles
 
 
-def otx(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indicators, edges): indicators of all pulses, and INDICATES edges of the pulses with exactly one CVE."""
-    p = payloads.select(F.explode("results").alias("p")).where("p.id IS NOT NULL").select("p.id", "p.indicators")
-    cves = F.array_distinct(F.transform(F.filter("indicators", lambda i: i["type"] == "CVE"), lambda i: i["indicator"]))
+def otx(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(indicators, CVEs, edges): indicators and CVE ids of all pulses, and INDICATES edges of the pulses with exactly one CVE (one listed twice is two). Pulses without an id and indicators without a value or type are skipped."""
+    p = payloads.select(F.explode("results").alias("p")).where("coalesce(p.id, '') <> ''").select("p.id", F.filter("p.indicators", lambda i: (F.coalesce(i["indicator"], F.lit("")) != "") & (F.coalesce(i["type"], F.lit("")) != "")).alias("indicators"))
+    cves = F.transform(F.filter("indicators", lambda i: i["type"] == "CVE"), lambda i: i["indicator"])
     types = F.create_map(*[F.lit(x) for kv in OTX_TYPES.items() for x in kv])
-    rows = p.select("id", cves.alias("cves"), F.explode(F.filter("indicators", lambda i: (i["type"] != "CVE") & i["indicator"].isNotNull())).alias("i"))
+    rows = p.select("id", cves.alias("cves"), F.explode(F.filter("indicators", lambda i: i["type"] != "CVE")).alias("i"))
     rows = rows.select("id", "cves", F.col("i.indicator").alias("value"), F.coalesce(types[F.col("i.type")], F.lower("i.type")).alias("ioc_type"))
     nodes = rows.select("value", "ioc_type", tx.key(F.col("value"), F.col("ioc_type")).alias("value_type_key")).distinct()
     edges = rows.where(F.size("cves") == 1).select(tx.key(F.col("value"), F.col("ioc_type")).alias("start_key"), F.lit("INDICATES").alias("rel_type"), F.get("cves", 0).alias("end_key"), F.lit("otx").alias("source_id")).distinct()
-    return nodes, edges
+    return nodes, p.select(F.explode(cves).alias("cve_id")).distinct(), edges
 
 
 def urlhaus(payloads: DataFrame) -> DataFrame:

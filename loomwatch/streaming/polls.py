@@ -82,6 +82,59 @@ def node_sink(path: str, keys: list[str], last: list[str], first: list[str] = ()
     return write
 
 
+def cluster_sink(path: str, articles: DataFrame, links_of):
+    """For ``foreachBatch``: folds micro-batches of (article_id) into the table of clusters, a new version a batch. links_of: (batch, number) -> links (a, b)."""
+    from loomwatch.operators.stories import assign_clusters
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select("article_id").distinct()
+        known = spark.read.parquet(f"{path}/v={number - 1}").select("article_id", "cluster_id") if number else new.limit(0).withColumn("cluster_id", F.lit(""))
+        assign_clusters(known, links_of(batch, number), new, articles).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return write
+
+
+def version_sink(path: str, apply):
+    """For ``foreachBatch``: applies snapshots of domains whose version isn't the ingested one. batch: (domain, version, ...); apply: (due rows) -> None. A failed batch leaves the versions as they were."""
+    from loomwatch.sources.stix import due, latest_versions
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.select("domain", "version").limit(0)
+        latest = latest_versions(batch.select("domain", "version"))
+        todo = due(latest, old)
+        apply(batch.join(todo, ["domain", "version"], "left_semi"))
+        kept = old.join(todo.select("domain"), "domain", "left_anti").unionByName(todo.select("domain", "version"))
+        kept.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return write
+
+
+ARTICLE = "node_label string, article_id string, source_id string, guid string, cleaned_text string, title string, published_at string"
+
+
+def announce_articles(articles: DataFrame) -> DataFrame:
+    """(value): a JSON message for each article row, for whatever sink carries messages."""
+    fields = [F.lit("Article").alias("node_label"), F.col("source_guid_key").alias("article_id"), "source_id", "guid", "cleaned_text", "title", "published_at"]
+    return articles.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def announce_edges(outcomes: DataFrame) -> DataFrame:
+    """(value): a JSON message for each written edge. outcomes: (EDGE, outcome, and, if known, origin)."""
+    origin = F.col("origin") if "origin" in outcomes.columns else F.lit(None).cast("string").alias("origin")
+    return outcomes.select(F.to_json(F.struct("rel_type", "start_key", "end_key", "outcome", origin), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def decoded(messages: DataFrame, schema: str, required: list[str], value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(good, quarantined): messages as columns, and those that are no JSON of the schema or lack a required field, as they came, with ``reason``."""
+    parsed = messages.withColumn("_m", F.from_json(value, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    lacks = F.filter(F.array(*[F.when(F.col(f"_m.{c}").isNull(), F.lit(c)) for c in required]), lambda x: x.isNotNull()) if required else F.array().cast("array<string>")
+    reason = F.when(F.col(value).isNull() | F.col("_m").isNull() | F.col("_m._bad").isNotNull(), "no message").when(F.size(lacks) > 0, F.concat(F.lit("lacks "), F.array_join(lacks, ", ")))
+    rows = parsed.withColumn("reason", reason)
+    return rows.where("reason IS NULL").select("_m.*").drop("_bad"), rows.where("reason IS NOT NULL").select(*messages.columns, "reason")
+
+
 def articles_only(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(article announcements, all others) of JSON messages."""
     parsed = messages.select(F.from_json(value, "node_label string, article_id string, title string, cleaned_text string, published_at string").alias("m")).select("m.*")

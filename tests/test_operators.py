@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,60 @@ def test_extraction_overlaps(spark):
     assert {v for _, v in found(spark, "hxxp://A.example/Q and http://a.example/q")} == {"http://A.example/Q"}  # equal but for case
 
 
+def naive_mentions(text):
+    """The rule in its plainest form."""
+    plain = text
+    for c in tx.ZERO_WIDTH:
+        plain = plain.replace(c, "")
+    for a, b in tx.REFANG:
+        plain = plain.replace(a, b)
+    refang = lambda t: mentions.refanged(t)
+    spans, rows = [], [(k, None, m[0], m.start(), 1.0) for k, p in (("cve", tx.CVE), ("ttp", tx.TTP)) for m in re.finditer(p, text)]
+    for kind, p in tx.PATTERNS.items():
+        for m in re.finditer(p, plain):
+            a, b = m.span()
+            if all(not (s <= a < e) and not (s < b <= e) for s, e in spans):
+                spans.append((a, b))
+                near = text[max(0, a - 10) : b + 10]
+                rows.append(("ioc", kind, m[0], max(0, text.find(m[0])), 0.9 if refang(near) != near else 0.4))
+    best = {}
+    for r in rows:
+        if (r[1] == "ipv4" and re.match(tx.RESERVED, r[2])) or (r[1] == "domain" and r[2].lower() in tx.BENIGN):
+            continue
+        key = (r[0], r[2].lower())
+        if key not in best or r[4] > best[key][4]:
+            best[key] = r
+    return {(r[0], r[1], r[2].upper() if r[0] in ("cve", "ttp") else r[2], r[3], r[4]) for r in best.values()}
+
+
+def test_extraction_equals_the_plain_rule(spark):
+    r = random.Random(6)
+    bits = ["CVE-2024-12345", "cve-2024-1", "T1059", "T1059.001", "8.8.4.4", "8[.]8.4[.]4", "10.1.2.3", "http://a.example/q", "hxxp://b[.]example/" + "ab" * 20, "x@y.org", "x[at]y(dot)org", "fe80:1:2:3", "github.com", "EVIL.example", "evil.example", "ab" * 16, "AB" * 32, "word", "\u200b", "\n", ",", "/"]
+    texts = ["".join(r.choice(bits) + r.choice([" ", "", " ", "/"]) for _ in range(r.randrange(25))) for _ in range(150)] + [None, "", "8.8.4.4 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "article_id long, text string").repartition(3)
+    got = {}
+    for x in mentions.extract_mentions(df).collect():
+        got.setdefault(x.article_id, set()).add((x.entity_type, x.ioc_type, x.surface_text, x.char_start, x.extraction_confidence))
+        t = texts[x.article_id]
+        assert x.context_snippet == t[max(0, x.char_start - 40) : x.char_end + 40].strip()
+    for i, t in enumerate(texts):
+        assert got.get(i, set()) == naive_mentions(t or ""), t
+
+
+def test_model_mentions_are_guarded_and_failures_keep_articles(spark):
+    df = spark.createDataFrame([(1, "Fancy Bear used CVE-2024-12345"), (2, "boom CVE-2024-12345"), (3, None)], "article_id long, text string")
+    names = mentions.dictionary_model({"fancy bear": "threat_actor"})
+
+    def model(text):
+        if "boom" in text:
+            raise TimeoutError
+        return [*names(text), {"entity_type": "malware_family", "surface_text": "invented", "extraction_confidence": 1.0}, {"entity_type": "cve", "surface_text": "CVE-2024-12345", "extraction_confidence": 1.0}]
+
+    got = {(r.article_id, r.entity_type, r.surface_text, r.extraction_confidence) for r in mentions.all_mentions(df, model).collect()}
+    assert got == {(1, "threat_actor", "Fancy Bear", 0.8), (1, "cve", "CVE-2024-12345", 1.0), (2, "cve", "CVE-2024-12345", 1.0)}
+    assert mentions.all_mentions(df).count() == 2
+
+
 def test_story_score_and_clusters(spark):
     day = dt.datetime(2024, 1, 1)
     arts = [(i, day + dt.timedelta(hours=h), f"h{i}", c) for i, h, c in ((1, 5, 0.5), (2, 3, 0.5), (3, 3, 0.9), (4, 90, None))] + [(5, None, "", 0.9)]
@@ -129,10 +185,62 @@ def test_resolution_tiers(spark):
     assert near.ratio == pytest.approx(0.9)
 
 
+def test_resolved_mentions_keep_their_confidence(spark):
+    aliases = resolve.alias_index(spark.createDataFrame(ALIASES, "merge_key string, name string, aliases array<string>, seq long"))
+    rows = [(1, "threat_actor", "Fancy\t  Bear", 0.7), (1, "malware_family", "New\u00a0 Thing", 1.0)]
+    got = {r.node_key: (r.resolution_status, r.node_confidence) for r in resolve.resolve_names(spark.createDataFrame(rows, "article_id long, entity_type string, surface_text string, extraction_confidence double"), aliases).collect()}
+    assert got == {"G0007": ("resolved", 0.7), "new thing": ("provisional", 0.99)}
+
+
+def test_a_model_may_only_choose_known_keys(spark):
+    aliases = resolve.alias_index(spark.createDataFrame(ALIASES, "merge_key string, name string, aliases array<string>, seq long"))
+    answers = spark.createDataFrame([("the bears", "G0007"), ("nobody", "G9999")], "name string, merge_key string")
+    rows = [(1, "threat_actor", "The Bears", 0.6), (1, "threat_actor", "Nobody", 0.6)]
+    got = resolve.resolve_names(spark.createDataFrame(rows, "article_id long, entity_type string, surface_text string, extraction_confidence double"), aliases, lambda names, _: names.join(answers, "name"))
+    assert {r.node_key: r.resolution_status for r in got.collect()} == {"G0007": "resolved", "nobody": "provisional"}
+    assert resolve.known_keys(aliases).first().merge_keys == ["G0007", "G1015"]
+
+
+def test_fuzzy_pairs_are_those_of_all_pairs(spark):
+    import difflib
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcde ") for _ in range(r.randrange(1, 12))).strip() or "a"
+    names, aliases = sorted({" ".join(word().split()) for _ in range(80)}), sorted({" ".join(word().split()) for _ in range(60)})
+    left = spark.createDataFrame([(n,) for n in names], "name string")
+    right = spark.createDataFrame([(a, f"k{i}", (i, 0)) for i, a in enumerate(aliases)], "alias string, merge_key string, first_seen struct<seq:int,pos:int>")
+    for least in (0.6, 0.85):
+        got = {(x.name, x.alias): x.ratio for x in resolve._ratios(left, right, least).collect()}
+        every = {(n, a): difflib.SequenceMatcher(None, n, a).ratio() for n in names for a in aliases}
+        assert got == {k: v for k, v in every.items() if v >= least}
+
+
+CANONICAL = [("ThreatActor", "G0007", "Fancy Bear", ["APT28"]), ("ThreatActor", "G1015", "Scattered Spider", None), ("ThreatActor", "G1016", "Scattered Spiders", None), ("MalwareFamily", "S1", "apt28", None)]
+
+
 def test_reconciliation(spark):
+    canonical = spark.createDataFrame(CANONICAL, "label string, merge_key string, name string, aliases array<string>")
+    provisional = spark.createDataFrame([("ThreatActor", k) for k in ("apt28", "scattered spyder", "zzz")], "label string, merge_key string")
+    got = {(r.merge_key, r.canonical_key, r.action) for r in resolve.reconcile(provisional, canonical).collect()}
+    assert got == {("apt28", "G0007", "merge"), ("scattered spyder", "G1015", "review"), ("scattered spyder", "G1016", "review")}
+
+
+def test_merged_nodes_leave_their_name_and_edges(spark):
+    nodes = spark.createDataFrame([*CANONICAL, ("ThreatActor", "apt28", "Apt28 group", None)], "label string, merge_key string, name string, aliases array<string>")
+    edges = spark.createDataFrame([("apt28", "USES", "m", 0.4), ("G0007", "USES", "m", 0.3), ("x", "USES", "apt28", 0.2)], "start_key string, rel_type string, end_key string, confidence double")
+    merges = spark.createDataFrame([("ThreatActor", "apt28", "G0007")], "label string, merge_key string, canonical_key string")
+    left, moved = resolve.merge_nodes(nodes, edges, merges)
+    assert {(r.label, r.merge_key): r.aliases for r in left.collect()} == {("ThreatActor", "G0007"): ["APT28", "Apt28 group"], ("ThreatActor", "G1015"): [], ("ThreatActor", "G1016"): [], ("MalwareFamily", "S1"): []}
+    assert {(r.start_key, r.end_key): (r.confidence, r.merged) for r in moved.collect()} == {("G0007", "m"): (0.4, 2), ("x", "G0007"): (0.2, 1)}
+
+
+def test_every_kind_has_its_ladder(spark):
     aliases = resolve.alias_index(spark.createDataFrame(ALIASES, "merge_key string, name string, aliases array<string>, seq long"))
-    got = {r.merge_key: (r.canonical_key, r.action) for r in resolve.reconcile(spark.createDataFrame([("apt28",), ("scattered spyder",), ("zzz",)], "merge_key string"), aliases).collect()}
-    assert got == {"apt28": ("G0007", "merge"), "scattered spyder": ("G1015", "review")}
+    rows = [("cve", None, "CVE-2024-1"), ("ttp", None, "T1001"), ("ttp", None, "T9999"), ("ioc", "url", "http://A/b"), ("ioc", "domain", "Evil.Example"), ("threat_actor", None, "APT28"), ("tool", None, "x")]
+    m = spark.createDataFrame([(1, *r, 0.5) for r in rows], "article_id long, entity_type string, ioc_type string, surface_text string, extraction_confidence double")
+    got = resolve.resolve_all(m, aliases, spark.createDataFrame([("T1001",)], "technique_id string"))
+    assert {(r.node_key, r.resolution_status) for r in got.collect()} == {("CVE-2024-1", "resolved"), ("T1001", "resolved"), ("", "rejected"), ("http://A/b::url", "resolved"), ("evil.example::domain", "resolved"), ("G0007", "resolved")}
+    assert resolve.mention_edges(got).count() == 5
 
 
 def test_relations(spark):
@@ -152,11 +260,31 @@ def payload(spark, schema, doc):
 def test_pulses_with_one_cve_only(spark):
     ind = lambda *x: [{"indicator": v, "type": t} for v, t in x]
     doc = {"results": [{"id": "1", "indicators": ind(("CVE-1", "CVE"), ("1.1.1.1", "IPv4"))}, {"id": "2", "indicators": ind(("CVE-1", "CVE"), ("CVE-2", "CVE"), ("d.org", "hostname"))}, {"id": "3", "indicators": ind(("m", "Mutex"))}]}
-    nodes, edges = feeds.otx(payload(spark, feeds.OTX, doc))
-    assert {r.value_type_key for r in nodes.collect()} == {"1.1.1.1::ip", "d.org::domain", "m::mutex"}
+    doc["results"] += [{"id": "", "indicators": ind(("CVE-9", "CVE"), ("e", "Mutex"))}, {"id": "4", "indicators": ind(("CVE-3", "CVE"), ("CVE-3", "CVE"), ("f.org", "domain"), ("", "IPv4"), ("x", None))}]
+    nodes, cves, edges = feeds.otx(payload(spark, feeds.OTX, doc))
+    assert {r.value_type_key for r in nodes.collect()} == {"1.1.1.1::ip", "d.org::domain", "m::mutex", "f.org::domain"}
+    assert {r.cve_id for r in cves.collect()} == {"CVE-1", "CVE-2", "CVE-3"}
     assert [(r.start_key, r.end_key) for r in edges.collect()] == [("1.1.1.1::ip", "CVE-1")]
 
 
+def test_missing_parts_lose_no_products(spark):
+    doc = {"vulnerabilities": [{"cve": {"id": "CVE-1", "configurations": [{"nodes": [{"cpeMatch": [{"criteria": "a"}]}, {}]}, {}, {"nodes": [{"cpeMatch": [{"criteria": "b"}, {}]}]}]}}]}
+    row = feeds.nvd(payload(spark, feeds.NVD, doc)).first()
+    assert row.affected_products == ["a", "b"] and row.cwe_ids == [] and row.description is None
+
+
+def test_samples_are_hashes_of_three_kinds(spark):
+    rows = [{"ioc": k, "ioc_type": k, "malware_printable": "X"} for k in ("md5_hash", "sha3_384_hash", "url")]
+    edges = feeds.threatfox(payload(spark, feeds.THREATFOX, {"query_status": "ok", "data": rows}))[2]
+    assert {r.end_key.split("::")[0]: r.rel_type for r in edges.collect()} == {"md5_hash": "HAS_SAMPLE", "sha3_384_hash": "COMMUNICATES_WITH", "url": "COMMUNICATES_WITH"}
+
+
+@pytest.mark.parametrize(("feed", "schema", "good", "bad"), [("kev", feeds.KEV, {"vulnerabilities": []}, {"vulnerabilities": "x"}), ("ghsa", feeds.GHSA, {"data": {"securityAdvisories": {"nodes": []}}}, {"data": {}}), ("otx", feeds.OTX, {"results": []}, {}), ("urlhaus", feeds.URLHAUS, {"query_status": "ok", "urls": []}, {"query_status": "no_results", "urls": []})])
+def test_shapes_are_checked(spark, feed, schema, good, bad):
+    both = payload(spark, schema, good).unionByName(payload(spark, schema, bad))
+    assert [x.count() for x in feeds.check_shape(both, feed)] == [1, 1]
+
+
 def test_feed_entries_and_fallback(spark, tmp_path):
     (tmp_path / "f.xml").write_text("<rss><channel><item><title>T</title><link>http://a/1</link><description>S</description></item><item><guid>g</guid><title>U</title></item></channel></rss>")
     got = {r.guid: r for r in feeds.read_rss(spark, str(tmp_path / "f.xml")).collect()}
