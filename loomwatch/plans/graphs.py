@@ -68,7 +68,7 @@ def edge_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both components of edges; even events are of feeds, odd ones of stories."""
     a = inputs.assertions(spark, sf_dir)
     auth = graph.authoritative_edges(graph.credibility_of(a.where("seq % 2 = 0"), inputs.feeds(spark)))
-    both = graph.combine_edges(auth, graph.inferred_edges(a.where("seq % 2 = 1 AND cluster_id < 's2'")))
+    both = graph.combine_edges(auth, graph.inferred_edges(a.where("seq % 2 = 1")))
     return both.select(*graph.EDGE, F.round("confidence", 8).alias("confidence"), F.array_join("origin", ",").alias("origin"), "first_observed", "last_confirmed")
 
 
@@ -209,7 +209,7 @@ def pulse_indicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as pulses: of ten indicators each, and one or two CVEs."""
     e = inputs.table(spark, sf_dir, "events").where("event_id IS NOT NULL").select(F.floor(F.col("event_id") / 10).cast("string").alias("id"), F.struct(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("CVE-2024-"), (1000 + F.col("event_id")).cast("string"))).when(F.col("event_id") % 30 == 1, "CVE-1999-0001").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 500).cast("string"))).alias("indicator"), F.when((F.col("event_id") % 10 == 0) | (F.col("event_id") % 30 == 1), "CVE").when(F.col("event_id") % 2 == 0, "hostname").otherwise("Mutex").alias("type")).alias("i"))
     pulses = e.groupBy("id").agg(F.collect_list("i").alias("indicators")).select(F.array(F.struct("id", "indicators")).alias("results"))
-    return feeds.otx(pulses)[1].select("start_key", "rel_type", "end_key")
+    return feeds.otx(pulses)[2].select("start_key", "rel_type", "end_key")
 
 
 def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +258,7 @@ SELECT 's' || s::VARCHAR AS start_key, CASE WHEN p % 10 = 0 OR p NOT IN (SELECT
     "mentions_edge_latest": f"WITH {_A} SELECT start_key, end_key, arg_max(contribution, seq) AS contribution, arg_max(cluster_id, seq) AS cluster_id FROM assertions GROUP BY ALL",
     "noisy_or_edges": f"WITH {_A}, {_INF.format('assertions')} SELECT {_E}, round(inferred_confidence, 8) AS inferred_confidence, clusters, first_observed, last_confirmed FROM inf",
     "authoritative_edges": f"WITH {_A}, {_F}, {_AUTH.format('assertions')} SELECT * FROM auth",
-    "edge_confidence": f"""WITH {_A}, {_F}, ev AS (SELECT * FROM assertions WHERE seq % 2 = 0), od AS (SELECT * FROM assertions WHERE seq % 2 = 1 AND cluster_id < 's2'), {_AUTH.format('ev')}, {_INF.format('od')}
+    "edge_confidence": f"""WITH {_A}, {_F}, ev AS (SELECT * FROM assertions WHERE seq % 2 = 0), od AS (SELECT * FROM assertions WHERE seq % 2 = 1), {_AUTH.format('ev')}, {_INF.format('od')}
 SELECT {_E}, round(greatest(coalesce(authoritative_confidence, 0), coalesce(inferred_confidence, 0)), 8) AS confidence, concat_ws(',', CASE WHEN authoritative_confidence IS NOT NULL THEN 'authoritative' END, CASE WHEN inferred_confidence IS NOT NULL THEN 'inferred' END) AS origin,
   least(auth.first_observed, inf.first_observed) AS first_observed, greatest(auth.last_confirmed, inf.last_confirmed) AS last_confirmed FROM auth FULL JOIN inf USING ({_E})""",
     "recompute_feed": f"""WITH {_A}, {_F}, each AS (SELECT DISTINCT {_E}, source_id FROM assertions), hit AS (SELECT DISTINCT {_E} FROM each WHERE source_id = 'feed1')
@@ -300,7 +300,7 @@ SELECT event_id, CASE WHEN s IN (401, 403) THEN 'no_retry' WHEN s = 429 THEN 're
     "timestamps_parsed": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN epoch_us(date_trunc('second', o_orderdate)) END AS micros FROM orders",
     "stix_nodes_edges": "SELECT * FROM (VALUES ('ThreatActor', 'quiet fox', 'USES', 'MalwareFamily', 'S0001'), ('MalwareFamily', 'S0001', 'USES', 'TTP', 'T1566.001')) AS t(start_label, start_key, rel_type, end_label, end_key)",
     "pulse_indicates": """WITH e AS (SELECT event_id // 10 AS id, event_id AS i, event_id % 10 = 0 OR event_id % 30 = 1 AS cve, CASE WHEN event_id % 10 = 0 THEN 'CVE-2024-' || (1000 + event_id)::VARCHAR WHEN event_id % 30 = 1 THEN 'CVE-1999-0001' ELSE 'h' || (user_id % 500)::VARCHAR END AS v FROM events
-), c AS (SELECT id, min(v) AS v FROM e WHERE cve GROUP BY id HAVING count(DISTINCT v) = 1)
+), c AS (SELECT id, min(v) AS v FROM e WHERE cve GROUP BY id HAVING count(*) = 1)
 SELECT DISTINCT e.v || '::' || CASE WHEN i % 2 = 0 THEN 'domain' ELSE 'mutex' END AS start_key, 'INDICATES' AS rel_type, c.v AS end_key FROM e JOIN c USING (id) WHERE NOT cve""",
     "nvd_records": "SELECT * FROM (VALUES ('CVE-1', 'one', 9.8::DOUBLE, 'V', 'CWE-79', 'a,b'), ('CVE-2', 'deux', 5.0, 'W', '', NULL)) AS t(cve_id, description, cvss_score, cvss_vector, cwes, products)",
     "threatfox_edges": "SELECT * FROM (VALUES ('xbot', 'COMMUNICATES_WITH', '1.2.3.4:80::ip:port', 'threatfox'), ('xbot', 'HAS_SAMPLE', 'ab::sha256_hash', 'threatfox')) AS t(start_key, rel_type, end_key, source_id)",

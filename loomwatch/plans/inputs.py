@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwatch.functions import text as tx
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,15 +26,18 @@ ARTICLES_SQL = """articles AS (
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two entities of each article: one that copies share, one by its number."""
+    """Two entities of each article: one of its words, which copies share, and one by its number."""
     d = table(spark, sf_dir, "documents")
-    one = d.select(F.col("doc_id").alias("article_id"), F.lit("cve").alias("entity_type"), F.substring(F.sha2(F.substring("text", 1, 40), 256), 1, 7).alias("node_key"), (F.pmod("doc_id", F.lit(10)) / 10.0).alias("node_confidence"))
+    words = d.select("doc_id", tx.find_all(F.col("text"), "[A-Za-z0-9]+").alias("w"))
+    mark = F.concat_ws("|", F.array_max("w"), F.array_min("w"), F.floor(F.size("w") / 20).cast("string"))
+    one = words.select(F.col("doc_id").alias("article_id"), F.lit("cve").alias("entity_type"), F.substring(F.sha2(mark, 256), 1, 7).alias("node_key"), (F.pmod("doc_id", F.lit(10)) / 10.0).alias("node_confidence"))
     two = d.select(F.col("doc_id").alias("article_id"), F.lit("ttp").alias("entity_type"), F.concat(F.lit("T"), F.pmod("doc_id", F.lit(50)).cast("string")).alias("node_key"), (F.pmod("doc_id", F.lit(7)) / 10.0).alias("node_confidence"))
     return one.unionByName(two)
 
 
 ENTITIES_SQL = """entities AS (
-  SELECT doc_id AS article_id, 'cve' AS entity_type, substr(sha256(substr(text, 1, 40)), 1, 7) AS node_key, (doc_id % 10) / 10.0 AS node_confidence FROM documents
+  SELECT doc_id AS article_id, 'cve' AS entity_type, substr(sha256(concat_ws('|', list_max(w), list_min(w), (len(w) // 20)::VARCHAR)), 1, 7) AS node_key, (doc_id % 10) / 10.0 AS node_confidence
+  FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM documents)
   UNION ALL SELECT doc_id, 'ttp', 'T' || (doc_id % 50)::VARCHAR, (doc_id % 7) / 10.0 FROM documents
 )"""
 

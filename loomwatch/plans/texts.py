@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
-from loomwatch.operators import mentions, stories
+from loomwatch.operators import mentions, nearest, stories
 from loomwatch.plans import inputs
 from loomwatch.sources import feeds
 
@@ -38,9 +38,8 @@ SUFFIX = "concat(text, ' CVE-2024-', cast(1000 + doc_id % 97 as string), ' T', c
 def refang_cve_ttp(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = inputs.table(spark, sf_dir, "documents").select("doc_id", F.expr(SUFFIX).alias("text"))
     plain = tx.refang(F.col("text"))
-    # Of each kind the last of the whole text.
-    last = lambda pattern: F.try_element_at(tx.find_all(plain, pattern), F.lit(-1))
-    return d.select("doc_id", last(tx.CVE).alias("cve"), last(tx.TTP).alias("ttp"), last(r"https?://[^\s\"'<>]+").alias("url"), last(tx.PATTERNS["ipv4"]).alias("ipv4"))
+    every = lambda pattern: F.array_join(tx.find_all(plain, pattern), ",")
+    return d.select("doc_id", every(tx.CVE).alias("cves"), every(tx.TTP).alias("ttps"), every(r"https?://[^\s\"'<>]+").alias("urls"), every(tx.PATTERNS["ipv4"]).alias("ipv4s"))
 
 
 def ioc_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,15 +100,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five vectors nearest to each of the first ten, by cosine."""
-    v = inputs.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = F.broadcast(v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")))  # ten stated queries
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("q"), F.col("e")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("e"), F.col("e")))
-    near = v.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", F.struct(F.round(cosine, 6).alias("c"), (-F.col("vec_id")).alias("i")).alias("s"))
-    # The first five of each partition, then of all.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
-    return near.withColumn("rank", rank).where("rank <= 5").select("query_id", F.col("rank").cast("long").alias("rank"), (-F.col("s.i")).alias("vec_id"), F.col("s.c").alias("cosine"))
+    """The five vectors nearest, by cosine, to each whose id is divisible by 50."""
+    v = inputs.table(spark, sf_dir, "embeddings")
+    return nearest.nearest(v, v.where("vec_id % 50 = 0"), 5)
 
 
 QUERIES = {f.__name__: f for f in (article_keys_hash, exact_dup_clusters, ioc_mentions_by_type, refang_cve_ttp, ioc_classify, ioc_extract_full, benign_domain_filter, simhash64, simhash64_arrow, candidate_pairs, pair_scores, story_clusters, cluster_entity_union, page_text, embedding_topk)}
@@ -148,7 +141,11 @@ SELECT content_hash, article_id, cluster_size, source FROM r WHERE k = 1 AND clu
 ), d AS (SELECT DISTINCT doc_id, ioc_type, lower(v) AS value FROM m)
 SELECT ioc_type, value, count(*) AS n_articles FROM d
 WHERE NOT (ioc_type = 'ipv4' AND regexp_matches(value, '^(10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.([0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])\.)')) GROUP BY ALL""",
-    "refang_cve_ttp": """SELECT doc_id, 'CVE-2024-' || (1000 + doc_id % 97)::VARCHAR AS cve, 'T' || (1000 + doc_id % 50)::VARCHAR AS ttp, 'http://evil' || (doc_id % 31)::VARCHAR || '.example.org/a' AS url, '203.0.113.' || (doc_id % 250)::VARCHAR AS ipv4 FROM documents""",
+    "refang_cve_ttp": r"""WITH d AS (
+  SELECT doc_id, text || ' CVE-2024-' || (1000 + doc_id % 97)::VARCHAR || ' T' || (1000 + doc_id % 50)::VARCHAR || ' hxxp://evil' || (doc_id % 31)::VARCHAR || '[.]example(dot)org/a 203.0[.]113.' || (doc_id % 250)::VARCHAR AS t FROM documents
+), r AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(translate(t, chr(8203) || chr(8204) || chr(8205) || chr(65279), ''), 'hxxp', 'http'), '[.]', '.'), '(dot)', '.'), '[dot]', '.'), '[at]', '@'), '(at)', '@'), '[:]', ':') AS t FROM d)
+SELECT doc_id, array_to_string(regexp_extract_all(t, 'CVE-\d{4}-\d{4,7}'), ',') AS cves, array_to_string(regexp_extract_all(t, '\bT\d{4}(?:\.\d{3})?\b'), ',') AS ttps,
+  array_to_string(regexp_extract_all(t, 'https?://[^\s"''<>]+'), ',') AS urls, array_to_string(regexp_extract_all(t, '\b(?:\d{1,3}\.){3}\d{1,3}\b'), ',') AS ipv4s FROM r""",
     "ioc_classify": "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'sha256' WHEN 1 THEN 'sha1' WHEN 2 THEN 'md5' WHEN 3 THEN 'email' WHEN 4 THEN 'url' WHEN 5 THEN 'ipv4' END AS ioc_type FROM documents",
     "benign_domain_filter": """WITH p AS (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain FROM pages)
 SELECT domain, count(*) AS n_pages FROM p WHERE domain NOT IN ('microsoft.com', 'github.com', 'google.com', 'www.example.com') GROUP BY domain""",
@@ -164,7 +161,7 @@ SELECT article_id, sha256(best::VARCHAR) AS cluster_id, article_id = best AS is_
     "cluster_entity_union": f"""WITH {inputs.ARTICLES_SQL}, {inputs.ENTITIES_SQL}, u AS (SELECT content_hash AS cluster_id, node_key, max(node_confidence) AS c FROM articles JOIN entities USING (article_id) GROUP BY ALL)
 SELECT cluster_id, count(*) AS n_entities, string_agg(node_key || '=' || round(c * 10)::INT::VARCHAR, ',' ORDER BY node_key) AS entities FROM u GROUP BY cluster_id""",
     "embedding_topk": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (
-  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS cosine FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id < 10
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS cosine FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM n)
 SELECT query_id, rank, vec_id, cosine FROM r WHERE rank <= 5""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from loomwatch.operators import graph
+from loomwatch.operators import graph, nearest
 from loomwatch.plans import inputs, texts
 
 
@@ -31,7 +31,20 @@ def test_nearest_are_not_gathered_whole(spark, monkeypatch):
     monkeypatch.setattr(inputs, "table", lambda *_: spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = texts.embedding_topk(spark, "")
     assert "collect_list" not in plan(got) and "WindowGroupLimit" in plan(got)
-    assert got.count() == 50
+    assert got.count() == 10  # of ids 0 and 50
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    wide = [*rows, (60, [0.0] * 4), (61, None), *((100 + i, rows[i][1]) for i in range(8))]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<float>").repartition(5)
+    found = {}
+    for x in nearest.nearest(df, df, 3, block=20).collect():
+        found.setdefault(x.query_id, []).append((x.rank, x.vec_id))
+    import numpy as np
+
+    kept = {i: np.float32(e).astype(float) for i, e in wide if e and any(e)}
+    for i, e in kept.items():
+        best = sorted((-round(float(dot(e, f) / (dot(e, e) * dot(f, f)) ** 0.5), 6), j) for j, f in kept.items() if j != i)
+        assert sorted(found[i]) == [(r + 1, j) for r, (_, j) in enumerate(best[:3])], i
+    assert set(found) == set(kept)
 
 
 def test_indicators_are_found_in_the_whole_text(spark, monkeypatch):
@@ -39,4 +52,4 @@ def test_indicators_are_found_in_the_whole_text(spark, monkeypatch):
     monkeypatch.setattr(inputs, "table", lambda *_: spark.createDataFrame([(1, body), (2, "none")], "doc_id long, text string"))
     monkeypatch.setattr(texts, "SUFFIX", "text")
     got = {r.doc_id: tuple(r)[1:] for r in texts.refang_cve_ttp(spark, "").collect()}
-    assert got == {1: ("CVE-2021-12345", "T1234", "https://a.b/c", "198.51.100.7"), 2: (None,) * 4}
+    assert got == {1: ("CVE-2021-12345", "T1234", "https://a.b/c", "198.51.100.7"), 2: ("",) * 4}
