@@ -14,7 +14,7 @@ from loomwatch.llm.jaccard import jaccard_stage
 from loomwatch.llm.line_dedup import line_dedup_stage
 from loomwatch.llm.pieces import sentencepiece_stage
 from loomwatch.llm.quality import quality_stage
-from loomwatch.llm.shared import written
+from loomwatch.llm.shared import remove, settled
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
@@ -24,13 +24,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", sentencepiece_stage),
 ]
 
-#: Compression ratios and token ids have no SQL; tests compare with a brute-force version.
+#: Compression ratios and token ids have no SQL; ``tests/llm/test_pipeline.py`` compares with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for number, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        if number:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +22,41 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that ``written`` made and that weren't removed.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which also cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def remove(df: DataFrame) -> None:
     """Deletes the files of a table that ``written`` made."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(conf).delete(folder, True)
+        folder = f.rsplit("/", 1)[0]
+        _delete(df.sparkSession, folder)
+        name = folder.rsplit("/", 1)[1]
+        _made[:] = [p for p in _made if p.rsplit("/", 1)[1] != name]
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``written(make(), name)``; the tables that were written meanwhile, which only that one needed, are deleted."""
+    before = set(_made)
+    df = make()
+    spark, meanwhile = df.sparkSession, [p for p in _made if p not in before]
+    out = written(df, name)
+    for path in meanwhile:
+        if path in _made:
+            _delete(spark, path)
+            _made.remove(path)
+    return out
