@@ -402,42 +402,57 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = rows.where("prefix IS NOT NULL").select("cls", "n", F.explode(F.arrays_zip("prefix", "salts")).alias("e"))
     entries = entries.select(F.col("e.prefix").alias("col"), F.when(F.col("e.salts") > 1, F.pmod(F.xxhash64("cls"), F.col("e.salts").cast("long"))).otherwise(0).cast("int").alias("part"), F.col("e.salts").cast("int").alias("parts"), "n", "cls")
     columns = written(_columns(entries), "columns")
+    ids, reps = written(rows.select("_id", "n", "cls"), "ids"), written(classes.select("cls", "rep"), "reps")
+    remove(rows)  # each table goes as soon as nothing needs it any more
     hubs = columns.where("cls IS NULL").select("col", "part", "parts", "size", "sum", "hubs")
     # Columns with the same rows have the same pairs: one stands for all. Salted ones are kept.
     chosen = hubs.groupBy("size", "sum", F.when(F.col("parts") > 1, F.col("col")).alias("own"), F.when(F.col("parts") > 1, F.col("part")).alias("own_part"))
     hubs = written(chosen.agg(F.min_by(F.struct("col", "part", "hubs"), F.struct("col", "part")).alias("c")).select("size", "c.*"), "hubs")
     rows_of = columns.where("cls IS NOT NULL").select("col", "part", "parts", "n", "cls").join(hubs.select("col", "part", "size", F.get("hubs", 0)["cls"].alias("hub")), ["col", "part"])
     members = written(rows_of, "members")
+    remove(columns)
     # Salted parts of a column are joined by their first hubs.
     split = members.where("parts > 1 AND cls = hub").select("col", "n", "cls")
     tops = split.groupBy("col").agg(F.min("cls").alias("top"))
     across = split.join(tops, "col").select("cls", F.col("top").alias("hub")).where("cls <> hub")
     tried = written(_pairs(_first_hubs(members, hubs, percent).unionByName(across), "cls", "hub"), "tried")
-    links = written(_linked(docs, id_col, text_col, written(_may_link(tried, classes, percent), "likely"), classes, k, percent), "links")
+    likely = written(_may_link(tried, classes, percent), "likely")
+    links = written(_linked(docs, id_col, text_col, likely, classes, k, percent), "links")
+    remove(likely)
     partial = written(components(links), "partial")
     # More hubs, for columns that are still in parts.
     apart = written(_apart(members, partial), "apart")
+    remove(members)
     more = written(_pairs(_other_hubs(apart, hubs, partial, percent), "cls", "hub").join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(written(_linked(docs, id_col, text_col, written(_may_link(more, classes, percent), "likely"), classes, k, percent), "links"))
+    remove(hubs)
+    remove(partial)
+    likely = written(_may_link(more, classes, percent), "likely")
+    second = written(_linked(docs, id_col, text_col, likely, classes, k, percent), "links")
+    remove(likely)
+    links = links.unionByName(second)
     partial = written(components(links), "partial")
-    rest = _missing(written(_apart(apart.drop("comp"), partial), "apart"), classes, percent)
-    rest = written(rest.join(tried.unionByName(more), ["a", "b"], "left_anti"), "missing")
-    rest = written(_may_link(rest, classes, percent), "likely")
-    links = links.unionByName(_linked(docs, id_col, text_col, rest, classes, k, percent))
-    reps = classes.select("cls", "rep")
+    narrowed = written(_apart(apart.drop("comp"), partial), "apart")
+    remove(apart)
+    remove(partial)
+    rest = written(_missing(narrowed, classes, percent).join(tried.unionByName(more), ["a", "b"], "left_anti"), "missing")
+    for t in (narrowed, tried, more):
+        remove(t)
+    likely = written(_may_link(rest, classes, percent), "likely")
+    remove(rest)
+    links = links.unionByName(written(_linked(docs, id_col, text_col, likely, classes, k, percent), "links"))
+    remove(likely)
+    remove(classes)
     named = links.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = components(named)
-    found = rows.select("_id", "n", "cls").join(reps, "cls", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "_id").alias("component_id"))
-    for t in (partial, apart, tried, more, rest, columns, members, hubs):
-        remove(t)
-    return out
+    found = ids.join(reps, "cls", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    return found.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, that with the least id, with all columns; rows that repeat its id stay with it."""
-    first = jaccard_components(docs, id_col, text_col, k, percent).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(first, id_col, "left_semi").select(*docs.columns)
+    """One document of each component, that with the least id, with all columns; rows that repeat its id stay with it, and those without an id all stay."""
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    first = found.where((F.col("component_id") == F.col(id_col)) | F.col(id_col).isNull()).select(F.col(id_col).alias("_first")).distinct()
+    return docs.join(first, docs[f"`{id_col}`"].eqNullSafe(first["_first"]), "left_semi")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
