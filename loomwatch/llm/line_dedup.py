@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwatch.llm.shared import written
+from loomwatch.llm.shared import settled, written
 
 MIN_CHARS = 24
 #: Lines of up to so many characters are cut into two blocks.
@@ -115,13 +115,16 @@ def find_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return out.select("doc", "no", to["doc"].alias("first_doc"), to["no"].alias("first_no"))
 
 
-def _few(df: DataFrame, name: str, row: int, items: str | None = None) -> DataFrame:
+def _small(df: DataFrame, row: int, items: str | None = None) -> DataFrame:
     """A written table, to be broadcast if it is small: its bytes are reckoned first, from those of a row and 8 for each of its ``items``."""
-    df = written(df, name)
     size = df.agg(F.sum(F.lit(row) + (8 * F.size(items) if items else 0))).first()[0] or 0
     return F.broadcast(df) if size <= FEW else df
 
 
+def _few(df: DataFrame, name: str, row: int, items: str | None = None) -> DataFrame:
+    return _small(written(df, name), row, items)
+
+
 def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> DataFrame:
     """(at, to) of distinct lines: the places of a line and of its earliest neighbour by one edit, if that is earlier."""
     frames = firsts.select(F.posexplode("frames").alias("x", "f"), "h", "at", "n")
@@ -172,8 +175,8 @@ def _links(docs: DataFrame, id_col: str, text_col: str, firsts: DataFrame) -> Da
 
 def _with_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, max_edits: int) -> DataFrame:
     """(_row, _text, _lines): docs' columns by number, the text, and n_lines, n_kept and the text of the lines that are kept."""
-    gone = find_duplicate_lines(docs, id_col, text_col, min_chars, max_edits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone"))
-    gone = _few(gone, "gone", 100, "_gone")
+    gone = settled(lambda: find_duplicate_lines(docs, id_col, text_col, min_chars, max_edits).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_gone")), "gone")
+    gone = _small(gone, 100, "_gone")
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
     joined = docs.select(row, F.col(text_col).alias("_text"), _doc(id_col, text_col).alias("_key")).join(gone, F.col("_key") == F.col("_doc"), "left")
 

@@ -54,7 +54,7 @@ from loomwatch.llm.shared import map_arrow
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters that are walked together.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Backpointers that a lane keeps, in lengths of the longest piece; 4 at least.
 RING = 4
 #: With fewer lanes left, each is walked alone.
@@ -610,7 +610,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = MODEL, mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, model)
-        for part in vec.chunks(batches, text_col, 1 << 21):
+        for part in vec.chunks(batches, text_col, 1 << 20):
             texts = part.column(text_col).to_pylist()
             ids, sizes, restored = encoder.encode_all(texts)
             nulls = np.array([t is None for t in texts])

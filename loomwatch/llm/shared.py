@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from loomwatch.shared import remove, shared_dir, written
+from loomwatch.shared import remove, settled, shared_dir, written
 
-__all__ = ["map_arrow", "remove", "shared_dir", "written"]
+__all__ = ["map_arrow", "remove", "settled", "shared_dir", "written"]
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
@@ -21,5 +21,6 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
             yield pa.RecordBatch.from_arrays(batch.columns, names=safe.names)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks, which need the memory
 
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(inner, safe).toDF(*schema.names)
