@@ -17,7 +17,9 @@ of a tree (one root turn) make one token sequence, in which
 
 A tree may hold any share of all conversations: places come from a range sort over (path,
 conversation), sums within a tree are taken by sort partition first, and a conversation's
-turns are streamed in order, never gathered.
+turns are streamed in order; its texts are never gathered, but its path, 32 characters a turn,
+is one value to sort by, and a node's ancestors are one list, of an interval for each branch
+that the path takes behind another one.
 
 Output: table ``nodes`` and table ``walks``, the nodes of each conversation. ``read_back``
 rebuilds conversations from these two alone.
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwatch.llm.shared import shared_dir, written
+from loomwatch.llm.shared import remove, settled, shared_dir, written
 
 #: Strings that templates use to mark turns; they never occur unescaped in a formatted text.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -161,7 +163,7 @@ def format_trees(conversations: DataFrame, path: str, conv_col: str = "conv_id",
     turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     turns = turns.withColumns({"head": F.concat(F.lit(BEGIN), escape(F.col("role"), role=True), F.lit("\n")), "body": escape(F.col("text"))})
     walks = written(_walks(turns), "walks")
-    places = written(_places(walks), "places")
+    places = settled(lambda: _places(walks), "places")
     walks.select(F.col("conv").alias(conv_col), "depth", "node").write.parquet(f"{path}/walks")
 
     placed = walks.select("conv", "depth", "node").join(places.select("conv", "place"), walks["conv"].eqNullSafe(places["conv"])).select(walks["conv"], "depth", "node", "place")
@@ -214,6 +216,8 @@ def format_trees(conversations: DataFrame, path: str, conv_col: str = "conv_id",
 
     paths = walking.repartition("place").sortWithinPartitions("place", "depth").mapInArrow(along, "node string, position long, ancestors array<struct<first:long,end:long>>")
     tokens.join(starts.select("node", "start"), "node").join(paths, "node").write.parquet(f"{path}/nodes")
+    for t in (walks, places, tokens, starts):
+        remove(t)
 
 
 def read_back(spark: SparkSession, path: str, conv_col: str = "conv_id", tokenizer: str = TOKENIZER) -> DataFrame:
