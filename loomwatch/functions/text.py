@@ -115,3 +115,8 @@ def classify_response(status: Column, retry_after: Column, valid: Column, attemp
         .otherwise("no_retry")
     )
     return F.struct(action.alias("action"), status.isin(401, 403).alias("alert"), F.when(status == 429, wait).alias("delay"))
+
+
+def poll_backoff(attempt: Column, base: float = 0.1) -> Column:
+    """Seconds to wait before a feed is asked again, after so many failed attempts."""
+    return F.lit(base) * F.pow(F.lit(2.0), attempt)

@@ -171,6 +171,12 @@ def credibility_of(feeds: DataFrame, sources: DataFrame, default: float = 0.5) -
     return feeds.join(sources.select("source_id", "credibility_score"), "source_id", "left").withColumn("credibility_score", F.coalesce("credibility_score", F.lit(default)))
 
 
+def feed_assertions(edges: DataFrame, sources: DataFrame, ts: int, source_id: str | None = None) -> DataFrame:
+    """Edges that a feed states, as events for ``authoritative_edges``. edges: (EDGE, and source_id, unless it is given for all); ts: when they were read."""
+    named = edges if source_id is None else edges.withColumn("source_id", F.lit(source_id))
+    return credibility_of(named.select(*EDGE, "source_id", F.lit(ts).cast("long").alias("ts")), sources)
+
+
 def authoritative_edges(events: DataFrame) -> DataFrame:
     """Assertions of feeds (EDGE, source_id, credibility_score, ts): the highest credibility counts."""
     return events.groupBy(*EDGE).agg(

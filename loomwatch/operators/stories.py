@@ -130,6 +130,12 @@ def assign_clusters(known: DataFrame, links: DataFrame, new: DataFrame, articles
     return j.select("article_id", F.coalesce("_id", F.sha2(F.col("_best").cast("string"), 256)).alias("cluster_id"), is_best.alias("is_representative"), F.when(is_best, F.col("_size")).alias("cluster_size"), changed.alias("changed"))
 
 
+def with_credibility(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles with the credibility of their source, null where the source isn't known. articles: (source_id, ...); sources: (source_id, credibility_score)."""
+    rest = [c for c in articles.columns if c != "credibility_score"]
+    return articles.select(*rest).join(sources.select("source_id", "credibility_score"), "source_id", "left")
+
+
 def article_entities(mentions: DataFrame) -> DataFrame:
     """(article_id, entity_type, node_key) of resolved mentions, each key once an article."""
     return mentions.where("node_key <> ''").select("article_id", "entity_type", "node_key").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.operators import graph, mentions, relations, resolve, stories
-from loomwatch.plans import inputs
+from loomwatch.plans import inputs, payloads
 from loomwatch.streaming import polls
 
 #: No cap, so that the ids of an edge are a set.
@@ -168,11 +168,25 @@ def edge_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("rel_type", "outcome", "origin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def feed_edges_asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of two feeds as authoritative assertions."""
+    edges = payloads.otx_edges(spark, sf_dir).unionByName(payloads.threatfox_relations(spark, sf_dir))
+    sources = spark.createDataFrame([("otx", 0.6)], "source_id string, credibility_score double")
+    e = graph.authoritative_edges(graph.feed_assertions(edges, sources, 7))
+    return e.select(*graph.EDGE, "authoritative_confidence", F.array_join("feed_sources", ",").alias("feeds"), "first_observed", "last_confirmed")
+
+
+def credible_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The representative of each group of equal articles, by the credibility that its source has, if it is known."""
+    a = inputs.articles(spark, sf_dir).select("article_id", "content_hash", "published_at", F.concat(F.lit("feed"), (F.col("article_id") % 7).cast("string")).alias("source_id"))
+    return stories.elect(stories.with_credibility(a, inputs.feeds(spark)), "content_hash").select("content_hash", "article_id", "cluster_size", "credibility_score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         noisy_or_two_batches, authoritative_two_batches, edge_property_merge, freshness_fold, poll_watermarks, source_nodes_sync, source_sync_counts, recompute_touched, key_uniqueness, story_bridge,
-        stale_mentions_processed, resolve_mentions, model_mentions_guarded, merged_nodes, relations_resolvable, message_quarantine, edge_announcements,
+        stale_mentions_processed, resolve_mentions, model_mentions_guarded, merged_nodes, relations_resolvable, message_quarantine, edge_announcements, feed_edges_asserted, credible_representatives,
     )
 }
 
@@ -229,6 +243,13 @@ SELECT 'n' || s.k::VARCHAR AS merge_key, s_name AS name, array_to_string(list_co
 SELECT relation_id, 'k' || a::VARCHAR AS key_a, 'k' || b::VARCHAR AS key_b FROM r WHERE a % 7 <> 0 AND a % 11 <> 0 AND b % 7 <> 0 AND b % 11 <> 0""",
     "message_quarantine": """WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'lacks guid' WHEN doc_id % 3 = 0 THEN 'no message' ELSE 'good' END AS kind, length(text) AS l FROM documents)
 SELECT kind, count(*) AS n, sum(CASE WHEN kind = 'good' THEN l ELSE 0 END)::BIGINT AS chars FROM d GROUP BY kind""",
+    "feed_edges_asserted": f"""WITH {payloads._OTX}, {payloads._FOX}
+SELECT DISTINCT v || '::' || t AS start_key, 'INDICATES' AS rel_type, cve AS end_key, 0.6::DOUBLE AS authoritative_confidence, 'otx' AS feeds, 7::BIGINT AS first_observed, 7::BIGINT AS last_confirmed FROM p WHERE v IS NOT NULL AND doc_id % 6 <> 0
+UNION ALL SELECT lower(trim(f)), CASE WHEN k IN ('md5_hash', 'sha256_hash') THEN 'HAS_SAMPLE' ELSE 'COMMUNICATES_WITH' END, v || '::' || k, 0.5, 'threatfox', 7, 7 FROM t""",
+    "credible_representatives": f"""WITH {inputs.ARTICLES_SQL}, {_F}, r AS (
+  SELECT content_hash, article_id, f.credibility_score AS c, row_number() OVER (PARTITION BY content_hash ORDER BY hour, f.credibility_score DESC NULLS LAST, article_id) AS k, count(*) OVER (PARTITION BY content_hash) AS n
+  FROM articles a LEFT JOIN feeds f ON f.source_id = 'feed' || (article_id % 7)::VARCHAR)
+SELECT content_hash, article_id, n AS cluster_size, c AS credibility_score FROM r WHERE k = 1""",
     "edge_announcements": f"""WITH {_A}, e AS (SELECT {_E}, bool_or(seq % 3 = 0) AS old, bool_or(seq % 3 <> 0) AS new FROM assertions GROUP BY {_E})
 SELECT rel_type, CASE WHEN old THEN 'matched' ELSE 'created' END AS outcome, 'inferred' AS origin, count(*) AS n FROM e WHERE new GROUP BY ALL""",
 }

@@ -34,9 +34,9 @@ HASH_TYPES = ("md5_hash", "sha1_hash", "sha256_hash")
 
 
 class Normalizer(Protocol):
-    """What a feed offers: a table of nodes from a table of payloads."""
+    """What a feed offers: from a table of payloads a table of nodes, or several tables, of which the first are nodes and the last may be edges."""
 
-    def __call__(self, payloads: DataFrame) -> DataFrame: ...
+    def __call__(self, payloads: DataFrame) -> DataFrame | tuple[DataFrame, ...]: ...
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -330,3 +330,13 @@ def test_node_sink_repeats_safely(spark, tmp_path):
     for number, batch in ((0, one), (1, two), (1, two)):
         write(batch, number)
     assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "n/v=1")).collect()} == {"a": "2", "b": "1"}
+
+
+def test_page_text(spark):
+    html = "<html><head><style>p{}</style><script>var a = '<p>no</p>';</script></head><body><nav><p>menu</p></nav><h1>Title &amp; more</h1><p>One <b>bold</b>\n  line</p><P class='x'>Two</P><div>not a block</div><ul><li>item</li></ul><footer><p>end</p></footer></body></html>"
+    rows = spark.createDataFrame([(html,), ("no tags",), ("",), (None,), ("<p>&lt;p&gt; &quot;q&quot;&nbsp;</p>",)], "h string").select(feeds.page_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in rows] == ["Title & more\nOne bold line\nTwo\nitem", None, None, None, '<p> "q" ']
+
+
+def test_poll_backoff(spark):
+    assert [r.x for r in spark.range(4).select(tx.poll_backoff(F.col("id")).alias("x")).collect()] == pytest.approx([0.1, 0.2, 0.4, 0.8])
