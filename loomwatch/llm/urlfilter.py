@@ -83,19 +83,20 @@ class DigestArray:
         """Of each url its longest rule (rule, verdict), or None."""
         import xxhash
 
-        digests, owner, parts = [], [], []
+        owner, parts = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             suffix = host
             while suffix:
                 for n in self.lengths:
                     if n <= len(path):
-                        digests.append(xxhash.xxh64_intdigest(suffix + path[:n]))
                         owner.append(i)
                         parts.append((suffix, path[:n]))
                 suffix = suffix.partition(".")[2]
         best: list[tuple | None] = [None] * len(hosts)
-        if len(self.digests) and digests:
-            wanted = np.array(digests, dtype=np.uint64)
+        if len(self.digests) and parts:
+            # Urls of one site share most of their keys: each is hashed once.
+            keys = pa.array([h + p for h, p in parts], pa.string()).dictionary_encode()
+            wanted = np.fromiter(map(xxhash.xxh64_intdigest, keys.dictionary.to_pylist()), dtype=np.uint64, count=len(keys.dictionary))[keys.indices.to_numpy()]
             a, b = np.searchsorted(self.digests, wanted, "left"), np.searchsorted(self.digests, wanted, "right")
             for k in np.flatnonzero(a < b):
                 for host, path, verdict in zip(*(c.to_pylist() for c in self.rules.slice(a[k], b[k] - a[k]).columns), strict=True):
