@@ -258,14 +258,12 @@ def automata(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "t
     size = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-size // max_words))
 
-    def build(key, rows):
-        found = Automaton.build(list(zip(rows["item"], (list(w) for w in rows["words"]), strict=True)), window)
-        import pandas as pd
-
-        return pd.DataFrame({"block": [key[0]], "data": [pickle.dumps(found)]})
+    def build(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        found = Automaton.build(list(zip(rows["item"].to_pylist(), rows["words"].to_pylist(), strict=True)), window)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([pickle.dumps(found)], pa.binary())})
 
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("item", "no"), F.lit(blocks)).cast("int"))
-    out = written(dealt.groupBy("block").applyInPandas(build, "block int, data binary"), "automata")
+    out = written(dealt.groupBy("block").applyInArrow(build, "block int, data binary"), "automata")
     remove(pieces)
     return out if size else spark.createDataFrame([(0, pickle.dumps(Automaton(window)))], "block int, data binary")
 

@@ -50,7 +50,7 @@ HUBS = 32
 FEW = 1_000_000
 #: Rows that one task multiplies with one hub, and column entries with one first hub that it multiplies.
 HUB_ROWS, HUB_ENTRIES = 256, 4096
-SEEN = 1_000_000
+SEEN = 200_000
 #: Histogram buckets that are compared at once; a histogram has no more.
 CELLS = 1 << 22
 
