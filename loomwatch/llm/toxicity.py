@@ -194,8 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))], names=["_id", "_label", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = rows.mapInArrow(run, f"_id {kind}, _label int, at array<int>").orderBy(F.xxhash64("_id"), "_id").limit(settings.max_rows).collect()  # max_rows rows
-    return fit(chosen, [np.array(r.at, dtype=np.int32) for r in sample], np.array([r._label for r in sample], dtype=float), settings)
+    sample = rows.mapInArrow(run, f"_id {kind}, _label int, at array<int>").orderBy(F.xxhash64("_id"), "_id").limit(settings.max_rows).select("_label", "at").toArrow()  # max_rows rows
+    lists = sample["at"].combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    places = lists.flatten().to_numpy(zero_copy_only=False)
+    cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return fit(chosen, [places[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], sample["_label"].to_numpy().astype(float), settings)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
