@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter", "ngram_lm", "chat", "pieces", "bpe", "runs")
+MODULES = ("toxicity", "quality", "decontaminate", "jaccard", "line_dedup", "warc", "urlfilter", "ngram_lm", "chat", "pieces", "bpe", "runs", "resample")
 
 
 def queries() -> dict:

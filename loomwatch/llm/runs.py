@@ -44,10 +44,10 @@ NEAR = 8
 RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
 
 
-def intern_words(words: vec.Words) -> np.ndarray:
-    """A number for each word, the same for equal words only."""
+def intern_words(words: vec.Words) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, the same for equal words only, and by number which word has it first."""
     if not len(words.hash):
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     _, one, same = np.unique(words.hash, return_index=True, return_inverse=True)
     first, size = words.start[one[same]], words.end - words.start
     if ((words.end - words.start)[one[same]] == size).all():
@@ -58,10 +58,11 @@ def intern_words(words: vec.Words) -> np.ndarray:
             if (words.raw[np.repeat(first[a : a + step], n) + place] != words.raw[np.repeat(words.start[a : a + step], n) + place]).any():
                 break
         else:
-            return same.astype(np.int64)
+            return same.astype(np.int64), one
     known: dict[bytes, int] = {}  # two words of one hash
     data = words.raw.tobytes()
-    return np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(words.start.tolist(), words.end.tolist(), strict=True)], dtype=np.int64)
+    ids = np.array([known.setdefault(data[s:e], len(known)) for s, e in zip(words.start.tolist(), words.end.tolist(), strict=True)], dtype=np.int64)
+    return ids, np.unique(ids, return_index=True)[1]
 
 
 class Runs:
@@ -212,7 +213,7 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", least: int = LEAST, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in vec.chunks(batches, text_col, CHUNK):
             words = vec.Words(*vec.text_bytes(part.column(text_col)), lower=False)
-            text, start, length, period = Runs(intern_words(words), words.at, least, times).find()
+            text, start, length, period = Runs(intern_words(words)[0], words.at, least, times).find()
             cuts = np.append(0, np.cumsum(np.bincount(text, minlength=words.n))).astype(np.int32)
             runs = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(start), pa.array(length), pa.array(period)], names=["start", "length", "period"]))
             added = [pa.array(words.count.astype(np.int64)), runs]

@@ -88,10 +88,12 @@ def test_words_of_one_hash_are_told_apart():
     words = vec.Words(*vec.text_bytes(pa.array(texts)), lower=False)
     plain = re.findall(r"\S+", " ".join(t or "" for t in texts))
     same = [[x == y for y in plain] for x in plain]
-    ids = runs.intern_words(words)
+    ids, first = runs.intern_words(words)
+    assert ids[first].tolist() == list(range(len(first)))
     assert (ids[:, None] == ids[None, :]).tolist() == same
     words.hash = np.zeros_like(words.hash)
-    ids = runs.intern_words(words)
+    ids, first = runs.intern_words(words)
+    assert ids[first].tolist() == list(range(len(first)))
     assert (ids[:, None] == ids[None, :]).tolist() == same
 
 
