@@ -92,7 +92,12 @@ def pair_scores(pairs: DataFrame, entities: DataFrame, articles: DataFrame, hash
 
 def cluster(articles: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(article_id, cluster_id, is_representative, cluster_size). articles: (article_id, published_at, credibility_score). The representative is the earliest article (dateless last), then the most credible; size is null but there."""
-    labels = components(scores.where(F.col("score") >= threshold))
+    return cluster_by_links(articles, scores.where(F.col("score") >= threshold))
+
+
+def cluster_by_links(articles: DataFrame, links: DataFrame) -> DataFrame:
+    """``cluster`` of links (a, b)."""
+    labels = components(links)
     rows = articles.join(labels.withColumnsRenamed({"node": "article_id", "component": "_c"}), "article_id", "left").withColumn("_c", F.coalesce("_c", "article_id"))
     order = F.struct(F.col("published_at").isNull(), "published_at", F.col("credibility_score").isNull(), (-F.col("credibility_score")).alias("c"), "article_id")
     best = rows.groupBy("_c").agg(F.min_by("article_id", order).alias("_best"), F.count(F.lit(1)).alias("_n"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
 from loomwatch.operators import mentions, nearest, stories
+from loomwatch.operators.story_join import story_links
 from loomwatch.plans import inputs
+from loomwatch.shared import written
 from loomwatch.sources import feeds
 
 
@@ -86,7 +88,9 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stories.cluster(inputs.articles(spark, sf_dir), _scores(spark, sf_dir))
+    """By the bounded join; entities are made once."""
+    a, e = inputs.articles(spark, sf_dir), written(inputs.entities(spark, sf_dir), "entities")
+    return stories.cluster_by_links(a.drop("text"), story_links(e, a, stories.simhash_arrow(a)))
 
 
 def cluster_entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
