@@ -124,6 +124,11 @@ def assign_clusters(known: DataFrame, links: DataFrame, new: DataFrame, articles
     anchored = known.join(first, "cluster_id").select("article_id", F.col("_anchor").alias("cluster"))
     grown = merge_incremental(anchored, links, new.join(known.select("article_id"), "article_id", "left_anti"))
     rows = grown.join(known.withColumnRenamed("cluster_id", "_old"), "article_id", "left").join(articles.select("article_id", "published_at", "credibility_score"), "article_id", "left")
+    return settle(rows).select("article_id", "cluster_id", "is_representative", "cluster_size", "changed")
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """rows with cluster_id, is_representative, cluster_size and changed. rows: (article_id, published_at, credibility_score, cluster, _old, ...) with all articles of each cluster, which so far had the ids ``_old``, or none."""
     date = F.struct(F.col("published_at").isNull().alias("none"), "published_at")
     oldest = rows.where("_old IS NOT NULL").groupBy("cluster", "_old").agg(F.min(date).alias("_t"), F.count(F.lit(1)).alias("_n"))
     survivor = oldest.groupBy("cluster").agg(F.min_by("_old", F.struct("_t", "_old")).alias("_id"), F.count(F.lit(1)).alias("_clusters"), F.sum("_n").alias("_members"))
@@ -132,7 +137,8 @@ def assign_clusters(known: DataFrame, links: DataFrame, new: DataFrame, articles
     j = rows.join(best, "cluster").join(survivor, "cluster", "left")
     is_best = F.col("article_id") == F.col("_best")
     changed = (F.coalesce("_clusters", F.lit(0)) != 1) | (F.col("_members") != F.col("_size"))
-    return j.select("article_id", F.coalesce("_id", F.sha2(F.col("_best").cast("string"), 256)).alias("cluster_id"), is_best.alias("is_representative"), F.when(is_best, F.col("_size")).alias("cluster_size"), changed.alias("changed"))
+    new = {"cluster_id": F.coalesce("_id", F.sha2(F.col("_best").cast("string"), 256)), "is_representative": is_best, "cluster_size": F.when(is_best, F.col("_size")), "changed": changed}
+    return j.withColumns(new).drop("cluster", "_best", "_size", "_id", "_clusters", "_members")
 
 
 def with_credibility(articles: DataFrame, sources: DataFrame) -> DataFrame:
