@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwatch.functions import text as tx
+from loomwatch.shared import remove, written
 
 ACCEPT, REVIEW = 0.85, 0.6
 
@@ -30,49 +31,73 @@ def alias_index(entities: DataFrame) -> DataFrame:
     return rows.groupBy(normal("raw").alias("alias")).agg(F.max_by("merge_key", place).alias("merge_key"), F.min(place).alias("first_seen")).where("alias <> ''")
 
 
-def _characters(names: DataFrame) -> DataFrame:
-    """(name, token): the characters of each name, those that repeat told apart by a number."""
-    chars = F.split("name", "")
-    token = F.transform(F.sequence(F.lit(1), F.size("_c")), lambda i: F.concat(F.get("_c", i - 1), F.size(F.filter(F.slice("_c", 1, i), lambda c: c == F.get("_c", i - 1))).cast("string")))
-    return names.where("name <> ''").select("name", F.filter(chars, lambda c: c != "").alias("_c")).select("name", F.explode(token).alias("token"))
+def _tokens(names: DataFrame) -> DataFrame:
+    """(name, tokens): the characters of each name, those that repeat told apart by a number."""
+    token = F.transform("_c", lambda c, i: F.concat(c, F.size(F.filter(F.slice("_c", 1, i + 1), lambda x: x == c)).cast("string")))
+    return names.where("name <> ''").select("name", tx.find_all(F.col("name"), "(?s).").alias("_c")).select("name", token.alias("tokens"))
 
 
-def _rarest(names: DataFrame, counts: DataFrame, least: float) -> DataFrame:
-    """(name, token): so many of each name's rarest characters that a name of ratio ``least`` has one of them."""
-    ranked = _characters(names).join(counts, "token", "left").groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("t"))
-    size = F.size("t")
-    # At least that many characters match in any pair that reaches ``least``: the shorter partner has l * r / (2 - r) of them.
-    must = F.ceil(size * (least / (2 - least)) - 1e-9)
-    return ranked.select("name", F.explode(F.slice("t", 1, F.greatest(size - must + 1, F.lit(1)).cast("int"))).alias("t")).select("name", "t.token")
+def _keys(names: DataFrame, counts: DataFrame, least: float, own: str, other: str) -> DataFrame:
+    """(name, own, other, key): by length of the partner, keys of up to ``COMBINED`` of a name's rarest characters.
+
+    A pair of lengths a and b needs ``must`` = least * (a + b) / 2 characters in common. The first c of them, in order of rarity, are
+    among the first a - must + c of the one and the first b - must + c of the other, so both have the key of these c characters."""
+    ranked = _tokens(names).select("name", F.explode("tokens").alias("token")).join(counts, "token")
+    ranked = ranked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).select("name", F.length("name").alias(own), F.transform("t", lambda x: x["token"]).alias("t"))
+    lengths = F.sequence(F.ceil(F.col(own) * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col(own) * (2 - least) / least + 1e-9).cast("int"))
+    rows = ranked.withColumn(other, F.explode(lengths))
+    must = F.ceil((F.col(own) + F.col(other)) * (least / 2) - 1e-9).cast("int")
+    rows = rows.withColumn("c", F.least(must, F.lit(COMBINED))).withColumn("t", F.slice("t", 1, F.greatest(F.size("t") - must + F.col("c"), F.lit(0)))).where(F.size("t") >= F.col("c"))
+    rows = rows.select("name", own, other, "c", "t", F.posexplode("t").alias("at", "key"))
+    for depth in range(2, COMBINED + 1):  # every further character behind the last one
+        rest = F.when(F.col("c") >= depth, F.slice("t", F.col("at") + 2, F.size("t"))).otherwise(F.array(F.lit("")))
+        rows = rows.select("name", own, other, "c", "t", F.col("at").alias("_at"), F.col("key").alias("_key"), F.posexplode(rest).alias("_i", "_k"))
+        rows = rows.select("name", own, other, "c", "t", (F.col("_at") + 1 + F.col("_i")).alias("at"), F.concat_ws(" ", "_key", "_k").alias("key"))
+    return rows.select("name", own, other, "key")
+
+
+#: Characters in a key; pairs that can be alike share one.
+COMBINED = 3
+
+
+def likely_pairs(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """(name, _name): the pairs that may reach a ratio of ``least``; a small part of all, none that does is lost. Both: (name).
+
+    They share a key. What matches of two names is a common subsequence, so its length bounds the characters they share and how many
+    edits they are apart."""
+    both = names.select("name").unionByName(others.select("name")).distinct()
+    counts = _tokens(both).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    left = _keys(names.select("name").distinct(), counts, least, "_a", "_b")
+    right = _keys(others.select("name").distinct(), counts, least, "_b", "_a").withColumnRenamed("name", "_name")
+    pairs = left.join(right, ["_a", "_b", "key"]).select("name", "_name", "_a", "_b").distinct()
+    must = F.ceil((F.col("_a") + F.col("_b")) * (least / 2) - 1e-9)
+    # From a common subsequence of that length one name becomes the other by so many deletions and insertions.
+    edits = (F.col("_a") + F.col("_b") - 2 * must).cast("int")
+    return pairs.where(F.levenshtein("name", "_name") <= edits).select("name", "_name")
 
 
 def _ratios(names: DataFrame, aliases: DataFrame, least: float, extra: list[str] = ()) -> DataFrame:
     """(name, alias, merge_key, first_seen, ratio, and ``extra``, columns that must be equal on both sides) of all pairs that reach ``least``, by the standard library's sequence matcher (first: the name; it isn't symmetric).
 
-    ratio = 2 m / (la + lb), with m matching characters. Pairs that can reach ``least`` share one of each side's rarest
-    characters, so they meet in an equi-join; lengths, and the bag of characters, discard most before they are matched."""
-    import difflib
-
+    ratio = 2 m / (la + lb), with m matching characters."""
     names, extra = names.select("name", *extra).distinct(), list(extra)
     aliases = aliases.select(F.col("alias").alias("_name"), "merge_key", "first_seen", *extra)
-    both = names.select("name").unionByName(aliases.select(F.col("_name").alias("name"))).distinct()
-    counts = _characters(both).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    left = _rarest(names.select("name").distinct(), counts, least)
-    right = _rarest(aliases.select(F.col("_name").alias("name")).distinct(), counts, least).withColumnRenamed("name", "_name")
-    near = 2 * F.least(F.length("name"), F.length("_name")) >= F.lit(least) * (F.length("name") + F.length("_name")) - 1e-9
-    pairs = left.join(right, "token").where(near).select("name", "_name").distinct()
+    scored = ratios(likely_pairs(names, aliases.select(F.col("_name").alias("name")), least), least)
+    return scored.join(names, "name").join(aliases, ["_name", *extra]).withColumnRenamed("_name", "alias")
+
+
+def ratios(pairs: DataFrame, least: float) -> DataFrame:
+    """(name, _name, ratio) of those pairs that reach ``least``."""
+    import difflib
+
     kept = T.StructType([T.StructField("name", T.StringType()), T.StructField("_name", T.StringType()), T.StructField("ratio", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratios = []
-            for a, b in zip(batch.column("name").to_pylist(), batch.column("_name").to_pylist(), strict=True):
-                m = difflib.SequenceMatcher(None, a, b)
-                ratios.append(m.ratio() if m.quick_ratio() >= least else 0.0)
-            yield batch.append_column("ratio", pa.array(ratios, pa.float64()))
+            found = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(batch.column("name").to_pylist(), batch.column("_name").to_pylist(), strict=True)]
+            yield batch.append_column("ratio", pa.array(found, pa.float64()))
 
-    scored = pairs.mapInArrow(run, kept).where(F.col("ratio") >= least)
-    return scored.join(names, "name").join(aliases, ["_name", *extra]).withColumnRenamed("_name", "alias")
+    return pairs.select("name", "_name").mapInArrow(run, kept).where(F.col("ratio") >= least)
 
 
 def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = ACCEPT) -> DataFrame:
@@ -106,6 +131,66 @@ def resolve_names(mentions: DataFrame, aliases: DataFrame, chooser: Callable[[Da
     return j.withColumn("node_confidence", F.when(resolved, F.col("extraction_confidence")).otherwise(F.least("extraction_confidence", F.lit(cap)))).drop("merge_key", "name")
 
 
+def first_provisional(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name): which of the names become entities if they come one by one and each that is like an earlier such one doesn't.
+
+    names: (name, seq), the order; edges: (name, other), that name, if it comes after other, would be found like it. The answer is the
+    lexicographically first maximal independent set, in rounds: a name without earlier neighbours that are undecided is decided.
+    A round is two joins over what is left; of chance orders a few rounds decide all."""
+    at = names.select(F.col("name").alias("other"), F.col("seq").alias("_s"))
+    links = written(edges.join(names.select("name", "seq"), "name").join(at, "other").where("_s < seq").select("name", "other"), "provisional-links")
+    open_, chosen = written(names.select("name").distinct(), "provisional-open"), None
+    while open_.limit(1).count():
+        waits = links.join(open_.select(F.col("name").alias("other")), "other", "left_semi").select("name").distinct()
+        new = written(open_.join(waits, "name", "left_anti"), "provisional-new")
+        old, links_left = links, links.join(new.select(F.col("name").alias("other")), "other", "left_semi").select("name").distinct()
+        left = written(open_.join(new, "name", "left_anti").join(links_left, "name", "left_anti"), "provisional-open")
+        links = written(old.join(left, "name", "left_semi"), "provisional-links")
+        both = new if chosen is None else written(chosen.unionByName(new), "provisional-new")
+        for df in (open_, old, *([] if chosen is None else [chosen, new])):
+            remove(df)
+        open_, chosen = left, both
+    return names.select("name").limit(0) if chosen is None else chosen
+
+
+def resolve_in_order(mentions: DataFrame, aliases: DataFrame, chooser: Callable[[DataFrame, DataFrame], DataFrame] | None = None, cap: float = 0.99, least: float = ACCEPT) -> DataFrame:
+    """``resolve_names`` of mentions that come in order of ``seq``: a provisional entity is known to all mentions after the one that made it.
+
+    So that one is provisional, later ones of its name are resolved to it, and a name that is like a known one or an earlier provisional one
+    resolves to the likest at that time; of equals known ones come first, in the index's order, then provisional ones in theirs. ``seq`` tells
+    mentions apart."""
+    rows = mentions.withColumn("name", normal("surface_text")).where("name <> ''")
+    names = written(rows.groupBy("name").agg(F.min("seq").alias("seq")), "ladder-names")
+    exact = names.join(aliases, names["name"] == aliases["alias"]).select("name", "merge_key")
+    other = names.join(exact, "name", "left_anti")
+    known = written(_ratios(other, aliases, least).select("name", F.col("alias").alias("other"), "merge_key", "ratio", F.struct(F.lit(0).alias("late"), F.col("first_seen.seq").cast("long").alias("seq"), F.col("first_seen.pos").cast("long").alias("pos")).alias("at")), "ladder-known")
+    left = other.join(known, "name", "left_anti")
+    asked = None
+    if chooser is not None:
+        asked = written(chooser(left.select("name"), aliases).join(aliases.select("merge_key").distinct(), "merge_key", "left_semi").select("name", "merge_key"), "ladder-chosen")
+    free = written(left if asked is None else left.join(asked, "name", "left_anti"), "ladder-free")
+    among = written(ratios(likely_pairs(other, free, least).where("name <> _name"), least).withColumnRenamed("_name", "other"), "ladder-among")
+    made = first_provisional(free, among.join(free.select("name"), "name", "left_semi").select("name", "other"))
+    since = made.join(names, "name").select(F.col("name").alias("other"), F.col("seq").cast("long").alias("since"))
+    late = among.join(since, "other").join(made, "name", "left_anti")
+    late = late.select("name", "other", F.col("other").alias("merge_key"), "ratio", F.struct(F.lit(1).alias("late"), F.col("since").alias("seq"), F.lit(0).cast("long").alias("pos")).alias("at"), "since")
+    # A name's likest entity is that of the time of each mention: entities that are alike to it and not to one another are few.
+    every = known.withColumn("since", F.lit(None).cast("long")).unionByName(late)
+    ordered = every.groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "at", "other", "merge_key", "since"))).alias("_likest"))
+    rows = rows.join(ordered, "name", "left")
+    then = F.filter("_likest", lambda x: x["since"].isNull() | (x["since"] < F.col("seq")))
+    rows = rows.withColumn("_like", F.get(then, F.lit(0))["merge_key"]).drop("_likest")
+    found = exact.withColumnRenamed("merge_key", "_exact")
+    rows = rows.join(found, "name", "left")
+    rows = rows.withColumn("_asked", F.lit(None).cast("string")) if asked is None else rows.join(asked.withColumnRenamed("merge_key", "_asked"), "name", "left")
+    rows = rows.withColumn("merge_key", F.coalesce("_exact", "_like", "_asked")).drop("_exact", "_like", "_asked")
+    own = made.join(names, "name").select("name", F.col("seq").alias("_first"))
+    j = rows.join(own, "name", "left")
+    makes = F.coalesce(F.col("seq") == F.col("_first"), F.lit(False))
+    j = j.withColumns({"resolution_status": F.when(makes, "provisional").otherwise("resolved"), "node_key": F.coalesce("merge_key", "name")})
+    return j.withColumn("node_confidence", F.when(makes, F.least("extraction_confidence", F.lit(cap))).otherwise(F.col("extraction_confidence"))).drop("merge_key", "name", "_first")
+
+
 def resolve_all(mentions: DataFrame, aliases: DataFrame, techniques: DataFrame, chooser: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Mentions of all kinds, each by its ladder; kinds that nothing resolves are skipped, rejected mentions stay without a node."""
     named = resolve_names(mentions.where(F.col("entity_type").isin("threat_actor", "malware_family")), aliases, chooser)
