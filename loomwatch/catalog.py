@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of ``loomwatch.plans`` with QUERIES and SQL.
-MODULES: tuple[str, ...] = ("texts", "graphs", "state", "payloads")
+MODULES: tuple[str, ...] = ("texts", "graphs", "state", "payloads", "merges")
 
 
 def queries() -> dict:

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CAP = 50
 
@@ -71,8 +72,9 @@ def merge_properties(existing: DataFrame, incoming: DataFrame, nodes: DataFrame,
 
 
 def guard_direction(edges: DataFrame) -> DataFrame:
-    """Fails on an ASSOCIATED_WITH edge that doesn't end at an indicator."""
-    bad = (F.col("rel_type") == "ASSOCIATED_WITH") & (F.col("end_label") != "IOC")
+    """Fails on an ASSOCIATED_WITH edge that doesn't end at an indicator, by its end's label or, where edges have none, by its key (value::kind)."""
+    at_indicator = F.col("end_label") == "IOC" if "end_label" in edges.columns else F.contains("end_key", F.lit("::"))
+    bad = (F.col("rel_type") == "ASSOCIATED_WITH") & ~F.coalesce(at_indicator, F.lit(False))
     return edges.withColumn("rel_type", F.when(bad, F.raise_error(F.lit("ASSOCIATED_WITH must end at an IOC"))).otherwise(F.col("rel_type")))
 
 
@@ -193,8 +195,8 @@ def inferred_edges(events: DataFrame) -> DataFrame:
 
 
 def merge_authoritative(state: DataFrame, events: DataFrame) -> DataFrame:
-    """The authoritative side of edges after a batch. state: what this or ``authoritative_edges`` gave before; stored values never fall, and the first observation stays."""
-    new = authoritative_edges(events)
+    """The authoritative side of edges after a batch. state: what this or ``authoritative_edges`` gave before; stored values never fall, and the first observation stays. Fails on an edge that ``guard_direction`` refuses."""
+    new = authoritative_edges(guard_direction(events))
     both = state.select(*new.columns).unionByName(new)
     return both.groupBy(*EDGE).agg(
         F.max("authoritative_confidence").alias("authoritative_confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("feed_sources")))).alias("feed_sources"), F.min("first_observed").alias("first_observed"), F.max("last_confirmed").alias("last_confirmed")
@@ -208,7 +210,9 @@ def merge_inferred(state: DataFrame, events: DataFrame, cap: int = CAP) -> DataF
     """The inferred side of edges after a batch of stories' contributions. state: (EDGE, columns of INFERRED), as this function gave it before, at first empty.
 
     events: (EDGE, cluster_id, contribution, article_ids, ts, seq). A story counts once for an edge, by its first contribution: if the
-    edge has it already, nothing but ``last_confirmed`` changes, neither the confidence nor ids nor their count."""
+    edge has it already, nothing but ``last_confirmed`` changes, neither the confidence nor ids nor their count. Fails on an edge that
+    ``guard_direction`` refuses."""
+    events = guard_direction(events)
     old = state.select(*EDGE, F.struct(*[c.split()[0] for c in INFERRED.split(", ")]).alias("_old"))
     touched = events.groupBy(*EDGE).agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
     known = state.select(*EDGE, F.explode("contributing_story_cluster_ids").alias("cluster_id"))
@@ -286,6 +290,37 @@ def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.where("start_key <> end_key").groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("merged"))
 
 
+LABELLED = ["start_label", "start_key", "rel_type", "end_label", "end_key"]
+
+
+def merge_labelled_edges(edges: DataFrame, into: DataFrame) -> DataFrame:
+    """Edges with merged nodes, all properties kept, and ``merged``, how many edges became one.
+
+    edges: (LABELLED and properties); into: (label, merge_key, canonical_key). Only ends of the label are re-pointed, edges of a node to itself
+    go. Of edges that coincide arrays are united, ``first_observed`` is the earliest, ``last_confirmed`` and numbers the greatest; of other
+    properties that of the edge that was there counts, else the least."""
+    moved = edges
+    for side in ("start", "end"):
+        m = into.select(F.col("label").alias(f"{side}_label"), F.col("merge_key").alias(f"{side}_key"), F.col("canonical_key").alias(f"_{side}"))
+        moved = moved.join(m, [f"{side}_label", f"{side}_key"], "left")
+    was = F.col("_start").isNull() & F.col("_end").isNull()
+    moved = moved.withColumns({"_was": was, "start_key": F.coalesce("_start", "start_key"), "end_key": F.coalesce("_end", "end_key")})
+    moved = moved.where((F.col("start_key") != F.col("end_key")) | (F.col("start_label") != F.col("end_label")))
+
+    def one(field: T.StructField):
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.ArrayType):
+            return F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(field.name)
+        if field.name == "first_observed":
+            return F.min(c).alias(field.name)
+        if field.name == "last_confirmed" or isinstance(field.dataType, T.NumericType):
+            return F.max(c).alias(field.name)
+        return F.min(F.when(c.isNotNull(), F.struct((~F.col("_was")).alias("new"), c.alias("c"))))["c"].alias(field.name)
+
+    rest = [one(f) for f in edges.schema if f.name not in LABELLED]
+    return moved.groupBy(*LABELLED).agg(*rest, F.count(F.lit(1)).alias("merged"))
+
+
 def detect_changes(entries: DataFrame, keys: list[str] = ("source_id", "guid"), fingerprint: str = "fingerprint", seq: str = "seq") -> DataFrame:
     """Entries that are new (discovery) or whose fingerprint differs from the one before (update)."""
     before = F.lag(fingerprint).over(Window.partitionBy(*keys).orderBy(seq))

@@ -231,8 +231,10 @@ def reconcile(provisional: DataFrame, canonical: DataFrame) -> DataFrame:
 def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with provisional nodes merged: they go, their names become aliases of the canonical node, their edges are re-pointed and parallel ones become one.
 
-    nodes: (label, merge_key, name, aliases); merges: (label, merge_key, canonical_key), of several canonical keys of one node the least counts."""
-    from loomwatch.operators.graph import remap_edges
+    nodes: (label, merge_key, name, aliases); merges: (label, merge_key, canonical_key), of several canonical keys of one node the least counts.
+    edges: with labels see ``merge_labelled_edges``; without them (EDGE, confidence), and then keys that nodes of several labels have are left
+    as they are, since it isn't known whose edges they are."""
+    from loomwatch.operators.graph import merge_labelled_edges, remap_edges
 
     into = merges.groupBy("label", "merge_key").agg(F.min("canonical_key").alias("canonical_key"))
     named = nodes.join(into, ["label", "merge_key"]).select("label", F.col("canonical_key"), F.coalesce("name", "merge_key").alias("n"))
@@ -240,5 +242,9 @@ def merge_nodes(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple[
     left = nodes.join(into, ["label", "merge_key"], "left_anti").join(more, ["label", "merge_key"], "left")
     none = F.array().cast("array<string>")
     aliases = F.concat(F.coalesce("aliases", none), F.array_except(F.coalesce("_more", none), F.coalesce("aliases", none)))
-    mapping = into.select(F.col("merge_key").alias("old_key"), F.col("canonical_key").alias("new_key")).dropDuplicates(["old_key"])
-    return left.select("label", "merge_key", "name", aliases.alias("aliases")), remap_edges(edges, mapping)
+    left = left.select("label", "merge_key", "name", aliases.alias("aliases"))
+    if "start_label" in edges.columns:
+        return left, merge_labelled_edges(edges, into)
+    owners = nodes.select("label", "merge_key").unionByName(into.select("label", "merge_key")).groupBy("merge_key").agg(F.count_distinct("label").alias("n"))
+    mapping = into.join(owners.where("n = 1"), "merge_key").select(F.col("merge_key").alias("old_key"), F.col("canonical_key").alias("new_key"))
+    return left, remap_edges(edges, mapping)

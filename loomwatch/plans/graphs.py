@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
 from loomwatch.operators import graph, relations, resolve
 from loomwatch.plans import inputs
-from loomwatch.sources import feeds, stix
+from loomwatch.sources import feeds
 
 
 def node_upsert_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,27 +182,6 @@ def timestamps_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", F.unix_micros(tx.parse_time(text)).alias("micros"))
 
 
-def _payloads(spark: SparkSession, schema: str, *docs: dict) -> DataFrame:
-    return spark.createDataFrame([(json.dumps(d),) for d in docs], "j string").select(F.from_json("j", schema).alias("p")).select("p.*")
-
-
-def stix_nodes_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = lambda i: [{"source_name": "other", "external_id": "x"}, {"source_name": "mitre-attack", "external_id": i, "url": f"https://e.org/{i}"}]
-    bundle = {
-        "objects": [
-            {"type": "attack-pattern", "id": "ap1", "name": "Phish", "external_references": ref("T1566.001"), "kill_chain_phases": [{"kill_chain_name": "mitre-attack", "phase_name": "initial-access"}]},
-            {"type": "intrusion-set", "id": "is1", "name": "Quiet  Fox", "aliases": ["QF"]},
-            {"type": "malware", "id": "mw1", "name": "Dropper", "external_references": ref("S0001"), "malware_types": ["trojan", "rat"], "revoked": True},
-            {"type": "relationship", "id": "r1", "relationship_type": "uses", "source_ref": "is1", "target_ref": "mw1"},
-            {"type": "relationship", "id": "r2", "relationship_type": "uses", "source_ref": "mw1", "target_ref": "ap1"},
-            {"type": "relationship", "id": "r3", "relationship_type": "uses", "source_ref": "mw1", "target_ref": "gone"},
-            {"type": "relationship", "id": "r4", "relationship_type": "mitigates", "source_ref": "mw1", "target_ref": "ap1"},
-        ]
-    }
-    parsed = stix.objects(_payloads(spark, stix.BUNDLE, bundle).withColumn("domain", F.lit("enterprise-attack")))
-    return stix.edges(parsed).select("start_label", "start_key", "rel_type", "end_label", "end_key")
-
-
 def pulse_indicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as pulses: of ten indicators each, and one or two CVEs."""
     e = inputs.table(spark, sf_dir, "events").where("event_id IS NOT NULL").select(F.floor(F.col("event_id") / 10).cast("string").alias("id"), F.struct(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("CVE-2024-"), (1000 + F.col("event_id")).cast("string"))).when(F.col("event_id") % 30 == 1, "CVE-1999-0001").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 500).cast("string"))).alias("indicator"), F.when((F.col("event_id") % 10 == 0) | (F.col("event_id") % 30 == 1), "CVE").when(F.col("event_id") % 2 == 0, "hostname").otherwise("Mutex").alias("type")).alias("i"))
@@ -212,30 +189,12 @@ def pulse_indicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.otx(pulses)[2].select("start_key", "rel_type", "end_key")
 
 
-def nvd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = lambda i, **k: {"cve": {"id": i, "published": "2024-01-01", "lastModified": "2024-02-02T00:00:00.000", **k}}
-    payload = {
-        "vulnerabilities": [
-            v("CVE-1", descriptions=[{"lang": "fr", "value": "un"}, {"lang": "en", "value": "one"}], metrics={"cvssMetricV31": [{"cvssData": {"vectorString": "V", "baseScore": 9.8}}]}, weaknesses=[{"description": [{"value": "CWE-79"}, {"value": "NVD-CWE-Other"}, {"value": "CWE-79"}]}], configurations=[{"nodes": [{"cpeMatch": [{"criteria": "a"}, {"criteria": "b"}, {"criteria": "a"}]}]}]),
-            v("CVE-2", descriptions=[{"lang": "fr", "value": "deux"}], metrics={"cvssMetricV31": [], "cvssMetricV2": [{"cvssData": {"vectorString": "W", "baseScore": 5.0}}]}),
-            v("", descriptions=[]),
-        ]
-    }
-    n = feeds.nvd(_payloads(spark, feeds.NVD, payload))
-    return n.select("cve_id", "description", "cvss_score", "cvss_vector", F.array_join("cwe_ids", ",").alias("cwes"), F.array_join("affected_products", ",").alias("products"))
-
-
-def threatfox_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = [{"ioc": "1.2.3.4:80", "ioc_type": "ip:port", "malware": "win.x", "malware_printable": " Xbot "}, {"ioc": "ab", "ioc_type": "sha256_hash", "malware_printable": "Xbot"}, {"ioc": "", "ioc_type": "url", "malware_printable": "Y"}]
-    return feeds.threatfox(_payloads(spark, feeds.THREATFOX, {"query_status": "ok", "data": d}))[2]
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         node_upsert_lww, epss_enrich_existing_only, new_key_detection, edge_merge_outcome, mentions_edge_latest, noisy_or_edges, authoritative_edges, edge_confidence, recompute_feed, capped_article_ids, cwe_resync_diff, freshness_guard,
-        retract_stale_mentions, alias_exact, alias_fuzzy, reconcile_merge_edges, edge_catalog_map, re_cache_miss, change_detection, poll_health, source_sync_diff, http_classify, credibility_lookup, timestamps_parsed, stix_nodes_edges,
-        pulse_indicates, nvd_records, threatfox_edges,
+        retract_stale_mentions, alias_exact, alias_fuzzy, reconcile_merge_edges, edge_catalog_map, re_cache_miss, change_detection, poll_health, source_sync_diff, http_classify, credibility_lookup, timestamps_parsed,
+        pulse_indicates,
     )
 }
 
@@ -298,10 +257,7 @@ SELECT event_id, CASE WHEN s IN (401, 403) THEN 'no_retry' WHEN s = 429 THEN 're
   CASE WHEN s = 429 THEN CASE WHEN event_id % 4 = 0 THEN 7.5 ELSE pow(2.0, event_id % 5) END END AS delay FROM e""",
     "credibility_lookup": f"WITH {_A}, {_F} SELECT seq, source_id, coalesce(credibility_score, 0.5) AS credibility_score FROM assertions LEFT JOIN feeds USING (source_id)",
     "timestamps_parsed": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN epoch_us(date_trunc('second', o_orderdate)) END AS micros FROM orders",
-    "stix_nodes_edges": "SELECT * FROM (VALUES ('ThreatActor', 'quiet fox', 'USES', 'MalwareFamily', 'S0001'), ('MalwareFamily', 'S0001', 'USES', 'TTP', 'T1566.001')) AS t(start_label, start_key, rel_type, end_label, end_key)",
     "pulse_indicates": """WITH e AS (SELECT event_id // 10 AS id, event_id AS i, event_id % 10 = 0 OR event_id % 30 = 1 AS cve, CASE WHEN event_id % 10 = 0 THEN 'CVE-2024-' || (1000 + event_id)::VARCHAR WHEN event_id % 30 = 1 THEN 'CVE-1999-0001' ELSE 'h' || (user_id % 500)::VARCHAR END AS v FROM events
 ), c AS (SELECT id, min(v) AS v FROM e WHERE cve GROUP BY id HAVING count(*) = 1)
 SELECT DISTINCT e.v || '::' || CASE WHEN i % 2 = 0 THEN 'domain' ELSE 'mutex' END AS start_key, 'INDICATES' AS rel_type, c.v AS end_key FROM e JOIN c USING (id) WHERE NOT cve""",
-    "nvd_records": "SELECT * FROM (VALUES ('CVE-1', 'one', 9.8::DOUBLE, 'V', 'CWE-79', 'a,b'), ('CVE-2', 'deux', 5.0, 'W', '', NULL)) AS t(cve_id, description, cvss_score, cvss_vector, cwes, products)",
-    "threatfox_edges": "SELECT * FROM (VALUES ('xbot', 'COMMUNICATES_WITH', '1.2.3.4:80::ip:port', 'threatfox'), ('xbot', 'HAS_SAMPLE', 'ab::sha256_hash', 'threatfox')) AS t(start_key, rel_type, end_key, source_id)",
 }

@@ -56,6 +56,15 @@ def edges(parsed: DataFrame) -> DataFrame:
     return r.select("start_label", "start_key", "rel_type", "end_label", "end_key").distinct()
 
 
+#: What the catalog's own edges count as, and for how much.
+SOURCE, CREDIBILITY = "mitre_attck", 1.0
+
+
+def assertions(parsed: DataFrame, ts: int) -> DataFrame:
+    """``edges`` as assertions for ``graph.authoritative_edges`` and ``merge_authoritative``, of the highest credibility, read at ``ts``."""
+    return edges(parsed).withColumns({"source_id": F.lit(SOURCE), "credibility_score": F.lit(CREDIBILITY), "ts": F.lit(ts).cast("long")})
+
+
 def latest_versions(index: DataFrame) -> DataFrame:
     """(domain, version): of each domain the greatest version, compared number by number. index: (domain, version)."""
     return index.groupBy("domain").agg(F.max_by("version", tx.version_parts(F.col("version"))).alias("version"))
