@@ -4,7 +4,8 @@ A rule is a host and a path. Its key, ``host + path``, is hashed by xxhash; the
 sorted, and the rules' strings are kept in the same order, in Arrow columns. Each task maps the array into
 memory from a file of its own, probes it with the digests of all (domain suffix, path prefix)
 pairs of a batch of urls at once, and compares the stored string of each hit, so a collision
-of digests can't match. Path prefixes are only tried at the lengths that rules have.
+of digests can't match. Suffixes and prefixes are only tried at the lengths that rules have, so
+a host of very many labels, or a very long path, costs no more than its own length.
 
 The array is broadcast only up to ``max_bytes``. Larger rule sets go by an equi-join of the
 same keys, on the same strings, with the same result.
@@ -58,7 +59,8 @@ def _clean(rules: DataFrame) -> DataFrame:
 class DigestArray:
     """Sorted digests with their strings; ``data`` is what is broadcast."""
 
-    def __init__(self, data: tuple[bytes, bytes, list[int]]):
+    def __init__(self, data: tuple[bytes, bytes, list[tuple[int, list[int]]]]):
+        #: Of hosts, with those of paths that go with each.
         digests, strings, self.lengths = data
         self.rules = pa.ipc.open_stream(strings).read_all()
         with tempfile.NamedTemporaryFile(delete=False) as f:
@@ -67,7 +69,7 @@ class DigestArray:
         os.unlink(f.name)  # the mapping stays, the name goes
 
     @staticmethod
-    def build(rules: pa.Table) -> tuple[bytes, bytes, list[int]]:
+    def build(rules: pa.Table) -> tuple[bytes, bytes, list[tuple[int, list[int]]]]:
         """rules: columns host, path, verdict, all strings."""
         import xxhash
 
@@ -77,7 +79,10 @@ class DigestArray:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rules.schema) as out:
             out.write_table(rules.take(pa.array(order)))
-        return digests[order].tobytes(), sink.getvalue().to_pybytes(), np.unique(pc.utf8_length(rules["path"]).to_numpy()).tolist()
+        lengths: dict[int, set[int]] = {}
+        for h, p in zip(pc.utf8_length(rules["host"]).to_pylist(), pc.utf8_length(rules["path"]).to_pylist(), strict=True):
+            lengths.setdefault(h, set()).add(p)
+        return digests[order].tobytes(), sink.getvalue().to_pybytes(), sorted((h, sorted(p)) for h, p in lengths.items())
 
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str, str] | None]:
         """Of each url its longest rule (rule, verdict), or None."""
@@ -85,13 +90,12 @@ class DigestArray:
 
         owner, parts = [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            suffix = host
-            while suffix:
-                for n in self.lengths:
-                    if n <= len(path):
-                        owner.append(i)
-                        parts.append((suffix, path[:n]))
-                suffix = suffix.partition(".")[2]
+            for size, lengths in self.lengths:
+                if size == len(host) or size < len(host) and host[-size - 1] == ".":
+                    for n in lengths:
+                        if n <= len(path):
+                            owner.append(i)
+                            parts.append((host[-size:], path[:n]))
         best: list[tuple | None] = [None] * len(hosts)
         if len(self.digests) and parts:
             # Urls of one site share most of their keys: each is hashed once.
@@ -109,9 +113,11 @@ class DigestArray:
 
 def _by_join(urls: DataFrame, rules: DataFrame, url_col: str, default: str) -> DataFrame:
     """The same by an equi-join of keys, for rule sets of any size."""
-    lengths = F.broadcast(rules.select(F.length("path").alias("len")).distinct().agg(F.sort_array(F.collect_set("len")).alias("lens")))  # one row, of different lengths
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    sizes = rules.select(F.length("host").alias("size"), F.length("path").alias("len")).distinct()
+    lengths = F.broadcast(sizes.agg(F.sort_array(F.collect_set("len")).alias("lens"), F.sort_array(F.collect_set("size")).alias("sizes")))  # one row, of different lengths
+    whole = F.length("host")
+    fits = F.filter("sizes", lambda n: (n == whole) | ((n < whole) & (F.substring("host", whole - n, F.lit(1)) == ".")))
+    suffixes = F.transform(fits, lambda n: F.substring("host", whole - n + 1, n))
     distinct = urls.select(F.col(f"`{url_col}`").alias("_url")).distinct().select("_url", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")).where("host <> ''")
     tried = distinct.join(lengths).select("_url", F.explode(suffixes).alias("host"), "path", "lens")
     tried = tried.select("_url", "host", F.explode(F.transform(F.filter("lens", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))).alias("path"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomwatch.llm import jaccard, line_dedup
@@ -26,3 +27,23 @@ def test_blocks_of_a_very_long_line(spark):
     for r in spark.range(count).select(*line_dedup._block(F.lit(m), F.col("id").cast("int"))).collect():
         first.append(r[0]), end.append(r[1])
     assert sorted(first) == first and first[0] == 0 and end[-1] == m and end[:-1] == first[1:]
+
+
+def test_a_host_of_very_many_labels(spark):
+    import tracemalloc
+
+    from loomwatch.llm import urlfilter
+
+    host = "a." * 20_000 + "b.net"
+    rules = [("net", "/", "block"), ("b.net", "/x/", "allow"), ("a.b.net", "/x/y", "block"), (".b.net", "/", "allow")]
+    urls = [(0, f"http://{host}/x/z"), (1, f"http://{host}/q"), (2, f"http://{host}/x/y"), (3, "http://a..b.net/"), (4, f"http://{'.' * 20_000}net/"), (5, f"http://net{'/x' * 20_000}")]
+    want = {0: "b.net/x/", 1: "net/", 2: "a.b.net/x/y", 3: ".b.net/", 4: "net/", 5: "net/"}
+    table = pa.table(dict(zip(("host", "path", "verdict"), zip(*rules, strict=True), strict=True)))
+    array = urlfilter.DigestArray(urlfilter.DigestArray.build(table))
+    tracemalloc.start()
+    array.judge([host] * 50, ["/x/z"] * 50)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    df, r = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    for limit in (urlfilter.MAX_BYTES, 0):
+        assert {x.page_id: x.rule for x in urlfilter.filter_urls(df, r, max_bytes=limit).collect()} == want
