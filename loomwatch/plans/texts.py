@@ -11,6 +11,7 @@ from loomwatch.operators.story_join import story_links
 from loomwatch.plans import inputs
 from loomwatch.shared import written
 from loomwatch.sources import feeds
+from loomwatch.sources.main_text import with_main_text
 
 
 def article_keys_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +104,17 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.table(spark, sf_dir, "pages").select("page_id", feeds.page_text(F.col("html")).alias("page_text"))
 
 
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_main_text(inputs.table(spark, sf_dir, "pages").select("page_id", "html"), text_col="main_text").drop("html")
+
+
 def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest, by cosine, to each whose id is divisible by 50."""
     v = inputs.table(spark, sf_dir, "embeddings")
     return nearest.nearest(v, v.where("vec_id % 50 = 0"), 5)
 
 
-QUERIES = {f.__name__: f for f in (article_keys_hash, exact_dup_clusters, ioc_mentions_by_type, refang_cve_ttp, ioc_classify, ioc_extract_full, benign_domain_filter, simhash64, simhash64_arrow, candidate_pairs, pair_scores, story_clusters, cluster_entity_union, page_text, embedding_topk)}
+QUERIES = {f.__name__: f for f in (article_keys_hash, exact_dup_clusters, ioc_mentions_by_type, refang_cve_ttp, ioc_classify, ioc_extract_full, benign_domain_filter, simhash64, simhash64_arrow, candidate_pairs, pair_scores, story_clusters, cluster_entity_union, page_text, page_main_text, embedding_topk)}
 
 _SIMHASH = r"""
 shingles AS (
