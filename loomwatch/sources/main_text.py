@@ -2,7 +2,7 @@
 
 A page is a tree of elements; what paragraphs, headings, list items, cells and bare text directly in other elements hold are its
 blocks. A block of prose (some words, few of them in links) counts by its characters, others count against a subtree by
-their links. Headings count nothing, nor does what is in parts that are there for moving about (menus, comments,
+their links. Headings and short paragraphs count nothing, nor does what is in parts that are there for moving about (menus, comments,
 advertisements, by element or by the words in their class and id). The element whose blocks have the greatest sum is the page's main part, the
 innermost of equals, and its text are its blocks of prose, its headings and its short paragraphs, a line each. Sums go from the leaves up, so a page takes
 time in proportion to its length.
@@ -108,11 +108,16 @@ def is_prose(text: str, linked: int) -> bool:
     return linked <= LINKED * len(text) and text.count(" ") + 1 >= WORDS
 
 
+def is_short(node: Node, text: str, linked: int) -> bool:
+    """A short paragraph, which stands in main parts and in others."""
+    return node.tag == "p" and linked <= LINKED * len(text)
+
+
 def worth(node: Node, text: str, linked: int) -> int:
     """What a block counts that is directly in the node."""
     if node.aside or node.tag in HEADINGS:
         return 0
-    return len(text) if is_prose(text, linked) else -(linked + FIXED)
+    return len(text) if is_prose(text, linked) else 0 if is_short(node, text, linked) else -(linked + FIXED)
 
 
 def tree_of(html: str) -> Node:
@@ -150,7 +155,7 @@ def lines(node: Node) -> Iterator[str]:
             part = node.parts[at]
             if isinstance(part, Node):
                 stack.append((part, 0))
-            elif not node.aside and (node.tag in HEADINGS or is_prose(*part) or node.tag == "p" and part[1] <= LINKED * len(part[0])):
+            elif not node.aside and (node.tag in HEADINGS or is_prose(*part) or is_short(node, *part)):
                 yield part[0]
 
 
