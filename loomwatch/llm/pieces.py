@@ -27,7 +27,10 @@ about ``SLICE`` characters are the lanes of one numpy walk; each lane keeps a ri
 times the longest piece's backpointers, and every ``longest`` characters the boundary that all
 its surviving paths lead through is sought and the ids before it are committed. A lane that
 finds none within its ring, and the last lanes of a slice when few are left, are walked alone
-by ``_lattice``, whose window grows until its paths meet. A text longer than a slice is cut at
+by ``_lattice``, whose window grows until its paths meet. Long parts, as in scripts without
+spaces, are cut into overlapping stretches that are lanes of their own: where two neighbouring
+stretches have a piece in common, the one's pieces before it and the other's from it on are the
+path of both together, since all neighbours agree. A text longer than a slice is cut at
 boundaries of parts. Beside its own ids, a text so needs memory for one slice only (a part
 longer than a slice: also for its characters).
 
@@ -59,6 +62,8 @@ SLICE = 1 << 18
 RING = 4
 #: With fewer lanes left, each is walked alone.
 LANES = 16
+#: Parts of more characters are cut into stretches that begin every ``STEP`` characters and overlap by as many, where there are ``MANY`` such characters.
+WIDE, STEP, MANY = 256, 128, 4096
 #: Pairs of pieces whose agreement a worker remembers.
 PAIRS = 200_000
 #: Of a character in no piece, before its byte pieces are known; no boundary known yet.
@@ -204,6 +209,9 @@ class Tables:
             self.rank[i] = r
         for i, (a, b) in v.halves.items():
             self.left[i], self.right[i] = a, b
+        self.chars = np.ones(n, dtype=np.int64)  # of pieces
+        for x, i in v.pieces.items():
+            self.chars[i] = len(x)
         self.sizes = np.array([len(x) for x in v.texts], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         self.bytes = np.frombuffer(b"".join(v.texts), dtype=np.uint8)
@@ -254,8 +262,9 @@ def _by_place(place: np.ndarray, until: int) -> tuple[np.ndarray, np.ndarray]:
 class Lanes:
     """The lattices of many parts, walked side by side; each lane is the characters [start, end) of ``codes``."""
 
-    def __init__(self, tables: Tables, longest: int, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
-        self.t, self.longest, self.ring = tables, longest, 1 << (RING * longest - 1).bit_length()
+    def __init__(self, tables: Tables, longest: int, codes: np.ndarray, start: np.ndarray, end: np.ndarray, ring: int = 0, fewest: int | None = None):
+        self.t, self.longest, self.ring = tables, longest, 1 << ((ring or RING * longest) - 1).bit_length()
+        self.fewest = LANES if fewest is None else fewest
         self.order = np.argsort(start - end, kind="stable")  # the longest lane first, so those under way are the first ones
         self.start, self.size = start[self.order], (end - start)[self.order]
         self.codes = codes
@@ -292,10 +301,10 @@ class Lanes:
             ended = int(np.searchsorted(-self.size, -k))  # lanes longer than k come first
             self._commit(np.arange(ended, under_way), np.full(under_way - ended, k))
             under_way = ended
-            if under_way < LANES and under_way and k >= 2 * self.longest:
+            if under_way < self.fewest and under_way and k >= 2 * self.longest:
                 self.given_up[:under_way] = True
                 break
-            if under_way and k % self.longest == 0 and k >= 2 * self.longest:
+            if under_way and k % self.longest == 0 and k >= 2 * self.longest and self.ring < until + self.longest:
                 rows = np.flatnonzero(~self.given_up[:under_way])
                 self._commit(rows, self._meet(rows, k))
                 self.given_up[:under_way] |= k + 2 * self.longest - self.done[:under_way] >= self.ring
@@ -469,30 +478,77 @@ class Encoder:
 
     def _parts(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all parts, where those of each part begin, and how many they are."""
-        lanes = Lanes(self.tables, self.v.longest, self.tables.code[points], start, end)
-        lane, bound, piece, alone = lanes.walk()
-        if len(alone):
-            found = [np.fromiter(self._lattice(points[a : a + n].tobytes().decode("utf-32-le").replace(" ", SPACE)), dtype=np.int32) for a, n in zip(lanes.start[alone], lanes.size[alone], strict=True)]
-            # Lanes that are walked alone are the longest ones, so few that all others are moved once.
-            lane = np.concatenate([lane, np.repeat(alone, [len(x) for x in found])])
-            piece, bound = np.concatenate([piece, *found]), np.concatenate([bound, np.zeros(len(lane) - len(bound), dtype=np.int64)])
-            order = np.argsort(lane, kind="stable")
-            lane, bound, piece = lane[order], bound[order], piece[order]
+        codes = self.tables.code[points]
+        long = end - start > WIDE
+        if (end - start)[long].sum() < MANY:
+            long[:] = False
+        which, bound, piece = self._walk(points, codes, start[~long], end[~long])
+        which = np.flatnonzero(~long)[which]
+        if long.any():
+            at = np.flatnonzero(long)
+            cut_which, cut_bound, cut_piece = self._stretches(points, codes, start[at], end[at], STEP)
+            which = np.concatenate([which, at[cut_which]])
+            bound, piece = np.concatenate([bound, cut_bound]), np.concatenate([piece, cut_piece])
+            order = np.argsort(which, kind="stable")
+            which, bound, piece = which[order], bound[order], piece[order]
         odd = np.flatnonzero(piece < 0)
         if len(odd):
-            char, which = np.unique(points[lanes.start[lane[odd]] + bound[odd] - 1], return_inverse=True)
+            char, kind = np.unique(points[start[which[odd]] + bound[odd] - 1], return_inverse=True)
             as_ids = [self._byte_ids(chr(c)) for c in char.tolist()]
             n = np.ones(len(piece), dtype=np.int64)
-            n[odd] = np.array([len(x) for x in as_ids])[which]
+            n[odd] = np.array([len(x) for x in as_ids])[kind]
             at = np.cumsum(n) - n
-            piece, lane, odd_at = np.repeat(piece, n), np.repeat(lane, n), at[odd]
+            piece, which, odd_at = np.repeat(piece, n), np.repeat(which, n), at[odd]
             for c, x in enumerate(as_ids):
                 for j, i in enumerate(x):
-                    piece[odd_at[which == c] + j] = i
-        counts = np.bincount(lane, minlength=len(start))
-        place = np.empty(len(start), dtype=np.int64)
-        place[lanes.order] = np.arange(len(start))
-        return piece, (np.cumsum(counts) - counts)[place], counts[place]
+                    piece[odd_at[kind == c] + j] = i
+        counts = np.bincount(which, minlength=len(start))
+        return piece, np.cumsum(counts) - counts, counts
+
+    def _walk(self, points: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray, **limits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(part, boundary, piece before it) of all parts, by part and boundary. A piece below 0 is a character whose byte pieces are to be put in; boundaries of parts that were walked alone are unknown."""
+        lanes = Lanes(self.tables, self.v.longest, codes, start, end, **limits)
+        lane, bound, piece, alone = lanes.walk()
+        if len(alone):
+            found = [np.fromiter(self._lattice(points[a : a + n].tobytes().decode("utf-32-le").replace(" ", SPACE)), dtype=np.int32) for a, n in zip(lanes.start[alone], lanes.size[alone], strict=True)]
+            lane = np.concatenate([lane, np.repeat(alone, [len(x) for x in found])])
+            piece, bound = np.concatenate([piece, *found]), np.concatenate([bound, np.zeros(len(lane) - len(bound), dtype=np.int64)])
+        part = lanes.order[lane]
+        order = np.argsort(part, kind="stable")
+        return part[order], bound[order], piece[order]
+
+    def _stretches(self, points: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_walk`` of long parts, in stretches; parts of which two neighbouring stretches have no piece in common are cut into longer ones, and in the end walked whole."""
+        size, lap = end - start, step // 2
+        n = -(-size // step)
+        part = np.repeat(np.arange(len(start)), n)
+        k = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+        begin, until = start[part] + np.maximum(0, k * step - lap), start[part] + np.minimum(size[part], (k + 1) * step + lap)
+        # A ring longer than a stretch: its paths needn't meet before its end, so none is walked alone.
+        at, bound, piece = self._walk(points, codes, begin, until, ring=2 * step + 2 * self.v.longest, fewest=0)
+        stop = begin[at] + bound
+        first = stop - np.where(piece < 0, 1, self.tables.chars[piece])
+        has_next, has_last = np.append(part[1:] == part[:-1], False), np.append(False, part[1:] == part[:-1])
+        ahead = np.flatnonzero(has_next[at] & (first >= np.append(begin[1:], 0)[at]))
+        behind = np.flatnonzero(has_last[at] & (stop <= np.append(0, until[:-1])[at]))
+        place = lambda i, of: (of * (len(points) + 1) + first[i]) * (2 * self.v.longest) + stop[i] - first[i]
+        _, a, _ = np.intersect1d(place(ahead, at[ahead]), place(behind, at[behind] - 1), return_indices=True)
+        here = np.where(has_last, -1, begin)  # where each stretch's pieces count: from the first one in common on
+        mine, index = np.unique(at[ahead[a]], return_index=True)
+        here[mine + 1] = first[ahead[a]][index]
+        failed = np.zeros(len(start), dtype=bool)
+        failed[part[here < 0]] = True
+        there = np.append(here[1:], 0)
+        there[~has_next] = len(points) + 1
+        keep = (first >= here[at]) & (first < there[at]) & ~failed[part[at]]
+        found = part[at[keep]], stop[keep] - start[part[at[keep]]], piece[keep]
+        if failed.any():
+            odd = np.flatnonzero(failed)
+            more = self._stretches(points, codes, start[odd], end[odd], 4 * step) if step <= STEP else self._walk(points, codes, start[odd], end[odd])
+            found = tuple(np.concatenate(x) for x in zip(found, (odd[more[0]], *more[1:]), strict=True))
+            order = np.argsort(found[0], kind="stable")
+            found = tuple(x[order] for x in found)
+        return found
 
     def _byte_ids(self, char: str) -> list[int]:
         ids = [self.v.byte_ids[b] for b in char.encode()]

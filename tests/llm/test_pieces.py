@@ -56,6 +56,29 @@ def test_lanes_whose_paths_do_not_meet_are_walked_alone(both, monkeypatch):
         assert e.encode(t or "").tolist() == sp.encode(t or "")
 
 
+@pytest.mark.parametrize(("wide", "step", "many"), [(256, 128, 0), (20, 16, 0), (8, 4, 0), (8, 32, 0)])
+def test_long_parts_in_stretches(both, monkeypatch, wide, step, many):
+    sp, e = both
+    for name, value in (("WIDE", wide), ("STEP", step), ("MANY", many)):
+        monkeypatch.setattr(pieces, name, value)
+    r = random.Random(9)
+    texts = odd_texts() + ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABC+/=0123") for _ in range(6000)), "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(3000)), "a" * 5000, "é" * 700, "internationalization" * 90]
+    ids, sizes, restored = e.encode_all(texts)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    for i, t in enumerate(texts):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == sp.encode(t or ""), (i, (t or "")[:40])
+        assert restored[i] == ("▁" not in (t or ""))
+
+
+def test_texts_without_spaces_are_not_walked_alone(both, monkeypatch):
+    sp, e = both
+    r = random.Random(10)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(20_000)), "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(20_000))]
+    monkeypatch.setattr(pieces.Encoder, "_lattice", lambda self, text: 1 / 0)
+    ids, sizes, _ = e.encode_all(texts)
+    assert ids.tolist() == [i for t in texts for i in sp.encode(t)]
+
+
 def test_lookup():
     keys = [k * k * k + 7 * k for k in range(5000)]
     found = pieces.Lookup(keys[:4000], list(range(4000)))
