@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Tables that ``written`` made and that weren't removed.
-_made: list[str] = []
+#: Tables that ``written`` made and that weren't removed, of the innermost ``settled`` of this thread; other threads have their own.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again, which also cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -45,18 +47,23 @@ def remove(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         folder = f.rsplit("/", 1)[0]
         _delete(df.sparkSession, folder)
-        name = folder.rsplit("/", 1)[1]
-        _made[:] = [p for p in _made if p.rsplit("/", 1)[1] != name]
+        if made := _made.get():
+            made[:] = [p for p in made if p.rsplit("/", 1)[1] != folder.rsplit("/", 1)[1]]
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """``written(make(), name)``; the tables that were written meanwhile, which only that one needed, are deleted."""
-    before = set(_made)
-    df = make()
-    spark, meanwhile = df.sparkSession, [p for p in _made if p not in before]
-    out = written(df, name)
-    for path in meanwhile:
-        if path in _made:
-            _delete(spark, path)
-            _made.remove(path)
-    return out
+    """``written(make(), name)``; the tables that ``make`` wrote itself, which only that one needed, are deleted. Those of other threads, and of
+    whoever called this, stay."""
+    outer, mine = _made.get(), []
+    token = _made.set(mine)
+    try:
+        df = make()
+        out_path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(out_path)
+        for path in mine:
+            _delete(df.sparkSession, path)
+    finally:
+        _made.reset(token)
+    if outer is not None:
+        outer.append(out_path)
+    return df.sparkSession.read.schema(df.schema).parquet(out_path)
