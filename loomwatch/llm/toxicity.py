@@ -194,6 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_label"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))], names=["_id", "_label", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    total = sum(n.values())
+    if total > settings.max_rows:
+        # Hashes below a bound hold the first ``max_rows`` rows and few more; if ids repeat so that they don't, all rows are sorted.
+        bound = -(1 << 63) + int(1.2 * settings.max_rows / total * (1 << 64))
+        low = rows.where(F.xxhash64("_id") <= bound) if bound < 1 << 63 else rows
+        rows = low if low.select("_id").limit(settings.max_rows).count() == settings.max_rows else rows
     sample = rows.mapInArrow(run, f"_id {kind}, _label int, at array<int>").orderBy(F.xxhash64("_id"), "_id").limit(settings.max_rows).select("_label", "at").toArrow()  # max_rows rows
     lists = sample["at"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):

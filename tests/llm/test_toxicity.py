@@ -80,3 +80,19 @@ def test_repeated_rows_and_labels_and_long_texts(spark):
     got = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).select("doc_id", "predicted").collect()
     assert len(got) == 71 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None)
     assert toxicity.score_toxicity(docs.select("doc_id", "text", F.lit(1).alias("score")), toxicity.train(docs, labels)).columns == ["doc_id", "score", "predicted"]
+
+
+def test_the_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Whether a bound on the hashes holds enough rows or, with ids that repeat, doesn't."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda terms, rows, labels, settings: seen.append((len(rows), sorted(map(len, rows)), labels.sum())))
+    for ids in ([i for i in range(900)], [0] * 300 + list(range(600)), [7] * 900):
+        rows = [(i, " ".join(["bad" if i % 2 else "good"] * (1 + i % 5))) for i in ids]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        labels = spark.createDataFrame([(i, i % 2) for i in sorted(set(ids))], "doc_id long, toxic int")
+        toxicity.train(docs, labels, settings=toxicity.Settings(max_rows=100))
+        toxicity.train(docs, labels, settings=toxicity.Settings(max_rows=100_000))
+        hashed = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(100).collect()
+        small, whole = seen[-2:]
+        assert small[0] == 100 and whole[0] == 900
+        assert small[2] == sum(r.doc_id % 2 for r in hashed)
