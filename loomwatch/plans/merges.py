@@ -12,6 +12,7 @@ from loomwatch.operators.story_join import story_links
 from loomwatch.plans import inputs, payloads, texts
 from loomwatch.shared import written
 from loomwatch.sources import stix
+from loomwatch.streaming import messages, polls
 
 
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,32 @@ def threat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*graph.EDGE, F.round("inferred_confidence", 8).alias("confidence"), F.size("contributing_story_cluster_ids").cast("long").alias("n_stories"))
 
 
-QUERIES = {f.__name__: f for f in (merged_edges, attck_assertions, ladder_in_order, threat_graph)}
+def queue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in envelopes of three, of queues and topics; some are broken, some have a record without a message."""
+    d = inputs.table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    g = F.floor(F.col("doc_id") / 3)
+    body = F.to_json(F.struct("doc_id", "source", F.sha2("text", 256).alias("text_sha256")))
+    record = F.struct(F.when(g % 2 == 0, body).alias("body"), F.when((g % 2 == 1) & (F.col("doc_id") % 15 != 4), F.struct(body.alias("Message"))).alias("Sns"))
+    events = d.groupBy(g.alias("g")).agg(F.collect_list(record).alias("Records"))
+    value = F.when(F.col("g") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("Records"))).alias("value")
+    records, _ = messages.unwrapped(events.select(value))
+    return polls.decoded(records, "doc_id long, source string, text_sha256 string", ["doc_id"])[0]
+
+
+def resolved_article_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of articles with their entities, read back."""
+    key = lambda i: F.concat(F.col("source"), F.lit("::"), F.col(i).cast("string"))
+    d = inputs.table(spark, sf_dir, "documents")
+    articles = d.select(key("doc_id").alias("article_id"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("title"), F.lit(None).cast("string").alias("published_at"))
+    names = d.select(F.col("doc_id").alias("i"), key("doc_id").alias("key"))
+    e = inputs.entities(spark, sf_dir).where("article_id % 4 <> 0").join(names, F.col("article_id") == F.col("i"))
+    resolved = e.select(F.col("key").alias("article_id"), "entity_type", "node_key", F.lit("resolved").alias("resolution_status"), "node_confidence")
+    good, _ = polls.decoded(messages.resolved_messages(articles, resolved), messages.SHAPES["resolved"], ["article_id", "source_id"])
+    told = F.transform("resolved_entities", lambda x: F.concat_ws(":", x["entity_type"], x["canonical_node_key"], F.round(x["node_confidence"] * 10).cast("int").cast("string")))
+    return good.select("article_id", "title", "published_at", "source_id", F.array_join(told, ",").alias("entities"))
+
+
+QUERIES = {f.__name__: f for f in (merged_edges, attck_assertions, ladder_in_order, threat_graph, queue_records, resolved_article_messages)}
 
 _MENTIONED = f"""entities AS (
   SELECT DISTINCT doc_id AS article_id, 'cve' AS entity_type, upper(unnest(regexp_extract_all(t, 'CVE-\\d{{4}}-\\d{{4,7}}'))) AS node_key FROM told
@@ -102,6 +128,11 @@ SELECT s AS start_key, t AS rel_type, e AS end_key, 1.0::DOUBLE AS authoritative
 ), n AS (SELECT *, row_number() OVER (PARTITION BY named, u ORDER BY seq) AS k FROM e)
 SELECT seq, CASE WHEN named THEN 'G' || g::VARCHAR WHEN u < 20 THEN 'G' || u::VARCHAR ELSE 'q' || substr(sha256(u::VARCHAR), 1, 40) END AS node_key,
   CASE WHEN NOT named AND u >= 20 AND k = 1 THEN 'provisional' ELSE 'resolved' END AS resolution_status, CASE WHEN NOT named AND u >= 20 AND k = 1 THEN 0.99 ELSE 1.0 END::DOUBLE AS node_confidence FROM n""",
+    "queue_records": """SELECT doc_id, source, sha256(text) AS text_sha256 FROM documents
+WHERE (doc_id // 3) % 7 <> 0 AND NOT ((doc_id // 3) % 2 = 1 AND doc_id % 15 = 4)""",
+    "resolved_article_messages": f"""WITH {inputs.ENTITIES_SQL}, e AS (
+  SELECT article_id, string_agg(entity_type || ':' || node_key || ':' || round(node_confidence * 10)::INT::VARCHAR, ',' ORDER BY node_key, entity_type) AS t FROM entities WHERE article_id % 4 <> 0 GROUP BY article_id)
+SELECT source || '::' || doc_id::VARCHAR AS article_id, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE '' END AS title, '' AS published_at, source AS source_id, coalesce(t, '') AS entities FROM documents LEFT JOIN e ON article_id = doc_id""",
     "threat_graph": f"""WITH RECURSIVE {_TOLD}, {texts._SCORES.replace(inputs.ENTITIES_SQL, _MENTIONED)}, e AS (SELECT a, b FROM scores WHERE score >= 0.6 UNION ALL SELECT b, a FROM scores WHERE score >= 0.6
 ), r AS (SELECT article_id AS x, article_id AS y FROM articles UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y
 ), c AS (SELECT x AS article_id, min(y) AS c FROM r GROUP BY x

@@ -62,6 +62,21 @@ def resolved_messages(articles: DataFrame, resolved: DataFrame) -> DataFrame:
     return enveloped(rows.select(_json(*fields)), "resolved")
 
 
+def unwrapped(events: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, rest): the messages that queue events hold, a row (value) for each record, and what holds none, as it came, with ``reason``.
+
+    An event is a JSON text {"Records": [...]}, whose records have the message as ``body`` (of a queue) or ``Sns.Message`` (of a topic). A
+    record without either is among the rest with its event. Other columns go with each record."""
+    shape = "Records array<struct<body: string, Sns: struct<Message: string>>>"
+    parsed = events.withColumn("_r", F.from_json(value, shape)["Records"])
+    bodies = F.transform("_r", lambda r: F.coalesce(r["body"], r["Sns"]["Message"]))
+    parsed = parsed.withColumn("_b", bodies).drop("_r")
+    reason = F.when(F.col("_b").isNull(), "no records").when(F.exists("_b", lambda b: b.isNull()), "a record without a message")
+    others = [F.col(f"`{c}`") for c in events.columns if c != value]
+    records = parsed.select(*others, F.explode(F.filter("_b", lambda b: b.isNotNull())).alias(value)).select(*[F.col(f"`{c}`") for c in events.columns])
+    return records, parsed.withColumn("reason", reason).where("reason IS NOT NULL").drop("_b")
+
+
 DELIVERED = "message_id string, value string, action string, receive_count int, at timestamp"
 
 

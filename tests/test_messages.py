@@ -130,3 +130,12 @@ def test_messages_are_read_back(spark):
     assert bad.count() == 0 and got["s::1"].source_id == "s"
     assert [tuple(x) for x in got["s::1"].resolved_entities] == [("", "ttp", "rejected", 0.0), ("CVE-2024-1", "cve", "resolved", 1.0)]
     assert ENTITIES == f"array<{messages.ENTITY}>"
+
+
+def test_records_of_events(spark):
+    texts = ['{"Records": [{"body": "a"}, {"Sns": {"Message": "b"}}, {"body": "c", "Sns": {"Message": "no"}}]}', '{"Records": []}', "{broken", None, "{}", '{"Records": [{"body": "d"}, {"x": 1}]}', '{"Records": [null]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "value_id long, value string")
+    records, rest = messages.unwrapped(df)
+    assert sorted(map(tuple, records.collect())) == [(0, "a"), (0, "b"), (0, "c"), (5, "d")]
+    assert {r.value_id: r.reason for r in rest.collect()} == {2: "no records", 3: "no records", 4: "no records", 5: "a record without a message", 6: "a record without a message"}
+    assert all(r.value == texts[r.value_id] for r in rest.collect())
