@@ -42,7 +42,7 @@ def _keys(names: DataFrame, counts: DataFrame, least: float, own: str, other: st
 
     A pair of lengths a and b needs ``must`` = least * (a + b) / 2 characters in common. The first c of them, in order of rarity, are
     among the first a - must + c of the one and the first b - must + c of the other, so both have the key of these c characters."""
-    ranked = _tokens(names).select("name", F.explode("tokens").alias("token")).join(counts, "token")
+    ranked = _tokens(names).select("name", F.explode("tokens").alias("token")).join(F.broadcast(counts), "token")
     ranked = ranked.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t")).select("name", F.length("name").alias(own), F.transform("t", lambda x: x["token"]).alias("t"))
     lengths = F.sequence(F.ceil(F.col(own) * least / (2 - least) - 1e-9).cast("int"), F.floor(F.col(own) * (2 - least) / least + 1e-9).cast("int"))
     rows = ranked.withColumn(other, F.explode(lengths))
@@ -69,7 +69,8 @@ def likely_pairs(names: DataFrame, others: DataFrame, least: float) -> DataFrame
     counts = _tokens(both).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     left = _keys(names.select("name").distinct(), counts, least, "_a", "_b")
     right = _keys(others.select("name").distinct(), counts, least, "_b", "_a").withColumnRenamed("name", "_name")
-    pairs = left.join(right, ["_a", "_b", "key"]).select("name", "_name", "_a", "_b").distinct()
+    # A name has hundreds of keys, which the sizes of what they are made from don't tell: neither side is broadcast.
+    pairs = left.hint("merge").join(right, ["_a", "_b", "key"]).select("name", "_name", "_a", "_b").distinct()
     must = F.ceil((F.col("_a") + F.col("_b")) * (least / 2) - 1e-9)
     # From a common subsequence of that length one name becomes the other by so many deletions and insertions.
     edits = (F.col("_a") + F.col("_b") - 2 * must).cast("int")
@@ -100,9 +101,33 @@ def ratios(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("name", "_name").mapInArrow(run, kept).where(F.col("ratio") >= least)
 
 
+def one_apart(names: DataFrame, others: DataFrame) -> DataFrame:
+    """(name, _name): all pairs that are equal once at most one character of each is left out, and few others. Both: (name)."""
+    without = F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.concat(F.col("name").substr(F.lit(1), i - 1), F.col("name").substr(i + 1, F.length("name"))))
+    parts = lambda df: df.select("name").where("name <> ''").distinct().select("name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), without), lambda x: F.xxhash64(x)))).alias("key"))
+    return parts(names).hint("merge").join(parts(others).withColumnRenamed("name", "_name"), "key").select("name", "_name").distinct()
+
+
 def fuzzy_match(names: DataFrame, aliases: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """(name, merge_key, ratio): the best alias of each name; of equal ratios the one that came first into the index."""
-    best = _ratios(names, aliases, least).groupBy("name").agg(F.min_by("merge_key", F.struct(-F.col("ratio"), "first_seen", "alias")).alias("merge_key"), F.max("ratio").alias("ratio"))
+    """(name, merge_key, ratio): the best alias of each name; of equal ratios the one that came first into the index.
+
+    Where one of those that are one character apart is better than any other of the aliases' lengths can be, it is the best. Only
+    the other names are compared with all that may reach ``least``."""
+    names = written(names.select("name").where("name <> ''").distinct(), "fuzzy-names")
+    known = written(aliases.select("alias", "merge_key", "first_seen"), "fuzzy-aliases")
+    others = known.select(F.col("alias").alias("name"))
+    scored = written(ratios(one_apart(names, others), least), "fuzzy-near")
+    lengths = others.select(F.length("name").alias("l")).distinct().agg(F.collect_set("l").alias("lengths"))
+    # Of the others at least two characters of the longer name don't match.
+    bound = lambda n: 2 * F.least(F.length("name"), n, F.greatest(F.length("name"), n) - 2) / (F.length("name") + n)
+    most = F.coalesce(F.array_max(F.transform("lengths", bound)), F.lit(0.0)) + 1e-9
+    found = scored.groupBy("name").agg(F.max("ratio").alias("ratio"))
+    open_ = names.join(found, "name", "left").crossJoin(F.broadcast(lengths)).where((most >= least) & (F.coalesce("ratio", F.lit(0.0)) <= most)).select("name")
+    open_ = written(open_, "fuzzy-open")
+    if not open_.isEmpty():
+        scored = scored.unionByName(ratios(likely_pairs(open_, others, least), least))
+    scored = scored.join(known.withColumnRenamed("alias", "_name"), "_name")
+    best = scored.groupBy("name").agg(F.min_by("merge_key", F.struct(-F.col("ratio"), "first_seen", "_name")).alias("merge_key"), F.max("ratio").alias("ratio"))
     return best.select("name", "merge_key", "ratio")
 
 
