@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
 from loomwatch.operators.components import components
+from loomwatch.shared import written
 
 HOURS, THRESHOLD = 72.0, 0.6
 #: What entities, wording and time weigh.
@@ -52,21 +53,58 @@ def simhash_arrow(articles: DataFrame, id_col: str = "article_id", text_col: str
     return articles.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, simhash long")
 
 
-def candidate_pairs(entities: DataFrame, articles: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp).
+#: Articles of more blocking entities don't carry them to each of these; their pairs are made distinct by a shuffle.
+MANY = 100
+
+
+def _keyed(entities: DataFrame, articles: DataFrame) -> DataFrame:
+    """(article_id, times, blocking, plain) of dated articles with a blocking entity. plain: whether an article may carry its entities, and has one time."""
+    keys = entities.where(F.col("entity_type").isin(*BLOCKING) & F.col("node_key").isNotNull()).groupBy("article_id").agg(F.array_sort(F.collect_set(F.concat_ws("|", "entity_type", "node_key"))).alias("blocking"))
+    times = articles.where("published_at IS NOT NULL").groupBy("article_id").agg(F.collect_set(F.unix_micros("published_at")).alias("times"))
+    return keys.join(times, "article_id").withColumn("plain", (F.size("times") == 1) & (F.size("blocking") <= MANY))
+
+
+def _met(left: DataFrame, right: DataFrame, hours: float, more: list[str] = ()) -> DataFrame:
+    """(article_id_x, article_id_y and what else of both) of rows of ``_keyed`` at each blocking entity that they share, a pair of plain ones at the first of these only.
 
     Time is cut into spans of ``hours``: rows meet those of their own span and of the next one only, so a key's rows aren't all
-    compared, and a key that is frequent at all times is dealt out by its spans."""
+    compared, and a key that is frequent at all times is dealt out by its spans. The pairs leave the join as they are."""
     window = int(hours * 3_600_000_000)
-    dated = articles.where("published_at IS NOT NULL").select("article_id", F.unix_micros("published_at").alias("t"))
-    rows = entities.where(F.col("entity_type").isin(*BLOCKING)).select("article_id", "entity_type", "node_key").distinct().join(dated, "article_id")
-    left = rows.withColumnsRenamed({"article_id": "x", "t": "tx"}).withColumn("span", F.floor(F.col("tx") / window))
-    right = rows.withColumnsRenamed({"article_id": "y", "t": "ty"}).withColumn("own", F.floor(F.col("ty") / window)).withColumn("span", F.explode(F.array("own", F.col("own") - 1)))
-    near = F.abs(F.col("tx") - F.col("ty")) <= window
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as the rows are few for what they make, they aren't put into fewer tasks
+    names = ["article_id", "t", "own", "plain", "before", *more]
+
+    def side(rows: DataFrame, x: str, spans: list[Column]) -> DataFrame:
+        rows = rows.withColumn("t", F.explode("times")).withColumn("own", F.floor(F.col("t") / window))
+        rows = rows.select("*", F.posexplode("blocking").alias("at", "key")).withColumn("before", F.when(F.col("plain"), F.slice("blocking", F.lit(1), F.col("at"))))
+        return rows.select("key", F.explode(F.array(*spans)).alias("span"), *[F.col(c).alias(f"{c}_{x}") for c in names]).repartition(n, "key", "span")
+
+    near = F.abs(F.col("t_x") - F.col("t_y")) <= window
     # Within a span each pair once; of neighbouring spans the earlier row is on the left.
-    once = (F.col("x") != F.col("y")) & ((F.col("own") != F.col("span")) | (F.col("x") < F.col("y")))
-    met = left.join(right, ["entity_type", "node_key", "span"]).where(once & near)
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    once = (F.col("article_id_x") != F.col("article_id_y")) & ((F.col("own_y") != F.col("span")) | (F.col("article_id_x") < F.col("article_id_y")))
+    first = ~F.coalesce(F.arrays_overlap("before_x", "before_y"), F.lit(False))
+    return side(left, "x", [F.col("own")]).hint("merge").join(side(right, "y", [F.col("own"), F.col("own") - 1]), ["key", "span"]).where(once & near & first)
+
+
+def _least_first(met: DataFrame, *more: Column) -> DataFrame:
+    return met.select(F.least("article_id_x", "article_id_y").alias("a"), F.greatest("article_id_x", "article_id_y").alias("b"), *more)
+
+
+def _pairs_of_others(rows: DataFrame, hours: float) -> DataFrame | None:
+    """(a, b): the pairs with an article that isn't plain, if there is one."""
+    others = rows.where("NOT plain")
+    if others.isEmpty():
+        return None
+    both = [(others, others), (others, rows.where("plain")), (rows.where("plain"), others)]
+    met = [_least_first(_met(x.select("article_id", "times", "blocking", "plain"), y.select("article_id", "times", "blocking", "plain"), hours)) for x, y in both]
+    return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
+
+
+def candidate_pairs(entities: DataFrame, articles: DataFrame, hours: float = HOURS) -> DataFrame:
+    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp)."""
+    rows = written(_keyed(entities, articles), "pair-keys")
+    plain, others = rows.where("plain"), _pairs_of_others(rows, hours)
+    pairs = _least_first(_met(plain, plain, hours))
+    return pairs if others is None else pairs.unionByName(others)
 
 
 def score(jaccard: Column, hamming: Column, hours_apart: Column, same_hash: Column, hours: float = HOURS) -> Column:
@@ -74,20 +112,40 @@ def score(jaccard: Column, hamming: Column, hours_apart: Column, same_hash: Colu
     return F.when(same_hash, F.lit(1.0)).otherwise(WEIGHTS[0] * jaccard + WEIGHTS[1] * hamming + WEIGHTS[2] * near)
 
 
+def _info(entities: DataFrame, articles: DataFrame, hashes: DataFrame) -> DataFrame:
+    keys = entities.groupBy("article_id").agg(F.collect_set(F.concat_ws("|", "entity_type", "node_key")).alias("keys"))
+    return articles.select("article_id", F.unix_micros("published_at").alias("t"), "content_hash").join(keys, "article_id", "left").join(hashes, "article_id", "left")
+
+
+def _score(x: str, y: str, hours: float) -> Column:
+    """Of the columns of ``_info`` with these endings."""
+    c = lambda name, s: F.col(f"{name}_{s}")
+    none = F.array().cast("array<string>")
+    kx, ky = F.coalesce(c("keys", x), none), F.coalesce(c("keys", y), none)
+    common = F.size(F.array_intersect(kx, ky))
+    union = F.size(kx) + F.size(ky) - common
+    jaccard = F.when(union > 0, common / union).otherwise(0.0)
+    hamming = F.coalesce(1 - F.bit_count(c("simhash", x).bitwiseXOR(c("simhash", y))) / 64, F.lit(0.0))
+    apart = F.coalesce(F.abs(c("t", x) - c("t", y)) / 3.6e9, F.lit(hours))
+    same = (c("content_hash", x) == c("content_hash", y)) & (c("content_hash", x) != "")
+    return score(jaccard, hamming, apart, F.coalesce(same, F.lit(False)), hours)
+
+
 def pair_scores(pairs: DataFrame, entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = HOURS) -> DataFrame:
     """(a, b, score). articles: (article_id, published_at, content_hash). Jaccard counts all entity kinds."""
-    keys = entities.groupBy("article_id").agg(F.collect_set(F.concat_ws("|", "entity_type", "node_key")).alias("keys"))
-    info = articles.select("article_id", F.unix_micros("published_at").alias("t"), "content_hash").join(keys, "article_id", "left").join(hashes, "article_id", "left")
+    info = _info(entities, articles, hashes)
     side = lambda x: info.select(*[F.col(c).alias(x if c == "article_id" else f"{c}_{x}") for c in info.columns])
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    none = F.array().cast("array<string>")
-    ka, kb = F.coalesce("keys_a", none), F.coalesce("keys_b", none)
-    union = F.size(F.array_union(ka, kb))
-    jaccard = F.when(union > 0, F.size(F.array_intersect(ka, kb)) / union).otherwise(0.0)
-    hamming = F.coalesce(1 - F.bit_count(F.col("simhash_a").bitwiseXOR(F.col("simhash_b"))) / 64, F.lit(0.0))
-    apart = F.coalesce(F.abs(F.col("t_a") - F.col("t_b")) / 3.6e9, F.lit(hours))
-    same = (F.col("content_hash_a") == F.col("content_hash_b")) & (F.col("content_hash_a") != "")
-    return j.select("a", "b", score(jaccard, hamming, apart, F.coalesce(same, F.lit(False)), hours).alias("score"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _score("a", "b", hours).alias("score"))
+
+
+def scored_pairs(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = HOURS) -> DataFrame:
+    """``pair_scores`` of all ``candidate_pairs``, scored where they meet: no table of pairs is shuffled."""
+    info = _info(entities, articles, hashes).drop("t")
+    rows = written(_keyed(entities, articles).join(info, "article_id"), "pair-keys")
+    plain, others = rows.where("plain"), _pairs_of_others(rows.dropDuplicates(["article_id"]), hours)
+    met = _met(plain, plain, hours, ["content_hash", "keys", "simhash"])
+    scores = _least_first(met, _score("x", "y", hours).alias("score"))
+    return scores if others is None else scores.unionByName(pair_scores(others, entities, articles, hashes, hours))
 
 
 def cluster(articles: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
