@@ -79,13 +79,10 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stories.candidate_pairs(inputs.entities(spark, sf_dir), inputs.articles(spark, sf_dir), 12)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, e = inputs.articles(spark, sf_dir), inputs.entities(spark, sf_dir)
-    return stories.pair_scores(stories.candidate_pairs(e, a, 72), e, a, stories.simhash_arrow(a), 72)
-
-
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("a", "b", F.round("score", 8).alias("score")).where("score >= 0.3")
+    a, e = inputs.articles(spark, sf_dir), inputs.entities(spark, sf_dir)
+    scores = stories.scored_pairs(e, a, stories.simhash_arrow(a), 72)
+    return scores.select("a", "b", F.round("score", 8).alias("score")).where("score >= 0.3")
 
 
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
