@@ -19,7 +19,8 @@ reaches the threshold do; a link itself may stand for others. How that is done:
 
 What is left of a frequent key are articles with three entities or fewer: their Hamming bound is too wide for bands,
 so they meet within the key and its time span. That join is dealt out by key and span, and adaptive execution splits
-its large partitions; only pairs that link leave it.
+its large partitions. Pairs that link are scored within it; where keys are frequent, a sample of the pairs groups the articles
+first, and then one row leaves a task for any two groups that are linked.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwatch.operators import stories
+from loomwatch.operators.components import components
 from loomwatch.shared import remove, written
 
 #: Time cells a window is cut into.
 CELLS = 24
 #: Keys of more rows are frequent: rows meet in bands of their simhashes where at most ``BANDS`` - 1 bits may differ.
 FREQUENT, BANDS = 200, 8
+#: Units that meet one another in a part of a frequent key, when groups are looked for.
+SAMPLE = 64
 HOUR = 3_600_000_000
 
 
@@ -71,7 +75,7 @@ def _units(rows: DataFrame) -> DataFrame:
 
 
 def _emitted(units: DataFrame, threshold: float) -> DataFrame:
-    """(unit, key, left, n, token, strict): the keys that a unit may meet others by."""
+    """(unit, key, left, n, freq, token, strict): the keys that a unit may meet others by."""
     a, b, c = stories.WEIGHTS
     keys = units.select("unit", F.explode("blocking").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
@@ -88,16 +92,21 @@ def _emitted(units: DataFrame, threshold: float) -> DataFrame:
     # A strict row meets all by its bands; so those of a frequent key that aren't strict have bands as well, to be met by.
     plain = F.array(F.lit(0).cast("long"))
     tokens = F.when(frequent & (bits < BANDS), bands).when(frequent, F.concat(plain, bands)).otherwise(plain)
-    return rows.select("unit", "key", "left", "n", (frequent & (bits < BANDS)).alias("strict"), F.explode(tokens).alias("token"))
+    return rows.select("unit", "key", "left", "n", "freq", (frequent & (bits < BANDS)).alias("strict"), F.explode(tokens).alias("token"))
 
 
-def _cross(units: DataFrame, hours: float, threshold: float) -> DataFrame:
-    """(u, v, j, h, state) of units of two profiles: state is 'all' where some of their articles link for certain, 'some' where they may."""
+def _cross(units: DataFrame, emitted: DataFrame, hours: float, threshold: float, sample: bool = False) -> DataFrame:
+    """(u, v, j, h, state) of units of two profiles and two groups: state is 'all' where some of their articles link for certain, 'some' where they may.
+
+    units: with ``group``, an article that each is known to be of one story with. Where state is 'all', u and v are groups, so what links two
+    of them is one row, made distinct within the tasks first. sample: of each key only the pairs within parts of some ``SAMPLE`` units."""
     span = int(hours * HOUR) + int(hours * HOUR / CELLS) + 1
-    rows = _emitted(units, threshold).join(units.select("unit", "profile", "first", "last", "simhash"), "unit").withColumn("own", F.floor(F.col("first") / span))
-    side = lambda x, d: d.select(*[F.col(c).alias(f"{c}_{x}") for c in d.columns if c not in ("key", "token", "span")], "key", "token", "span")
+    part = F.pmod(F.xxhash64("unit"), F.ceil(F.col("freq") / SAMPLE)) if sample else F.lit(0).cast("long")
+    rows = emitted.join(units.select("unit", "profile", "group", "first", "last", "simhash", "keys"), "unit").withColumns({"own": F.floor(F.col("first") / span), "part": part})
+    by = ["key", "token", "span", "part"]
+    side = lambda x, d: d.select(*[F.col(c).alias(f"{c}_{x}") for c in d.columns if c not in by], *by)
     left, right = side("x", rows.withColumn("span", F.col("own"))), side("y", rows.withColumn("span", F.explode(F.array("own", F.col("own") - 1))))
-    once = (F.col("profile_x") != F.col("profile_y")) & ((F.col("own_y") != F.col("span")) | (F.col("unit_x") < F.col("unit_y")))
+    once = (F.col("profile_x") != F.col("profile_y")) & (F.col("group_x") != F.col("group_y")) & ((F.col("own_y") != F.col("span")) | (F.col("unit_x") < F.col("unit_y")))
     banded = (F.col("token") == 0) | F.col("strict_x") | F.col("strict_y")
     # Times apart: of articles of different cells at least the gap between them; of one cell anything up to the whole.
     gap = F.greatest(F.col("first_y") - F.col("last_x"), F.col("first_x") - F.col("last_y"))
@@ -106,17 +115,17 @@ def _cross(units: DataFrame, hours: float, threshold: float) -> DataFrame:
     a, b, c = stories.WEIGHTS
     need = (F.lit(threshold) - b * hamming - c * near) / a - 1e-9  # of the Jaccard index
     total, most = F.col("n_x") + F.col("n_y"), F.least("left_x", "left_y")
-    met = left.join(right, ["key", "token", "span"]).where(once & banded & (gap <= hours * HOUR) & (most >= need * (total - most)))
+    common = F.size(F.array_intersect("keys_x", "keys_y"))
+    jaccard = common / (F.size("keys_x") + F.size("keys_y") - common)
+    value = lambda t: stories.score(jaccard, hamming, t / 3.6e9, F.lit(False), hours)
+    met = left.join(right, by).where(once & banded & (gap <= hours * HOUR) & (most >= need * (total - most)) & (value(F.greatest(gap, F.lit(0))) >= threshold))
     whole = F.greatest(F.col("last_y") - F.col("first_x"), F.col("last_x") - F.col("first_y"))
-    pairs = met.select(F.least("unit_x", "unit_y").alias("u"), F.greatest("unit_x", "unit_y").alias("v"), hamming.alias("h"), gap.alias("gap"), whole.alias("whole")).distinct()
-    keys = lambda x: units.select(F.col("unit").alias(x), F.col("keys").alias(f"keys_{x}"))
-    j = pairs.join(keys("u"), "u").join(keys("v"), "v")
-    common = F.size(F.array_intersect("keys_u", "keys_v"))
-    j = j.withColumn("j", common / (F.size("keys_u") + F.size("keys_v") - common))
-    value = lambda t: stories.score(F.col("j"), F.col("h"), t / 3.6e9, F.lit(False), hours)
     # Where the gap isn't negative it is that of two articles; else the times between are known by their bounds only.
-    sure = (F.col("gap") >= 0) | ((F.col("whole") <= hours * HOUR) & (value(F.col("whole")) >= threshold))
-    return j.where(value(F.greatest("gap", F.lit(0))) >= threshold).select("u", "v", "j", "h", F.when(sure, "all").otherwise("some").alias("state"))
+    sure = (gap >= 0) | ((whole <= hours * HOUR) & (value(whole) >= threshold))
+    met = met.select("unit_x", "unit_y", "group_x", "group_y", jaccard.alias("j"), hamming.alias("h"), sure.alias("sure"))
+    x, y = (F.when(F.col("sure"), F.col(f"group_{s}")).otherwise(F.col(f"unit_{s}")) for s in "xy")
+    open_ = lambda c: F.when(~F.col("sure"), F.col(c)).alias(c)
+    return met.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), open_("j"), open_("h"), F.when(F.col("sure"), "all").otherwise("some").alias("state")).distinct()
 
 
 def story_links(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = stories.HOURS, threshold: float = stories.THRESHOLD) -> DataFrame:
@@ -135,8 +144,18 @@ def story_links(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hou
     mixed = rows.where("content_hash <> ''").groupBy("content_hash").agg(F.min("profile").alias("p"), F.max("profile").alias("q"), F.min(far).alias("far")).where("p <> q OR NOT far").select("content_hash")
     same = rows.join(mixed, "content_hash", "left_semi").select("article_id", "t", "cell", "content_hash", F.explode("blocking").alias("key"))
     copies = copies.unionByName(_chained(same, ["content_hash", "key"], near))
+    copies = written(copies, "story-copies")
     units = written(_units(rows), "story-units")
-    cross = written(_cross(units, hours, threshold), "story-cross")
+    emitted = written(_emitted(units, threshold), "story-keys")
+    alone, links, made = units.withColumn("group", F.col("unit")), copies, [rows, copies, units, emitted]
+    if not emitted.where(F.col("freq") > FREQUENT).isEmpty():
+        # Of frequent keys a part of the pairs joins most of what they join: the rest is only looked for between what that leaves apart.
+        links = copies.unionByName(_cross(alone, emitted, hours, threshold, True).where("state = 'all'").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        links = written(links, "story-sample")
+        group = components(links).select(F.col("node").alias("unit"), F.col("component").alias("group"))
+        alone = written(units.join(group, "unit", "left").withColumn("group", F.coalesce("group", "unit")), "story-groups")
+        made += [links, alone]
+    cross = written(_cross(alone, emitted, hours, threshold), "story-cross")
     sure = cross.where("state = 'all'").select(F.col("u").alias("a"), F.col("v").alias("b"))
     cells = rows.groupBy("profile", "cell").agg(F.min_by("article_id", F.struct("t", "article_id")).alias("unit"))
     times = rows.select("profile", "cell", "t").join(cells, ["profile", "cell"]).select("unit", "t").distinct()
@@ -144,7 +163,7 @@ def story_links(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hou
     apart = F.abs(F.col("u_t") - F.col("v_t"))
     unsure = cross.where("state = 'some'").join(one, "u").join(two, "v")
     unsure = unsure.where(near(apart) & (stories.score(F.col("j"), F.col("h"), apart / 3.6e9, F.lit(False), hours) >= threshold)).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    out = written(copies.unionByName(sure).unionByName(unsure).distinct(), "story-links")
-    for df in (rows, units, cross):
+    out = written(links.unionByName(sure).unionByName(unsure).distinct(), "story-links")
+    for df in (*made, cross):
         remove(df)
     return out
