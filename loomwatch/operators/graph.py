@@ -136,37 +136,72 @@ def retract_stale(mentions: DataFrame, current: DataFrame, labels: list[str], pr
     return j.where(~stale).select(*mentions.columns)
 
 
+def _newer(at: Column, text: Column, stored_at: Column, stored: Column) -> Column:
+    return F.when(stored.isNull(), True).when(text.isNull(), False).when(at.isNotNull() & stored_at.isNotNull(), at > stored_at).otherwise(text > stored)
+
+
 def is_fresher(incoming: Column, stored: Column) -> Column:
     """Whether an incoming modification time (text) is strictly newer: null is stale if one is stored, else applied; texts that are no times compare as texts."""
-    a, b = F.try_to_timestamp(incoming), F.try_to_timestamp(stored)
-    return F.when(stored.isNull(), True).when(incoming.isNull(), False).when(a.isNotNull() & b.isNotNull(), a > b).otherwise(incoming > stored)
+    return _newer(F.try_to_timestamp(incoming), incoming, F.try_to_timestamp(stored), stored)
+
+
+#: Rows that a task of ``fold_deltas`` or ``apply_deltas`` sorts, about; more, where one key has more.
+TASK_ROWS = 1_000_000
+
+
+def parts_for(rows: int) -> int:
+    """Partitions for so many rows, stored and incoming together."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+#: What may become of a payload.
+OUTCOMES = ("absent", "resynced", "stale")
+
+
+def _applied(existing: DataFrame, incoming: DataFrame, keys: str, scalars: list[str], items: str, create: bool, seq: str, parts: int | None) -> DataFrame:
+    """Stored (``_old``) and incoming rows with the latter's ``outcome``. Both meet in one shuffle, and each key's rows are sorted once."""
+    time = F.when(F.col("last_modified").isNotNull(), F.struct(F.try_to_timestamp("last_modified").alias("t"), F.col("last_modified").alias("text"))).alias("_time")
+    # A stored row without a key is nobody's, and stays by itself.
+    own = F.when(F.col(keys).isNull(), F.monotonically_increasing_id())
+    old = existing.select(keys, own.alias("_own"), F.lit(True).alias("_old"), F.lit(None).cast(incoming.schema[seq].dataType).alias(seq), *scalars, items, time)
+    both = old.unionByName(incoming.select(keys, F.lit(None).cast("long").alias("_own"), F.lit(False).alias("_old"), seq, *scalars, items, time))
+    parts = parts_for(existing.count() + incoming.count()) if parts is None else parts
+    if parts > int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(parts, keys)
+    before = Window.partitionBy(keys, "_own").orderBy(F.col("_old").desc(), seq).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumns({"_water": F.max("_time").over(before), "_has": F.coalesce(F.max("_old").over(before), F.lit(False))})
+    fresh = _newer(F.col("_time.t"), F.col("_time.text"), F.col("_water.t"), F.col("_water.text"))
+    outcome = F.when(~F.lit(create) & ~F.col("_has"), "absent").when(fresh, "resynced").otherwise("stale")
+    return seen.withColumn("outcome", F.when(~F.col("_old"), outcome))
+
+
+def _folded(applied: DataFrame, keys: str, scalars: list[str], items: str, seq: str) -> DataFrame:
+    stored = lambda c: F.first(F.when(F.col("_old"), F.col(c)), ignorenulls=True)
+    last = lambda c, which: F.max_by(c, F.when(which, F.col(seq)))
+    used, fresh = (F.coalesce(x, F.lit(False)) for x in (F.col("outcome") != "absent", F.col("outcome") == "resynced"))
+    return applied.groupBy(keys, "_own").agg(
+        *[F.count(F.when(F.col("outcome") == x, 1)).alias(x) for x in OUTCOMES],
+        F.max(F.col("_old") | used).alias("known"),
+        *[F.coalesce(last(c, used & F.col(c).isNotNull()), stored(c)).alias(c) for c in scalars],
+        F.when(F.max(fresh), last(items, fresh)).otherwise(stored(items)).alias(items),
+        F.coalesce(last("_time", fresh & F.col("_time").isNotNull()), stored("_time"))["text"].alias("last_modified"),
+    ).drop("_own")
+
+
+def fold_deltas(existing: DataFrame, incoming: DataFrame, keys: str, scalars: list[str], items: str, create: bool = False, seq: str = "seq", parts: int | None = None) -> DataFrame:
+    """(key, absent, resynced, stale, known, *scalars, items, last_modified) of all keys: how many payloads had each outcome, and the state, as in ``apply_deltas``, from one pass. Keys without a state aren't ``known``."""
+    return _folded(_applied(existing, incoming, keys, scalars, items, create, seq, parts), keys, scalars, items, seq)
 
 
-def apply_deltas(existing: DataFrame, incoming: DataFrame, keys: str, scalars: list[str], items: str, create: bool = False, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+def apply_deltas(existing: DataFrame, incoming: DataFrame, keys: str, scalars: list[str], items: str, create: bool = False, seq: str = "seq", parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(outcomes, state) of modification payloads, applied in order of ``seq`` to the stored rows.
 
-    existing: (key, *scalars, items, last_modified); incoming: the same with seq. An outcome is 'absent' (no such key, unless
+    existing: (key, *scalars, items, last_modified), one row a key; incoming: the same with seq. An outcome is 'absent' (no such key, unless
     ``create``), 'resynced' (newer than all before: items and the stored time are replaced) or 'stale'. Scalars are applied
-    unless absent, null ones keep what is there."""
-    time = lambda c: F.struct(F.try_to_timestamp(c).alias("t"), F.col(c).alias("text"))
-    old = existing.select(F.col(keys).alias("_k"), F.col("last_modified").alias("_stored"), F.lit(True).alias("_has"))
-    j = incoming.join(old, F.col(keys) == F.col("_k"), "left")
-    j = j.where(F.lit(create) | F.col("_has").isNotNull()) if not create else j
-    before = Window.partitionBy(keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.when(F.col("last_modified").isNotNull(), time("last_modified"))).over(before)
-    stored = F.when(F.col("_stored").isNotNull(), time("_stored"))
-    water = F.greatest(seen, stored)["text"]
-    applied = j.withColumn("_water", water).withColumn("outcome", F.when(is_fresher(F.col("last_modified"), F.col("_water")), "resynced").otherwise("stale"))
-    absent = incoming.join(existing.select(keys), keys, "left_anti").select(keys, seq, F.lit("absent").alias("outcome"))
-    outcomes = applied.select(keys, seq, "outcome")
-    if not create:
-        outcomes = outcomes.unionByName(absent)
-    fresh = F.col("outcome") == "resynced"
-    aggs = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_{c}") for c in scalars]
-    new = applied.groupBy(keys).agg(*aggs, F.max_by(items, F.when(fresh, F.col(seq))).alias("_items"), F.max(F.when(fresh & F.col("last_modified").isNotNull(), F.col(seq))).alias("_any"), F.max_by("last_modified", F.when(fresh & F.col("last_modified").isNotNull(), F.col(seq))).alias("_lm"), F.max(fresh).alias("_fresh"))
-    both = existing.join(new, keys, "full_outer" if create else "left")
-    state = both.select(keys, *[F.coalesce(f"_{c}", c).alias(c) for c in scalars], F.when(F.col("_fresh"), F.col("_items")).otherwise(F.col(items)).alias(items), F.coalesce("_lm", "last_modified").alias("last_modified"))
-    return outcomes, state
+    unless absent, null ones keep what is there. parts: see ``parts_for``; without it, both tables are counted first."""
+    applied = _applied(existing, incoming, keys, scalars, items, create, seq, parts)
+    state = _folded(applied, keys, scalars, items, seq).where("known")
+    return applied.where(~F.col("_old")).select(keys, seq, "outcome"), state.select(keys, *scalars, items, "last_modified")
 
 
 def credibility_of(feeds: DataFrame, sources: DataFrame, default: float = 0.5) -> DataFrame:

@@ -49,12 +49,13 @@ def freshness_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = inputs.table(spark, sf_dir, "orders")
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     key = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cve_id")
-    old = o.where("o_orderkey % 4 = 0 AND o_custkey % 5 <> 0").groupBy(key).agg(F.max("o_custkey").alias("k"), F.max("o_orderdate").alias("t"))
-    old = old.select("cve_id", F.lit("old").alias("status"), F.array(F.lit("w")).alias("cwe_ids"), F.when(F.col("k") % 7 != 0, text("t")).alias("last_modified"))
+    old = o.where("o_orderkey % 4 = 0 AND o_custkey % 5 <> 0").groupBy("o_custkey").agg(F.max("o_orderdate").alias("t"))
+    old = old.select(key, F.lit("old").alias("status"), F.array(F.lit("w")).alias("cwe_ids"), F.when(F.col("o_custkey") % 7 != 0, text("t")).alias("last_modified"))
     new = o.where("o_orderkey % 4 <> 0").select(key, F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("status"), F.array(F.col("o_orderkey").cast("string")).alias("cwe_ids"), F.when(F.col("o_orderkey") % 11 != 0, text("o_orderdate")).alias("last_modified"), F.col("o_orderkey").alias("seq"))
-    outcomes, state = graph.apply_deltas(old, new, "cve_id", ["status"], "cwe_ids")
-    per = graph.outcome_counts(outcomes, ["cve_id"]).groupBy("cve_id").agg(*[F.coalesce(F.sum(F.when(F.col("outcome") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("absent", "resynced", "stale")])
-    return per.join(state, "cve_id", "full_outer").select("cve_id", "absent", "resynced", "stale", "status", F.array_join("cwe_ids", ",").alias("cwes"), "last_modified")
+    # An order is at most one row of either.
+    per = graph.fold_deltas(old, new, "cve_id", ["status"], "cwe_ids", parts=graph.parts_for(o.count()))
+    had = F.col("absent") + F.col("resynced") + F.col("stale") > 0
+    return per.select("cve_id", *[F.when(had, F.col(x)).alias(x) for x in graph.OUTCOMES], "status", F.array_join("cwe_ids", ",").alias("cwes"), "last_modified")
 
 
 def poll_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
