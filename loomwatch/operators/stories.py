@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwatch.functions import text as tx
+from loomwatch.operators import meetings
 from loomwatch.operators.components import components
 from loomwatch.shared import written
 
@@ -33,8 +36,6 @@ def simhash_arrow(articles: DataFrame, id_col: str = "article_id", text_col: str
     """The same by numpy in Arrow tasks, for bulk; an article without words has no row, as above."""
     import hashlib
 
-    import numpy as np
-
     kind = articles.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,29 +65,26 @@ def _keyed(entities: DataFrame, articles: DataFrame) -> DataFrame:
     return keys.join(times, "article_id").withColumn("plain", (F.size("times") == 1) & (F.size("blocking") <= MANY))
 
 
-def _met(left: DataFrame, right: DataFrame, hours: float, more: list[str] = ()) -> DataFrame:
-    """(article_id_x, article_id_y and what else of both) of rows of ``_keyed`` at each blocking entity that they share, a pair of plain ones at the first of these only.
+def _met(left: DataFrame, right: DataFrame, hours: float) -> DataFrame:
+    """(article_id_x, article_id_y) of rows of ``_keyed`` at each blocking entity that they share.
 
     Time is cut into spans of ``hours``: rows meet those of their own span and of the next one only, so a key's rows aren't all
-    compared, and a key that is frequent at all times is dealt out by its spans. The pairs leave the join as they are."""
+    compared, and a key that is frequent at all times is dealt out by its spans."""
     window = int(hours * 3_600_000_000)
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as the rows are few for what they make, they aren't put into fewer tasks
-    names = ["article_id", "t", "own", "plain", "before", *more]
 
     def side(rows: DataFrame, x: str, spans: list[Column]) -> DataFrame:
-        rows = rows.withColumn("t", F.explode("times")).withColumn("own", F.floor(F.col("t") / window))
-        rows = rows.select("*", F.posexplode("blocking").alias("at", "key")).withColumn("before", F.when(F.col("plain"), F.slice("blocking", F.lit(1), F.col("at"))))
-        return rows.select("key", F.explode(F.array(*spans)).alias("span"), *[F.col(c).alias(f"{c}_{x}") for c in names]).repartition(n, "key", "span")
+        rows = rows.withColumn("t", F.explode("times")).withColumn("own", F.floor(F.col("t") / window)).withColumn("key", F.explode("blocking"))
+        return rows.select("key", F.explode(F.array(*spans)).alias("span"), *[F.col(c).alias(f"{c}_{x}") for c in ("article_id", "t", "own")]).repartition(n, "key", "span")
 
     near = F.abs(F.col("t_x") - F.col("t_y")) <= window
     # Within a span each pair once; of neighbouring spans the earlier row is on the left.
     once = (F.col("article_id_x") != F.col("article_id_y")) & ((F.col("own_y") != F.col("span")) | (F.col("article_id_x") < F.col("article_id_y")))
-    first = ~F.coalesce(F.arrays_overlap("before_x", "before_y"), F.lit(False))
-    return side(left, "x", [F.col("own")]).hint("merge").join(side(right, "y", [F.col("own"), F.col("own") - 1]), ["key", "span"]).where(once & near & first)
+    return side(left, "x", [F.col("own")]).hint("merge").join(side(right, "y", [F.col("own"), F.col("own") - 1]), ["key", "span"]).where(once & near)
 
 
-def _least_first(met: DataFrame, *more: Column) -> DataFrame:
-    return met.select(F.least("article_id_x", "article_id_y").alias("a"), F.greatest("article_id_x", "article_id_y").alias("b"), *more)
+def _least_first(met: DataFrame) -> DataFrame:
+    return met.select(F.least("article_id_x", "article_id_y").alias("a"), F.greatest("article_id_x", "article_id_y").alias("b"))
 
 
 def _pairs_of_others(rows: DataFrame, hours: float) -> DataFrame | None:
@@ -99,11 +97,37 @@ def _pairs_of_others(rows: DataFrame, hours: float) -> DataFrame | None:
     return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
 
 
+def _pairs_of_plain(rows: DataFrame, hours: float, scored: bool = False, digits: int | None = None) -> DataFrame:
+    """(a, b), and with scored their score: the pairs of plain rows, each at the first blocking entity that both have."""
+    window = int(hours * 3_600_000_000)
+    more = ["content_hash", "keys", "simhash"] if scored else []
+    at = rows.withColumn("t", F.get("times", 0)).select("article_id", "t", "blocking", *more, F.posexplode("blocking").alias("at", "key"))
+    at = at.select("article_id", "t", "key", F.slice("blocking", F.lit(1), F.col("at")).alias("before"), *more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = meetings.held(batches, "article_id")
+        ids, t, before = table["article_id"].combine_chunks(), table["t"].to_numpy(), meetings.Sets(table["before"])
+        value = _scorer(table, t, hours, digits) if scored else None
+        for a, b, ok in meetings.blocks(table, "article_id", "key", "t"):
+            ok &= np.abs(t[a][:, None] - t[b][None, :]) <= window
+            if (met := before.common(a, b)) is not None:
+                ok &= met == 0
+            x, y = np.nonzero(ok)
+            if len(x):
+                pairs = [ids.take(pa.array(a[x])), ids.take(pa.array(b[y]))]
+                yield pa.RecordBatch.from_arrays([*pairs, pa.array(value(a, b)[ok])] if scored else pairs, names=["a", "b", "score"][: 2 + scored])
+
+    kind = rows.schema["article_id"].dataType.simpleString()
+    return meetings.dealt(at, "key", "article_id", F.floor(F.col("t") / window)).applyInArrow(run, f"a {kind}, b {kind}" + (", score double" if scored else ""))
+
+
 def candidate_pairs(entities: DataFrame, articles: DataFrame, hours: float = HOURS) -> DataFrame:
-    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp)."""
+    """(a, b), a < b: articles that share a blocking entity and were published within ``hours``. entities: (article_id, entity_type, node_key); articles: (article_id, published_at timestamp).
+
+    Rows of one article on the left stand together, with nearly the same articles on the right from one to the next, which columnar files store in little."""
     rows = written(_keyed(entities, articles), "pair-keys")
-    plain, others = rows.where("plain"), _pairs_of_others(rows, hours)
-    pairs = _least_first(_met(plain, plain, hours))
+    others = _pairs_of_others(rows, hours)
+    pairs = _pairs_of_plain(rows.where("plain"), hours)
     return pairs if others is None else pairs.unionByName(others)
 
 
@@ -131,6 +155,41 @@ def _score(x: str, y: str, hours: float) -> Column:
     return score(jaccard, hamming, apart, F.coalesce(same, F.lit(False)), hours)
 
 
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As ``F.round``: half up, by the shortest decimal that a number is written as."""
+    unit = 10.0**digits
+    whole = np.floor(x * unit + 0.5)
+    open_ = np.abs(x * unit + 0.5 - np.rint(x * unit + 0.5)) < 1e-5  # too near to a half to be sure
+    out = whole / unit
+    if open_.any():
+        some, at = np.unique(x[open_], return_inverse=True)
+        out[open_] = np.array([float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for v in some.tolist()])[at]
+    return out
+
+
+def _scorer(table: pa.Table, t: np.ndarray, hours: float, digits: int | None):
+    """``_score`` of all pairs of rows, on the left and on the right, of articles that meet at the table's ``key``."""
+    keys, size = meetings.Sets(table["keys"], table["key"]), table["keys"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)
+    text = table["content_hash"].combine_chunks()
+    text = np.where(text.fill_null("").to_numpy(zero_copy_only=False) == "", -1, meetings.codes(table["content_hash"]))
+    known = table["simhash"].is_valid().to_numpy()
+    bits = table["simhash"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+
+    def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        common = keys.common(a, b)
+        common = 1.0 if common is None else common + 1.0
+        jaccard = common / (size[a][:, None] + size[b][None, :] - common)
+        hamming = 1 - np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]) / 64
+        if not (known[a].all() and known[b].all()):
+            hamming[~(known[a][:, None] & known[b][None, :])] = 0.0
+        near = np.maximum(0.0, 1 - np.abs(t[a][:, None] - t[b][None, :]) / 3.6e9 / hours)
+        out = WEIGHTS[0] * jaccard + WEIGHTS[1] * hamming + WEIGHTS[2] * near
+        out[(text[a][:, None] == text[b][None, :]) & (text[a] >= 0)[:, None]] = 1.0
+        return out if digits is None else _rounded(out, digits)
+
+    return value
+
+
 def pair_scores(pairs: DataFrame, entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = HOURS) -> DataFrame:
     """(a, b, score). articles: (article_id, published_at, content_hash). Jaccard counts all entity kinds."""
     info = _info(entities, articles, hashes)
@@ -138,14 +197,16 @@ def pair_scores(pairs: DataFrame, entities: DataFrame, articles: DataFrame, hash
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _score("a", "b", hours).alias("score"))
 
 
-def scored_pairs(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = HOURS) -> DataFrame:
-    """``pair_scores`` of all ``candidate_pairs``, scored where they meet: no table of pairs is shuffled."""
+def scored_pairs(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = HOURS, digits: int | None = None) -> DataFrame:
+    """``pair_scores`` of all ``candidate_pairs``, scored where they meet: no table of pairs is shuffled. digits: that scores are rounded to."""
     info = _info(entities, articles, hashes).drop("t")
     rows = written(_keyed(entities, articles).join(info, "article_id"), "pair-keys")
-    plain, others = rows.where("plain"), _pairs_of_others(rows.dropDuplicates(["article_id"]), hours)
-    met = _met(plain, plain, hours, ["content_hash", "keys", "simhash"])
-    scores = _least_first(met, _score("x", "y", hours).alias("score"))
-    return scores if others is None else scores.unionByName(pair_scores(others, entities, articles, hashes, hours))
+    others = _pairs_of_others(rows.dropDuplicates(["article_id"]), hours)
+    scores = _pairs_of_plain(rows.where("plain"), hours, True, digits)
+    if others is None:
+        return scores
+    rest = pair_scores(others, entities, articles, hashes, hours)
+    return scores.unionByName(rest if digits is None else rest.withColumn("score", F.round("score", digits)))
 
 
 def cluster(articles: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

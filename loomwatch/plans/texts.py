@@ -81,8 +81,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, e = inputs.articles(spark, sf_dir), inputs.entities(spark, sf_dir)
-    scores = stories.scored_pairs(e, a, stories.simhash_arrow(a), 72)
-    return scores.select("a", "b", F.round("score", 8).alias("score")).where("score >= 0.3")
+    return stories.scored_pairs(e, a, stories.simhash_arrow(a), 72, digits=8).where("score >= 0.3")
 
 
 def story_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
