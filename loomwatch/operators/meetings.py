@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from loomwatch.shared import written
@@ -24,23 +24,28 @@ PART, SMALL, PACK = 4096, 64, 512
 BLOCK, TASK_PAIRS = 1024, 100_000_000
 
 
-def dealt(rows: DataFrame, key: str, id_col: str, span: Column) -> DataFrame:
+def dealt(rows: DataFrame, key: str, id_col: str, span: Column, crossed: bool | None = None, part: int | None = None, task_pairs: int | None = None) -> GroupedData:
     """Rows once for each meeting that they go to, grouped by ``meeting`` from the shuffle on: with ``later`` (of the later span), ``second``
-    (of the second part) and ``crossed`` (of two parts). Rows that meet no other are left out. span: the whole number of a row's span."""
+    (of the second part) and ``crossed`` (of two parts). Rows that meet no other are left out.
+
+    span: the whole number of a row's span. crossed: only meetings of two parts, or only those of one."""
     rows = rows.withColumn("own", span)
-    keys = rows.groupBy(key, "own").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").alias("n"), F.ceil(F.max("n") / PART).cast("int").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("pairs"))
-    keys = written(keys.where("n > 1").withColumn("small", F.col("n") <= SMALL), "meeting-keys")
+    keys = rows.groupBy(key, "own").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.sum("n").alias("n"), F.ceil(F.max("n") / (part or PART)).cast("int").alias("parts"), F.sum(F.col("n") * F.col("n")).alias("pairs"), F.collect_set("own").alias("spans"))
+    keys = keys.where("n > 1").withColumn("small", F.col("n") <= SMALL)
+    keys = written(keys.where("parts > 1 AND NOT small") if crossed else keys, "meeting-keys")
     few, pairs = keys.agg(F.sum(F.when(F.col("small"), F.col("n"))), F.sum("pairs")).first()
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(pairs or 0) // TASK_PAIRS))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(pairs or 0) // (task_pairs or TASK_PAIRS)))
     of = rows.join(keys.drop("n", "pairs"), key).withColumn("part", F.pmod(F.xxhash64(id_col), "parts").cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("low"), F.greatest("part", q).alias("high")))
-    at = lambda s: F.transform(every, lambda x: F.struct(s.alias("span"), x["low"].alias("low"), x["high"].alias("high")))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    every = every if crossed is None else F.filter(every, lambda q: (q != F.col("part")) if crossed else (q == F.col("part")))
+    at = lambda s: F.transform(every, lambda q: F.struct(s.alias("span"), F.least("part", q).alias("low"), F.greatest("part", q).alias("high")))
+    before = F.when(F.array_contains("spans", F.col("own") - 1), at(F.col("own") - 1)).otherwise(F.filter(at(F.col("own")), lambda x: F.lit(False)))
     alone = F.array(F.struct(F.col("own").alias("span"), F.lit(0).alias("low"), F.lit(0).alias("high")))
-    of = of.withColumn("_m", F.explode(F.when(F.col("small"), alone).otherwise(F.concat(at(F.col("own")), at(F.col("own") - 1)))))
+    of = of.withColumn("_m", F.explode(F.when(F.col("small"), alone).otherwise(F.concat(at(F.col("own")), before))))
     pack = F.concat(F.lit("p"), F.pmod(F.xxhash64(key), F.lit(-(-(few or 1) // PACK))).cast("string"))
     meeting = F.when(F.col("small"), pack).otherwise(F.concat_ws("\x1f", F.lit("k"), key, "_m.span", "_m.low", "_m.high"))
     marks = {"meeting": meeting, "later": F.col("own") > F.col("_m.span"), "second": F.col("part") > F.col("_m.low"), "crossed": F.col("_m.low") < F.col("_m.high")}
-    return of.withColumns(marks).drop("own", "part", "parts", "small", "_m").repartition(tasks, "meeting").groupBy("meeting")
+    return of.withColumns(marks).drop("own", "part", "parts", "spans", "small", "_m").repartition(tasks, "meeting").groupBy("meeting")
 
 
 def held(batches: Iterator[pa.RecordBatch], id_col: str) -> pa.Table:

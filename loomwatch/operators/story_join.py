@@ -18,19 +18,21 @@ reaches the threshold do; a link itself may stand for others. How that is done:
     don't decide are compared article by article.
 
 What is left of a frequent key are articles with three entities or fewer: their Hamming bound is too wide for bands,
-so they meet within the key and its time span. That join is dealt out by key and span, and adaptive execution splits
-its large partitions. Pairs that link are scored within it; where keys are frequent, a sample of the pairs groups the articles
-first, and then one row leaves a task for any two groups that are linked.
+so they meet within the key and its time span, in blocks (``meetings``) that numpy compares by the bits that differ. A task joins what links
+as it goes, doesn't compare what it has joined, and gives a row for each article that it joined, not for each pair. Where a key has several
+parts, those are joined within themselves first, and the links between parts are looked for between what that leaves apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwatch.operators import stories
+from loomwatch.operators import meetings, stories
 from loomwatch.operators.components import components
 from loomwatch.shared import remove, written
 
@@ -38,8 +40,8 @@ from loomwatch.shared import remove, written
 CELLS = 24
 #: Keys of more rows are frequent: rows meet in bands of their simhashes where at most ``BANDS`` - 1 bits may differ.
 FREQUENT, BANDS = 200, 8
-#: Units that meet one another in a part of a frequent key, when groups are looked for.
-SAMPLE = 64
+#: Units of a part of a frequent key, rows of a block that are compared at once, and pairs that a task compares.
+PART, ROWS, TASK_PAIRS = 8192, 128, 1_000_000_000
 HOUR = 3_600_000_000
 
 
@@ -89,43 +91,109 @@ def _emitted(units: DataFrame, threshold: float) -> DataFrame:
     frequent = (F.col("freq") > FREQUENT) & F.col("simhash").isNotNull()
     width = 64 // BANDS
     bands = F.array(*[F.shiftrightunsigned("simhash", i * width).bitwiseAND((1 << width) - 1) + (i + 1) * (1 << width) for i in range(BANDS)])
-    # A strict row meets all by its bands; so those of a frequent key that aren't strict have bands as well, to be met by.
+    rows = rows.withColumn("strict", frequent & (bits < BANDS))
+    # A strict row meets all by its bands; so those of a key with strict rows that aren't strict have bands as well, to be met by.
+    met = rows.where("strict").select("key", F.lit(True).alias("by_bands")).distinct()
     plain = F.array(F.lit(0).cast("long"))
-    tokens = F.when(frequent & (bits < BANDS), bands).when(frequent, F.concat(plain, bands)).otherwise(plain)
-    return rows.select("unit", "key", "left", "n", "freq", (frequent & (bits < BANDS)).alias("strict"), F.explode(tokens).alias("token"))
-
-
-def _cross(units: DataFrame, emitted: DataFrame, hours: float, threshold: float, sample: bool = False) -> DataFrame:
+    tokens = F.when(F.col("strict"), bands).when(frequent & F.col("by_bands"), F.concat(plain, bands)).otherwise(plain)
+    return rows.join(met, "key", "left").select("unit", "key", "left", "n", "freq", "strict", F.explode(tokens).alias("token"))
+
+
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels after the rows x and y, pair by pair, got the lesser label of both."""
+    into = np.arange(len(label))  # labels are less than the number of rows
+
+    def root(i: int) -> int:
+        while into[i] != i:
+            into[i] = i = into[into[i]]
+        return i
+
+    for p, q in np.unique(np.stack([label[x], label[y]]), axis=1).T.tolist():
+        p, q = root(p), root(q)
+        into[max(p, q)] = min(p, q)
+    while (into[into] != into).any():
+        into = into[into]
+    return into[label]
+
+
+def _linked(table: pa.Table, hours: float, threshold: float) -> Iterator[pa.RecordBatch]:
+    """What ``_cross`` gives of one meeting, its rows by unit."""
+    column = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
+    first, last, left, n = (column(c).astype(np.int64) for c in ("first", "last", "left", "n"))
+    profile, strict, plain, known = meetings.codes(table["profile"]), column("strict"), column("token") == 0, table["simhash"].is_valid().to_numpy()
+    bits = table["simhash"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+    keys, names = meetings.Sets(table["keys"], table["key"]), table["group"].combine_chunks().dictionary_encode()
+    group, units, label = names.indices.to_numpy(), table["unit"].combine_chunks(), names.indices.to_numpy()
+    wa, wb, wc = stories.WEIGHTS
+    near = lambda t: np.maximum(0.0, 1 - t / 3.6e9 / hours)
+
+    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bits each row of a may differ in from any of b."""
+        most = np.minimum(left[a], left[b].max())
+        rest = n[a] + n[b].min() - most
+        jaccard = np.where(rest > most, most / np.maximum(rest, 1), 1.0)
+        return np.clip(np.floor(64 * (1 - (threshold - wc - wa * jaccard) / wb) + 1e-6), -1, 64).astype(np.int8)
+
+    def found(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(x, y, jaccard, hamming, sure) of those pairs of rows that link, or may."""
+        apart = np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]).view(np.int8)
+        apart[~known[a]], apart[:, ~known[b]] = 64, 64  # as unlike as can be
+        i, j = np.nonzero(ok & (apart <= bound(a, b)[:, None]) & (apart <= bound(b, a)[None, :]) & (label[a][:, None] != label[b][None, :]))
+        x, y, h = a[i], b[j], 1 - apart[i, j] / 64
+        # Times apart: of articles of different cells at least the gap between them; of one cell anything up to the whole.
+        gap = np.maximum(first[y] - last[x], first[x] - last[y])
+        total, most = n[x] + n[y], np.minimum(left[x], left[y])
+        need = (threshold - wb * h - wc * near(np.maximum(gap, 0))) / wa - 1e-9  # of the Jaccard index
+        keep = (profile[x] != profile[y]) & (plain[x] | strict[x] | strict[y]) & (gap <= hours * HOUR) & (most >= need * (total - most))
+        x, y, h, gap = x[keep], y[keep], h[keep], gap[keep]
+        (p, i), (q, j) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+        common = keys.common(p, q) if len(x) else None
+        common = 1.0 + (0.0 if common is None else common[i, j])
+        jaccard = common / (n[x] + n[y] - common)
+        value = lambda t: wa * jaccard + wb * h + wc * near(t)
+        whole = np.maximum(last[y] - first[x], last[x] - first[y])
+        # Where the gap isn't negative it is that of two articles; else the times between are known by their bounds only.
+        sure, keep = (gap >= 0) | ((whole <= hours * HOUR) & (value(whole) >= threshold)), value(np.maximum(gap, 0)) >= threshold
+        return x[keep], y[keep], jaccard[keep], h[keep], sure[keep]
+
+    def out(u: pa.Array, v: pa.Array, j: np.ndarray | None, h: np.ndarray | None, state: str) -> pa.RecordBatch:
+        none = pa.nulls(len(u), pa.float64())
+        return pa.RecordBatch.from_arrays([u, v, none if j is None else pa.array(j), none if h is None else pa.array(h), pa.array([state] * len(u), pa.string())], names=["u", "v", "j", "h", "state"])
+
+    for a, b, ok in meetings.blocks(table, "unit", "met", "first"):
+        for at in range(0, len(a), ROWS):
+            some, due = a[at : at + ROWS], ok[at : at + ROWS]
+            large = np.bincount(label).argmax()  # rows of the largest label aren't compared with one another
+            one, two = label[some] == large, label[b] == large
+            for rows, columns in ((one, ~two), (~one, np.ones(len(b), dtype=bool))):
+                if not rows.any() or not columns.any():
+                    continue
+                x, y, j, h, sure = found(some[rows], b[columns], due[rows][:, columns])
+                if sure.any():
+                    label = _joined(label, x[sure], y[sure])
+                open_ = ~sure & (label[x] != label[y])
+                if open_.any():
+                    yield out(units.take(pa.array(x[open_])), units.take(pa.array(y[open_])), j[open_], h[open_], "some")
+    held = np.zeros(len(names.dictionary), dtype=np.int64)
+    held[group] = label  # of each group its label, which is the place of another group in the dictionary
+    moved = np.nonzero(held != np.arange(len(held)))[0]
+    yield out(names.dictionary.take(pa.array(moved)), names.dictionary.take(pa.array(held[moved])), None, None, "all")
+
+
+def _cross(units: DataFrame, emitted: DataFrame, hours: float, threshold: float, crossed: bool) -> DataFrame:
     """(u, v, j, h, state) of units of two profiles and two groups: state is 'all' where some of their articles link for certain, 'some' where they may.
 
-    units: with ``group``, an article that each is known to be of one story with. Where state is 'all', u and v are groups, so what links two
-    of them is one row, made distinct within the tasks first. sample: of each key only the pairs within parts of some ``SAMPLE`` units."""
+    units: with ``group``, an article that each is known to be of one story with. Where state is 'all', u and v are groups: a row for each group of a
+    meeting that is joined with another. crossed: only between the parts of a key, or only within them."""
     span = int(hours * HOUR) + int(hours * HOUR / CELLS) + 1
-    part = F.pmod(F.xxhash64("unit"), F.ceil(F.col("freq") / SAMPLE)) if sample else F.lit(0).cast("long")
-    rows = emitted.join(units.select("unit", "profile", "group", "first", "last", "simhash", "keys"), "unit").withColumns({"own": F.floor(F.col("first") / span), "part": part})
-    by = ["key", "token", "span", "part"]
-    side = lambda x, d: d.select(*[F.col(c).alias(f"{c}_{x}") for c in d.columns if c not in by], *by)
-    left, right = side("x", rows.withColumn("span", F.col("own"))), side("y", rows.withColumn("span", F.explode(F.array("own", F.col("own") - 1))))
-    once = (F.col("profile_x") != F.col("profile_y")) & (F.col("group_x") != F.col("group_y")) & ((F.col("own_y") != F.col("span")) | (F.col("unit_x") < F.col("unit_y")))
-    banded = (F.col("token") == 0) | F.col("strict_x") | F.col("strict_y")
-    # Times apart: of articles of different cells at least the gap between them; of one cell anything up to the whole.
-    gap = F.greatest(F.col("first_y") - F.col("last_x"), F.col("first_x") - F.col("last_y"))
-    hamming = F.coalesce(1 - F.bit_count(F.col("simhash_x").bitwiseXOR(F.col("simhash_y"))) / 64, F.lit(0.0))
-    near = F.greatest(F.lit(0.0), 1 - F.greatest(gap, F.lit(0)) / 3.6e9 / hours)
-    a, b, c = stories.WEIGHTS
-    need = (F.lit(threshold) - b * hamming - c * near) / a - 1e-9  # of the Jaccard index
-    total, most = F.col("n_x") + F.col("n_y"), F.least("left_x", "left_y")
-    common = F.size(F.array_intersect("keys_x", "keys_y"))
-    jaccard = common / (F.size("keys_x") + F.size("keys_y") - common)
-    value = lambda t: stories.score(jaccard, hamming, t / 3.6e9, F.lit(False), hours)
-    met = left.join(right, by).where(once & banded & (gap <= hours * HOUR) & (most >= need * (total - most)) & (value(F.greatest(gap, F.lit(0))) >= threshold))
-    whole = F.greatest(F.col("last_y") - F.col("first_x"), F.col("last_x") - F.col("first_y"))
-    # Where the gap isn't negative it is that of two articles; else the times between are known by their bounds only.
-    sure = (gap >= 0) | ((whole <= hours * HOUR) & (value(whole) >= threshold))
-    met = met.select("unit_x", "unit_y", "group_x", "group_y", jaccard.alias("j"), hamming.alias("h"), sure.alias("sure"))
-    x, y = (F.when(F.col("sure"), F.col(f"group_{s}")).otherwise(F.col(f"unit_{s}")) for s in "xy")
-    open_ = lambda c: F.when(~F.col("sure"), F.col(c)).alias(c)
-    return met.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"), open_("j"), open_("h"), F.when(F.col("sure"), "all").otherwise("some").alias("state")).distinct()
+    rows = emitted.drop("freq").join(units.select("unit", "profile", "group", "first", "last", "simhash", "keys"), "unit").withColumn("met", F.concat_ws("\x1f", "key", "token"))
+    kind = units.schema["unit"].dataType.simpleString()
+    groups = meetings.dealt(rows, "met", "unit", F.floor(F.col("first") / span), crossed, PART, TASK_PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _linked(meetings.held(batches, "unit"), hours, threshold)
+
+    return groups.applyInArrow(run, f"u {kind}, v {kind}, j double, h double, state string").distinct()
 
 
 def story_links(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hours: float = stories.HOURS, threshold: float = stories.THRESHOLD) -> DataFrame:
@@ -147,23 +215,21 @@ def story_links(entities: DataFrame, articles: DataFrame, hashes: DataFrame, hou
     copies = written(copies, "story-copies")
     units = written(_units(rows), "story-units")
     emitted = written(_emitted(units, threshold), "story-keys")
-    alone, links, made = units.withColumn("group", F.col("unit")), copies, [rows, copies, units, emitted]
-    if not emitted.where(F.col("freq") > FREQUENT).isEmpty():
-        # Of frequent keys a part of the pairs joins most of what they join: the rest is only looked for between what that leaves apart.
-        links = copies.unionByName(_cross(alone, emitted, hours, threshold, True).where("state = 'all'").select(F.col("u").alias("a"), F.col("v").alias("b")))
-        links = written(links, "story-sample")
+    sure = lambda d: d.where("state = 'all'").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    cross = written(_cross(units.withColumn("group", F.col("unit")), emitted, hours, threshold, False), "story-cross")
+    links, made = copies.unionByName(sure(cross)), [rows, copies, units, emitted, cross]
+    if units.count() > PART:
         group = components(links).select(F.col("node").alias("unit"), F.col("component").alias("group"))
-        alone = written(units.join(group, "unit", "left").withColumn("group", F.coalesce("group", "unit")), "story-groups")
-        made += [links, alone]
-    cross = written(_cross(alone, emitted, hours, threshold), "story-cross")
-    sure = cross.where("state = 'all'").select(F.col("u").alias("a"), F.col("v").alias("b"))
+        apart = written(units.join(group, "unit", "left").withColumn("group", F.coalesce("group", "unit")), "story-groups")
+        between = written(_cross(apart, emitted, hours, threshold, True), "story-between")
+        links, cross, made = links.unionByName(sure(between)), cross.unionByName(between), [*made, apart, between]
     cells = rows.groupBy("profile", "cell").agg(F.min_by("article_id", F.struct("t", "article_id")).alias("unit"))
     times = rows.select("profile", "cell", "t").join(cells, ["profile", "cell"]).select("unit", "t").distinct()
     one, two = (times.withColumnsRenamed({"unit": x, "t": f"{x}_t"}) for x in ("u", "v"))
     apart = F.abs(F.col("u_t") - F.col("v_t"))
     unsure = cross.where("state = 'some'").join(one, "u").join(two, "v")
     unsure = unsure.where(near(apart) & (stories.score(F.col("j"), F.col("h"), apart / 3.6e9, F.lit(False), hours) >= threshold)).select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()
-    out = written(links.unionByName(sure).unionByName(unsure).distinct(), "story-links")
-    for df in (*made, cross):
+    out = written(links.unionByName(unsure).distinct(), "story-links")
+    for df in made:
         remove(df)
     return out
