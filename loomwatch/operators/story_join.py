@@ -134,11 +134,16 @@ def _linked(table: pa.Table, hours: float, threshold: float) -> Iterator[pa.Reco
         jaccard = np.where(rest > most, most / np.maximum(rest, 1), 1.0)
         return np.clip(np.floor(64 * (1 - (threshold - wc - wa * jaccard) / wb) + 1e-6), -1, 64).astype(np.int8)
 
-    def found(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(x, y, jaccard, hamming, sure) of those pairs of rows that link, or may."""
+    def found(a: np.ndarray, b: np.ndarray, ok: np.ndarray, most_a: np.ndarray, most_b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(x, y, jaccard, hamming, sure) of those pairs of rows that link, or may. most: bits that a row may differ in."""
         apart = np.bitwise_count(bits[a][:, None] ^ bits[b][None, :]).view(np.int8)
         apart[~known[a]], apart[:, ~known[b]] = 64, 64  # as unlike as can be
-        i, j = np.nonzero(ok & (apart <= bound(a, b)[:, None]) & (apart <= bound(b, a)[None, :]) & (label[a][:, None] != label[b][None, :]))
+        like = (apart <= most_a[:, None]) & (apart <= most_b[None, :])
+        if np.count_nonzero(like) > like.size // 8:
+            like &= ok & (label[a][:, None] != label[b][None, :])
+        i, j = np.divmod(np.flatnonzero(like), len(b))
+        due = ok[i, j] & (label[a[i]] != label[b[j]])
+        i, j = i[due], j[due]
         x, y, h = a[i], b[j], 1 - apart[i, j] / 64
         # Times apart: of articles of different cells at least the gap between them; of one cell anything up to the whole.
         gap = np.maximum(first[y] - last[x], first[x] - last[y])
@@ -161,14 +166,16 @@ def _linked(table: pa.Table, hours: float, threshold: float) -> Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([u, v, none if j is None else pa.array(j), none if h is None else pa.array(h), pa.array([state] * len(u), pa.string())], names=["u", "v", "j", "h", "state"])
 
     for a, b, ok in meetings.blocks(table, "unit", "met", "first"):
+        most_a, most_b = bound(a, b), bound(b, a)
         for at in range(0, len(a), ROWS):
-            some, due = a[at : at + ROWS], ok[at : at + ROWS]
-            large = np.bincount(label).argmax()  # rows of the largest label aren't compared with one another
-            one, two = label[some] == large, label[b] == large
-            for rows, columns in ((one, ~two), (~one, np.ones(len(b), dtype=bool))):
-                if not rows.any() or not columns.any():
+            rows, sizes = np.arange(at, min(at + ROWS, len(a))), np.bincount(label)
+            large = sizes.argmax()  # rows of the largest label aren't compared with one another, if it has many
+            one = (label[a[rows]] == large) & (sizes[large] > len(label) // 8)
+            for some, columns in ((rows[one], np.flatnonzero(label[b] != large)), (rows[~one], np.arange(len(b)))):
+                if not len(some) or not len(columns):
                     continue
-                x, y, j, h, sure = found(some[rows], b[columns], due[rows][:, columns])
+                due = ok[some] if len(columns) == len(b) else ok[np.ix_(some, columns)]
+                x, y, j, h, sure = found(a[some], b[columns], due, most_a[some], most_b[columns])
                 if sure.any():
                     label = _joined(label, x[sure], y[sure])
                 open_ = ~sure & (label[x] != label[y])
